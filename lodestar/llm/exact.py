@@ -209,6 +209,12 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "member")
 
 
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    kept = common.written(dedup(docs).where("kept").select("doc_id").distinct())
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents")).drop("member")
 
