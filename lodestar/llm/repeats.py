@@ -136,7 +136,12 @@ class Block:
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         self.doc, self.at, self.key = join(doc, np.int32), join(at, np.int64), join(key, np.uint64)
 
-    def pick(self, chosen: np.ndarray) -> None:
+    def find_shared(self, buckets: int, replies: pa.Table) -> None:
+        """As find(), of the anchors in the replies' bucket and keys alone."""
+        self.find(buckets)
+        rows = zip(replies["bucket"].to_pylist(), replies["keys"].to_pylist(), strict=True)
+        shared = [_from_five(k) | (_U(b) << _U(40)) for b, k in rows if k]
+        chosen = np.isin(self.key, np.concatenate(shared)) if shared else np.zeros(len(self.key), bool)
         self.doc, self.at, self.key = self.doc[chosen], self.at[chosen], self.key[chosen]
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
@@ -392,11 +397,9 @@ def send_classes(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFram
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {"bucket": [], "block": [], "keys": [], "digests": [], "ids": []}
-        wanted = [_from_five(k) | (_U(b) << _U(40)) for b, k in zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), strict=True)]
-        if len(left) and wanted:
+        if len(left) and len(right):
             block = Block(left)
-            block.find(buckets)
-            block.pick(np.isin(block.key, np.concatenate(wanted)))
+            block.find_shared(buckets, right)
             digest = block.digests()
             order = np.lexsort((block.ids[block.doc], digest, block.key))
             key, digest, ids = block.key[order], digest[order], block.ids[block.doc[order]]
@@ -455,7 +458,7 @@ def _side_key(key: np.ndarray, m: np.ndarray, columns: slice, salt: int) -> np.n
     return h
 
 
-def send_snippets(packed: DataFrame, judged: DataFrame, buckets: int) -> DataFrame:
+def send_snippets(packed: DataFrame, shared: DataFrame, judged: DataFrame, buckets: int) -> DataFrame:
     """bucket, block, n, digests, keys, ids, sides, rows: the bytes of the classes asked for."""
     schema = "bucket int, block int, digests binary, keys binary, ids binary, sides binary, rows binary"
     names = [x.split(" ")[0] for x in schema.split(", ")]
@@ -465,7 +468,7 @@ def send_snippets(packed: DataFrame, judged: DataFrame, buckets: int) -> DataFra
         wanted, hot = _all(right["wanted"]), _all(right["hot"])
         if len(left) and len(wanted) + len(hot):
             block = Block(left)
-            block.find(buckets)
+            block.find_shared(buckets, right)
             digest = block.digests()
             asked = np.flatnonzero(np.isin(digest, np.concatenate([wanted, hot])))
             by_id = asked[np.lexsort((block.ids[block.doc[asked]], digest[asked]))]
@@ -485,7 +488,8 @@ def send_snippets(packed: DataFrame, judged: DataFrame, buckets: int) -> DataFra
                             out[k].append(v)
         return _table(schema, out)
 
-    return packed.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(run, schema)
+    replies = judged.select("block", "wanted", "hot").unionByName(shared, allowMissingColumns=True)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def repeat_parts(rows: np.ndarray, sides: np.ndarray, ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -540,15 +544,14 @@ def find_repeats(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, schema)
 
 
-def cut(packed: DataFrame, judged: DataFrame, found: DataFrame, buckets: int, with_text: bool) -> DataFrame:
+def cut(packed: DataFrame, shared: DataFrame, judged: DataFrame, found: DataFrame, buckets: int, with_text: bool) -> DataFrame:
     """The result: what stays of each text."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,stop:long>>, kept binary" * with_text
-    none = F.lit(None).cast("binary")
-    replies = judged.select("block", "later", none.alias("digests"), none.alias("parts")).unionByName(found.select("block", none.alias("later"), "digests", "parts"))
+    replies = judged.select("block", "later").unionByName(found, allowMissingColumns=True).unionByName(shared, allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left)
-        block.find(buckets)
+        block.find_shared(buckets, right)
         digest, ids = block.digests(), block.ids[block.doc]
         order = np.lexsort((ids, digest))
         first = _first(digest[order])
@@ -594,10 +597,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, spans and kept: one row per row of docs."""
     blocks = buckets = common.shuffle_partitions(docs.sparkSession)
     packed = pack(docs, blocks)
-    shared = shared_anchors(send_anchors(packed, buckets))
+    shared = common.written(shared_anchors(send_anchors(packed, buckets)))
     judged = common.written(judge_classes(send_classes(packed, shared, buckets)))
-    found = common.written(find_repeats(send_snippets(packed, judged.select("block", "wanted", "hot"), buckets)))
-    return cut(packed, judged, found, buckets, with_text)
+    found = common.written(find_repeats(send_snippets(packed, shared, judged, buckets)))
+    return cut(packed, shared, judged, found, buckets, with_text)
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
