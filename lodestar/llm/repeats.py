@@ -328,12 +328,12 @@ def pack(docs: DataFrame, blocks: int) -> DataFrame:
                     "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=1).compress(data)],
                 }).to_batches()[0]
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 2)):
             for block, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = (t or "").encode()
                 held.setdefault(block, []).append((i or 0, i is None, text))
                 total += len(text)
-                if total > 8 * PACK_BYTES:
+                if total > 4 * PACK_BYTES:
                     yield from rows()
                     held, total = {}, 0
         yield from rows()
@@ -504,8 +504,8 @@ def repeat_parts(rows: np.ndarray, sides: np.ndarray, ids: np.ndarray, group: np
     chosen = np.flatnonzero(alike)
     chosen = chosen[np.argsort(group[chosen], kind="stable")]
     start = 0
-    while start < len(chosen):  # whole groups, about 100,000 snippets at once
-        stop = min(len(chosen), start + 100_000)
+    while start < len(chosen):  # whole groups, about 20,000 snippets at once
+        stop = min(len(chosen), start + 20_000)
         stop = int(np.searchsorted(group[chosen], group[chosen[stop - 1]], "right"))
         some = chosen[start:stop]
         start = stop
