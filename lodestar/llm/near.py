@@ -16,7 +16,10 @@
 5. A test first estimates the similarity from the packed bits: of 4-bit values
    1 in 16 agrees by chance, so J = (agreeing - 1/16) / (1 - 1/16). Pairs within
    SLACK of the threshold (over 4.5 standard errors) are confirmed on the full
-   sets of 64-bit shingle hashes.
+   sets of 64-bit shingle hashes. Round two, where groups of documents that
+   only just miss the threshold are to be told apart, first asks which members
+   have any such partner (a semi-join, so no pairs come out), and estimates
+   pairs of these from signatures of LONG_PERMS minima.
 6. Components come from alternating large-star and small-star steps, each
    written to the shared folder; links never come to the driver.
 
@@ -44,14 +47,15 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 PERMS = BANDS * ROWS
+#: Minima of the longer signature, made of the few documents that round two compares.
+LONG_PERMS = 1024
 BITS = 4
-#: 64-bit words that hold a signature's low bits; the last is padded with zeros.
-LONGS = -(-PERMS * BITS // 64)
-SLACK = 0.15
+#: How far below the threshold an estimate may lie, over 4.5 standard errors each.
+SLACK, LONG_SLACK = 0.15, 0.06
 TILE = 5000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, size=(2, PERMS), dtype=np.uint64)
+_seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, size=(2, LONG_PERMS), dtype=np.uint64)
 _A, _B = (_seeds[0] << np.uint64(1)) | np.uint64(1), _seeds[1]
 
 
@@ -61,7 +65,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -82,11 +86,11 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(found ^ (found >> np.uint64(29)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The PERMS minima of a set, 32 bits each."""
-    least = np.full(PERMS, 2**32 - 1, np.uint32)
-    for i in range(0, len(shingles), 2048):
-        x = (shingles[None, i : i + 2048] * _A[:, None] + _B[:, None]) >> np.uint64(32)
+def signature(shingles: np.ndarray, perms: int = PERMS) -> np.ndarray:
+    """The minima of a set, 32 bits each."""
+    least = np.full(perms, 2**32 - 1, np.uint32)
+    for i in range(0, len(shingles), 512):
+        x = (shingles[None, i : i + 512] * _A[:perms, None] + _B[:perms, None]) >> np.uint64(32)
         np.minimum(least, x.min(axis=1).astype(np.uint32), out=least)
     return least
 
@@ -101,10 +105,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def packed(sig: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, in LONGS words."""
-    low = np.zeros(LONGS * 64 // BITS, np.uint8)
-    low[:PERMS] = sig & (2**BITS - 1)
-    return ((low[::2] << 4) | low[1::2]).view(np.int64)
+    """The low BITS bits of each minimum: of every 64 minima, one word for each bit."""
+    low = np.zeros(-(-len(sig) // 64) * 64, np.uint32)
+    low[: len(sig)] = sig
+    planes = (low.reshape(-1, 1, 64) >> np.arange(BITS, dtype=np.uint32)[:, None]) & 1
+    return np.packbits(planes.astype(np.uint8), axis=2).reshape(-1, 8).view(np.int64).reshape(-1)
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
@@ -131,37 +136,43 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
-def estimate(a, b):
+def estimate(a, b, perms: int):
     """Similarity from two packed signatures, corrected for chance agreement."""
-    agree = F.lit(-(LONGS * 64 // BITS - PERMS))
-    for i in range(LONGS):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        agree = agree + (16 - F.bit_count(x))
+    groups = -(-perms // 64)
+    agree = F.lit(perms)
+    for g in range(groups):
+        differ = None
+        for i in range(BITS * g, BITS * g + BITS):
+            x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+            differ = x if differ is None else differ.bitwiseOR(x)
+        agree = agree - F.bit_count(differ)
     chance = 1 / 2**BITS
-    return (agree / PERMS - chance) / (1 - chance)
+    return (agree / perms - chance) / (1 - chance)
 
 
 def may_link(n_a, n_b, bits_a, bits_b, percent: int):
     """Whether sizes and packed signatures allow a link."""
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (estimate(bits_a, bits_b) >= percent / 100 - SLACK)
+    return sizes & (estimate(bits_a, bits_b, PERMS) >= percent / 100 - SLACK)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough; only the sets
-    of documents in pairs are made."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> DataFrame:
+    """rep, shingles, long_bits (if perms) of the documents wanted (rep)."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+        for batch in (part for whole in batches for part in common.slices(whole, 1)):
+            sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column(1)]
+            longs = [packed(signature(s, perms)) if perms else None for s in sets]
+            columns = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(longs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingles", "long_bits"])
+
+    return common.written(texts.mapInArrow(make, "rep long, shingles binary, long_bits array<long>"))
+
 
-    sets = common.written(texts.mapInArrow(make, "rep long, shingles binary"))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
@@ -200,19 +211,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def cross_pairs(shared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and may link;
-    those with the bucket's hub were tested before."""
+def tiled(member: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of buckets' members, large buckets in tiles."""
+    side = lambda own, other, x: member.select(
+        "key", F.col("tile").alias(own), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(other), *(F.col(c).alias(f"{c}_{x}") for c in columns)
+    )
+    return side("t", "u", "a"), side("u", "t", "b")
+
+
+def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets that may link to another component's member there,
+    each once per bucket. Pairs with the hub were tested before."""
     member = shared.where("rep != hub").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     member = member.join(mixed.select("key", tiles.alias("tiles")), "key").join(classes, "rep")
-    member = common.written(member.select("key", "tiles", "rep", "component", "n", "bits", F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile")))
-    side = lambda own, other, x: member.select(
-        "key", F.col("tile").alias(own), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(other), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "bits"))
-    )
-    both = side("t", "u", "a").join(side("u", "t", "b"), ["key", "t", "u"])
-    both = both.where((F.col("component_a") < F.col("component_b")) & may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
+    columns = ["rep", "component", "n", "bits"]
+    member = common.written(member.select("key", "tiles", *columns, F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile")))
+    a, b = tiled(member, columns)
+    cond = (F.col("l.component_a") != F.col("r.component_b")) & may_link(F.col("l.n_a"), F.col("r.n_b"), F.col("l.bits_a"), F.col("r.bits_b"), percent)
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "t", "u")]
+    return common.written(a.alias("l").join(b.alias("r"), [*same, cond], "left_semi").select("key", F.col("rep_a").alias("rep"), F.col("component_a").alias("component")).distinct())
+
+
+def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open members of different components that the longer signatures
+    allow, each from the first band that it shares."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    columns = ["rep", "component", "n", "bits", "bands", "long_bits"]
+    member = members.join(sizes, "key").join(classes, "rep").join(sets.select("rep", "long_bits"), "rep")
+    a, b = tiled(member.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")), columns)
+    close = estimate(F.col("long_bits_a"), F.col("long_bits_b"), LONG_PERMS) >= percent / 100 - LONG_SLACK
+    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
+    both = a.join(b, ["key", "t", "u"]).where(F.col("component_a") < F.col("component_b"))
+    both = both.where(may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)).where(close).where(first)
     return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
@@ -224,7 +256,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     own = rows.join(reps.withColumnRenamed("digest", "rep_digest"), (F.col("digest") == F.col("rep_digest")) & (F.col("doc_id") == F.col("rep")))
     classes = common.written(own.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "bits", "bands"))
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    classes = classes.drop("bands")
     buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last")
     shared = common.written(keys.join(buckets.select("key", "hub"), "key"))
 
@@ -232,11 +263,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     star = shared.where("rep != hub").select(F.col("hub").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()
     star = star.join(side("a"), "rep_a").join(side("b"), "rep_b")
     star = star.where(may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
-    links = confirmed(common.written(star.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))), docs, k, percent)
+    star = common.written(star.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    links = confirmed(star, full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k), percent)
     comps = components(links)
-    more = common.written(cross_pairs(shared, classes, comps, percent))
-    if not more.isEmpty():
-        comps = components(links.unionByName(confirmed(more, docs, k, percent)))
+    members = open_members(shared, classes.drop("bands"), comps, percent)
+    if not members.isEmpty():
+        sets = full_sets(docs, members.select("rep").distinct(), k, LONG_PERMS)
+        more = common.written(cross_pairs(members, classes, sets, percent))
+        comps = components(links.unionByName(confirmed(more, sets, percent)))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("found"))
     out = narrow.join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found"))
