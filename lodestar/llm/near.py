@@ -53,6 +53,8 @@ BITS = 4
 #: How far below the threshold an estimate may lie, over 4.5 standard errors each.
 SLACK, LONG_SLACK = 0.15, 0.06
 TILE = 5000
+#: Bits of the bitmap of wanted documents, 4 MB.
+SLOTS = 1 << 25
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, size=(2, LONG_PERMS), dtype=np.uint64)
@@ -158,7 +160,19 @@ def may_link(n_a, n_b, bits_a, bits_b, percent: int):
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> DataFrame:
     """rep, shingles, long_bits (if perms) of the documents wanted (rep)."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    words = wanted.groupBy(F.shiftright(slot("rep"), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) AS int))")).alias("bits")).toArrow()
+    held = np.zeros(SLOTS // 64, np.int64)
+    held[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1).cast(pa.bool_()))
+
+    # a bitmap of fixed size keeps most texts that aren't wanted out of the shuffle; the join is exact
+    texts = docs.select(F.col("doc_id").alias("rep"), "text", slot("doc_id").alias("slot")).mapInArrow(likely, "rep long, text string").join(wanted, "rep", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
