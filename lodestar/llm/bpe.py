@@ -85,7 +85,7 @@ def encode_table(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool =
             columns += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return common.texts(docs).mapInArrow(run, schema)
 
 
 def default_files() -> tuple[str, str]:

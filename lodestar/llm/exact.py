@@ -56,7 +56,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "points", "digest"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, points long, digest binary")
+    return common.texts(docs).mapInArrow(run, "doc_id long, points long, digest binary")
 
 
 def winners(rows: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], size: int = PROFILE)
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.int64()), strict=True))], names=["doc_id", "lang_pred", "score", "distance"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, distance long")
+    return common.texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, distance long")
 
 
 def held_out(doc_id, divisor: int, remainder: int):

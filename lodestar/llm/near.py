@@ -135,7 +135,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "bands", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
+    return common.texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def estimate(a, b, perms: int):
@@ -204,19 +204,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.written(both.mapInArrow(test, "a long, b long"))
 
 
+def star_step(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, after a large-star and a small-star step; the same components."""
+    # large star: a node's larger neighbours hang on its smallest neighbour or itself
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # small star: a node and its smaller neighbours hang on the smallest of them
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of all nodes of edges (a, b), a != b."""
     edges = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
-        # large star: a node's larger neighbours hang on its smallest neighbour or itself
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its smaller neighbours hang on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = common.written(star_step(edges))  # so that plans stay short
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
@@ -241,7 +246,7 @@ def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percen
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     member = member.join(mixed.select("key", tiles.alias("tiles")), "key").join(classes, "rep")
     columns = ["rep", "component", "n", "bits"]
-    member = common.written(member.select("key", "tiles", *columns, F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile")))
+    member = member.select("key", "tiles", *columns, F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile"))
     a, b = tiled(member, columns)
     cond = (F.col("l.component_a") != F.col("r.component_b")) & may_link(F.col("l.n_a"), F.col("r.n_b"), F.col("l.bits_a"), F.col("r.bits_b"), percent)
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "t", "u")]
@@ -266,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     """doc_id, n_shingles, class_id, component_id, kept: one row per row of docs."""
     rows = common.written(sketch(docs, k))
     narrow = rows.select("doc_id", "n_shingles", "digest")
-    reps = common.written(narrow.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = narrow.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = rows.join(reps.withColumnRenamed("digest", "rep_digest"), (F.col("digest") == F.col("rep_digest")) & (F.col("doc_id") == F.col("rep")))
     classes = common.written(own.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "bits", "bands"))
     keys = classes.select("rep", F.explode("bands").alias("key"))
@@ -283,8 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     members = open_members(shared, classes.drop("bands"), comps, percent)
     if not members.isEmpty():
         sets = full_sets(docs, members.select("rep").distinct(), k, LONG_PERMS)
-        more = common.written(cross_pairs(members, classes, sets, percent))
-        comps = components(links.unionByName(confirmed(more, sets, percent)))
+        comps = components(links.unionByName(confirmed(cross_pairs(members, classes, sets, percent), sets, percent)))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("found"))
     out = narrow.join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found"))

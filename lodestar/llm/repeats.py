@@ -339,7 +339,7 @@ def pack(docs: DataFrame, blocks: int) -> DataFrame:
         yield from rows()
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    packed = docs.select(block.alias("block"), "doc_id", "text").mapInArrow(run, PACKED)
+    packed = common.texts(docs).select(block.alias("block"), "doc_id", "text").mapInArrow(run, PACKED)
     spark = docs.sparkSession
     common.shared_dir(spark)
     # a checkpoint of a plan that isn't adaptive keeps its partitioning, so later steps read a block without a shuffle
