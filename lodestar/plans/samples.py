@@ -1,3 +1,46 @@
 """Queries over small source files of our own, for the parsers."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.sources import parse
+
+TS = """export interface Shape { area(): number; }
+export async function draw(shape: Shape, scale: number): Promise<string> { return `size ${shape.area() * scale}`; }
+export class Square implements Shape {
+  private side = 2; // length
+  constructor(side: number) { this.side = side; }
+  async load(url: string): Promise<void> { if (url) { await fetch(url); } }
+  area(): number { return this.side * this.side; }
+}
+type Name = string;
+function helper(a) { return a }
+"""
+CS = """namespace Demo {
+  public interface IStore { void Put(string key); }
+  public class Store : IStore {
+    private readonly string _name;
+    public Store(string name) { _name = name; }
+    public string Name { get; set; }
+    public async Task<int> CountAsync(string key) { return await Run(key); }
+    private int Twice(int n) => n * 2;
+    public void Put(string key) { }
+  }
+}
+"""
+
+
+def _files(spark):
+    return spark.range(2).select(F.when(F.col("id") == 0, "src/shape.ts").otherwise("src/Store.cs").alias("path"), F.when(F.col("id") == 0, TS).otherwise(CS).alias("source"))
+
+
+def parse_entities(spark, d):
+    return parse.parse_files(_files(spark), "entities")
+
+
+def parse_symbols(spark, d):
+    return parse.parse_files(_files(spark), "symbols")
+
+
+QUERIES: dict = {"parse_entities": parse_entities, "parse_symbols": parse_symbols}
