@@ -212,7 +212,8 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = common.written(dedup(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # ids grow with the input, so they are never broadcast; texts stream past a hash table of their partition's ids
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

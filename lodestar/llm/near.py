@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 def keep_documents(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
     kept = common.written(near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct())
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # ids grow with the input, so they are never broadcast; texts stream past a hash table of their partition's ids
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def op7_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
