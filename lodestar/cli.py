@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -22,14 +23,23 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--from", dest="base", default="HEAD~1")
     d.add_argument("--to", dest="head", default="HEAD")
     d.add_argument("--json", action="store_true")
+    d.add_argument("--html", action="store_true")
     c = sub.add_parser("duplicates", help="clones in a working tree")
     c.add_argument("--repo", default=".")
+    for x in (d, c):
+        x.add_argument("--prompt", action="store_true")
+        x.add_argument("--explain", metavar="MODULE:FUNCTION", help="a function from prompt to text")
     for x in (r, d, c):
         x.add_argument("--path", action="append", default=[])
         x.add_argument("-o", "--output")
     return p
 
 
+def narrator(name: str):
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from lodestar.plans import report
     from lodestar.sources import git, parse
@@ -41,9 +51,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "diff":
         diff = report.entity_changes(git.files_at(spark, args.repo, args.base, args.path), git.files_at(spark, args.repo, args.head, args.path))
         m = report.manifest(diff, args.base, args.head)
-        out = json.dumps(m, indent=2, ensure_ascii=False) + "\n" if args.json else report.listing(m)
+        m = report.explained(m, narrator(args.explain)) if args.explain else m
+        if args.json:
+            out = json.dumps(m, indent=2, ensure_ascii=False) + "\n"
+        else:
+            out = report.diff_prompt(m) if args.prompt else report.diff_html(m) if args.html else report.listing(m)
+            out += f"\n{m['summary']}\n" if m["summary"] and not args.html else ""
     else:
-        out = report.duplicates_listing(report.duplicates(parse.parse_files(git.working_tree(spark, args.repo, args.path), "entities")))
+        groups = report.duplicates(parse.parse_files(git.working_tree(spark, args.repo, args.path), "entities"))
+        out = report.duplicates_listing(groups) + (report.duplicates_prompt(groups) if args.prompt else "")
+        if args.explain:
+            out += "\n".join(["", *report.advice(groups, narrator(args.explain)), ""])
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
             f.write(out)

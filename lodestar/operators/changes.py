@@ -113,8 +113,10 @@ def diff_symbols(base: DataFrame, head: DataFrame, renames: DataFrame | None = N
     rename_mode: "observed" looks a head file's base file up by the rename whose
     from_path is the head path, as the tool whose results are matched does;
     "resolved" by the one whose to_path it is. A base file that no head file
-    took is removed as a whole, unless a head file has its path.
+    took is removed as a whole, unless a head file has its path. Where both sides
+    have a column span, the result has before_span and after_span.
     """
+    spans = ["span"] if "span" in base.columns and "span" in head.columns else []
     keys = ["file", "kind", "qualified_name"]
     base, head = (last_wins(df, keys, [F.col("ord")]) for df in (base, head))
     files = head.select("file").distinct()
@@ -127,12 +129,13 @@ def diff_symbols(base: DataFrame, head: DataFrame, renames: DataFrame | None = N
     paired = base.withColumnRenamed("file", "base_file").join(pairs, "base_file")
     taken = pairs.select(F.col("base_file").alias("file")).unionByName(files).distinct()
     rest = base.join(taken, "file", "left_anti")
-    found = _both(paired.drop("base_file").withColumn("origin", F.col("file")).unionByName(rest.withColumn("origin", F.col("file"))), head, keys, SYMBOL_REST)
+    found = _both(paired.drop("base_file").withColumn("origin", F.col("file")).unionByName(rest.withColumn("origin", F.col("file"))), head, keys, [*SYMBOL_REST, *spans])
     kind = F.when(~F.col("in_base"), "added").when(~F.col("in_head"), "removed").when(_differ(["signature"]), "modified")
     exported = F.coalesce("b_exported", F.lit(False)) | F.coalesce("a_exported", F.lit(False))
     return found.select(
         "file", "qualified_name", F.coalesce("a_name", "b_name").alias("name"), F.col("kind").alias("symbol_kind"), kind.alias("kind"), exported.alias("exported"),
         F.col("b_signature").alias("before_signature"), F.col("a_signature").alias("after_signature"),
+        *(F.col(f"{x}_{s}").alias(f"{n}_{s}") for s in spans for x, n in (("b", "before"), ("a", "after"))),
     ).where("kind is not null")
 
 

@@ -36,24 +36,42 @@ def _say(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def _rows(df: DataFrame, code: Column, subject: Column, title: Column, detail: Column, severity: Column | None = None) -> DataFrame:
-    rows = df.select(code.alias("code"), subject.alias("subject"), title.alias("title"), detail.alias("detail"), (F.lit(None).cast("string") if severity is None else severity).alias("own"))
+SPAN = ("file", "start_line", "start_column", "end_line", "end_column")
+
+
+def with_spans(symbols: DataFrame) -> DataFrame:
+    """symbols with their place as one column, span."""
+    return symbols.withColumn("span", F.struct(*SPAN))
+
+
+def _rows(df: DataFrame, code: Column, subject: Column, title: Column, detail: Column, severity: Column | None = None, message: Column | None = None, spans: Column | None = None) -> DataFrame:
+    """Findings; with spans also their evidence, one message and the places it is about."""
+    evidence = [] if spans is None else [F.array(F.struct(message.alias("message"), spans.alias("spans"))).alias("evidence")]
+    rows = df.select(
+        *evidence, code.alias("code"), subject.alias("subject"), title.alias("title"), detail.alias("detail"), (F.lit(None).cast("string") if severity is None else severity).alias("own")
+    )
     c = F.col("code")
     return rows.select(
-        _case(c, 3).alias("section"), "code", "subject", F.coalesce("own", _case(c, 0)).alias("severity"), _case(c, 1).alias("confidence"), _case(c, 2).alias("risk_score"), "title", "detail"
+        _case(c, 3).alias("section"), "code", "subject", F.coalesce("own", _case(c, 0)).alias("severity"), _case(c, 1).alias("confidence"), _case(c, 2).alias("risk_score"), "title", "detail", *(["evidence"] if evidence else [])
     )
 
 
 def file_findings(changes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """changes: path, change; symbols (file, name, ord): named in the detail."""
-    path = F.col("path")
+    path, message, spans = F.col("path"), None, None
     if symbols is not None:
-        names = symbols.groupBy(F.col("file").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("names"))
+        placed = "span" in symbols.columns
+        some = F.sort_array(F.collect_list(F.struct("ord", "name", *(["span"] if placed else []))))
+        names = symbols.groupBy(F.col("file").alias("path")).agg(some.alias("s"))
+        names = names.select("path", F.array_join("s.name", ", ").alias("names"), *([F.col("s.span").alias("spans")] if placed else []))
+        if placed:
+            message = _say("file ", F.col("change"), ": ", path)
+            spans = F.when(F.col("change") != "removed", F.col("spans"))
         changes = changes.join(names, "path", "left")
     else:
         changes = changes.withColumn("names", F.lit(None).cast("string"))
     detail = F.when(F.col("change") == "removed", _say(path, " was removed from the head revision")).otherwise(_say(path, " symbols: ", F.coalesce("names", F.lit("<none>"))))
-    return _rows(changes, _say("file.", F.col("change")), path, _say(F.initcap("change"), " `", path, "`"), detail)
+    return _rows(changes, _say("file.", F.col("change")), path, _say(F.initcap("change"), " `", path, "`"), detail, None, message, spans)
 
 
 def rename_findings(renamed: DataFrame) -> DataFrame:
@@ -62,32 +80,53 @@ def rename_findings(renamed: DataFrame) -> DataFrame:
     return _rows(renamed, F.lit("file.renamed"), F.col("to_path"), title, _say(title, how), F.when(F.col("content_changed"), "Medium"))
 
 
-def clone_findings(groups: DataFrame) -> DataFrame:
-    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), F.lit("Exact clone group"), _say("Exact clone group across ", text.backtick_list(F.col("members"))))
+def _member_spans(groups: DataFrame, symbols: DataFrame) -> DataFrame:
+    """groups with the spans of their members' symbols, in the order of members."""
+    own = symbols.select("file", "ord", "span")
+    members = groups.select("fingerprint", F.posexplode("members").alias("at", "file")).join(own, "file")
+    spans = members.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "span"))).alias("s")).select("fingerprint", F.col("s.span").alias("spans"))
+    return groups.join(spans, "fingerprint", "left")
 
 
-def drift_findings(drifts: DataFrame) -> DataFrame:
+def clone_findings(groups: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    said = _say("Exact clone group across ", text.backtick_list(F.col("members")))
+    more = () if symbols is None else (None, said, F.col("spans"))
+    groups = groups if symbols is None else _member_spans(groups, symbols)
+    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), F.lit("Exact clone group"), said, *more)
+
+
+def drift_findings(drifts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     detail = _say("Clone group drifted across ", text.backtick_list(F.col("members")), "; changed members: ", text.backtick_list(F.col("changed_members")))
-    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), F.lit("Clone drift detected"), detail)
+    more = () if symbols is None else (None, detail, F.col("spans"))
+    drifts = drifts if symbols is None else _member_spans(drifts, symbols)
+    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), F.lit("Clone drift detected"), detail, *more)
+
+
+def _change_evidence(changes: DataFrame) -> tuple:
+    """Severity of its own, message and spans (before, then after) for _rows()."""
+    if "before_span" not in changes.columns:
+        return ()
+    spans = F.filter(F.array("before_span", "after_span"), lambda s: s.isNotNull())
+    return None, _say("symbol change: ", F.col("qualified_name"), " in ", F.col("file")), spans
 
 
 def symbol_findings(changes: DataFrame) -> DataFrame:
     name, kind = _say("`", F.col("qualified_name"), "`"), F.col("kind")
     verb = F.when(kind == "added", " now defines ").when(kind == "removed", " no longer defines ").otherwise(" changed ")
-    return _rows(changes, _say("symbol.", kind), F.col("qualified_name"), _say(F.initcap(kind), " symbol ", name), _say(F.col("file"), verb, name, " (", F.col("symbol_kind"), ")"))
+    return _rows(changes, _say("symbol.", kind), F.col("qualified_name"), _say(F.initcap(kind), " symbol ", name), _say(F.col("file"), verb, name, " (", F.col("symbol_kind"), ")"), *_change_evidence(changes))
 
 
 def api_findings(changes: DataFrame) -> DataFrame:
     kind, name = F.col("kind"), _say("`", F.col("qualified_name"), "`")
     word = F.when(kind == "modified", "changed").otherwise(kind)
     how = F.when(kind == "added", " is now available in ").when(kind == "removed", " is no longer available in ").otherwise(" changed in ")
-    return _rows(changes.where("exported"), _say("api.", word), F.col("qualified_name"), _say(F.initcap(word), " API ", name), _say("exported ", name, how, F.col("file")))
+    return _rows(changes.where("exported"), _say("api.", word), F.col("qualified_name"), _say(F.initcap(word), " API ", name), _say("exported ", name, how, F.col("file")), *_change_evidence(changes))
 
 
 def all_findings(*parts: DataFrame) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
-        found = found.unionByName(p)
+        found = found.unionByName(p, allowMissingColumns=True)
     return found
 
 

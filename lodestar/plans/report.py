@@ -4,6 +4,7 @@ everything before stays in DataFrames."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ def entity_changes(base_files: DataFrame, head_files: DataFrame) -> DataFrame:
 def analyze(base_files: DataFrame, head_files: DataFrame, renames: DataFrame, rename_mode: str = "observed") -> dict[str, DataFrame]:
     """The tables of a report over files (path, source) and renames (from_path, to_path)."""
     base, head = file_hashes(base_files), file_hashes(head_files)
-    head_symbols = parse.parse_files(head_files, "symbols")
-    symbols = changes.diff_symbols(parse.parse_files(base_files, "symbols"), head_symbols, renames, rename_mode)
+    base_symbols, head_symbols = (findings.with_spans(parse.parse_files(f, "symbols")) for f in (base_files, head_files))
+    symbols = changes.diff_symbols(base_symbols, head_symbols, renames, rename_mode)
     files = changes.without_renames(changes.diff_files(base, head), renames)
     groups, drifts = clones.clone_groups(head, "lexical_hash"), clones.clone_drift(base, head)
     found = findings.all_findings(
-        findings.file_findings(files, head_symbols), findings.clone_findings(groups), findings.rename_findings(changes.renamed_files(renames, base, head)),
-        findings.symbol_findings(symbols), findings.api_findings(symbols), findings.drift_findings(drifts),
+        findings.file_findings(files, head_symbols), findings.clone_findings(groups, head_symbols), findings.rename_findings(changes.renamed_files(renames, base, head)),
+        findings.symbol_findings(symbols), findings.api_findings(symbols), findings.drift_findings(drifts, head_symbols),
     )
     return {
         "change_set": files, "clone_groups": groups, "renames": renames, "symbol_changes": symbols, "api_changes": changes.api_changes(symbols), "clone_drift": drifts,
@@ -94,8 +95,30 @@ for (const f of d.findings) { const li = document.createElement("li"); li.textCo
 """
 
 
+_TIMELINE = """<h2>Components</h2><input type="file" id="more" multiple accept=".json"><table id="t"></table><script>
+const bundles = [d];
+function draw() {
+  const cell = (b, id) => (b.head_components.find(c => c.id === id) || {file_count: "—"}).file_count;
+  const ids = [...new Set(bundles.flatMap(b => b.head_components.map(c => c.id)))].sort(), table = document.getElementById("t");
+  table.replaceChildren();
+  for (const id of ids) { const tr = table.insertRow(); for (const x of [id, ...bundles.map(b => cell(b, id))]) tr.insertCell().textContent = x; }
+}
+document.getElementById("more").onchange = async e => { for (const f of e.target.files) bundles.push(JSON.parse(await f.text())); draw(); };
+draw();
+</script>
+"""
+
+
 def html(rows: dict[str, list[dict]]) -> str:
-    return _PAGE % as_json(rows).replace("</", "<\\/")
+    """A page with the findings and a timeline of component sizes, to which reports written as JSON can be added."""
+    return _PAGE % as_json(rows).replace("</", "<\\/") + _TIMELINE
+
+
+def diff_html(m: dict) -> str:
+    """The page of an entity diff: its changes as findings, with both signatures."""
+    found = [{"severity": MARKERS[c["kind"]], "title": c["entity_key"], "detail": f"{c['before_signature'] or ''} → {c['after_signature'] or ''}"} for c in m["changes"]]
+    said = f"{m['from_ref']} → {m['to_ref']}: {len(found)} change(s), {len(m['files_affected'])} file(s)"
+    return _PAGE % json.dumps(m | {"findings": found, "summary": m["summary"] or said}, ensure_ascii=False).replace("</", "<\\/")
 
 
 FORMATS = {"markdown": markdown, "json": as_json, "pr-comment": pr_comment, "html": html}
@@ -138,3 +161,49 @@ def duplicates_listing(groups: dict[str, list[list[dict]]]) -> str:
         out.append(f"{name.capitalize()} clones: {len(groups[name])} group(s)")
         out += ["  " + " ↔ ".join(f"{e['name']} ({e['file_path']}:{e['start_line']})" for e in g) for g in groups[name]]
     return "\n".join(out) + "\n"
+
+
+#: Characters of a source that a prompt or a narrator is shown.
+PROMPT_SNIPPET = 300
+
+
+def diff_prompt(m: dict) -> str:
+    """Markdown that asks a reader or a model to judge an entity diff."""
+    head = f"Below is a structural diff of a repository ({m['from_ref']} → {m['to_ref']}). Summarize it, name the signature changes, and say which callers may be affected.\n\n"
+    if not m["changes"]:
+        return head + "No structural changes detected.\n"
+    out = [head + f"**{len(m['changes'])} change(s) across {len(m['files_affected'])} file(s)**", ""]
+    for c in m["changes"]:
+        out.append(f"- [{MARKERS[c['kind']]}] **{c['name']}** `{c['file_path']}` ({c['entity_kind']})")
+        before, after = c["before_signature"], c["after_signature"]
+        if None not in (before, after) and before != after:
+            out += [f"  - before: `{before}`", f"  - after:  `{after}`"]
+    whole = json.dumps(m, indent=2, ensure_ascii=False)
+    return "\n".join([*out, "", "<details><summary>Full JSON manifest</summary>", "", "```json", whole, "```", "</details>"]) + "\n"
+
+
+def duplicates_prompt(groups: dict[str, list[list[dict]]]) -> str:
+    """Markdown that asks for a way to merge each clone group."""
+    out = ["Below are groups of duplicated code. For each, say whether its members do the same, how to merge them, and what to call the result.", ""]
+    for name in ("exact", "structural"):
+        if groups[name]:
+            out += [f"## {name.capitalize()} clones ({len(groups[name])} group(s))", ""]
+        for i, group in enumerate(groups[name], 1):
+            out.append(f"### Group {i}")
+            for e in group:
+                out += [f"**{e['name']}** (`{e['file_path']}` line {e['start_line']})", "```", e["source"][:PROMPT_SNIPPET], "```", ""]
+    return "\n".join(out if any(groups.values()) else [*out, "No duplicates detected."]) + "\n"
+
+
+#: Turns a prompt into text; the caller supplies it, and nothing here opens a connection.
+Narrator = Callable[[str], str]
+
+
+def explained(m: dict, narrator: Narrator) -> dict:
+    """A manifest whose summary is what the narrator says of it."""
+    return m | {"summary": narrator(diff_prompt(m))}
+
+
+def advice(groups: dict[str, list[list[dict]]], narrator: Narrator) -> list[str]:
+    """What the narrator says of each clone group, exact ones first."""
+    return [narrator(duplicates_prompt({"exact": [], "structural": []} | {name: [g]})) for name in ("exact", "structural") for g in groups[name]]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from lodestar.sources.lexer import Token, lex, matching
 
 ENTITY = "kind string, name string, file_path string, start_line int, end_line int, source string, signature string, qualifiers array<string>, parent string"
-SYMBOL = "file string, kind string, qualified_name string, name string, exported boolean, signature string, start_line int, end_line int, ord long"
+SYMBOL = "file string, kind string, qualified_name string, name string, exported boolean, signature string, start_line int, start_column int, end_line int, end_column int, ord long"
 
 TS_MODIFIERS = ("export", "async", "abstract", "static", "override", "readonly", "public", "private", "protected", "declare", "default")
 #: Not recorded as qualifiers.
@@ -49,7 +49,9 @@ class _Scan:
         last = min(last, len(self.t) - 1)
         source = self.text(first, last)
         end_line = self.t[last].line + self.t[last].text.count("\n")
-        self.rows.append({"kind": kind, "name": name.text, "file_path": self.path, "start_line": self.t[first].line, "end_line": end_line, "source": source, "signature": signature, "qualifiers": mods, "parent": parent, "exported": exported})
+        column = lambda at: at - self.source.rfind("\n", 0, at)
+        start, end = self.t[first].start, self.t[last].start + len(self.t[last].text)
+        self.rows.append({"kind": kind, "name": name.text, "file_path": self.path, "start_line": self.t[first].line, "end_line": end_line, "source": source, "signature": signature, "qualifiers": mods, "parent": parent, "exported": exported, "start_column": column(start), "end_column": column(end)})
 
     def block(self, i: int, end: int, parent: str | None, exported: bool = False) -> None:
         """Declarations between tokens i and end."""
@@ -154,7 +156,7 @@ def entities(path: str, source: str) -> list[dict]:
     """Entities of one file. TypeScript: interface, function, class, method,
     constructor, property; C#: interface, class, method, constructor."""
     kept = ("interface", "function", "class", "method", "constructor", "property")
-    return [{k: v for k, v in r.items() if k != "exported"} for r in _declarations(path, source) if r["kind"] in kept]
+    return [{k: v for k, v in r.items() if k not in ("exported", "start_column", "end_column")} for r in _declarations(path, source) if r["kind"] in kept]
 
 
 _SYMBOL_KINDS = {"function": "Function", "class": "Class", "interface": "Interface", "type_alias": "TypeAlias"}
@@ -163,11 +165,12 @@ _CS_KINDS = {"class": "Class", "interface": "Interface", "record": "Record", "me
 
 def symbols(path: str, source: str) -> list[dict]:
     """Symbols of one file in document order; the signature is the whole trimmed
-    text. TypeScript has no members among them; C# fields are none."""
+    text, columns count characters from 1. TypeScript has no members among them;
+    C# fields are none."""
     kinds = _CS_KINDS if path.lower().endswith(".cs") else _SYMBOL_KINDS
     rows = [r for r in _declarations(path, source) if r["kind"] in kinds]
     return [
-        {"file": path, "kind": kinds[r["kind"]], "qualified_name": r["name"], "name": r["name"], "exported": r["exported"], "signature": r["source"].strip(), "start_line": r["start_line"], "end_line": r["end_line"], "ord": i}
+        {"file": path, "kind": kinds[r["kind"]], "qualified_name": r["name"], "name": r["name"], "exported": r["exported"], "signature": r["source"].strip(), "start_line": r["start_line"], "start_column": r["start_column"], "end_line": r["end_line"], "end_column": r["end_column"], "ord": i}
         for i, r in enumerate(rows)
     ]
 

@@ -118,8 +118,25 @@ def test_repository(spark, tmp_path):
     said = report.render(tables, "pr-comment")
     assert "2 modified files, 1 exact clone group" in said and "- risk 82%: Changed API `hello`" in said
     assert report.render(tables, "json").startswith("{") and 'id="data"' in report.render(tables, "html")
+    found = {(f["code"], f["title"]): f for f in report._rows(tables)["findings"]}
+    spans = found["api.changed", "Changed API `hello`"]["evidence"][0]["spans"]
+    assert [(s["file"], s["start_line"], s["start_column"], s["end_line"]) for s in spans] == [("src/a.ts", 1, 1, 1)] * 2
+    assert [s["end_column"] for s in spans] == [len(x) + 1 for x in ("export function hello(name: string) { return name; }", "export function hello(name: string) { return `hi ${name}`; }")]
+    assert [s["file"] for s in found["clone.exact", "Exact clone group"]["evidence"][0]["spans"]] == ["src/a.ts", "src/b.ts"]
+    assert "bundles" in report.render(tables, "html")
     from lodestar import cli
 
     out = tmp_path / "out.txt"
     assert cli.main(["diff", "--repo", str(tmp_path), "-o", str(out)], spark) == 0 and "[~] function scale (src/d.ts)" in out.read_text()
     assert cli.main(["duplicates", "--repo", str(tmp_path), "-o", str(out)], spark) == 0 and "Exact clones: 1 group(s)" in out.read_text()
+    for flags, said in ((["--prompt"], "  - before: `scale(a: number)`"), (["--html"], 'id="data"'), (["--explain", "textwrap:dedent", "--json"], '"summary": "Below')):
+        assert cli.main(["diff", "--repo", str(tmp_path), "-o", str(out), *flags], spark) == 0 and said in out.read_text()
+    assert cli.main(["duplicates", "--repo", str(tmp_path), "--prompt", "-o", str(out)], spark) == 0 and "### Group 1" in out.read_text()
+
+
+def test_prompts():
+    assert "No structural changes" in report.diff_prompt({"from_ref": "a", "to_ref": "b", "changes": [], "files_affected": []})
+    assert "No duplicates" in report.duplicates_prompt({"exact": [], "structural": []})
+    e = {"name": "f", "file_path": "a.ts", "start_line": 1, "source": "x" * 500}
+    said = report.advice({"exact": [[e, e]], "structural": [[e]]}, lambda p: p)
+    assert len(said) == 2 and "x" * 300 in said[0] and "x" * 301 not in said[0] and "Structural" in said[1]
