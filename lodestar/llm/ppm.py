@@ -8,12 +8,15 @@ has the chance (2 n - 1) / (2 T), and an escape q / (2 T) (method D). After an e
 are excluded from the shorter one's counts, down to a uniform choice among the
 symbols left. The score is the log10 probability of the text and its end.
 
-What is sent to the tasks is bounded at every input size: a node of the trie
-stays if its share of the training bytes is at least MIN_SHARE, so no level can
-have more than 1 / MIN_SHARE nodes. All training bytes are counted, and a
-node's suffix is at least as frequent as the node, so the trie is closed under
-dropping the first byte. The price: rare n-grams are dropped, and the trie stops
-growing with the corpus (figures in the README); only the counts grow.
+Every n-gram is kept, so the trie grows with the corpus, and it is split over
+tasks. One pass cuts the documents into parts of about PART_BYTES and lists each
+part's distinct n-grams with their counts in training. The distinct n-grams of
+the corpus are dealt by the last SHARD bytes of their context: the longer
+contexts that end so, with all their symbols, then lie in one task, and the
+shorter ones (at most 256 ** SHARD nodes a level) are sent to all. So each
+n-gram's chance is worked out once; a part gets the chances of its own n-grams
+by a join on the n-gram, which occurs at most once in a part, and its documents
+add them up.
 
 Beside the model, tokens (words, then one end per document) are counted for the
 base score. Words with a share of at least HOT_SHARE of all tokens (at most
@@ -37,19 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 5
-MIN_SHARE = 2.0**-24
+SHARD = 2
 HOT_SHARE = 2.0**-20
 END = 255
 SYMBOLS = 256
 #: Bytes of text that are turned into codes at once, and words or n-grams held before they are handed on.
 CHUNK = 1 << 20
 HELD = 250_000
+#: Bytes of text whose n-grams are listed together; a longer text is a part by itself.
+PART_BYTES = 16 << 20
+PACK = 2048
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,50 +92,67 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
+def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of n over each."""
+    found, back = np.unique(keys, return_inverse=True)
+    return found, np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)
+
+
 def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """word, code, n over the training documents: a row has a word (empty: the
-    end) or the code of an n-gram."""
+    """Rows of three kinds: a word (empty: the end) and n, its count in training;
+    a part, the code of an n-gram in it and n; a part and one of its documents."""
+    names = ("part", "word", "code", "n", "rid", "doc_id", "text")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+    def rows(height: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(height, t) for c, t in zip(names, kinds, strict=True)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged(parts):
-            all_codes, all_n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            found, back = np.unique(all_codes, return_inverse=True)
-            return found, np.bincount(back, weights=all_n, minlength=len(found)).astype(np.int64)
-
-        def rows(words, grams):
-            n = len(words) + len(grams[0])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w.decode() for w in words] + [None] * len(grams[0]), pa.string()),
-                    pa.array(np.concatenate([np.zeros(len(words), np.int64), grams[0]]), pa.int64(), mask=np.arange(n) < len(words)),
-                    pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), grams[1]]), pa.int64()),
-                ],
-                names=["word", "code", "n"],
-            )
-
-        none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        for batch in (part for whole in batches for part in common.slices(whole, 1)):
-            ids = batch.column(0).to_pylist()
-            texts = [(t or "").encode().lower() for i, t in zip(ids, batch.column(1).to_pylist(), strict=True) if training(i)]
-            for _, some in chunks(texts):
-                for t in some:
-                    seen.update(t.split())
-                seen[b""] += len(some)
-                parts.append(np.unique(codes(some, order), return_counts=True))
-                if sum(len(p[0]) for p in parts) > 2 * HELD:
-                    parts = [merged(parts)]
-                    if len(parts[0][0]) > HELD:
-                        yield from rows({}, parts.pop())
-                if len(seen) > HELD:
-                    yield from rows(seen, none)
-                    seen = Counter()
-        yield from rows(seen, merged(parts) if parts else none)
-
-    found = common.texts(docs).mapInArrow(run, "word string, code long, n long")
-    return found.groupBy("word", "code").agg(F.sum("n").alias("n"))
+        part, size = TaskContext.get().partitionId() << 32, 0
+
+        def words():
+            return rows(len(seen), word=pa.array([w.decode() for w in seen], pa.string()), n=pa.array(list(seen.values()), pa.int64()))
+
+        def merged():
+            return sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+        def grams():
+            found, n = merged()
+            for i in range(0, len(found), HELD):
+                some = found[i : i + HELD]
+                yield rows(len(some), part=pa.array(np.full(len(some), part)), code=pa.array(some), n=pa.array(n[i : i + HELD]))
+
+        for batch in (part_of for whole in batches for part_of in common.slices(whole, 2)):
+            rids, ids, column = batch.columns
+            yield rows(len(batch), part=pa.array(np.full(len(batch), part)), rid=rids, doc_id=ids, text=column)
+            held: list = [[], []]
+            for i, t in zip(ids.to_pylist(), column.to_pylist(), strict=True):
+                held[training(i)].append((t or "").encode().lower())
+            for trained, texts in enumerate(held):
+                for _, some in chunks(texts):
+                    if trained:
+                        for t in some:
+                            seen.update(t.split())
+                        seen[b""] += len(some)
+                    found, n = np.unique(codes(some, order), return_counts=True)
+                    parts.append((found, n * trained))
+                    size += sum(map(len, some))
+                    if sum(len(p[0]) for p in parts) > 2 * len(parts[0][0]) + 2 * HELD:
+                        parts = [merged()]
+                    if len(seen) > HELD:
+                        yield words()
+                        seen = Counter()
+            if size >= PART_BYTES:
+                yield from grams()
+                parts, part, size = [], part + 1, 0
+        yield words()
+        if parts:
+            yield from grams()
+
+    schema = "part long, word string, code long, n long, rid long, doc_id long, text string"
+    return common.texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
 
 
 class Table:
@@ -227,46 +251,139 @@ class Model:
         return found
 
 
-def levels_of(grams: DataFrame, order: int, total: int, min_share: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The kept nodes of each level from rows (code, n) of all (order + 1)-grams."""
+def planes(x: np.ndarray) -> bytes:
+    """8-byte numbers as their first bytes, their second bytes, ..., which compress better."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, code, chance) as rows of PACK codes, in steps from one to the next, and chances of a part."""
+
+    def rows(parts):
+        part, code, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((code, part))
+        part, code, chance = part[by], code[by], chance[by]
+        ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        cuts = [(i, min(i + PACK, end)) for start, end in zip([0, *ends], ends) for i in range(start, end, PACK)]
+        steps, chances = ([planes(np.diff(code[i:j], prepend=0)) for i, j in cuts], [planes(chance[i:j]) for i, j in cuts])
+        return pa.RecordBatch.from_arrays([pa.array(part[[i for i, _ in cuts]]), pa.array(steps, pa.binary()), pa.array(chances, pa.binary())], names=["part", "steps", "chances"])
+
+    parts, size = [], 0
+    for batch in batches:
+        parts.append([x.to_numpy() for x in batch.columns])
+        size += len(batch)
+        if size > 4 * HELD:
+            yield rows(parts)
+            parts, size = [], 0
+    if size:
+        yield rows(parts)
+
+
+_hot: dict = {}
+
+
+def levels_of(c: np.ndarray, n: np.ndarray, levels: range, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes seen in training, at least least times, of some levels from all n-grams' codes and counts."""
     found = []
-    for j in range(order + 1):
-        code = F.col("code").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1))
-        kept = grams.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).where(F.col("n") >= min_share * total)
-        t = kept.toArrow()  # at most 1 / min_share rows of 16 bytes
-        c, n = t["code"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
-        by = np.argsort(c, kind="stable")
-        found.append((c[by], n[by]))
+    for j in levels:
+        own, m = sums(c & ((1 << (8 * (j + 1))) - 1), n)
+        kept = m >= max(1, least)
+        found.append((own[kept], m[kept]))
     return found
 
 
-_models: dict = {}
-
+def chances(grams: DataFrame, order: int, total: int, min_share: float) -> DataFrame:
+    """code, chance (log10) of each row (code, n) of grams, all the (order + 1)-grams."""
+    spark, near, least = grams.sparkSession, min(SHARD, order + 1), min_share * total
+    mask = F.lit((1 << (8 * near)) - 1)
+    t = grams.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SHARD rows
+    short = levels_of(t["code"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), range(near), least)
+    shared = spark.sparkContext.broadcast(short)
 
-def score(docs: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row per row of docs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        size, most = 0, 2 * HELD
+
+        def valued(rows):
+            c, n = rows[1:]
+            lm = Model(shared.value + levels_of(c[n > 0], n[n > 0], range(near, order + 1), least))
+            for i in range(0, len(c), HELD):
+                some = c[i : i + HELD]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lm.log10(some))], names=["code", "chance"])
+
+        for batch in batches:
+            parts.append([x.to_numpy() for x in batch.columns])
+            size += len(batch)
+            if size > most:  # whole shards only; the last may go on in the next batch
+                rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield from valued([x[:cut] for x in rows])
+                parts = [[x[cut:] for x in rows]]
+                size = len(parts[0][0])
+                most = 2 * (size + HELD)
+        if size:
+            yield from valued([np.concatenate(x) for x in zip(*parts, strict=True)])
+
+    shard = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD)) - 1)).alias("shard")
+    dealt = grams.select(shard, "code", "n").repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "code long, chance double")
+
+
+def score(docs: DataFrame, order: int = ORDER, min_share: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row per row of docs.
+    min_share: drop the nodes of the trie with a lesser share of the training bytes (0: none)."""
     spark = docs.sparkSession
     seen = common.written(counts(docs, order))
-    vocabulary = seen.where("word is not null").select("word", F.col("n").alias("c"))
-    grams = seen.where("word is null").select("code", "n")
+    vocabulary = common.written(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    listed = seen.where("code is not null")
+    grams = common.written(listed.groupBy("code").agg(F.sum("n").alias("n")))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = spark.sparkContext.broadcast(levels_of(grams, order, total, min_share))
     hot_words = vocabulary.where(F.col("c") >= HOT_SHARE * n).toArrow()  # at most 1 / HOT_SHARE words
     hot = spark.sparkContext.broadcast((hot_words["word"].to_pylist(), hot_words["c"].to_pylist()))
     name = uuid.uuid4().hex
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, word string, k long, logs double"
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Table, np.ndarray, pa.RecordBatch]]:
+        """Documents with their part's n-grams and chances. A part's rows follow one another, n-grams first."""
+        now, got, table, chance = None, [], None, None
+        for batch in batches:
+            of, is_doc = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(batch)]
+            for start, stop in zip(starts, starts[1:]):
+                if start == stop:
+                    continue
+                if of[start] != now:
+                    now, got, table = of[start], [], None
+                some = batch.slice(start, stop - start)
+                if not is_doc[start]:
+                    for steps, chances in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                        got.append((np.cumsum(unplaned(steps, np.int64)), unplaned(chances, np.float64)))
+                    continue
+                if table is None:
+                    keys, chance = (np.concatenate(x) for x in zip(*got, strict=True))
+                    table, got = Table(keys), []
+                for few in common.slices(some.select(["rid", "doc_id", "text"]), 2):
+                    yield table, chance, few
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _models.get("name") != name:
-            _models.clear()
-            _models.update(name=name, model=Model(model.value), hot={w.encode(): (c, math.log10(c + 1)) for w, c in zip(*hot.value, strict=True)})
-        lm, known = _models["model"], _models["hot"]
-        for batch in (part for whole in batches for part in common.slices(whole, 2)):
+        if _hot.get("name") != name:
+            _hot.clear()
+            _hot.update(name=name, words={w.encode(): (c, math.log10(c + 1)) for w, c in zip(*hot.value, strict=True)})
+        known = _hot["words"]
+        for table, chance, batch in runs(batches):
             rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [(t or "").encode().lower() for t in batch.column(2).to_pylist()]
             for start, some in chunks(texts):
-                logs = np.add.reduceat(lm.log10(codes(some, order)), np.cumsum([0, *(len(t) + 1 for t in some[:-1])]))
+                at = table.find(codes(some, order))
+                if (at < 0).any():
+                    raise RuntimeError("an n-gram without a chance")
+                logs = np.add.reduceat(chance[at], np.cumsum([0, *(len(t) + 1 for t in some[:-1])]))
                 docs_out: list = [[] for _ in range(9)]
                 cold: list = [[], [], []]
                 for i, t in enumerate(some):
@@ -294,7 +411,14 @@ def score(docs: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) ->
                     null = [pa.nulls(m, t) for t in kinds[1:6]]
                     yield pa.RecordBatch.from_arrays([pa.array(cold[0], pa.int64()), *null, pa.array(cold[1], pa.binary()).cast(pa.string()), pa.array(cold[2], pa.int64()), pa.nulls(m, pa.float64())], names=names)
 
-    rows = common.texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    parts = common.shuffle_partitions(spark)
+    valued = listed.select("part", "code").join(chances(grams, order, total, min_share).hint("shuffle_hash"), "code").select("part", "code", "chance")
+    lines = valued.mapInArrow(packed, "part long, steps binary, chances binary")
+    lines = lines.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("rid", "long"), ("doc_id", "long"), ("text", "string"))))
+    lines = lines.unionByName(seen.where("rid is not null").select("part", "rid", "doc_id", "text"), allowMissingColumns=True)
+    # parts of different tasks, and then those of one task, go to different partitions
+    to = F.pmod(F.shiftright("part", 32) + 13 * F.col("part").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(parts)).cast("int")
+    rows = lines.repartitionById(parts, to).sortWithinPartitions("part", F.col("rid").asc_nulls_first()).mapInArrow(run, schema)
     joined = rows.join(vocabulary, "word", "left")
     summary = F.col("logs").isNotNull()
     n_known = F.when(summary | F.col("c").isNotNull(), F.col("k")).otherwise(0)

@@ -135,6 +135,26 @@ def test_ppm(odd, empty, order):
     assert ppm.score(empty).count() == 0
 
 
+def test_ppm_keeps_rare_ngrams(spark, monkeypatch):
+    """Over 2^24 training bytes, n-grams that were seen once still count; parts and shards are several."""
+    monkeypatch.setattr(ppm, "PART_BYTES", 4 << 20)
+    rare = "zq xk jv! Qué raro"
+    texts = ["abcdefgh" * (1 << 17)] * 24 + [rare + " uno", rare[:9], "the " + rare, "ab xk"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data = [t.encode().lower() for i, t in enumerate(texts) if ppm.training(i)]
+    assert sum(map(len, data)) > 1 << 24
+    grams, n = np.unique(np.concatenate([ppm.codes([t]) for t in data]), return_counts=True)
+    levels = []
+    for j in range(ppm.ORDER + 1):
+        own, back = np.unique(grams & ((1 << (8 * (j + 1))) - 1), return_inverse=True)
+        levels.append((own, np.bincount(back, weights=n).astype(np.int64)))
+    whole = ppm.Model(levels)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(whole.log10(ppm.codes([t.encode().lower()])).sum(), rel=1e-9)
+
+
 def slow_repeats(rows):
     first, want = {}, []
     ids = sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})
