@@ -2,8 +2,9 @@
 
 quality rules -> exact dedup -> MinHash near-dedup (five words, 0.8) -> mixing
 to target weights -> byte-level BPE. The first three drop rows; mixing keeps
-every row and writes them in the order of its schedule; the last stage returns
-each document's token count and digests in place of its text.
+every row and gives each its place in the schedule (mix_slot, mix_place, and
+whether the mix is on target there); the last stage returns each document's
+token count, digests and place in place of its text.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ def minhash_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, keep_place=True)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(docs, *bpe.default_files(), keep_ids=False)
+    return bpe.encode_table(docs, *bpe.default_files(), keep_ids=False, carried=mixing.PLACE)
 
 
 STAGES = [

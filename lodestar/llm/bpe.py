@@ -65,9 +65,10 @@ def decode(ids: np.ndarray, enc) -> bytes:
     return enc.decode_bytes(ids.tolist())
 
 
-def encode_table(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (array, if keep_ids), ids_sha256, decoded_sha256 of each row."""
-    schema = "doc_id long, n_tokens long, " + "ids array<long>, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
+def encode_table(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids (array, if keep_ids), ids_sha256, decoded_sha256 and the carried columns of each row."""
+    rows = common.texts(docs, *carried)
+    schema = "doc_id long, n_tokens long, " + "ids array<long>, " * keep_ids + "ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
@@ -82,10 +83,10 @@ def encode_table(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool =
                     kept.append(ids.astype(np.int64))
             columns = [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64())]
             columns += [pa.array(kept, pa.list_(pa.int64()))] * keep_ids
-            columns += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            columns += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return common.texts(docs).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def default_files() -> tuple[str, str]:

@@ -50,14 +50,14 @@ def slices(batch: pa.RecordBatch, texts: int, size: int = 2 << 20) -> Iterator[p
         start = stop
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text of docs, for a Python operator. Texts can be long, so the
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, text and any others of docs, for a Python operator. Texts can be long, so the
     session's Arrow batches are held to BATCH_ROWS rows: a batch is buffered by
     the JVM, outside its heap, and again by the worker."""
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.select("doc_id", "text")
+    return docs.select("doc_id", "text", *others)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,6 +34,7 @@ BLOCK_DOCS = 16
 RESOLUTION = 1000
 CHUNK_DOCS = 50_000
 MOST_SOURCES = 10_000
+PLACE = ("mix_slot", "mix_place", "mix_on_target")
 
 
 def schedule(shares: list[int]) -> list[list[int]]:
@@ -108,20 +109,21 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None) -> DataFr
     return placed.drop("mix_key", "mix_chunk", "mix_row", "mix_offset", "share", "slots")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, keep_place: bool = False) -> DataFrame:
     """docs, whole, in the order of the mix: files and rows within follow the slots.
+    keep_place: with the columns PLACE, as the order of files doesn't outlast a read.
 
     Places are worked out on narrow rows; texts then move twice, streamed past a
     hash table of their partition's places and to their part of the order. Rows
     that repeat a doc_id take the first one's place.
     """
     spark, order = docs.sparkSession, ["mix_slot", "mix_place"]
-    first = F.min(F.struct(*order)).alias("first")
+    first = F.min(F.struct(*PLACE)).alias("first")
     placed = common.written(mix(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("mix_id")).agg(first).select("mix_id", "first.*"))
     last, n = placed.agg(F.max("mix_slot")).first()[0] or 0, common.shuffle_partitions(spark)
     found = docs.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
     part = F.floor(F.col("mix_slot") * n / (last + 1)).cast("int")
-    return found.repartitionById(n, part).sortWithinPartitions(*order).select(*docs.columns)
+    return found.repartitionById(n, part).sortWithinPartitions(*order).select(*docs.columns, *(PLACE if keep_place else ()))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

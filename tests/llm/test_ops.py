@@ -328,3 +328,13 @@ def test_pipeline(spark):
     want = sorted((r["doc_id"], len(enc.encode_ordinary(r["text"]))) for r in rows if r["doc_id"] in ids)
     got = corpus_pipeline.run(spark, DATA)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
+
+
+def test_pipeline_carries_the_mix(spark, docs):
+    """Each row of run() has the slot, place and on_target that SQL gives the documents that came to mixing."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, DATA).select("doc_id", *mixing.PLACE).collect()
+    kept = docs.where(F.col("doc_id").isin([r["doc_id"] for r in got]))
+    want = duck(kept).sql(mixing.OP5_SQL).select("doc_id, slot, place, on_target").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20 and len({r["mix_slot"] for r in got}) > 1
