@@ -246,7 +246,7 @@ def normalize_text(spark, d):
 
 @query()
 def line_metrics(spark, d):
-    return v.doc_head(spark, d).select("doc_id", text.line_metrics(F.col("source")).alias("m")).select("doc_id", "m.*")
+    return v.table(spark, d, "documents").select("doc_id", text.line_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
 @query()

@@ -140,3 +140,10 @@ def test_prompts():
     e = {"name": "f", "file_path": "a.ts", "start_line": 1, "source": "x" * 500}
     said = report.advice({"exact": [[e, e]], "structural": [[e]]}, lambda p: p)
     assert len(said) == 2 and "x" * 300 in said[0] and "x" * 301 not in said[0] and "Structural" in said[1]
+
+
+def test_line_metrics_covers_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    found = catalogue.QUERIES["line_metrics"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["doc_id"] for r in found.collect()) == want and any(i % 10 == 7 for i in want)
