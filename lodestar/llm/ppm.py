@@ -9,19 +9,18 @@ are excluded from the shorter one's counts, down to a uniform choice among the
 symbols left. The score is the log10 probability of the text and its end.
 
 Every n-gram is kept, so the trie grows with the corpus, and it is split over
-tasks. One pass cuts the documents into parts of about PART_BYTES and lists each
-part's distinct n-grams with their counts in training. The distinct n-grams of
-the corpus are dealt by the last SHARD bytes of their context: the longer
-contexts that end so, with all their symbols, then lie in one task, and the
-shorter ones (at most 256 ** SHARD nodes a level) are sent to all. So each
-n-gram's chance is worked out once; a part gets the chances of its own n-grams
-by a join on the n-gram, which occurs at most once in a part, and its documents
-add them up.
-
-Beside the model, tokens (words, then one end per document) are counted for the
-base score. Words with a share of at least HOT_SHARE of all tokens (at most
-1 / HOT_SHARE of them) are looked up in the scoring task; the others are joined
-with the word table by a shuffle in which no word can be hot any more.
+tasks. One pass counts each task's n-grams and words; sums over the tasks are
+one row per distinct n-gram or word. The n-grams are dealt by the last SHARD
+bytes of their context: the longer contexts that end so, with all their symbols,
+then lie in one task, and the shorter ones (at most 256 ** SHARD nodes a level)
+are sent to all. So each n-gram's chance is worked out once.
+
+Texts never move. n-grams with at least HOT_GRAM of all bytes, and words with at
+least HOT_SHARE of all tokens (at most 1 / HOT_GRAM and 1 / HOT_SHARE of them),
+are sent to the tasks that read the documents, and looked up there. Every other
+n-gram and word of a document goes, with its number there, to the chances and the
+word counts by a shuffle in which no key can be hot any more; sums by document
+follow, added up map-side first.
 
 Edge cases: null text counts as empty, so it has one token, the end, and its
 score is that of an immediate end; a null doc_id counts as the empty text in
@@ -40,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +47,15 @@ from . import common
 ORDER = 5
 SHARD = 2
 HOT_SHARE = 2.0**-20
+#: So at most 4 million n-grams of 16 bytes are broadcast.
+HOT_GRAM = 2.0**-22
 END = 255
 SYMBOLS = 256
 #: Bytes of text that are turned into codes at once, and words or n-grams held before they are handed on.
 CHUNK = 1 << 20
 HELD = 250_000
-#: Bytes of text whose n-grams are listed together; a longer text is a part by itself.
-PART_BYTES = 16 << 20
-PACK = 2048
+#: Stands in the place of a word where a row is about an n-gram; no word holds white space.
+GRAM = "\n"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,19 +64,24 @@ def training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 != 2
 
 
-def codes(texts: list[bytes], order: int = ORDER) -> np.ndarray:
-    """The (order + 1)-gram that ends at each byte of each text or its end, as
-    an integer whose last byte is the symbol; texts follow one another."""
+def runs(texts: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For about CHUNK bytes at a time: the (order + 1)-gram that ends at each byte of
+    each text or its end, as an integer whose last byte is the symbol, after the text's index."""
     pad = bytes([END]) * order
     joined = np.frombuffer(pad + b"".join(t + bytes([END]) + pad for t in texts), np.uint8)
-    found = np.zeros(len(joined) - order, np.int64)
-    for j in range(order + 1):
-        found = (found << 8) | joined[j : len(joined) - order + j]
     ends = np.cumsum([len(t) + 1 + order for t in texts])
-    keep = np.ones(len(found), bool)
-    for j in range(order):  # the padding between texts isn't predicted
-        keep[ends - 1 - j] = False
-    return found[keep]
+    for lo in range(0, len(joined) - order, CHUNK):
+        at = np.arange(lo, min(lo + CHUNK, len(joined) - order))
+        found = np.zeros(len(at), np.int64)
+        for j in range(order + 1):
+            found = (found << 8) | joined[lo + j : lo + j + len(at)]
+        own = np.searchsorted(ends, at, side="right")
+        keep = at < ends[own] - order  # the padding between texts isn't predicted
+        yield own[keep], found[keep]
+
+
+def codes(texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    return np.concatenate([found for _, found in runs(texts, order)])
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -92,43 +96,33 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
-def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the sum of n over each."""
+def sums(keys: np.ndarray, *counted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, sorted, and the sums of what is counted over each."""
     found, back = np.unique(keys, return_inverse=True)
-    return found, np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)
+    return found, *(np.bincount(back, weights=n, minlength=len(found)).astype(np.int64) for n in counted)
 
 
 def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows of three kinds: a word (empty: the end) and n, its count in training;
-    a part, the code of an n-gram in it and n; a part and one of its documents."""
-    names = ("part", "word", "code", "n", "rid", "doc_id", "text")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-
-    def rows(height: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(height, t) for c, t in zip(names, kinds, strict=True)], names=list(names))
+    """word, code, n, m: for each word of training texts (empty: the end; code 0) n, its
+    count there; for each n-gram (word GRAM) n, its count in training, and m, that in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        part, size = TaskContext.get().partitionId() << 32, 0
+        parts: list[tuple[np.ndarray, ...]] = []
+        names = ["word", "code", "n", "m"]
 
         def words():
-            return rows(len(seen), word=pa.array([w.decode() for w in seen], pa.string()), n=pa.array(list(seen.values()), pa.int64()))
-
-        def merged():
-            return sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            columns = [pa.array([w.decode() for w in seen], pa.string()), pa.array(np.zeros(len(seen), np.int64)), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, columns[1]], names=names)
 
         def grams():
-            found, n = merged()
-            for i in range(0, len(found), HELD):
-                some = found[i : i + HELD]
-                yield rows(len(some), part=pa.array(np.full(len(some), part)), code=pa.array(some), n=pa.array(n[i : i + HELD]))
-
-        for batch in (part_of for whole in batches for part_of in common.slices(whole, 2)):
-            rids, ids, column = batch.columns
-            yield rows(len(batch), part=pa.array(np.full(len(batch), part)), rid=rids, doc_id=ids, text=column)
+            for i in range(0, len(parts[0][0]), HELD):
+                some = [x[i : i + HELD] for x in parts[0]]
+                yield pa.RecordBatch.from_arrays([pa.repeat(GRAM, len(some[0])), *map(pa.array, some)], names=names)
+
+        for batch in (part for whole in batches for part in common.slices(whole, 1)):
             held: list = [[], []]
-            for i, t in zip(ids.to_pylist(), column.to_pylist(), strict=True):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[training(i)].append((t or "").encode().lower())
             for trained, texts in enumerate(held):
                 for _, some in chunks(texts):
@@ -136,23 +130,25 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         for t in some:
                             seen.update(t.split())
                         seen[b""] += len(some)
-                    found, n = np.unique(codes(some, order), return_counts=True)
-                    parts.append((found, n * trained))
-                    size += sum(map(len, some))
+                    for _, grams_here in runs(some, order):
+                        found, n = np.unique(grams_here, return_counts=True)
+                        parts.append((found, n * trained, n))
                     if sum(len(p[0]) for p in parts) > 2 * len(parts[0][0]) + 2 * HELD:
-                        parts = [merged()]
+                        parts = [sums(*map(np.concatenate, zip(*parts, strict=True)))]
                     if len(seen) > HELD:
                         yield words()
                         seen = Counter()
-            if size >= PART_BYTES:
+            if parts and len(parts[0][0]) > 16 * HELD:
+                parts = [sums(*map(np.concatenate, zip(*parts, strict=True)))]
                 yield from grams()
-                parts, part, size = [], part + 1, 0
+                parts = []
         yield words()
         if parts:
+            parts = [sums(*map(np.concatenate, zip(*parts, strict=True)))]
             yield from grams()
 
-    schema = "part long, word string, code long, n long, rid long, doc_id long, text string"
-    return common.texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    rows = common.texts(docs).mapInArrow(run, "word string, code long, n long, m long")
+    return rows.groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Table:
@@ -251,69 +247,31 @@ class Model:
         return found
 
 
-def planes(x: np.ndarray) -> bytes:
-    """8-byte numbers as their first bytes, their second bytes, ..., which compress better."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unplaned(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
-
-
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, code, chance) as rows of PACK codes, in steps from one to the next, and chances of a part."""
-
-    def rows(parts):
-        part, code, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((code, part))
-        part, code, chance = part[by], code[by], chance[by]
-        ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-        cuts = [(i, min(i + PACK, end)) for start, end in zip([0, *ends], ends) for i in range(start, end, PACK)]
-        steps, chances = ([planes(np.diff(code[i:j], prepend=0)) for i, j in cuts], [planes(chance[i:j]) for i, j in cuts])
-        return pa.RecordBatch.from_arrays([pa.array(part[[i for i, _ in cuts]]), pa.array(steps, pa.binary()), pa.array(chances, pa.binary())], names=["part", "steps", "chances"])
-
-    parts, size = [], 0
-    for batch in batches:
-        parts.append([x.to_numpy() for x in batch.columns])
-        size += len(batch)
-        if size > 4 * HELD:
-            yield rows(parts)
-            parts, size = [], 0
-    if size:
-        yield rows(parts)
-
-
 _hot: dict = {}
 
 
-def levels_of(c: np.ndarray, n: np.ndarray, levels: range, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The nodes seen in training, at least least times, of some levels from all n-grams' codes and counts."""
-    found = []
-    for j in levels:
-        own, m = sums(c & ((1 << (8 * (j + 1))) - 1), n)
-        kept = m >= max(1, least)
-        found.append((own[kept], m[kept]))
-    return found
+def levels_of(c: np.ndarray, n: np.ndarray, levels: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of some levels from all n-grams' codes and counts in training."""
+    return [sums(c & ((1 << (8 * (j + 1))) - 1), n) for j in levels]
 
 
-def chances(grams: DataFrame, order: int, total: int, min_share: float) -> DataFrame:
-    """code, chance (log10) of each row (code, n) of grams, all the (order + 1)-grams."""
-    spark, near, least = grams.sparkSession, min(SHARD, order + 1), min_share * total
+def chances(grams: DataFrame, order: int) -> DataFrame:
+    """code, m, chance (log10) of each row (code, n, m) of grams, all the (order + 1)-grams."""
+    spark, near = grams.sparkSession, min(SHARD, order + 1)
     mask = F.lit((1 << (8 * near)) - 1)
-    t = grams.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SHARD rows
-    short = levels_of(t["code"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), range(near), least)
-    shared = spark.sparkContext.broadcast(short)
+    t = grams.where("n > 0").groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SHARD rows
+    shared = spark.sparkContext.broadcast(levels_of(t["code"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), range(near)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         size, most = 0, 2 * HELD
 
         def valued(rows):
-            c, n = rows[1:]
-            lm = Model(shared.value + levels_of(c[n > 0], n[n > 0], range(near, order + 1), least))
+            c, n, m = rows[1:]
+            lm = Model(shared.value + levels_of(c[n > 0], n[n > 0], range(near, order + 1)))
             for i in range(0, len(c), HELD):
                 some = c[i : i + HELD]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lm.log10(some))], names=["code", "chance"])
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(m[i : i + HELD]), pa.array(lm.log10(some))], names=["code", "m", "chance"])
 
         for batch in batches:
             parts.append([x.to_numpy() for x in batch.columns])
@@ -330,103 +288,93 @@ def chances(grams: DataFrame, order: int, total: int, min_share: float) -> DataF
             yield from valued([np.concatenate(x) for x in zip(*parts, strict=True)])
 
     shard = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD)) - 1)).alias("shard")
-    dealt = grams.select(shard, "code", "n").repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "code long, chance double")
+    dealt = grams.select(shard, "code", "n", "m").repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "code long, m long, chance double")
 
 
-def score(docs: DataFrame, order: int = ORDER, min_share: float = 0.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row per row of docs.
-    min_share: drop the nodes of the trie with a lesser share of the training bytes (0: none)."""
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row per row of docs."""
     spark = docs.sparkSession
-    seen = common.written(counts(docs, order))
-    vocabulary = common.written(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    listed = seen.where("code is not null")
-    grams = common.written(listed.groupBy("code").agg(F.sum("n").alias("n")))
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot_words = vocabulary.where(F.col("c") >= HOT_SHARE * n).toArrow()  # at most 1 / HOT_SHARE words
-    hot = spark.sparkContext.broadcast((hot_words["word"].to_pylist(), hot_words["c"].to_pylist()))
+    counted = common.written(counts(docs, order))
+    is_gram = F.col("word") == GRAM
+    n, v, total = counted.agg(
+        F.coalesce(F.sum(F.when(~is_gram, F.col("n"))), F.lit(0)), F.count(F.when(~is_gram & (F.col("n") > 0), 1)), F.coalesce(F.sum("m"), F.lit(0))
+    ).first()
+    vocabulary = counted.where(~is_gram & (F.col("n") > 0))
+    valued = common.written(chances(counted.where(is_gram).select("code", "n", "m"), order))
+    hot_words = vocabulary.where(F.col("n") >= HOT_SHARE * n).select("word", "n").toArrow()  # at most 1 / HOT_SHARE words
+    hot_grams = valued.where(F.col("m") >= HOT_GRAM * total).select("code", "chance").toArrow()  # at most 1 / HOT_GRAM n-grams
+    hot = spark.sparkContext.broadcast((hot_words["word"].to_pylist(), hot_words["n"].to_pylist(), hot_grams["code"].to_numpy(), hot_grams["chance"].to_numpy()))
     name = uuid.uuid4().hex
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, word string, k long, logs double"
+    kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_bytes": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.string(), "code": pa.int64(), "k": pa.int64()}
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, word string, code long, k long"
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Table, np.ndarray, pa.RecordBatch]]:
-        """Documents with their part's n-grams and chances. A part's rows follow one another, n-grams first."""
-        now, got, table, chance = None, [], None, None
-        for batch in batches:
-            of, is_doc = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(batch)]
-            for start, stop in zip(starts, starts[1:]):
-                if start == stop:
-                    continue
-                if of[start] != now:
-                    now, got, table = of[start], [], None
-                some = batch.slice(start, stop - start)
-                if not is_doc[start]:
-                    for steps, chances in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                        got.append((np.cumsum(unplaned(steps, np.int64)), unplaned(chances, np.float64)))
-                    continue
-                if table is None:
-                    keys, chance = (np.concatenate(x) for x in zip(*got, strict=True))
-                    table, got = Table(keys), []
-                for few in common.slices(some.select(["rid", "doc_id", "text"]), 2):
-                    yield table, chance, few
+    def rows(height: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(height, t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _hot.get("name") != name:
             _hot.clear()
-            _hot.update(name=name, words={w.encode(): (c, math.log10(c + 1)) for w, c in zip(*hot.value, strict=True)})
-        known = _hot["words"]
-        for table, chance, batch in runs(batches):
-            rids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words, c, grams, chance = hot.value
+            _hot.update(name=name, words={w.encode(): math.log10(k + 1) for w, k in zip(words, c, strict=True)}, table=Table(np.array(grams)), chance=np.append(chance, 0.0))
+        known, table, chance = _hot["words"], _hot["table"], _hot["chance"]
+        for batch in (part for whole in batches for part in common.slices(whole, 2)):
+            rids, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             texts = [(t or "").encode().lower() for t in batch.column(2).to_pylist()]
             for start, some in chunks(texts):
-                at = table.find(codes(some, order))
-                if (at < 0).any():
-                    raise RuntimeError("an n-gram without a chance")
-                logs = np.add.reduceat(chance[at], np.cumsum([0, *(len(t) + 1 for t in some[:-1])]))
-                docs_out: list = [[] for _ in range(9)]
-                cold: list = [[], [], []]
-                for i, t in enumerate(some):
-                    tokens = Counter(t.split())
-                    tokens[b""] = 1
-                    n_tokens, n_known, logsum = sum(tokens.values()), 0, 0.0
-                    for w, k in tokens.items():
-                        found = known.get(w)
-                        if found:
-                            n_known += k
-                            logsum += k * found[1]
+                own_rids, own_ids = rids[start : start + len(some)], ids[start : start + len(some)]
+                logs = np.zeros(len(some))
+                for own, grams in runs(some, order):
+                    at = table.find(grams)
+                    logs += np.bincount(own, weights=chance[at], minlength=len(some))  # at -1 lies a 0
+                    off = np.flatnonzero(at < 0)
+                    if len(off):
+                        by = np.lexsort((grams[off], own[off]))
+                        o, g = own[off][by], grams[off][by]
+                        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1])]))
+                        k = np.diff(np.append(first, len(g)))
+                        for i in range(0, len(first), HELD):
+                            few = first[i : i + HELD]
+                            yield rows(len(few), rid=pa.array(own_rids[o[few]]), word=pa.repeat(GRAM, len(few)), code=pa.array(g[few]), k=pa.array(k[i : i + HELD]))
+                tokens, n_known, base, cold = [], [], [], ([], [], [])
+                for rid, t in zip(own_rids.tolist(), some, strict=True):
+                    found = Counter(t.split())
+                    found[b""] = 1
+                    here, logsum = 0, 0.0
+                    for w, k in found.items():
+                        if w in known:
+                            here += k
+                            logsum += k * known[w]
                         else:
-                            cold[0].append(rids[start + i])
+                            cold[0].append(rid)
                             cold[1].append(w)
                             cold[2].append(k)
-                    # a name that no word can have, different for each row, so that these rows spread
-                    row = (rids[start + i], ids[start + i], not training(ids[start + i]), n_tokens, len(t), float(logs[i]), f"\n{rids[start + i]}", n_known, logsum)
-                    for column, x in zip(docs_out, row, strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.float64())
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(docs_out, kinds, strict=True)], names=names)
-                m = len(cold[0])
-                if m:
-                    null = [pa.nulls(m, t) for t in kinds[1:6]]
-                    yield pa.RecordBatch.from_arrays([pa.array(cold[0], pa.int64()), *null, pa.array(cold[1], pa.binary()).cast(pa.string()), pa.array(cold[2], pa.int64()), pa.nulls(m, pa.float64())], names=names)
-
-    parts = common.shuffle_partitions(spark)
-    valued = listed.select("part", "code").join(chances(grams, order, total, min_share).hint("shuffle_hash"), "code").select("part", "code", "chance")
-    lines = valued.mapInArrow(packed, "part long, steps binary, chances binary")
-    lines = lines.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("rid", "long"), ("doc_id", "long"), ("text", "string"))))
-    lines = lines.unionByName(seen.where("rid is not null").select("part", "rid", "doc_id", "text"), allowMissingColumns=True)
-    # parts of different tasks, and then those of one task, go to different partitions
-    to = F.pmod(F.shiftright("part", 32) + 13 * F.col("part").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(parts)).cast("int")
-    rows = lines.repartitionById(parts, to).sortWithinPartitions("part", F.col("rid").asc_nulls_first()).mapInArrow(run, schema)
-    joined = rows.join(vocabulary, "word", "left")
-    summary = F.col("logs").isNotNull()
-    n_known = F.when(summary | F.col("c").isNotNull(), F.col("k")).otherwise(0)
-    logs = F.when(summary, F.col("logs")).when(F.col("c").isNotNull(), F.col("k") * F.log10(F.col("c") + 1)).otherwise(0.0)
-    kept = ("doc_id", "held_out", "n_tokens", "n_bytes", "score")
-    found = joined.groupBy("rid").agg(*(F.max(c).alias(c) for c in kept), F.sum(n_known).alias("n_known"), F.sum(logs).alias("logs"))
+                    tokens.append(sum(found.values()))
+                    n_known.append(here)
+                    base.append(logsum)
+                # a name that neither a word nor an n-gram has, different for each row, so that these rows spread
+                yield rows(
+                    len(some), rid=pa.array(own_rids), doc_id=pa.array(own_ids, pa.int64()), held_out=pa.array([not training(i) for i in own_ids]), n_tokens=pa.array(tokens, pa.int64()), n_bytes=pa.array([len(t) for t in some], pa.int64()),
+                    known=pa.array(n_known, pa.int64()), base=pa.array(base, pa.float64()), score=pa.array(logs), word=pa.array([f"{GRAM}{rid}" for rid in own_rids.tolist()]), code=pa.array(np.zeros(len(some), np.int64)),
+                )
+                if cold[0]:
+                    zeros = np.zeros(len(cold[0]), np.int64)
+                    yield rows(len(zeros), rid=pa.array(cold[0], pa.int64()), word=pa.array(cold[1], pa.binary()).cast(pa.string()), code=pa.array(zeros), k=pa.array(cold[2], pa.int64()))
+
+    found = common.texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    values = vocabulary.select("word", "code", F.log10(F.col("n") + 1).alias("value"))
+    values = values.unionByName(valued.where(F.col("m") < HOT_GRAM * total).select(F.lit(GRAM).alias("word"), "code", F.col("chance").alias("value")))
+    joined = found.join(values, ["word", "code"], "left")
+    value, word = F.col("value"), ~is_gram & F.col("value").isNotNull()
+    missing = F.raise_error(F.lit("an n-gram without a chance")).cast("double")
+    summed = joined.groupBy("rid").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")),
+        F.sum(F.coalesce("known", F.when(word, F.col("k")))).alias("n_known"),
+        F.sum(F.coalesce("base", F.when(word, F.col("k") * value))).alias("logs"),
+        F.sum(F.coalesce("score", F.when(is_gram, F.col("k") * F.coalesce(value, missing)))).alias("score"),
+    )
     base = F.col("logs") - F.col("n_tokens") * math.log10(n + v + 1)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
 
 
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
