@@ -13,7 +13,9 @@ tasks. One pass counts each task's n-grams and words; sums over the tasks are
 one row per distinct n-gram or word. The n-grams are dealt by the last SHARD
 bytes of their context: the longer contexts that end so, with all their symbols,
 then lie in one task, and the shorter ones (at most 256 ** SHARD nodes a level)
-are sent to all. So each n-gram's chance is worked out once.
+are sent to all. Wide shards (at most 1 / WIDE_SHARD) are dealt by one byte more, and
+the contexts of SHARD bytes that they split (at most 256 nodes each) are sent as
+well. So each n-gram's chance is worked out once.
 
 Texts never move. n-grams with at least HOT_GRAM of all bytes, and words with at
 least HOT_SHARE of all tokens (at most 1 / HOT_GRAM and 1 / HOT_SHARE of them),
@@ -47,8 +49,10 @@ from . import common
 ORDER = 5
 SHARD = 2
 HOT_SHARE = 2.0**-20
-#: So at most 4 million n-grams of 16 bytes are broadcast.
-HOT_GRAM = 2.0**-22
+#: So at most 8 million n-grams of 16 bytes are broadcast.
+HOT_GRAM = 2.0**-23
+#: A shard with at least this share of the distinct n-grams is dealt by one more byte of context.
+WIDE_SHARD = 2.0**-10
 END = 255
 SYMBOLS = 256
 #: Bytes of text that are turned into codes at once, and words or n-grams held before they are handed on.
@@ -258,9 +262,24 @@ def levels_of(c: np.ndarray, n: np.ndarray, levels: range) -> list[tuple[np.ndar
 def chances(grams: DataFrame, order: int) -> DataFrame:
     """code, m, chance (log10) of each row (code, n, m) of grams, all the (order + 1)-grams."""
     spark, near = grams.sparkSession, min(SHARD, order + 1)
-    mask = F.lit((1 << (8 * near)) - 1)
-    t = grams.where("n > 0").groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SHARD rows
-    shared = spark.sparkContext.broadcast(levels_of(t["code"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), range(near)))
+    some = lambda keep: F.col("code").bitwiseAND(F.lit((1 << (8 * keep)) - 1)).alias("code")
+    shard = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD)) - 1))
+    arrays = lambda t: [t[c].to_numpy().astype(np.int64) for c in t.column_names]
+    short = levels_of(*arrays(grams.where("n > 0").groupBy(some(near)).agg(F.sum("n").alias("n")).toArrow()), range(near))  # at most 256 ** SHARD rows
+    wide, split = np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
+    if order > SHARD:
+        shards, rows = arrays(grams.groupBy(shard.alias("shard")).agg(F.count("*").alias("rows")).toArrow())  # at most 256 ** SHARD rows
+        wide = np.sort(shards[rows >= WIDE_SHARD * rows.sum()]) if len(rows) else shards
+        split = sums(*arrays(grams.where("n > 0").where(shard.isin(wide.tolist())).groupBy(some(SHARD + 1)).agg(F.sum("n").alias("n")).toArrow()))  # at most 256 rows a wide shard
+    shared = spark.sparkContext.broadcast((short, wide, split))
+
+    def trie(c: np.ndarray, n: np.ndarray) -> Model:
+        short, wide, split = shared.value
+        own = levels_of(c, n, range(near, order + 1))
+        if len(wide):
+            whole = ~np.isin(own[0][0] >> 8, wide)
+            own[0] = sums(*(np.concatenate([x[whole], y]) for x, y in zip(own[0], split, strict=True)))
+        return Model(short + own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -268,7 +287,7 @@ def chances(grams: DataFrame, order: int) -> DataFrame:
 
         def valued(rows):
             c, n, m = rows[1:]
-            lm = Model(shared.value + levels_of(c[n > 0], n[n > 0], range(near, order + 1)))
+            lm = trie(c[n > 0], n[n > 0])
             for i in range(0, len(c), HELD):
                 some = c[i : i + HELD]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(m[i : i + HELD]), pa.array(lm.log10(some))], names=["code", "m", "chance"])
@@ -287,8 +306,9 @@ def chances(grams: DataFrame, order: int) -> DataFrame:
         if size:
             yield from valued([np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    shard = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD)) - 1)).alias("shard")
-    dealt = grams.select(shard, "code", "n", "m").repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
+    wider = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD + 8)) - 1)) + (1 << (8 * SHARD + 8))
+    dealt = grams.select(F.when(shard.isin(wide.tolist()), wider).otherwise(shard).alias("shard"), "code", "n", "m")
+    dealt = dealt.repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "code long, m long, chance double")
 
 
