@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,24 +21,47 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 1000
 
 
+#: Folders written in this process, by context; their files are deleted when the context or the process ends.
+_written: dict[str, list[tuple[SparkSession, str]]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or else the
-    context's checkpoint folder, or else (tests, single machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            found = tempfile.mkdtemp(prefix="lodestar-")
-            spark.sparkContext.setCheckpointDir(found)
+    """The folder all executors share: ``spark.checkpoint.dir``, or else the context's
+    checkpoint folder. Only a local master, whose tasks share the driver's disk, may do
+    without: a temporary folder then. On a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lodestar-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later jobs
     start from the files, and a lost executor costs only its running tasks."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what written() left; frames that read it can't be used any more."""
+    context = spark.sparkContext
+    for _, path in _written.pop(context.applicationId, []):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _clean_all() -> None:
+    for held in list(_written.values()):
+        with contextlib.suppress(Exception):  # the context may have ended
+            clean(held[0][0])
 
 
 def slices(batch: pa.RecordBatch, texts: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -50,24 +75,46 @@ def slices(batch: pa.RecordBatch, texts: int, size: int = 2 << 20) -> Iterator[p
         start = stop
 
 
-def texts(docs: DataFrame, *others: str) -> DataFrame:
-    """doc_id, text and any others of docs, for a Python operator. Texts can be long, so the
+def texts(docs: DataFrame, *others: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """ids, text and any others of docs, for a Python operator. Texts can be long, so the
     session's Arrow batches are held to BATCH_ROWS rows: a batch is buffered by
     the JVM, outside its heap, and again by the worker."""
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.select("doc_id", "text", *others)
+    return docs.select(*ids, "text", *others)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that is none of the columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def having_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id, distinct). Ids grow with the input, so they
+    are never broadcast; texts stream past a hash table of their partition's ids."""
+    name = fresh(docs, "kept_id")
+    return docs.join(ids.select(F.col("doc_id").alias(name)).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(docs: DataFrame, size: int) -> int:
+    """At least the session's shuffle partitions, and so many that each gets about size bytes of
+    docs' files by the planner's statistics, which read no data. Without files they are unknown."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(docs.sparkSession), -(-known // size) if known < 1 << 56 else 0)
+
+
 def let(value, body):
     """body(value) as a column, with value evaluated once per row: a lambda's
     variable is bound, where a column used twice could be expanded twice."""

@@ -11,8 +11,9 @@
 4. Round one tests each bucket's members against its smallest one. Round two
    tests the pairs of a bucket whose ends round one left in different
    components. So no link is lost, and a large group of near copies costs about
-   one test per member, not one per pair. Buckets that are large even then are
-   tiled, so a task gets at most about 2 * TILE members.
+   one test per member, not one per pair. Signatures are joined to documents, one
+   row each, and dealt to the buckets after that. Buckets that are large even
+   then are tiled, so a task gets at most about 2 * TILE members.
 5. A test first estimates the similarity from the packed bits: of 4-bit values
    1 in 16 agrees by chance, so J = (agreeing - 1/16) / (1 - 1/16). Pairs within
    SLACK of the threshold (over 4.5 standard errors) are confirmed on the full
@@ -53,8 +54,8 @@ BITS = 4
 #: How far below the threshold an estimate may lie, over 4.5 standard errors each.
 SLACK, LONG_SLACK = 0.15, 0.06
 TILE = 5000
-#: Bits of the bitmap of wanted documents, 4 MB.
-SLOTS = 1 << 25
+#: Bits of the bitmap of wanted documents, 16 MB.
+SLOTS = 1 << 27
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, size=(2, LONG_PERMS), dtype=np.uint64)
@@ -238,28 +239,34 @@ def tiled(member: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return side("t", "u", "a"), side("u", "t", "b")
 
 
+def dealt(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members (rep, keys, ...) as one row per key that buckets (key, m) has, with the
+    number of tiles that m members need and the member's tile; written, as both sides of a join read it."""
+    spread = members.select("*", F.explode("keys").alias("key")).drop("keys")
+    spread = spread.join(buckets.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
+    return common.written(spread.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")))
+
+
 def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Members of buckets that may link to another component's member there,
-    each once per bucket. Pairs with the hub were tested before."""
-    member = shared.where("rep != hub").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    member = member.join(mixed.select("key", tiles.alias("tiles")), "key").join(classes, "rep")
-    columns = ["rep", "component", "n", "bits"]
-    member = member.select("key", "tiles", *columns, F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("tile"))
-    a, b = tiled(member, columns)
+    """rep, component, keys: the members that may link to another component's member,
+    with the buckets in which. Pairs with the hub were tested before."""
+    named = comps.select(F.col("node").alias("rep"), "component")
+    own = shared.where("rep != hub").groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    own = common.written(own.join(named, "rep", "left").join(classes, "rep").withColumn("component", F.coalesce("component", "rep")))
+    buckets = own.select(F.explode("keys").alias("key"), "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+    a, b = tiled(dealt(own, buckets.where("lo != hi")), ["rep", "component", "n", "bits"])
     cond = (F.col("l.component_a") != F.col("r.component_b")) & may_link(F.col("l.n_a"), F.col("r.n_b"), F.col("l.bits_a"), F.col("r.bits_b"), percent)
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "t", "u")]
-    return common.written(a.alias("l").join(b.alias("r"), [*same, cond], "left_semi").select("key", F.col("rep_a").alias("rep"), F.col("component_a").alias("component")).distinct())
+    found = a.alias("l").join(b.alias("r"), [*same, cond], "left_semi").select("key", F.col("rep_a").alias("rep"), F.col("component_a").alias("component"))
+    return common.written(found.groupBy("rep", "component").agg(F.collect_set("key").alias("keys")))
 
 
 def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of open members of different components that the longer signatures
     allow, each from the first band that it shares."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     columns = ["rep", "component", "n", "bits", "bands", "long_bits"]
-    member = members.join(sizes, "key").join(classes, "rep").join(sets.select("rep", "long_bits"), "rep")
-    a, b = tiled(member.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")), columns)
+    buckets = members.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    a, b = tiled(dealt(members.join(classes, "rep").join(sets.select("rep", "long_bits"), "rep"), buckets), columns)
     close = estimate(F.col("long_bits_a"), F.col("long_bits_b"), LONG_PERMS) >= percent / 100 - LONG_SLACK
     first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
     both = a.join(b, ["key", "t", "u"]).where(F.col("component_a") < F.col("component_b"))
@@ -297,9 +304,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 
 def keep_documents(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
-    kept = common.written(near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct())
-    # ids grow with the input, so they are never broadcast; texts stream past a hash table of their partition's ids
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    ids = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
+    return common.having_ids(docs, common.written(ids))
 
 
 def op7_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
