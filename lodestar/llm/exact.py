@@ -1,22 +1,29 @@
 """Exact dedup by a minimal perfect hash over historical distinct digests (operator 6).
 
 1. Each text is normalised (white space deleted) and digested (SHA-256).
-2. The distinct digests, with winner and count, are aggregated map-side first.
-3. The digests of the history are dealt into shards by their first bytes. Each
-   shard gets a minimal perfect hash (hash and displace): slot i holds the full
-   digest, the winner's locator (doc_id, code points) and the group's size.
-4. Every row is looked up in its shard's table. The slot's 32 digest bytes are
-   compared with the row's: equal, and it is a member; else it isn't one, and
-   nonmembers are grouped among themselves by digest.
-
-A digest's copies all meet one shard, so lookups of a shard are dealt over as
-many salts as its rows need; the shard's table (a few MB, by SHARD_KEYS) is
-sent once per salt. No task gets more than about ROWS_A_TASK rows of 40 bytes.
+2. Rows are of the history or new. Distinct digests of either part, each with
+   winner and count, are aggregated map-side first. With no history of its own,
+   the operator takes the rows whose doc_id's hash is even as history, as if
+   they had been loaded before; the others are new.
+3. The history's digests are dealt into shards by their first bytes. Each shard
+   gets a minimal perfect hash (hash and displace): slot i holds the full digest,
+   the winner's locator (doc_id, code points) and the group's size.
+4. The distinct new digests are looked up in their shard's table. The slot's 32
+   digest bytes are compared: equal, and it is a member, whose slot takes the
+   better locator and the sum of the sizes; else it isn't one, and its new rows
+   are a group by themselves.
+5. Slots and the groups of nonmembers name each row's winner, by its digest.
+
+A digest comes once from each part, so no shard can be hot: it has about
+SHARD_KEYS digests of 60 bytes. Rows meet their winner in a join whose hot
+digests AQE splits, the winners being one row a digest.
 
 Edge cases: null text counts as empty; of texts equal but for white space, the
 one with the most code points, then the smallest doc_id (null last) stays;
-rows that repeat the winner's doc_id count as the winner; an empty table gives
-an empty table; other columns are ignored.
+rows that repeat the winner's doc_id count as the winner in dedup(), while
+keep_documents() returns one of them, the one with the most code points; an empty
+table gives an empty table; other columns are ignored by dedup() and kept by
+keep_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +39,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARD_KEYS = 20_000
-ROWS_A_TASK = 200_000
-MOST_HOT = 1000
+#: Marks a displacement that is a slot itself.
+DIRECT = np.uint32(1 << 31)
 _DELETE = common.SPACE_CHARS.encode()
 
 
@@ -81,7 +88,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def build(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and displace: (displacement of each bucket, slot of each key).
 
-    digest: distinct keys, an (n, 32) array of bytes. Slots are 0 to n - 1.
+    digest: distinct keys, an (n, 32) array of bytes. Slots are 0 to n - 1. The
+    largest buckets are placed first, all of one size at once; the only key of
+    a bucket goes to any free slot, which its displacement names with DIRECT.
     """
     n = len(digest)
     a, b, c = _words(digest)
@@ -90,27 +99,35 @@ def build(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     displace, slot, taken = np.zeros(buckets, np.uint32), np.empty(n, np.int64), np.zeros(n, bool)
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=buckets)
-    ends = np.cumsum(sizes)
-    for k in np.argsort(-sizes, kind="stable"):
-        if not sizes[k]:
-            break
-        keys = order[ends[k] - sizes[k] : ends[k]]
+    starts = np.cumsum(sizes) - sizes
+    claim = np.empty(n, np.int64)
+    for size in range(sizes.max(initial=0), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        keys = order[starts[left][:, None] + np.arange(size)]
         d = 0
-        while True:
+        while len(left):
             at = (_mix(b[keys] + c[keys] * np.uint64(d)) % np.uint64(n)).astype(np.int64)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
-                break
-            d += 1
-        displace[k], slot[keys] = d, at
-        taken[at] = True
+            free = np.flatnonzero(~taken[at].any(axis=1))
+            claim[at[free][::-1]] = np.arange(len(free))[::-1, None]  # of several that want a slot, the first gets it
+            spread = np.sort(at[free], axis=1)
+            won = free[(claim[at[free]] == np.arange(len(free))[:, None]).all(axis=1) & (spread[:, 1:] != spread[:, :-1]).all(axis=1)]
+            displace[left[won]], slot[keys[won]] = d, at[won]
+            taken[at[won]] = True
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, keys, d = left[rest], keys[rest], d + 1
+    single = np.flatnonzero(sizes == 1)
+    slot[order[starts[single]]] = free = np.flatnonzero(~taken)
+    displace[single] = free.astype(np.uint32) | DIRECT
     return displace, slot
 
 
 def slots(digest: np.ndarray, displace: np.ndarray, n: int) -> np.ndarray:
     """The slot that the hash gives each key, whether or not it is a member."""
     a, b, c = _words(digest)
-    d = displace[(a % np.uint64(len(displace))).astype(np.int64)].astype(np.uint64)
-    return (_mix(b + c * d) % np.uint64(n)).astype(np.int64)
+    d = displace[(a % np.uint64(len(displace))).astype(np.int64)]
+    at = (_mix(b + c * d.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return np.where(d >= DIRECT, (d & ~DIRECT).astype(np.int64), at)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -149,71 +166,80 @@ def perfect_hash(history: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def look_up(rows: DataFrame, tables: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
-    """rows with member, keep_id, keep_points and group_size of the history's slot.
-
-    sizes: shard, n_salts of the hot shards (at most MOST_HOT rows), which both
-    sides deal over (shard, salt).
-    """
-    n_salts = F.coalesce(F.col("n_salts"), F.lit(1))
-    salted = rows.withColumn("shard", shard_of("digest", shards)).join(F.broadcast(sizes), "shard", "left")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), n_salts).cast("int")).drop("n_salts")
-    spread = tables.join(F.broadcast(sizes), "shard", "left")
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1))).drop("n_salts")
+def look_up(fresh: DataFrame, tables: DataFrame, shards: int, replace: bool) -> DataFrame:
+    """digest, member, keep_id, keep_points, group_size of all slots and of the nonmembers among fresh (rows of winners()).
+    replace: whether a member may take the place of its slot's winner."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = len(left)
-        member, found = np.zeros(n, bool), {k: [None] * n for k in ("keep_id", "keep_points", "group_size")}
-        if n and len(right):
-            digest, row = _matrix(left["digest"]), right.slice(0, 1).to_pylist()[0]
+        columns = ("keep_id", "keep_points", "group_size")
+        own = {k: np.array(left[k].to_pylist(), object) for k in columns}
+        digest, held, member = _matrix(left["digest"]), np.empty((0, 32), np.uint8), np.zeros(len(left), bool)
+        slot = {k: [] for k in columns}
+        if len(right):
+            row = right.slice(0, 1).to_pylist()[0]
+            held, slot = np.frombuffer(row["slots"], np.uint8).reshape(-1, 32), {k: row[k] for k in columns}
+        if len(left) and len(held):
             at = slots(digest, np.frombuffer(row["displace"], np.uint32), row["n"])
-            held = np.frombuffer(row["slots"], np.uint8).reshape(-1, 32)
             member = (held[at] == digest).all(axis=1)
-            for k in found:
-                found[k] = [row[k][i] if m else None for i, m in zip(at.tolist(), member.tolist(), strict=True)]
-        return pa.table(
-            {
-                "doc_id": left["doc_id"].cast(pa.int64()), "points": left["points"].cast(pa.int64()), "digest": left["digest"].cast(pa.binary()),
-                "member": pa.array(member, pa.bool_()), **{k: pa.array(v, pa.int64()) for k, v in found.items()},
-            }
-        )
-
-    schema = "doc_id long, points long, digest binary, member boolean, keep_id long, keep_points long, group_size long"
-    return salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(run, schema)
+            for i, x in zip(np.flatnonzero(member).tolist(), at[member].tolist(), strict=True):
+                slot["group_size"][x] += own["group_size"][i]
+                rank = lambda d, p: (-p, d is None, d or 0)
+                if replace and rank(own["keep_id"][i], own["keep_points"][i]) < rank(slot["keep_id"][x], slot["keep_points"][x]):
+                    slot["keep_id"][x], slot["keep_points"][x] = own["keep_id"][i], own["keep_points"][i]
+        out = {k: [*slot[k], *own[k][~member].tolist()] for k in columns}
+        every = [x.tobytes() for m in (held, digest[~member]) for x in m]
+        return pa.table({"digest": pa.array(every, pa.binary()), "member": pa.array([True] * len(held) + [False] * int((~member).sum())), **{k: pa.array(v, pa.int64()) for k, v in out.items()}})
+
+    dealt = fresh.withColumn("shard", shard_of("digest", shards))
+    schema = "digest binary, member boolean, keep_id long, keep_points long, group_size long"
+    return dealt.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(run, schema)
+
+
+def resolved(docs: DataFrame, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, points, digest of each row, and what look_up() says of each digest."""
+    rows = common.written(digests(docs))
+    old = F.xxhash64("doc_id") % 2 == 0 if history is None else F.lit(False)
+    known = common.written(winners(rows.where(old))) if history is None else history
+    fresh = common.written(winners(rows.where(~old)))
+    shards = max(1, -(-max(known.count(), fresh.count()) // SHARD_KEYS))
+    return rows, look_up(fresh, perfect_hash(known, shards), shards, history is None)
 
 
 def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, member: one row per row of docs.
 
-    history: rows of winners() from earlier tables; None: those of docs itself,
-    so every row is a member. With a history, a member's winner is the earlier
-    row, and the rows that it lacks are grouped separately.
+    history: rows of winners() from earlier tables, which stay the winners of
+    their groups, so that no row of docs with such a text is kept; None: part of
+    docs, where the best row of all stays. member: whether the history has the text.
     """
-    spark = docs.sparkSession
-    rows = common.written(digests(docs))
-    own = history is None
-    history = common.written(winners(rows)) if own else history
-    shards = max(1, -(-history.count() // SHARD_KEYS))
-    # shards with more rows than a task should have; at most MOST_HOT of them can exist, so the broadcast is bounded
-    counts = common.written(rows.groupBy(shard_of("digest", shards).alias("shard")).count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    unit = max(ROWS_A_TASK, total / MOST_HOT)
-    sizes = counts.where(F.col("count") > unit).select("shard", F.ceil(F.col("count") / unit).cast("int").alias("n_salts"))
-    found = look_up(rows, perfect_hash(history, shards), sizes, shards)
-    if not own:
-        # nonmembers: their winners are aggregated map-side, then joined; AQE splits a digest with very many copies
-        found = common.written(found)
-        others = winners(found.where(~F.col("member"))).select("digest", *(F.col(k).alias(f"own_{k}") for k in ("keep_id", "keep_points", "group_size")))
-        found = found.join(others, "digest", "left").withColumns({k: F.when(F.col("member"), F.col(k)).otherwise(F.col(f"own_{k}")) for k in ("keep_id", "keep_points", "group_size")})
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.lit(own) | ~F.col("member"))
+    rows, found = resolved(docs, history)
+    found = rows.join(found, "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.lit(history is None) | ~F.col("member"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "member")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = common.written(dedup(docs).where("kept").select("doc_id").distinct())
-    # ids grow with the input, so they are never broadcast; texts stream past a hash table of their partition's ids
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns.
+
+    A doc_id with one row needs no more than its id. Rows of a doc_id that comes
+    several times are told apart by digest and code points, and one of equal
+    rows stays.
+    """
+    rows, found = resolved(docs)
+    best = found.select("digest", F.col("keep_id").alias("doc_id"), F.col("keep_points").alias("points"))
+    times = rows.groupBy("doc_id").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("own"), "times")
+    best = common.written(best.join(times, F.col("doc_id").eqNullSafe(F.col("own"))).drop("own"))
+    out = common.having_ids(docs, best.where("times = 1").select("doc_id"))
+    several = best.where("times > 1")
+    if several.isEmpty():
+        return out
+    name = {c: common.fresh(docs, c) for c in ("kept_doc", "kept_digest", "kept_points")}
+    text = F.coalesce("text", F.lit(""))
+    own = docs.withColumns({name["kept_digest"]: F.unhex(F.sha2(F.translate(text, common.SPACE_CHARS, "").cast("binary"), 256)), name["kept_points"]: F.length(text)})
+    wanted = several.select(F.col("doc_id").alias(name["kept_doc"]), F.col("digest").alias(name["kept_digest"]), F.col("points").cast("int").alias(name["kept_points"]))
+    on = [F.col(f"l.{name[c]}") == F.col(f"r.{name[c]}") for c in ("kept_digest", "kept_points")]
+    again = own.alias("l").join(wanted.hint("shuffle_hash").alias("r"), [F.col("l.doc_id").eqNullSafe(F.col(f"r.{name['kept_doc']}")), *on], "left_semi")
+    return out.unionByName(again.dropDuplicates(["doc_id", name["kept_digest"]]).select(*docs.columns))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
