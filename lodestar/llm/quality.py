@@ -28,7 +28,7 @@ from . import common
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected if over this share of its documents fails for sure.
-MAX_RATE = 0.8
+MAX_RATE = 0.5
 Z = 3.0
 PRIOR_LIMIT = 100.0
 SYMBOLS = "#*$%&|<>"
@@ -75,9 +75,8 @@ def base_failed(m):
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def rejected_hosts(rows: DataFrame) -> DataFrame:
-    """host, rate of hosts whose documents all go; rows: host, base_failed."""
-    hosts = rows.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("base_failed").cast("double")).alias("k"))
+def rejected_hosts(hosts: DataFrame) -> DataFrame:
+    """host, rate of hosts whose documents all go; hosts: host, n documents, k of which fail."""
     # one row: mean and variance of the hosts' rates, and the prior of that mean and variance
     prior = hosts.agg(F.avg(F.col("k") / F.col("n")).alias("m"), F.var_samp(F.col("k") / F.col("n")).alias("v"))
     size = F.when(F.col("v") > 0, F.least(F.lit(PRIOR_LIMIT), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR_LIMIT))
@@ -90,7 +89,8 @@ def rejected_hosts(rows: DataFrame) -> DataFrame:
 
 def judge(rows: DataFrame) -> DataFrame:
     """rows (host, base_failed, ...) with kept; rows are read twice."""
-    bad = rejected_hosts(rows).select(F.col("host").alias("bad_host"), F.lit(True).alias("rejected"))
+    hosts = rows.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("base_failed").cast("double")).alias("k"))
+    bad = rejected_hosts(hosts).select(F.col("host").alias("bad_host"), F.lit(True).alias("rejected"))
     found = rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
     return found.withColumn("kept", ~F.col("base_failed") & F.col("rejected").isNull()).drop("bad_host", "rejected")
 
@@ -103,11 +103,16 @@ def documents_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; no text is shuffled."""
-    failed = base_failed(measures(F.col("text")))
-    bad = common.written(rejected_hosts(docs.select(F.col("source").alias("host"), failed.alias("base_failed"))))
-    passed = docs.where(~failed)
-    return passed.join(bad, passed["source"].eqNullSafe(bad["host"]), "left_anti")
+    """The rows of docs that stay, with all their columns. Texts are measured once, for
+    the rows that pass; a host's failures are its rows in docs less those, and both
+    counts read no text. No text is shuffled."""
+    passed = common.written(docs.where(~base_failed(measures(F.col("text")))))
+    n = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").cast("double").alias("n"))
+    ok = passed.groupBy(F.col("source").alias("ok_host")).agg(F.count("*").cast("double").alias("ok"))
+    hosts = n.join(ok, F.col("host").eqNullSafe(F.col("ok_host")), "left").select("host", "n", (F.col("n") - F.coalesce("ok", F.lit(0.0))).alias("k"))
+    name = common.fresh(docs, "bad_host")
+    bad = common.written(rejected_hosts(hosts).select(F.col("host").alias(name)))
+    return passed.join(bad, F.col("source").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +138,6 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed THEN 1.0 E
 m AS (SELECT avg(k / n) AS m, var_samp(k / n) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN least(100.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 100.0 END AS z FROM m),
 e AS (SELECT source, (k + m * z) AS a, (n - k + (1 - m) * z) AS c FROM h, s),
-bad AS (SELECT source FROM e WHERE a / (a + c) - 3.0 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c + 1)) > 0.8)
+bad AS (SELECT source FROM e WHERE a / (a + c) - 3.0 * sqrt(a / (a + c) * (1 - a / (a + c)) / (a + c + 1)) > 0.5)
 """
 OP4_SQL = f"WITH {_MEASURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept FROM f"
