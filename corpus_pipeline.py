@@ -5,6 +5,13 @@ to target weights -> byte-level BPE. The first three drop rows; mixing keeps
 every row and gives each its place in the schedule (mix_slot, mix_place, and
 whether the mix is on target there); the last stage returns each document's
 token count, digests and place in place of its text.
+
+Edge cases: documents without words fail the quality rules, so null, empty and
+blank texts go in the first stage; rows that repeat a doc_id with the same text
+go in the second but for one, and later stages treat rows of one doc_id alike;
+null sources and languages are values like others; very long texts pass whole;
+other columns are carried to the last stage, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(docs, *bpe.default_files(), keep_ids=False, carried=mixing.PLACE)
+    place = docs.columns[-len(mixing.PLACE) :]  # mixing's, under longer names if documents had such columns
+    found = bpe.encode_table(docs, *bpe.default_files(), keep_ids=False, carried=tuple(place))
+    return found.withColumnsRenamed(dict(zip(place, mixing.PLACE, strict=True)))
 
 
 STAGES = [

@@ -10,19 +10,37 @@ and not on the data, is laid out on the driver and applied to all blocks by
 arithmetic. Every row is kept: once a source runs out (from there on_target is
 false), its slots stay empty and the others go on in their proportions.
 
+Whole weights of up to MOST_SLOTS in all are met exactly. Others are scaled so
+that the smallest gets PRECISION slots of a period, or to MOST_SLOTS in all
+where that would be more; a source gets one slot at least.
+
+Of more than MOST_SOURCES sources the largest are scheduled so, and the others
+are dealt to POOLS pools, each scheduled as one source with the weight of its
+members. A pool's own slots are dealt by halves: of two halves with weights p
+and q, block j of the first takes slot ceil((j + 1) (p + q) / p) - 1 and block j
+of the second takes slot floor(j (p + q) / q), and so on within each half. That
+needs no simulation and no gathering; a pooled source is less than one block per
+halving away from its target, and its release and deadline are those of the
+pool's block that it takes.
+
 Numbering does not gather a source in one task: a row's chunk is drawn from its
 doc_id's hash, rows are numbered within (source, chunk), and a running sum of
-chunk sizes gives the offset.
-
-Edge cases: a null source is a source of its own; null doc_ids count as the
-empty text in the hash; repeated rows each get a place; an empty table gives an
-empty table; other columns are carried along by mix().
+chunk sizes gives the offset. There are as many chunks as the root of the rows,
+so that neither step grows faster than that.
+
+Edge cases: a null source is a source of its own; a source of weight 0, or left
+out of the weights, has no slots (its places are null and it comes last, off
+target); a negative weight is an error; null doc_ids count as the empty text in
+the hash; repeated rows each get a place; an empty table gives an empty table;
+other columns are carried along by mix(), and a new column whose name is taken
+gets a longer one.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +48,14 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_DOCS = 16
-#: About the sum of shares, so a target weight is met to within 1 / RESOLUTION.
-RESOLUTION = 1000
-CHUNK_DOCS = 50_000
+PRECISION = 100
+MOST_SLOTS = 1 << 20
 MOST_SOURCES = 10_000
+POOLS = 1000
+#: Of a pooled source's weight in its pool, the whole number that 1 becomes.
+POOL_UNIT = 16
 PLACE = ("mix_slot", "mix_place", "mix_on_target")
+COLUMNS = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_on_target")
 
 
 def schedule(shares: list[int]) -> list[list[int]]:
@@ -55,75 +76,119 @@ def schedule(shares: list[int]) -> list[list[int]]:
     return slots
 
 
-def shares_by_root(counts: DataFrame) -> DataFrame:
-    """The default target: weights in proportion to the square root of a
-    source's documents, as whole shares of about RESOLUTION, at least 1."""
-    root = F.sqrt("n")
-    total = F.sum(root).over(Window.partitionBy())  # one row per source
-    return counts.withColumn("share", F.greatest(F.lit(1), F.round(RESOLUTION * root / total)).cast("long"))
+def whole_shares(weights: list[float]) -> list[int]:
+    """Slots of each source in one period."""
+    if all(float(w).is_integer() for w in weights):
+        unit = math.gcd(*(int(w) for w in weights)) if weights else 1
+        if sum(weights) // unit <= MOST_SLOTS:
+            return [int(w) // unit for w in weights]
+    found = [math.floor(PRECISION * w / min(weights) + 0.5) for w in weights]
+    if sum(found) > MOST_SLOTS:
+        total = sum(weights)
+        found = [max(1, math.floor(MOST_SLOTS * w / total + 0.5)) for w in weights]
+    return found
+
+
+def with_weights(counts: DataFrame, weights: dict[str | None, int] | None) -> DataFrame:
+    """counts (mix_key, n) with the column weight; None: the square root of a source's documents."""
+    if weights is None:
+        return counts.withColumn("weight", F.sqrt("n"))
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("negative weights")
+    named = json.dumps([["" if k is None else f"={k}", w] for k, w in weights.items()])
+    table = F.inline(F.transform(F.from_json(F.lit(named), "array<array<string>>"), lambda x: F.struct(x[0].alias("mix_key"), x[1].cast("double").alias("weight"))))
+    return counts.join(counts.sparkSession.range(1).select(table), "mix_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
+def pooled(sources: DataFrame) -> DataFrame:
+    """mix_key, n, lane, weight, path: path has the halvings from a source up to its pool."""
+    members = sources.withColumn("lane", F.concat(F.lit("pool "), F.pmod(F.xxhash64("mix_key"), F.lit(POOLS))))
+    members = members.withColumn("part", F.greatest(F.lit(1), F.round(POOL_UNIT * F.col("weight"))).cast("long"))
+    members = common.written(members.withColumn("r", F.row_number().over(Window.partitionBy("lane").orderBy("mix_key")) - 1))
+    most, halvings = members.agg(F.max("r")).first()[0] or 0, []
+    for h in range(int(most).bit_length()):
+        own, total = (F.sum("part").over(Window.partitionBy("lane", F.shiftright("r", k))) for k in (h, h + 1))
+        members = members.withColumn(f"h{h}", F.struct(own.alias("own"), total.alias("total"), (F.shiftright("r", h) % 2 == 0).alias("first")))
+        halvings.append(f"h{h}")
+    path = F.array(*halvings) if halvings else F.lit(None).cast("array<struct<own:bigint,total:bigint,first:boolean>>")
+    return members.select("mix_key", "n", "lane", "weight", path.alias("path"))
+
+
+def lane_block(block, path):
+    """The block of its lane that a source's block is: the block itself without a path."""
+    exact = lambda t, s: F.call_function("div", t, s)
+    up = lambda t, s: F.when(s["first"], exact((t + 1) * s["total"] + s["own"] - 1, s["own"]) - 1).otherwise(exact(t * s["total"], s["own"]))
+    return F.when(path.isNull(), block).otherwise(F.aggregate(path, block, up))
+
+
+def lanes(sources: DataFrame) -> tuple[DataFrame, int]:
+    """mix_key, n, path, share, slots (of the lane's blocks in one period) of each source with a weight, and the period."""
+    spark = sources.sparkSession
+    live = sources.where("weight > 0")
+    no_path = F.lit(None).cast("array<struct<own:bigint,total:bigint,first:boolean>>")
+    if live.count() <= MOST_SOURCES:
+        own = live.select("mix_key", "n", F.col("mix_key").alias("lane"), "weight", no_path.alias("path"))
+    else:
+        large = common.written(live.orderBy(F.desc("weight"), "mix_key").limit(MOST_SOURCES - POOLS))
+        rest = live.join(F.broadcast(large.select("mix_key")), "mix_key", "left_anti")  # at most MOST_SOURCES rows
+        own = common.written(large.select("mix_key", "n", F.col("mix_key").alias("lane"), "weight", no_path.alias("path")).unionByName(pooled(rest)))
+    plan = sorted(map(tuple, own.groupBy("lane").agg(F.sum("weight")).collect()))  # at most MOST_SOURCES rows
+    shares = whole_shares([w for _, w in plan])
+    text = json.dumps([{"lane": k, "share": p, "slots": s} for (k, _), p, s in zip(plan, shares, schedule(shares), strict=True)])
+    # at most MOST_SOURCES lanes and, in all, 2 * MOST_SLOTS slots, whatever the data's size
+    laid = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<lane:string,share:bigint,slots:array<bigint>>>")))
+    return own.join(F.broadcast(laid), "lane").drop("lane", "weight"), sum(shares)
+
+
+def slot_of(block, period: int):
+    """The slot of a lane's block, from the lane's columns share and slots."""
+    return F.call_function("div", block, F.col("share")) * period + F.element_at("slots", (block % F.col("share")).cast("int") + 1)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None) -> DataFrame:
-    """docs with block, release, deadline, slot, on_target (names with the prefix
-    mix_). weights: whole shares by source, for every source; None: by root."""
-    spark = docs.sparkSession
+    """docs with COLUMNS. weights: whole numbers by source; None: the root of a source's documents."""
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     total = docs.select("doc_id").count()
-    chunks = max(1, -(-total // CHUNK_DOCS))
+    chunks = max(1, math.ceil(math.sqrt(total)))
     doc_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chunk = F.conv(F.substring(F.md5(doc_text.cast("binary")), 1, 8), 16, 10).cast("long") % chunks
-    rows = docs.withColumn("mix_key", key).withColumn("mix_chunk", chunk)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("mix_id"), key.alias("mix_key"), chunk.alias("mix_chunk"))
     sizes = common.written(rows.groupBy("mix_key", "mix_chunk").agg(F.count("*").alias("n")))
-    counts = sizes.groupBy("mix_key").agg(F.sum("n").alias("n"))
-    if weights is None:
-        counts = shares_by_root(counts)
-    else:
-        named = json.dumps([["" if k is None else f"={k}", v] for k, v in weights.items()])
-        table = F.inline(F.transform(F.from_json(F.lit(named), "array<array<string>>"), lambda x: F.struct(x[0].alias("mix_key"), x[1].cast("long").alias("share"))))
-        counts = counts.join(spark.range(1).select(table), "mix_key", "left").withColumn("share", F.coalesce("share", F.lit(1)))
-    plan = sorted(map(tuple, counts.select("mix_key", "n", "share").limit(MOST_SOURCES + 1).collect()))
-    if len(plan) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    period = sum(p for *_, p in plan)
-    slots = schedule([p for *_, p in plan])
-    at = lambda i, b: b // plan[i][2] * period + slots[i][b % plan[i][2]]
-    horizon = min((at(i, -(-n // BLOCK_DOCS)) for i, (_, n, _) in enumerate(plan)), default=0)
-    # sources (at most MOST_SOURCES) and a period's slots: bounded by the shares, not by the data
-    text = json.dumps([{"mix_key": k, "share": p, "slots": slots[i]} for i, (k, _, p) in enumerate(plan)])
-    lanes = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<mix_key:string,share:bigint,slots:array<bigint>>>")))
+    own, period = lanes(common.written(with_weights(sizes.groupBy("mix_key").agg(F.sum("n").alias("n")), weights)))
+    ends = lane_block(F.call_function("div", F.col("n") + BLOCK_DOCS - 1, F.lit(BLOCK_DOCS)), F.col("path"))
+    horizon = own.agg(F.min(slot_of(ends, period))).first()[0] or 0
     before = Window.partitionBy("mix_key").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("mix_key", "mix_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_offset"))
-    within = Window.partitionBy("mix_key", "mix_chunk").orderBy("doc_id")
-    placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets, ["mix_key", "mix_chunk"]).join(F.broadcast(lanes), "mix_key")
-    rank = F.col("mix_offset") + F.col("mix_row") - 1
-    block = F.floor(rank / BLOCK_DOCS).cast("long")
-    turn, place = F.floor(F.col("mix_block") / F.col("share")).cast("long"), (F.col("mix_block") % F.col("share")).cast("int")
-    placed = placed.withColumn("mix_block", block).withColumns(
-        {
-            "mix_release": F.floor(F.col("mix_block") * period / F.col("share")).cast("long"),
-            "mix_deadline": F.ceil((F.col("mix_block") + 1) * period / F.col("share")).cast("long"),
-            "mix_slot": turn * period + F.element_at("slots", place + 1),
-        }
-    )
-    placed = placed.withColumn("mix_on_target", F.col("mix_slot") < horizon).withColumn("mix_place", (rank % BLOCK_DOCS).cast("long"))
-    return placed.drop("mix_key", "mix_chunk", "mix_row", "mix_offset", "share", "slots")
+    within = Window.partitionBy("mix_key", "mix_chunk").orderBy("mix_id")
+    placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets, ["mix_key", "mix_chunk"]).join(own.drop("n"), "mix_key", "left")
+    placed = placed.withColumn("rank", F.col("mix_offset") + F.col("mix_row") - 1).withColumn("block", F.call_function("div", F.col("rank"), F.lit(BLOCK_DOCS)))
+    placed = placed.withColumn("lane_block", lane_block(F.col("block"), F.col("path"))).withColumn("slot", slot_of(F.col("lane_block"), period))
+    at, share, none = F.col("lane_block"), F.col("share"), F.col("share").isNull()
+    found = {
+        "mix_block": F.col("block"), "mix_release": F.call_function("div", at * period, share), "mix_deadline": F.call_function("div", (at + 1) * period + share - 1, share),
+        "mix_slot": F.col("slot"), "mix_place": F.when(~none, F.col("rank") % BLOCK_DOCS), "mix_on_target": ~none & (F.col("slot") < horizon),
+    }
+    return placed.select("doc.*", *(v.cast("boolean" if k == "mix_on_target" else "long").alias(common.fresh(docs, k)) for k, v in found.items()))
 
 
 def mixed_documents(docs: DataFrame, keep_place: bool = False) -> DataFrame:
     """docs, whole, in the order of the mix: files and rows within follow the slots.
-    keep_place: with the columns PLACE, as the order of files doesn't outlast a read.
+    keep_place: with the columns PLACE last, as the order of files doesn't outlast a read.
 
     Places are worked out on narrow rows; texts then move twice, streamed past a
     hash table of their partition's places and to their part of the order. Rows
     that repeat a doc_id take the first one's place.
     """
-    spark, order = docs.sparkSession, ["mix_slot", "mix_place"]
-    first = F.min(F.struct(*PLACE)).alias("first")
-    placed = common.written(mix(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("mix_id")).agg(first).select("mix_id", "first.*"))
-    last, n = placed.agg(F.max("mix_slot")).first()[0] or 0, common.shuffle_partitions(spark)
-    found = docs.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    part = F.floor(F.col("mix_slot") * n / (last + 1)).cast("int")
-    return found.repartitionById(n, part).sortWithinPartitions(*order).select(*docs.columns, *(PLACE if keep_place else ()))
+    spark = docs.sparkSession
+    own, names = common.fresh(docs, "mix_id"), [common.fresh(docs, c) for c in PLACE]
+    narrow = mix(docs.select("doc_id", "source")).withColumn("first", F.struct(F.col("mix_slot").isNull(), *PLACE))
+    placed = narrow.groupBy(F.col("doc_id").alias(own)).agg(F.min("first").alias("first"))
+    placed = common.written(placed.select(own, *(F.col(f"first.{c}").alias(k) for c, k in zip(PLACE, names, strict=True))))
+    last, n = placed.agg(F.max(names[0])).first()[0] or 0, common.shuffle_partitions(spark)
+    found = docs.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)))
+    part = F.coalesce(F.floor(F.col(names[0]) * n / (last + 1)), F.lit(n - 1)).cast("int")
+    order = [F.col(k).asc_nulls_last() for k in names[:2]]
+    return found.repartitionById(n, part).sortWithinPartitions(*order).select(*docs.columns, *(names if keep_place else ()))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +198,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH RECURSIVE k AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / 50000.0)::BIGINT) AS chunk FROM documents),
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, ceil(sqrt((SELECT count(*) FROM documents)))::BIGINT) AS chunk FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY chunk, doc_id NULLS FIRST) - 1 AS rank FROM k),
 n AS (SELECT key, count(*) AS n FROM k GROUP BY key),
-s AS (SELECT key, n, greatest(1, round(1000 * sqrt(n) / (SELECT sum(sqrt(n)) FROM n)))::BIGINT AS p, row_number() OVER (ORDER BY key) AS i FROM n),
+w AS (SELECT key, n, sqrt(n) AS w, bool_and(sqrt(n) = floor(sqrt(n))) OVER () AS whole FROM n),
+s AS (SELECT key, n, CASE WHEN whole THEN w // (SELECT list_reduce(list(w::BIGINT), lambda a, b: gcd(a, b)) FROM w) ELSE floor(100 * w / (SELECT min(w) FROM w) + 0.5) END::BIGINT AS p, row_number() OVER (ORDER BY key) AS i FROM w),
 z AS (SELECT list(p ORDER BY i) AS ps, sum(p)::BIGINT AS q, count(*) AS ns FROM s),
 sim AS (SELECT 0::BIGINT AS t, 0::BIGINT AS pick, 0::BIGINT AS j, list_transform(ps, lambda x: 0::BIGINT) AS c, ps, q, ns FROM z
   UNION ALL
