@@ -26,7 +26,9 @@ from . import common
 
 #: A text is cut at the first safe place after so many characters.
 PIECE_CHARS = 100_000
-SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\s\S)")
+#: Unicode's White_Space, which is what \s means in the tokenizer's pattern (Python's \s also takes U+001C to U+001F).
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE = re.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
 
 _loaded: dict = {}
 
