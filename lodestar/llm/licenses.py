@@ -1,7 +1,8 @@
 """License scans (operator 8), in DataFrame functions only.
 
 Words are runs of letters and digits, A-Z lower-cased; shingles are K words.
-Templates are license notices, cut into segments of at most SEGMENT words. For
+Templates are license texts and notices, cut into segments of at most SEGMENT
+words; whole_licenses() says how many of a license's segments a document has. For
 each length L of segments, a document is seen in windows of 2 L words, a new
 one every L words, so each run of L words lies whole in some window. Windows
 without any template shingle can't match and go first, exactly. The others are
@@ -15,7 +16,8 @@ a parameter of the job, so the broadcast of their bands is bounded by it.
 
 Edge cases: null, empty and short texts have no shingles and no match; a
 null doc_id is grouped as one document; rows that repeat a doc_id are counted
-together; an empty table gives an empty table; other columns are ignored.
+together; an empty table, or no templates, gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,51 @@ SEGMENT = 12
 PERCENT = 80
 BANDS = 48
 
-#: Notices by license name; a parameter.
+#: Most rows that a table of templates may have, as they are sent to all tasks.
+MOST_TEMPLATES = 10_000
+
+_AS_IS = (
+    " IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"
+    " LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+    " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+)
+
+#: Texts and notices of public licenses, by name; a parameter.
 TEMPLATES = {
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights"
+    " to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,"
+    " ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    " THIS SOFTWARE" + _AS_IS,
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+    " Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    " 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required."
+    " 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    " See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-2.0-header": _GPL.format(2),
+    "gpl-3.0-header": _GPL.format(3),
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-gpl-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "mit": "Released under the MIT License",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
@@ -52,14 +97,21 @@ def segments(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
     for name in sorted(templates):
         words = re.findall(r"[^\W_]+", templates[name].lower())
         parts = max(1, -(-len(words) // SEGMENT))
-        size = -(-len(words) // parts)
-        found += [(name, i, words[i * size : (i + 1) * size]) for i in range(parts)]
+        found += [(name, i, words[i * len(words) // parts : (i + 1) * len(words) // parts]) for i in range(parts)]
     short = [name for name, _, words in found if len(words) < K]
     if short:
         raise ValueError(f"notices of under {K} words: {short}")
     return found
 
 
+def read_templates(table: DataFrame) -> dict[str, str]:
+    """The templates of a table (license, text), of MOST_TEMPLATES rows at most."""
+    rows = table.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return {r["license"]: r["text"] for r in rows}
+
+
 def _template_hashes(words: list[str]):
     return F.array(*(F.xxhash64(*(F.lit(w) for w in words[i : i + K])) for i in range(len(words) - K + 1)))
 
@@ -80,7 +132,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, part, n_windows, first_word, best, size: a row for each
     document and segment with a match; best: most of the segment's size shingles in one window."""
     spark = docs.sparkSession
-    parts = segments(templates or TEMPLATES)
+    parts = segments(TEMPLATES if templates is None else templates)
+    if not parts:
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, part long, n_windows long, first_word long, best long, size long")
     every = F.array_distinct(F.flatten(F.array(*(_template_hashes(w) for *_, w in parts))))
     lengths = sorted({len(w) for *_, w in parts})
     rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).where(F.arrays_overlap("shingles", every))
@@ -104,6 +158,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     )
 
 
+def whole_licenses(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, license, n_parts, of_parts: how many of a license's segments scan() found in a document."""
+    of = {}
+    for name, *_ in segments(TEMPLATES if templates is None else templates):
+        of[name] = of.get(name, 0) + 1
+    table = F.create_map(*(F.lit(x) for k in of for x in (k, of[k]))) if of else F.lit(None).cast("map<string,int>")
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_parts")).withColumn("of_parts", table[F.col("license")].cast("long"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
