@@ -85,7 +85,7 @@ def count_training(rows: DataFrame) -> DataFrame:
                 grams, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return common.texts(rows, ids=("lang",)).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(rows: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:

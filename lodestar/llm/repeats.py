@@ -1,7 +1,9 @@
 """Removal of long repeats by a common-prefix interval tree (operator 2).
 
 A byte goes if a string of MIN_BYTES bytes that covers it also starts in a
-document with a smaller doc_id. All exact, over whole texts:
+document with a smaller doc_id. Over whole texts, and exact but for 64-bit
+digests: two of n different snippets are taken for one with a chance of about
+n * n / 2**65:
 
 1. Texts are packed into blocks by doc_id and written once, dealt by block.
    Every later step reads a block in place, so texts are shuffled once.
@@ -51,6 +53,8 @@ SNIPPET = K + 2 * EXTRA
 HALF = EXTRA // 2
 HOT_CLASSES = 1000
 PACK_BYTES = 4 << 20
+#: Bytes of documents' files that a block has; a task holds one block's texts.
+BLOCK_BYTES = 32 << 20
 #: Windows of a long text that are hashed at once.
 PART = 1 << 20
 
@@ -595,7 +599,7 @@ def cut(packed: DataFrame, shared: DataFrame, judged: DataFrame, found: DataFram
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, spans and kept: one row per row of docs."""
-    blocks = buckets = common.shuffle_partitions(docs.sparkSession)
+    blocks = buckets = common.partitions_for(docs, BLOCK_BYTES)
     packed = pack(docs, blocks)
     shared = common.written(shared_anchors(send_anchors(packed, buckets)))
     judged = common.written(judge_classes(send_classes(packed, shared, buckets)))

@@ -106,8 +106,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         .join(F.broadcast(threshold))
         .select(F.col("text").alias("scored_text"), "score", F.when(F.col("score") < F.col("threshold"), "block").otherwise("allow").alias("guess"))
     )
-    found = rows.join(scored, F.when(F.col("ruled").isNull(), F.col("text")) == F.col("scored_text"), "left")
-    return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "guess").alias("verdict"), "score")
+    # urls that a rule decides need no join, so they don't meet in the task of a null key
+    by_rule = rows.where(F.col("ruled").isNotNull()).select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    found = rows.where(F.col("ruled").isNull()).join(scored, F.col("text") == F.col("scored_text"), "left")
+    return by_rule.unionByName(found.select("page_id", "host", "path", "rule", F.col("guess").alias("verdict"), "score"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
