@@ -209,9 +209,13 @@ def test_bpe(odd, docs, empty):
             assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256((want["text"] or "").encode()).hexdigest()
     rng = random.Random(2)
-    for _ in range(300):  # safe boundaries change no id
-        t = "".join(rng.choice(["a", "é", "1", " ", "  ", "\n", "'s", "!", "　", "中"]) for _ in range(60))
+    chars = ["a", "é", "1", " ", "  ", "\n", "'s", "!", "　", "中", "\r", "\t", "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\ufeff"]
+    for _ in range(3000):  # safe boundaries change no id
+        t = "".join(rng.choice(chars) for _ in range(60))
         assert [x for p in bpe.pieces(t, 5) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    tail = "".join(rng.choice(chars) for _ in range(400)) + " b" * 30
+    for n in (99_980, 99_990, 99_998):  # pieces of the size in use
+        assert bpe.encode("a" * n + tail, enc).tolist() == enc.encode_ordinary("a" * n + tail)
     assert bpe.encode_table(empty, *bpe.default_files()).count() == 0
 
 
@@ -240,6 +244,19 @@ def test_near(odd, docs, empty, k):
     assert near.near_duplicates(odd, k).count() == odd.count() and near.near_duplicates(empty, k).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 65])
+def test_near_tiles(odd, docs, monkeypatch, percent):
+    """Buckets in tiles, and many pairs on either side of the threshold for round two."""
+    monkeypatch.setattr(near, "TILE", 2)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(w if rng.random() > 0.02 * (i % 12) else f"x{rng.randrange(99)}" for w in base) for i in range(70)]
+    df = odd.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_near(df.collect(), 2, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, 2, percent).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 70
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
@@ -263,15 +280,41 @@ def test_estimate(spark):
 
 def test_perfect_hash_and_history(spark):
     rng = np.random.default_rng(1)
-    digest = rng.integers(0, 256, (5000, 32)).astype(np.uint8)
-    displace, slot = exact.build(digest)
-    assert sorted(slot) == list(range(5000)) and (exact.slots(digest, displace, 5000) == slot).all()
+    for n in (1, 2, 7, 5000, 40_000):
+        digest = rng.integers(0, 256, (n, 32)).astype(np.uint8)
+        displace, slot = exact.build(digest)
+        assert sorted(slot) == list(range(n)) and (exact.slots(digest, displace, n) == slot).all()
+        other = rng.integers(0, 256, (100, 32)).astype(np.uint8)
+        at = exact.slots(other, displace, n)
+        assert ((at >= 0) & (at < n)).all()
     old = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     new = spark.createDataFrame([(11, "ab"), (12, "d"), (13, "d "), (14, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["keep_id"], r["kept"], r["member"]) for r in exact.dedup(new, exact.winners(exact.digests(old))).collect()}
     assert got == {11: (1, False, True), 12: (13, False, False), 13: (13, True, False), 14: (14, True, False)}
 
 
+@pytest.mark.parametrize("shard_keys", [exact.SHARD_KEYS, 7])
+def test_exact_paths(odd, docs, monkeypatch, shard_keys):
+    """Members and nonmembers occur, and members both yield to their slot's winner and replace it."""
+    monkeypatch.setattr(exact, "SHARD_KEYS", shard_keys)
+    same(exact.dedup(docs).drop("member"), duck().sql(exact.OP6_SQL))
+    rows = {r["doc_id"]: r for r in exact.dedup(docs.union(docs.selectExpr("doc_id + 100000", "text || ' '", "lang", "source", "n_chars"))).collect()}
+    old = {r["doc_id"]: r["old"] for r in docs.sparkSession.createDataFrame([(i,) for i in rows], "doc_id long").select("doc_id", (F.xxhash64("doc_id") % 2 == 0).alias("old")).collect()}
+    assert {r["member"] for r in rows.values()} == {True, False}
+    moves = {(old[i], old[r["keep_id"]]) for i, r in rows.items() if i != r["keep_id"]}
+    assert moves == {(True, True), (True, False), (False, True), (False, False)}
+
+
+def test_keep_documents_repeated_rows(spark, docs):
+    rows = [(1, "x y"), (1, "x y"), (2, "p q"), (2, "r"), (3, "r "), (4, "pq"), (None, "n"), (None, "n"), (None, "x  y  z"), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, 7, "k", "s") for i, t in rows], "doc_id long, text string, kept_id int, kept_digest string, kept_points string")
+    got = exact.keep_documents(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "x y"), (2, "p q"), (3, "r "), (None, "n"), (None, "x  y  z"), (5, None)], key=str) or sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "x y"), (2, "p q"), (3, "r "), (None, "n"), (None, "x  y  z"), (5, "")], key=str)
+    near_kept = near.keep_documents(df.withColumn("KEPT_ID_", F.lit(1)))
+    assert near_kept.columns == [*df.columns, "KEPT_ID_"] and near_kept.count() > 0
+
+
 def test_schedule():
     for shares in ([1, 2, 3], [5, 5, 1, 9], [1] * 7, [997, 1, 2]):
         total = sum(shares)
@@ -284,11 +327,119 @@ def test_schedule():
                 assert abs(sum(x < t for x in own) - t * p / total) < 1
 
 
-def test_mix(odd, empty):
+def test_mix(odd, empty, spark):
     got = mixing.mix(odd, {"s0": 3, "s1": 1, None: 1}).collect()
     assert len(got) == odd.count() and len({(r["mix_slot"], r["mix_place"]) for r in got}) == len(got)
     assert sorted(map(str, mixing.mixed_documents(odd).collect())) == sorted(map(str, odd.collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    for df in (odd, empty):
+        found = mixing.mix(df.select("doc_id", "source"))
+        same(found.select("doc_id", "source", *(F.col(f"mix_{k}").alias(k) for k in ("block", "release", "deadline", "slot", "place", "on_target"))), duck(df).sql(mixing.OP5_SQL))
+    none = mixing.mix(odd, {"s0": 3, "s1": 0}).collect()
+    assert all((r["mix_slot"] is None) == (r["source"] != "s0") and (r["source"] == "s0" or not r["mix_on_target"]) for r in none)
+    with pytest.raises(ValueError, match="negative"):
+        mixing.mix(odd, {"s0": -1})
+    taken = odd.selectExpr("*", "1 AS mix_slot", "2 AS share", "3 AS slots", "4 AS mix_key", "5 AS mix_id", "6 AS mix_chunk", "7 AS mix_place", "8 AS mix_row")
+    assert mixing.mix(taken).columns == [*taken.columns, *(common.fresh(taken, c) for c in mixing.COLUMNS)]
+    assert sorted(map(str, mixing.mixed_documents(taken).collect())) == sorted(map(str, taken.collect()))
+
+
+def test_whole_shares(monkeypatch):
+    assert mixing.whole_shares([3.0, 6.0, 9.0]) == [1, 2, 3] and mixing.whole_shares([]) == []
+    roots = [math.sqrt(3000)] + [1.0] * 3000
+    found = mixing.whole_shares(roots)
+    assert sum(found) <= mixing.MOST_SLOTS and all(abs(p / sum(found) / (w / sum(roots)) - 1) < 0.01 for p, w in zip(found, roots, strict=True))
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 1000)
+    assert mixing.whole_shares([1e6, 1.5, 3.0]) == [1000, 1, 1]
+
+
+def test_many_sources(spark, monkeypatch):
+    """More sources than lanes: each row has a place of its own, and every source keeps to its weight."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 12)
+    monkeypatch.setattr(mixing, "POOLS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 1)
+    sizes = {f"h{i}": 40 + 13 * i for i in range(40)}
+    docs = spark.createDataFrame([(j * 100 + i, f"h{i}") for i in range(40) for j in range(sizes[f"h{i}"])], "doc_id long, source string")
+    got = mixing.mix(docs, {k: 10 + i for i, k in enumerate(sizes)}).collect()
+    assert len(got) == sum(sizes.values()) and len({r["mix_slot"] for r in got}) == len(got)
+    on = [r for r in got if r["mix_on_target"]]
+    end, total = max(r["mix_slot"] for r in on) + 1, sum(10 + i for i in range(40))
+    assert len(on) == end  # no slot is empty before the first source runs out
+    for i, k in enumerate(sizes):
+        mine = sorted(r["mix_slot"] for r in on if r["source"] == k)
+        off = max(abs(n - t * (10 + i) / total) for n, t in enumerate(mine))
+        assert off < 5 and [r["mix_block"] for r in sorted((r for r in got if r["source"] == k), key=lambda r: r["mix_slot"])] == list(range(sizes[k]))
+
+
+def slow_language(rows, train):
+    """Profiles, ranks and distances by the definition, over strings."""
+
+    def grams(text):
+        text = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in text:
+            text = text.replace("  ", " ")
+        found = Counter(text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)) if text.strip() else Counter()
+        found.pop(" ", None)
+        return found
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[: langid.PROFILE]]
+    counts = defaultdict(Counter)
+    for r in train:
+        counts[r["lang"]].update(grams(r["text"] or ""))
+    model = {k: {g: i for i, g in enumerate(top(c))} for k, c in counts.items() if c}
+    for r in rows:
+        own = top(grams(r["text"] or ""))
+        far = {k: sum(abs(i - m[g]) if g in m else langid.PROFILE for i, g in enumerate(own)) for k, m in model.items()}
+        best = min(sorted(far), key=far.get) if own and far else "und"
+        yield (best, 1 - far[best] / (langid.PROFILE * len(own)), far[best]) if best != "und" else ("und", 0.0, None)
+
+
+def test_language_by_definition(odd, docs):
+    for df in (odd, docs):
+        rows = df.collect()
+        train = [r for r in rows if r["lang"] is not None]
+        got = [(r["lang_pred"], r["score"], r["distance"]) for r in langid.predict(df, langid.profiles(df.where("lang IS NOT NULL"))).collect()]
+        want = list(slow_language(rows, train))
+        assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+        assert [b for _, b, _ in got] == pytest.approx([b for _, b, _ in want])
+
+
+def test_whole_license_texts(spark):
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"q{rng.randrange(999)}" for _ in range(n))
+    names = sorted(licenses.TEMPLATES)
+    rows = [(i, f"{filler(i % 40)} {licenses.TEMPLATES[n].upper() if i % 2 else licenses.TEMPLATES[n]} {filler(30)}") for i, n in enumerate(names)] + [(100, filler(300)), (101, licenses.TEMPLATES["mit-text"][:400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(docs)
+    same(found, duck(docs).sql(licenses.OP8_SQL))
+    whole = {(r["doc_id"], r["license"]): (r["n_parts"], r["of_parts"]) for r in licenses.whole_licenses(found).collect()}
+    for i, n in enumerate(names):
+        parts = sum(name == n for name, *_ in licenses.segments(licenses.TEMPLATES))
+        assert whole[i, n] == (parts, parts)
+    assert not any(i == 100 for i, _ in whole) and 0 < whole[101, "mit-text"][0] < whole[101, "mit-text"][1]
+    own = licenses.read_templates(spark.createDataFrame([("mine", "you may do with this what you like"), (None, "x")], "license string, text string"))
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame([(1, "So you may do with this what you like!")], "doc_id long, text string"), own).collect()] == [(1, "mine")]
+    assert licenses.scan(docs, {}).count() == 0 and licenses.whole_licenses(licenses.scan(docs, {}), {}).count() == 0
+
+
+def test_hosts(spark):
+    """A host that fails as a whole, a small one whose rate is shrunk, a null one, and one with a few failures."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "a b"
+    rows = [("bad", 38, 2), (None, 40, 3), ("small", 1, 1), *((f"h{i}", 1, 30 + i) for i in range(12))]
+    docs, n = [], 0
+    for host, fail, ok in rows:
+        for t in [bad] * fail + [good] * ok:
+            n += 1
+            docs.append((n, f"{t} {n}" if t is good else t, None, host, 0, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, bad_host int")
+    got = quality.documents_rules(df)
+    same(got.drop("host"), duck(df).sql(quality.OP4_SQL))
+    lost = {r["host"] for r in got.where("NOT base_failed AND NOT kept").collect()}
+    assert lost == {"bad", None}
+    kept = quality.keep_documents(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got.where("kept").collect())
 
 
 def test_language(odd, empty, spark):
@@ -311,6 +462,17 @@ def test_urls(spark):
     assert (3, "a.net", "/es/1", "net/es/") in got and (4, "b.net", "/de/", None) in got and (5, "", "", None) in got and (6, "", "", None) in got
     assert (7, "x.com", "", None) in got and (None, "example.com", "/de/1", "com/") in got and len(got) == len(rows)
     assert urls.filter_urls(pages.limit(0)).count() == 0
+    more = [(i, f"https://s{i % 7}.com/{'buy-cheap' if i % 2 else 'news/story'}-{i}") for i in range(60)] + [(100 + i, f"http://m{i}.net/{'es' if i % 2 else 'de'}/buy-cheap-{i}") for i in range(60)]
+    for some in (rows + more, more[:60], [r for r in more[60:]], rows[4:6]):  # both classes, accepted urls alone, rejected ones alone, neither
+        df = spark.createDataFrame(some, "page_id long, url string")
+        c = duckdb.connect()
+        c.register("frame", df.toArrow())
+        c.sql("CREATE TABLE pages AS SELECT * FROM frame")
+        found = urls.filter_urls(df)
+        same(found.drop("score"), c.sql(urls.OP10_SQL))
+        assert found.where("verdict IS NULL").count() == 0
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows + more, "page_id long, url string")).collect()}
+    assert verdicts[5] in ("allow", "block") and sum(verdicts[100 + i] == "block" for i in range(0, 60, 2)) > 0
 
 
 def test_pipeline(spark):
@@ -331,6 +493,24 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
 
 
+def test_pipeline_on_odd_tables(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, clashing names and an empty table, through all stages."""
+    import corpus_pipeline
+
+    words = " ".join(f"v{i}" for i in range(70))
+    more = spark.createDataFrame([(100, words), (100, words), (101, words + " "), (102, words.replace("v6", "u6")), (None, words + " null")], "doc_id long, text string")
+    names = ["kept_id", "mix_slot", "mix_key", "share", "mix_id", "bad_host", "rejected", "own", "times", "digest"]
+    for name, df in (("odd", odd.unionByName(more, allowMissingColumns=True)), ("empty", empty)):
+        df.withColumns({n: F.lit(k) for k, n in enumerate(names)}).write.parquet(str(tmp_path / f"{name}/documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if name == "empty":
+            assert not got
+            continue
+        ids = Counter(r["doc_id"] for r in got)
+        assert ids[101] == 1 and not ids[100] and ids[102] == 1 and ids[None] == 2 and set(ids.values()) == {1, 2}
+        assert all(r["mix_slot"] is not None for r in got)
+
+
 def test_pipeline_carries_the_mix(spark, docs):
     """Each row of run() has the slot, place and on_target that SQL gives the documents that came to mixing."""
     import corpus_pipeline
