@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import argparse
 import importlib
-import json
+import subprocess
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 
+class _Parser(argparse.ArgumentParser):
+    def error(self, message: str):
+        raise ValueError(f"{message}\n{self.format_usage().strip()}")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="lodestar")
+    p = _Parser(prog="lodestar")
     sub = p.add_subparsers(dest="command", required=True)
     r = sub.add_parser("report", help="findings between two revisions")
     r.add_argument("--repo", required=True)
@@ -40,33 +46,66 @@ def narrator(name: str):
     return getattr(importlib.import_module(module), function)
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def save(content: str, output: str | None, ending: str, spark: SparkSession) -> None:
+    """Write to the file named or one named by the time, and say which."""
+    from lodestar.functions import text
+
+    path = output or f"lodestar-{spark.range(1).select(text.filename_stamp()).first()[0]}.{ending}"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(content)
+    print(f"Saved to: {path}", file=sys.stderr)
+
+
+def show(content: str, output: str | None) -> None:
+    if output:
+        with open(output, "w", encoding="utf-8") as f:
+            f.write(content)
+    else:
+        sys.stdout.write(content)
+
+
+def run(args: argparse.Namespace, spark: SparkSession) -> None:
     from lodestar.plans import report
     from lodestar.sources import git, parse
 
-    args = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.getOrCreate()
     if args.command == "report":
-        out = report.render(report.analyze_repo(spark, args.repo, args.base, args.head, args.path), args.format)
+        show(report.render(report.analyze_repo(spark, args.repo, args.base, args.head, args.path), args.format) + "\n", args.output)
     elif args.command == "diff":
         diff = report.entity_changes(git.files_at(spark, args.repo, args.base, args.path), git.files_at(spark, args.repo, args.head, args.path))
         m = report.manifest(diff, args.base, args.head)
         m = report.explained(m, narrator(args.explain)) if args.explain else m
+        said = f"\n{m['summary']}\n" if m["summary"] else ""
         if args.json:
-            out = json.dumps(m, indent=2, ensure_ascii=False) + "\n"
+            save(report.manifest_json(m) + "\n", args.output, "json", spark)
+        elif args.prompt:
+            save(report.diff_prompt(m) + said, args.output, "md", spark)
+        elif args.html:
+            save(report.diff_html(m), args.output, "html", spark)
         else:
-            out = report.diff_prompt(m) if args.prompt else report.diff_html(m) if args.html else report.listing(m)
-            out += f"\n{m['summary']}\n" if m["summary"] and not args.html else ""
+            show(report.listing(m) + said, args.output)
     else:
         groups = report.duplicates(parse.parse_files(git.working_tree(spark, args.repo, args.path), "entities"))
-        out = report.duplicates_listing(groups) + (report.duplicates_prompt(groups) if args.prompt else "")
+        listing = report.duplicates_listing(groups)
         if args.explain:
-            out += "\n".join(["", *report.advice(groups, narrator(args.explain)), ""])
-    if args.output:
-        with open(args.output, "w", encoding="utf-8") as f:
-            f.write(out)
-    else:
-        sys.stdout.write(out)
+            listing += "\n".join(["", *report.advice(groups, narrator(args.explain)), ""])
+        if args.prompt:
+            sys.stdout.write(listing)
+            save(report.duplicates_prompt(groups), args.output, "md", spark)
+        else:
+            show(listing, args.output)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """0, or 1 after a message on what was wrong."""
+    try:
+        args = parser().parse_args(argv)
+        run(args, spark or SparkSession.builder.getOrCreate())
+    except subprocess.CalledProcessError as e:
+        print((e.stderr or b"").decode(errors="replace").strip() or str(e), file=sys.stderr)
+        return 1
+    except (argparse.ArgumentError, ImportError, AttributeError, OSError, ValueError, PySparkException) as e:
+        print(str(e), file=sys.stderr)
+        return 1
     return 0
 
 

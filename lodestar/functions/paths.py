@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Directories whose files are ignored, and endings of generated files.
@@ -25,6 +25,18 @@ def matches_filters(path: Column, filters: list[str]) -> Column:
     return found
 
 
+def in_scope(files: DataFrame, filters: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of files whose path is one of filters (filter) or lies under one; without
+    rows in filters, all. A path meets the filters by its folders, in an equal join."""
+    wanted = filters.select(normalize_path(F.col("filter")).alias("_filter")).distinct()
+    if wanted.isEmpty():
+        return files
+    parts = F.split(normalize_path(F.col(path)), "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hits = files.select(path).distinct().select(path, F.explode(folders).alias("_filter")).join(wanted, "_filter", "left_semi").select(path).distinct()
+    return files.join(hits, path, "left_semi")
+
+
 def is_ignored(path: Column) -> Column:
     low = F.lower(F.translate(path, "\\", "/"))
     ends = F.lit(False)

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 #: A block comment (to the end if it isn't closed) or a line comment. Strings are not recognised.
 COMMENT = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*"
 SNIPPET = 300
+#: White space of any kind, and tokens of source text: comments, strings, numbers,
+#: words, other characters. The body of a character class, and a pattern; Java and RE2 read both alike.
+SPACES = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_QUOTED = "|".join(rf"{q}[^{q}\\{stop}]*(?:\\(?s:.)[^{q}\\{stop}]*)*{q}" for q, stop in (('"', r"\n"), ("'", r"\n"), ("`", "")))
+TOKEN = rf"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|{_QUOTED}|[0-9][\p{{L}}\p{{N}}_.]*|[\p{{L}}_$][\p{{L}}\p{{N}}_$]*|=>|[^{SPACES}]"
+#: Words of TypeScript and C# that aren't names.
+KEYWORDS = (
+    "abstract", "any", "as", "async", "await", "base", "bool", "boolean", "break", "byte", "case", "catch", "char", "checked", "class", "const", "continue", "debugger", "decimal", "declare", "default", "delegate",
+    "delete", "do", "double", "else", "enum", "event", "explicit", "export", "extends", "extern", "finally", "fixed", "float", "for", "foreach", "from", "function", "get", "goto", "if", "implements", "implicit",
+    "import", "in", "infer", "init", "instanceof", "int", "interface", "internal", "is", "keyof", "let", "lock", "long", "module", "namespace", "never", "new", "number", "object", "of", "operator", "out", "override",
+    "params", "partial", "private", "protected", "public", "readonly", "record", "ref", "return", "sbyte", "sealed", "set", "short", "sizeof", "stackalloc", "static", "string", "struct", "super", "switch", "symbol",
+    "this", "throw", "try", "type", "typeof", "uint", "ulong", "unchecked", "undefined", "unknown", "unsafe", "ushort", "using", "var", "virtual", "void", "volatile", "when", "where", "while", "with", "yield",
+)
+LITERAL_WORDS = ("true", "false", "null")
+#: Between the parts that a hash covers.
+JOIN = "\x01"
 
 
 def normalize(source: Column) -> Column:
@@ -15,23 +31,43 @@ def normalize(source: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(source, COMMENT, " "), r"(?U)\s+", " "))
 
 
-def comment_count(source: Column) -> Column:
-    return F.regexp_count(source, F.lit(COMMENT))
-
-
 def exact_hash(source: Column) -> Column:
     return F.sha2(normalize(source), 256)
 
 
 def tokens(source: Column) -> Column:
-    """Tokens of normalised source: words, numbers, single other characters."""
-    return F.regexp_extract_all(normalize(source), F.lit(r"[\p{L}_][\p{L}\p{N}_]*|[0-9]+|[^\s]"), F.lit(0))
+    """Tokens of source text, comments among them."""
+    return F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0))
+
+
+def is_comment(token: Column) -> Column:
+    return token.startswith("//") | token.startswith("/*")
+
+
+def kind(token: Column) -> Column:
+    """What a token is whatever a name or a value says: keywords and signs stay, names are ID, values LIT."""
+    first = F.substring(token, 1, 1)
+    quoted = first.isin('"', "'", "`") & (F.length(token) > 1)
+    return (
+        F.when(is_comment(token), "comment").when(token.isin(*LITERAL_WORDS) | quoted | first.between("0", "9"), "LIT")
+        .when(token.isin(*KEYWORDS), token).when(first.rlike(r"^[\p{L}_$]"), "ID").otherwise(token)
+    )
+
 
+def token_hashes(every: Column) -> dict[str, Column]:
+    """lexical_hash, token_hash and ast_hash from tokens(). White space and comments
+    don't count, but for the number of comments in ast_hash."""
+    code = F.filter(every, lambda t: ~is_comment(t))
+    kinds = F.array_join(F.transform(code, kind), JOIN)
+    return {
+        "lexical_hash": F.sha2(F.array_join(code, JOIN), 256), "token_hash": F.sha2(kinds, 256),
+        "ast_hash": F.sha2(F.concat(kinds, F.lit("#"), (F.size(every) - F.size(code)).cast("string")), 256),
+    }
 
-def abstract_tokens(source: Column) -> Column:
-    """Tokens with words as ID and numbers as LIT, joined by a space."""
-    kind = lambda t: F.when(t.rlike(r"^[\p{L}_]"), "ID").when(t.rlike("^[0-9]"), "LIT").otherwise(t)
-    return F.array_join(F.transform(tokens(source), kind), " ")
+
+def shape_hash(every: Column, least: int) -> Column:
+    """Hash of the kinds of tokens(), comments among them; null with under ``least``."""
+    return F.when(F.size(every) >= least, F.sha2(F.array_join(F.transform(every, kind), JOIN), 256))
 
 
 def lines(source: Column) -> Column:
@@ -99,13 +135,26 @@ def kind_icon(kind: Column) -> Column:
     )
 
 
-def short_path(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) <= 2, path).otherwise(F.array_join(F.slice(parts, -2, 2), "/"))
+def truncate(value: Column, most: int) -> Column:
+    """value, with an ellipsis in place of what is over ``most`` characters."""
+    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, max(0, most - 1)), F.lit("…"))).otherwise(value)
+
+
+def short_path(path: Column, most: int | None = None) -> Column:
+    """The last two segments."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    found = F.coalesce(F.when(F.size(parts) <= 2, path).otherwise(F.array_join(F.slice(parts, -2, 2), "/")), F.lit(""))
+    return found if most is None else truncate(found, most)
 
 
-def script_safe(json: Column) -> Column:
-    return F.replace(json, F.lit("</"), F.lit("<\\/"))
+def wrap_label(path: Column, most: int) -> Column:
+    """A short path as one line, or as two: its folder and its name, or its halves."""
+    label = short_path(path, 64)
+    parts, half = F.split(label, "/"), F.ceil(F.length(label) / 2).cast("int")
+    folder, name = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), "/"), F.element_at(parts, -1)
+    first = F.when(F.size(parts) > 1, folder).otherwise(F.substr(label, F.lit(1), half))
+    second = F.when(F.size(parts) > 1, name).otherwise(F.substr(label, half + 1, F.length(label)))
+    return F.when(F.length(label) <= most, F.array(label)).otherwise(F.array(truncate(first, most), truncate(second, most)))
 
 
 def html_escape(text: Column) -> Column:

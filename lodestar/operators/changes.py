@@ -34,15 +34,17 @@ def _both(base: DataFrame, head: DataFrame, keys: Sequence[str], rest: Sequence[
     b, a = side(base, "b"), side(head, "a")
     cond = None
     for k in keys:
-        c = b[f"bk_{k}"] == a[f"ak_{k}"]
+        c = b[f"bk_{k}"].eqNullSafe(a[f"ak_{k}"])
         cond = c if cond is None else cond & c
     found = b.join(a, cond, "full_outer")
     return found.select(*(F.coalesce(f"ak_{k}", f"bk_{k}").alias(k) for k in keys), *(F.col(f"{x}_{c}") for x in "ba" for c in rest), F.col("b_in").isNotNull().alias("in_base"), F.col("a_in").isNotNull().alias("in_head"))
 
 
 def diff_files(base: DataFrame, head: DataFrame) -> DataFrame:
-    """path, change (added, removed, modified) of files (path, hashes)."""
-    found = _both(base, head, ["path"], HASHES)
+    """path, change (added, removed, modified) of files (path, hashes; ord if paths repeat).
+    Of rows that repeat a path the last by ord counts, or without ord the one with the greatest hashes."""
+    last = lambda df: last_wins(df, ["path"], [F.col(c) for c in (["ord"] if "ord" in df.columns else HASHES)])
+    found = _both(last(base), last(head), ["path"], HASHES)
     change = F.when(~F.col("in_base"), "added").when(~F.col("in_head"), "removed").when(_differ(HASHES), "modified")
     return found.select("path", change.alias("change")).where("change is not null")
 
@@ -100,6 +102,18 @@ def diff_entities(base: DataFrame, head: DataFrame, order: Sequence[str] = ("fil
     )
 
 
+def by_file(changes: DataFrame) -> DataFrame:
+    """changes with path, one row for each file that they touch (file_path and
+    old_file_path), in order of path, entity key and kind."""
+    touched = F.explode(F.array_distinct(F.array_compact(F.array("file_path", "old_file_path"))))
+    return changes.withColumn("path", touched).orderBy("path", "entity_key", "kind")
+
+
+def of_file(changes: DataFrame, path: str) -> DataFrame:
+    """The changes of one file, under its old or its new path."""
+    return changes.where((F.col("file_path") == path) | F.col("old_file_path").eqNullSafe(path))
+
+
 def files_affected(changes: DataFrame) -> DataFrame:
     return changes.select("file_path").distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths, text
@@ -10,14 +10,26 @@ from lodestar.functions import paths, text
 MIN_TOKENS = 15
 
 
+def with_fingerprints(entities: DataFrame, source: str = "source", min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """entities with exact_hash (of the normalised source) and shape_hash (of the kinds of
+    its tokens, null with under min_tokens), but for those that it has. Texts are
+    read once; callers that use both clone operators store the result without them."""
+    found = entities
+    if "exact_hash" not in found.columns:
+        found = found.withColumn("exact_hash", text.exact_hash(F.col(source)))
+    if "shape_hash" not in found.columns:
+        found = found.withColumn("_tokens", text.tokens(F.col(source))).withColumn("shape_hash", text.shape_hash(F.col("_tokens"), min_tokens)).drop("_tokens")
+    return found
+
+
 def exact_clones(entities: DataFrame, source: str = "source") -> DataFrame:
     """entities with group_key and group_size, of groups of two or more with equal normalised source.
 
     Sizes are aggregated map-side and joined back, so no group meets in one task
     unless AQE finds it small.
     """
-    keyed = entities.withColumn("group_key", text.exact_hash(F.col(source)))
-    return _members(keyed, "group_key")
+    hashed = F.col("exact_hash") if "exact_hash" in entities.columns else text.exact_hash(F.col(source))
+    return _members(entities.withColumn("group_key", hashed), "group_key")
 
 
 def _members(keyed: DataFrame, key: str) -> DataFrame:
@@ -29,13 +41,20 @@ def structural_clones(entities: DataFrame, source: str = "source", min_tokens: i
     """entities with group_key and group_size, of groups of two or more with equal
     token shapes of min_tokens tokens or more, less groups in which every
     member's exact source is shared by two entities anywhere."""
-    shape = text.abstract_tokens(F.col(source))
-    keyed = entities.withColumn("_shape", shape).withColumn("_exact", text.exact_hash(F.col(source)))
-    exact = keyed.groupBy("_exact").agg(F.count("*").alias("_n"))
-    keyed = keyed.withColumn("group_key", F.when(F.size(F.split("_shape", " ")) >= min_tokens, F.sha2("_shape", 256))).drop("_shape")
-    keyed = keyed.where("group_key is not null").join(exact, "_exact")
-    groups = keyed.groupBy("group_key").agg(F.count("*").alias("group_size"), F.bool_and(F.col("_n") >= 2).alias("_all")).where("group_size >= 2 and not _all")
-    return keyed.drop("_exact", "_n").join(groups.drop("_all"), "group_key")
+    keyed = with_fingerprints(entities, source, min_tokens)
+    exact = keyed.groupBy("exact_hash").agg(F.count("*").alias("_n"))
+    # one row for each shape and source, so that only these meet
+    shapes = keyed.where("shape_hash is not null").groupBy("shape_hash", "exact_hash").agg(F.count("*").alias("_here")).join(exact, "exact_hash")
+    groups = shapes.groupBy(F.col("shape_hash").alias("group_key")).agg(F.sum("_here").alias("group_size"), F.bool_and(F.col("_n") >= 2).alias("_all")).where("group_size >= 2 and not _all")
+    found = keyed.withColumn("group_key", F.col("shape_hash")).join(groups.drop("_all"), "group_key")
+    return found.drop(*(c for c in ("exact_hash", "shape_hash") if c not in entities.columns))
+
+
+def clone_members(files: DataFrame, fingerprint: str) -> DataFrame:
+    """fingerprint, path, n: a row for each member of groups of two or more. At any
+    size of group; clone_groups() puts a group in one row, for reports."""
+    rows = files.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("fingerprint"), "path")
+    return rows.join(rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "fingerprint")
 
 
 def clone_groups(files: DataFrame, fingerprint: str) -> DataFrame:
@@ -85,8 +104,3 @@ def path_counts(changes: DataFrame) -> DataFrame:
     """Changes by each path that they touch, old or new."""
     touched = changes.select(F.explode(F.array_distinct(F.array_compact(F.array("file_path", "old_file_path")))).alias("path"))
     return touched.groupBy("path").agg(F.count("*").alias("n"))
-
-
-def rank_by_hash(groups: DataFrame) -> DataFrame:
-    """Groups numbered in order of fingerprint (one row per group)."""
-    return groups.withColumn("ord", F.row_number().over(Window.orderBy("fingerprint")))

@@ -44,62 +44,79 @@ def with_spans(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("span", F.struct(*SPAN))
 
 
-def _rows(df: DataFrame, code: Column, subject: Column, title: Column, detail: Column, severity: Column | None = None, message: Column | None = None, spans: Column | None = None) -> DataFrame:
-    """Findings; with spans also their evidence, one message and the places it is about."""
-    evidence = [] if spans is None else [F.array(F.struct(message.alias("message"), spans.alias("spans"))).alias("evidence")]
+SPANS = "array<struct<file:string,start_line:int,start_column:int,end_line:int,end_column:int>>"
+
+
+def _rows(df: DataFrame, code: Column, subject: Column, position: Column, title: Column, detail: Column, severity: Column | None = None, message: Column | None = None, spans: Column | None = None) -> DataFrame:
+    """Findings; position orders those of one section. With spans also their evidence, one message and the places it is about."""
+    none = F.array().cast(SPANS)
+    evidence = [] if spans is None else [F.array(F.struct(message.alias("message"), F.coalesce(spans, none).alias("spans"))).alias("evidence")]
     rows = df.select(
-        *evidence, code.alias("code"), subject.alias("subject"), title.alias("title"), detail.alias("detail"), (F.lit(None).cast("string") if severity is None else severity).alias("own")
+        *evidence, code.alias("code"), subject.alias("subject"), position.alias("position"), title.alias("title"), detail.alias("detail"), (F.lit(None).cast("string") if severity is None else severity).alias("own")
     )
     c = F.col("code")
     return rows.select(
-        _case(c, 3).alias("section"), "code", "subject", F.coalesce("own", _case(c, 0)).alias("severity"), _case(c, 1).alias("confidence"), _case(c, 2).alias("risk_score"), "title", "detail", *(["evidence"] if evidence else [])
+        _case(c, 3).alias("section"), "position", "code", "subject", F.coalesce("own", _case(c, 0)).alias("severity"), _case(c, 1).alias("confidence"), _case(c, 2).alias("risk_score"), "title", "detail", *(["evidence"] if evidence else [])
     )
 
 
-def file_findings(changes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """changes: path, change; symbols (file, name, ord): named in the detail."""
+def _file_spans(symbols: DataFrame, key: str) -> DataFrame:
+    """key (the file), names and spans of its symbols in order."""
+    placed = "span" in symbols.columns
+    some = F.sort_array(F.collect_list(F.struct("ord", "name", *(["span"] if placed else []))))
+    found = symbols.groupBy(F.col("file").alias(key)).agg(some.alias("s"))
+    return found.select(key, F.array_join("s.name", ", ").alias("names"), *([F.col("s.span").alias("spans")] if placed else []))
+
+
+def file_findings(changes: DataFrame, symbols: DataFrame | None = None, head: DataFrame | None = None) -> DataFrame:
+    """changes: path, change; symbols (file, name, ord, span): named in the detail. With head
+    (path), changes of files that it lacks are left out, but for removals."""
     path, message, spans = F.col("path"), None, None
+    if head is not None:
+        here = head.select("path", F.lit(True).alias("here")).distinct()
+        changes = changes.join(here, "path", "left").where("change = 'removed' OR here").drop("here")
     if symbols is not None:
-        placed = "span" in symbols.columns
-        some = F.sort_array(F.collect_list(F.struct("ord", "name", *(["span"] if placed else []))))
-        names = symbols.groupBy(F.col("file").alias("path")).agg(some.alias("s"))
-        names = names.select("path", F.array_join("s.name", ", ").alias("names"), *([F.col("s.span").alias("spans")] if placed else []))
-        if placed:
-            message = _say("file ", F.col("change"), ": ", path)
+        changes = changes.join(_file_spans(symbols, "path"), "path", "left")
+        if "spans" in changes.columns:
+            message = _say(F.col("change"), " file: ", path)
             spans = F.when(F.col("change") != "removed", F.col("spans"))
-        changes = changes.join(names, "path", "left")
     else:
         changes = changes.withColumn("names", F.lit(None).cast("string"))
     detail = F.when(F.col("change") == "removed", _say(path, " was removed from the head revision")).otherwise(_say(path, " symbols: ", F.coalesce("names", F.lit("<none>"))))
-    return _rows(changes, _say("file.", F.col("change")), path, _say(F.initcap("change"), " `", path, "`"), detail, None, message, spans)
+    return _rows(changes, _say("file.", F.col("change")), path, path, _say(F.initcap("change"), " `", path, "`"), detail, None, message, spans)
 
 
-def rename_findings(renamed: DataFrame) -> DataFrame:
+def rename_findings(renamed: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """renamed: from_path, to_path, content_changed; symbols: those of head, for the evidence."""
     title = _say("Renamed `", F.col("from_path"), "` -> `", F.col("to_path"), "`")
     how = F.when(F.col("content_changed"), " with content changes").otherwise(" with content preserved")
-    return _rows(renamed, F.lit("file.renamed"), F.col("to_path"), title, _say(title, how), F.when(F.col("content_changed"), "Medium"))
+    more = ()
+    if symbols is not None:
+        renamed = renamed.join(_file_spans(symbols, "to_path"), "to_path", "left")
+        more = (_say("rename: ", F.col("from_path"), " -> ", F.col("to_path")), F.col("spans"))
+    return _rows(renamed, F.lit("file.renamed"), F.col("to_path"), F.col("to_path"), title, _say(title, how), F.when(F.col("content_changed"), "Medium"), *more)
 
 
-def _member_spans(groups: DataFrame, symbols: DataFrame) -> DataFrame:
-    """groups with the spans of their members' symbols, in the order of members."""
+def _member_spans(groups: DataFrame, symbols: DataFrame, members: str) -> DataFrame:
+    """groups with the spans of some members' symbols, in the order of members."""
     own = symbols.select("file", "ord", "span")
-    members = groups.select("fingerprint", F.posexplode("members").alias("at", "file")).join(own, "file")
-    spans = members.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "span"))).alias("s")).select("fingerprint", F.col("s.span").alias("spans"))
+    found = groups.select("fingerprint", F.posexplode(members).alias("at", "file")).join(own, "file")
+    spans = found.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "span"))).alias("s")).select("fingerprint", F.col("s.span").alias("spans"))
     return groups.join(spans, "fingerprint", "left")
 
 
 def clone_findings(groups: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    said = _say("Exact clone group across ", text.backtick_list(F.col("members")))
-    more = () if symbols is None else (None, said, F.col("spans"))
-    groups = groups if symbols is None else _member_spans(groups, symbols)
-    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), F.lit("Exact clone group"), said, *more)
+    names = text.backtick_list(F.col("members"))
+    more = () if symbols is None else (None, _say("exact clone group: ", names), F.col("spans"))
+    groups = groups if symbols is None else _member_spans(groups, symbols, "members")
+    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), F.col("fingerprint"), F.lit("Exact clone group"), _say("Exact clone group across ", names), *more)
 
 
 def drift_findings(drifts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    detail = _say("Clone group drifted across ", text.backtick_list(F.col("members")), "; changed members: ", text.backtick_list(F.col("changed_members")))
-    more = () if symbols is None else (None, detail, F.col("spans"))
-    drifts = drifts if symbols is None else _member_spans(drifts, symbols)
-    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), F.lit("Clone drift detected"), detail, *more)
+    said = _say(text.backtick_list(F.col("members")), "; changed members: ", text.backtick_list(F.col("changed_members")))
+    more = () if symbols is None else (None, _say("clone drift: ", said), F.col("spans"))
+    drifts = drifts if symbols is None else _member_spans(drifts, symbols, "changed_members")
+    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), F.col("fingerprint"), F.lit("Clone drift detected"), _say("Clone group drifted across ", said), *more)
 
 
 def _change_evidence(changes: DataFrame) -> tuple:
@@ -110,17 +127,22 @@ def _change_evidence(changes: DataFrame) -> tuple:
     return None, _say("symbol change: ", F.col("qualified_name"), " in ", F.col("file")), spans
 
 
+def _change_position() -> Column:
+    """By file; there additions and modifications before removals, each by kind and name."""
+    return F.concat_ws("|", "file", F.when(F.col("kind") == "removed", "1").otherwise("0"), "symbol_kind", "qualified_name")
+
+
 def symbol_findings(changes: DataFrame) -> DataFrame:
     name, kind = _say("`", F.col("qualified_name"), "`"), F.col("kind")
     verb = F.when(kind == "added", " now defines ").when(kind == "removed", " no longer defines ").otherwise(" changed ")
-    return _rows(changes, _say("symbol.", kind), F.col("qualified_name"), _say(F.initcap(kind), " symbol ", name), _say(F.col("file"), verb, name, " (", F.col("symbol_kind"), ")"), *_change_evidence(changes))
+    return _rows(changes, _say("symbol.", kind), F.col("qualified_name"), _change_position(), _say(F.initcap(kind), " symbol ", name), _say(F.col("file"), verb, name, " (", F.col("symbol_kind"), ")"), *_change_evidence(changes))
 
 
 def api_findings(changes: DataFrame) -> DataFrame:
     kind, name = F.col("kind"), _say("`", F.col("qualified_name"), "`")
     word = F.when(kind == "modified", "changed").otherwise(kind)
     how = F.when(kind == "added", " is now available in ").when(kind == "removed", " is no longer available in ").otherwise(" changed in ")
-    return _rows(changes.where("exported"), _say("api.", word), F.col("qualified_name"), _say(F.initcap(word), " API ", name), _say("exported ", name, how, F.col("file")), *_change_evidence(changes))
+    return _rows(changes.where("exported"), _say("api.", word), F.col("qualified_name"), _change_position(), _say(F.initcap(word), " API ", name), _say("exported ", name, how, F.col("file")), *_change_evidence(changes))
 
 
 def all_findings(*parts: DataFrame) -> DataFrame:
@@ -132,7 +154,7 @@ def all_findings(*parts: DataFrame) -> DataFrame:
 
 def top_risks(findings: DataFrame, n: int = TOP_RISKS) -> DataFrame:
     """The findings of highest risk; ties in the order of the report."""
-    order = [F.desc("risk_score"), "section", "detail"]
+    order = [F.desc("risk_score"), "section", "position"]
     return findings.where("risk_score > 0").orderBy(*order).limit(n)
 
 
@@ -142,5 +164,5 @@ def summary(counts: DataFrame) -> DataFrame:
              ("clones", "exact clone group", "exact clone groups"), ("symbols", "symbol change", "symbol changes"), ("apis", "api change", "api changes")]
     parts = F.filter(F.array(*(F.when(F.col(c) > 0, text.count_phrase(F.col(c), one, many)) for c, one, many in names)), lambda x: x.isNotNull())
     said = F.when(F.size(parts) == 0, "No relevant changes detected.").otherwise(_say("Detected ", text.join_phrases(parts), "."))
-    drift = F.when(F.col("drifts") > 0, _say(" Also detected ", F.col("drifts").cast("string"), " clone drift group(s).")).otherwise("")
+    drift = F.when(F.col("drifts") > 0, _say(" Also detected ", text.count_phrase(F.col("drifts"), "clone drift group", "clone drift groups"), ".")).otherwise("")
     return counts.select(F.concat(said, drift).alias("summary"))

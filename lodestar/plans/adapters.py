@@ -9,33 +9,39 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 
-WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-COMMENT = r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*"
-SQL_N1 = rf"trim(regexp_replace(regexp_replace(%s, '{COMMENT}', ' ', 'g'), '{WS}', ' ', 'g'))"
-SQL_SHAPE = r"array_to_string(list_transform(regexp_extract_all(%s, '[\p{L}_][\p{L}\p{N}_]*|[0-9]+|[^\s]'), lambda t: CASE WHEN regexp_matches(t, '^[\p{L}_]') THEN 'ID' WHEN regexp_matches(t, '^[0-9]') THEN 'LIT' ELSE t END), ' ')"
+COMMENT = text.COMMENT
+SQL_N1 = rf"trim(regexp_replace(regexp_replace(%s, '{COMMENT}', ' ', 'g'), '[{text.SPACES}]+', ' ', 'g'))"
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+SQL_TOKENS = "regexp_extract_all(%s, '" + text.TOKEN.replace("'", "''") + "')"
+SQL_COMMENT = "(starts_with(t, '//') OR starts_with(t, '/*'))"
+SQL_KIND = (
+    f"CASE WHEN {SQL_COMMENT} THEN 'comment' WHEN t IN ({_quoted(text.LITERAL_WORDS)}) OR (t[1] IN ('\"', '''', '`') AND length(t) > 1) OR (t[1] >= '0' AND t[1] <= '9') THEN 'LIT'"
+    rf" WHEN t IN ({_quoted(text.KEYWORDS)}) THEN t WHEN regexp_matches(t[1], '^[\p{{L}}_$]') THEN 'ID' ELSE t END"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_hashes(files: DataFrame) -> DataFrame:
-    source, shape = F.col("source"), text.abstract_tokens(F.col("source"))
-    return files.withColumns(
-        {
-            "lexical_hash": text.exact_hash(source), "token_hash": F.sha2(shape, 256),
-            "ast_hash": F.sha2(F.concat(shape, F.lit("#"), text.comment_count(source).cast("string")), 256),
-        }
-    )
+def hashed(files: DataFrame) -> DataFrame:
+    """path and the three hashes of files (path, source), tokenised once."""
+    every = files.select("path", text.tokens(F.col("source")).alias("every"))
+    return every.select("path", *(c.alias(k) for k, c in text.token_hashes(F.col("every")).items()))
 
 
 def _doc_path():
     return F.concat(F.col("source"), F.lit("/src/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise(".cs"))
 
 
+def doc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file."""
+    return table(spark, sf_dir, "documents").select("doc_id", _doc_path().alias("path"), F.col("text").alias("source"))
+
+
 def doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3")
-    return _with_hashes(docs.select("doc_id", _doc_path().alias("path"), F.col("text").alias("source")))
+    return hashed(docs.select(_doc_path().alias("path"), F.col("text").alias("source")))
 
 
 def doc_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def doc_head(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(digit == 4, F.concat(F.lit("/* hdr */ "), "text")).otherwise(F.col("text"))
     )
     path = F.when(digit == 5, F.concat(F.lit("moved/"), _doc_path())).otherwise(_doc_path())
-    return _with_hashes(docs.select("doc_id", path.alias("path"), edited.alias("source")))
+    return hashed(docs.select(path.alias("path"), edited.alias("source")))
 
 
 def doc_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,19 +60,19 @@ def doc_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_PATH = "source || '/src/' || lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.cs' END"
-_SQL_HASHED = f"*, sha256(n1) AS lexical_hash, sha256(shape) AS token_hash, sha256(shape || '#' || len(regexp_extract_all(source, '{COMMENT}'))) AS ast_hash"
-
-
 def _sql_hashed(name: str, raw: str) -> str:
-    return f"{name} AS (SELECT {_SQL_HASHED} FROM (SELECT *, {SQL_SHAPE % 'n1'} AS shape FROM (SELECT *, {SQL_N1 % 'source'} AS n1 FROM ({raw}))))"
+    return f"""{name} AS (SELECT path, sha256(array_to_string(code, chr(1))) AS lexical_hash, sha256(kinds) AS token_hash, sha256(kinds || '#' || (len(every) - len(code))) AS ast_hash
+  FROM (SELECT *, array_to_string(list_transform(code, lambda t: {SQL_KIND}), chr(1)) AS kinds FROM (SELECT *, list_filter(every, lambda t: NOT {SQL_COMMENT}) AS code
+  FROM (SELECT path, {SQL_TOKENS % 'source'} AS every FROM ({raw})))))"""
 
 
+SQL_ALL = _sql_hashed("doc_all", f"SELECT {_SQL_PATH} AS path, text AS source FROM documents")
 SQL_DOCS = ",\n".join(
     [
-        _sql_hashed("doc_base", f"SELECT doc_id, {_SQL_PATH} AS path, text AS source FROM documents WHERE doc_id % 10 <> 3"),
+        _sql_hashed("doc_base", f"SELECT {_SQL_PATH} AS path, text AS source FROM documents WHERE doc_id % 10 <> 3"),
         _sql_hashed(
             "doc_head",
-            f"SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN 'moved/' || {_SQL_PATH} ELSE {_SQL_PATH} END AS path, CASE doc_id % 10 WHEN 1 THEN text || ' // note' WHEN 2 THEN text || ' changed' WHEN 4 THEN '/* hdr */ ' || text ELSE text END AS source FROM documents WHERE doc_id % 10 <> 7",
+            f"SELECT CASE WHEN doc_id % 10 = 5 THEN 'moved/' || {_SQL_PATH} ELSE {_SQL_PATH} END AS path, CASE doc_id % 10 WHEN 1 THEN text || ' // note' WHEN 2 THEN text || ' changed' WHEN 4 THEN '/* hdr */ ' || text ELSE text END AS source FROM documents WHERE doc_id % 10 <> 7",
         ),
         f"renames AS (SELECT {_SQL_PATH} AS from_path, 'moved/' || {_SQL_PATH} AS to_path FROM documents WHERE doc_id % 10 = 5)",
     ]

@@ -9,6 +9,7 @@ from lodestar.functions import paths, text
 from lodestar.operators import changes, clones, findings
 from lodestar.plans import adapters as v
 from lodestar.plans import samples
+from lodestar.sources.store import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,6 +109,16 @@ def files_affected(spark, d):
     return changes.files_affected(_line_diff(spark, d))
 
 
+@query(f"{_LINES} SELECT path, count(*) AS n, min(entity_key) AS first FROM (SELECT file_path AS path, entity_key FROM ec UNION ALL SELECT old_file_path, entity_key FROM ec WHERE old_file_path IS NOT NULL AND old_file_path <> file_path) GROUP BY path")
+def changes_by_file(spark, d):
+    return changes.by_file(_line_diff(spark, d)).groupBy("path").agg(F.count("*").alias("n"), F.min("entity_key").alias("first"))
+
+
+@query(f"{_LINES} SELECT * FROM ec WHERE file_path = '7' OR old_file_path = '7'")
+def changes_of_file(spark, d):
+    return changes.of_file(_line_diff(spark, d), "7")
+
+
 @query(f"{_LINES} SELECT path, count(*) AS n FROM (SELECT file_path AS path FROM ec UNION ALL SELECT old_file_path FROM ec WHERE old_file_path IS NOT NULL) GROUP BY path")
 def path_change_counts(spark, d):
     return clones.path_counts(_line_diff(spark, d))
@@ -162,30 +173,38 @@ def api_changes(spark, d):
 # ---- clones and components
 
 
-@query(f"{_DOCS} SELECT doc_id, lexical_hash AS group_key, n AS group_size FROM (SELECT *, count(*) OVER (PARTITION BY lexical_hash) AS n FROM doc_head) WHERE n >= 2")
+@query(f"SELECT doc_id, group_key, n AS group_size FROM (SELECT doc_id, group_key, count(*) OVER (PARTITION BY group_key) AS n FROM (SELECT doc_id, sha256({v.SQL_N1 % 'text'}) AS group_key FROM documents)) WHERE n >= 2 AND group_key IS NOT NULL")
 def exact_clones(spark, d):
-    return clones.exact_clones(v.doc_head(spark, d).select("doc_id", "source")).select("doc_id", "group_key", "group_size")
+    hashed = stored(v.doc_all(spark, d).select("doc_id", text.exact_hash(F.col("source")).alias("exact_hash")))
+    return clones.exact_clones(hashed).drop("exact_hash")
 
 
-@query(f"""WITH {v.SQL_STRUCT}, a AS (SELECT doc_id, {v.SQL_N1 % 'source'} AS n1 FROM struct_docs), b AS (SELECT doc_id, n1, {v.SQL_SHAPE % 'n1'} AS shape FROM a),
-c AS (SELECT doc_id, shape, count(*) OVER (PARTITION BY n1) AS nx FROM b), e AS (SELECT sha256(shape) AS group_key, count(*) AS group_size FROM c WHERE len(string_split(shape, ' ')) >= 15 GROUP BY shape HAVING count(*) >= 2 AND NOT bool_and(nx >= 2))
-SELECT doc_id, group_key, group_size FROM c JOIN e ON sha256(shape) = group_key""")
+@query(f"""WITH {v.SQL_STRUCT}, a AS (SELECT doc_id, {v.SQL_N1 % 'source'} AS n1, {v.SQL_TOKENS % 'source'} AS every FROM struct_docs),
+b AS (SELECT doc_id, n1, len(every) AS nt, sha256(array_to_string(list_transform(every, lambda t: {v.SQL_KIND}), chr(1))) AS shape FROM a),
+c AS (SELECT doc_id, nt, shape, count(*) OVER (PARTITION BY n1) AS nx FROM b), e AS (SELECT shape AS group_key, count(*) AS group_size FROM c WHERE nt >= 15 GROUP BY shape HAVING count(*) >= 2 AND NOT bool_and(nx >= 2))
+SELECT doc_id, group_key, group_size FROM c JOIN e ON shape = group_key AND nt >= 15""")
 def structural_clones(spark, d):
-    return clones.structural_clones(v.struct_docs(spark, d)).select("doc_id", "group_key", "group_size")
+    hashed = stored(clones.with_fingerprints(v.struct_docs(spark, d)).select("doc_id", "exact_hash", "shape_hash"))
+    return clones.structural_clones(hashed).select("doc_id", "group_key", "group_size")
 
 
 def _groups(df):
     return df.select("fingerprint", F.array_join("members", ",").alias("members"))
 
 
-@query(f"{_DOCS} SELECT lexical_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_head GROUP BY lexical_hash HAVING count(*) > 1")
+@query(f"WITH {v.SQL_ALL} SELECT lexical_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_all WHERE lexical_hash IS NOT NULL GROUP BY lexical_hash HAVING count(*) > 1")
 def lexical_clone_groups(spark, d):
-    return _groups(clones.clone_groups(v.doc_head(spark, d), "lexical_hash"))
+    return _groups(clones.clone_groups(v.hashed(v.doc_all(spark, d)), "lexical_hash"))
 
 
-@query(f"{_DOCS} SELECT token_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_base GROUP BY token_hash HAVING count(*) > 1")
+@query(f"WITH {v.SQL_ALL} SELECT token_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_all WHERE token_hash IS NOT NULL GROUP BY token_hash HAVING count(*) > 1")
 def token_clone_groups(spark, d):
-    return _groups(clones.clone_groups(v.doc_base(spark, d), "token_hash"))
+    return _groups(clones.clone_groups(v.hashed(v.doc_all(spark, d)), "token_hash"))
+
+
+@query(f"WITH {v.SQL_ALL} SELECT lexical_hash AS fingerprint, path, n FROM (SELECT *, count(*) OVER (PARTITION BY lexical_hash) AS n FROM doc_all WHERE lexical_hash IS NOT NULL) WHERE n > 1")
+def clone_members(spark, d):
+    return clones.clone_members(stored(v.hashed(v.doc_all(spark, d))), "lexical_hash")
 
 
 _DRIFT = """dr AS (SELECT fp AS fingerprint, count(*) AS n_members, string_agg(path, ',' ORDER BY path) AS members, string_agg(path, ',' ORDER BY path) FILTER (now IS DISTINCT FROM fp) AS changed_members,
@@ -196,7 +215,7 @@ _DRIFT = """dr AS (SELECT fp AS fingerprint, count(*) AS n_members, string_agg(p
 
 @query(f"{_DOCS}, {_DRIFT} SELECT fingerprint, n_members, members, changed_members FROM dr")
 def clone_drift(spark, d):
-    found = clones.clone_drift(v.doc_base(spark, d), v.doc_head(spark, d))
+    found = clones.clone_drift(stored(v.doc_base(spark, d)), v.doc_head(spark, d))
     return found.select("fingerprint", "n_members", F.array_join("members", ",").alias("members"), F.array_join("changed_members", ",").alias("changed_members"))
 
 
@@ -224,6 +243,13 @@ def path_scope(spark, d):
     return v.page_paths(spark, d).where(paths.matches_filters(F.col("path"), ["./framework\\src/", "templates/a"])).select("page_id", "path")
 
 
+@query(f"WITH {v.SQL_PAGES}, f AS (SELECT DISTINCT regexp_replace(id, '^.*?/', 'x/') AS id FROM comp WHERE page_id % 5 = 0 UNION SELECT id FROM comp WHERE page_id % 3 = 0) SELECT page_id, path FROM page_paths WHERE EXISTS (SELECT 1 FROM f WHERE path = id OR starts_with(path, id || '/'))")
+def path_scope_table(spark, d):
+    pages = v.page_paths(spark, d).withColumn("id", paths.component_id(F.col("path")))
+    other = pages.where("page_id % 5 = 0").select(F.regexp_replace("id", "^.*?/", "x/").alias("filter"))
+    return paths.in_scope(pages, other.unionByName(pages.where("page_id % 3 = 0").select(F.col("id").alias("filter")))).select("page_id", "path")
+
+
 _GEN = "CASE page_id % 5 WHEN 0 THEN 'a/Obj/x.cs' WHEN 1 THEN 'a/node_modules/' || page_id WHEN 2 THEN 'a/b.Generated.cs' WHEN 3 THEN 'a\\dist\\c.ts' ELSE 'src/objects/d.ts' END"
 
 
@@ -239,17 +265,31 @@ def code_lines(spark, d):
     return v.table(spark, d, "documents").select("doc_id", text.code_lines(F.col("text")).alias("code_lines"))
 
 
-@query(f"{_DOCS} SELECT doc_id, n1 AS normalized FROM doc_head")
+@query(f"SELECT doc_id, {v.SQL_N1 % 'text'} AS normalized FROM documents")
 def normalize_text(spark, d):
-    return v.doc_head(spark, d).select("doc_id", text.normalize(F.col("source")).alias("normalized"))
+    return v.doc_all(spark, d).select("doc_id", text.normalize(F.col("source")).alias("normalized"))
+
+
+@query(f"""WITH {v.SQL_ALL} SELECT * FROM doc_all""")
+def file_hashes(spark, d):
+    return v.hashed(v.doc_all(spark, d))
+
 
+_FOLD = "{'code': 0::BIGINT, 'comment': 0::BIGINT, 'blank': 0::BIGINT, 'open': false, 'l': %s}"
 
-@query()
+
+@query(f"""WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), lambda s: {_FOLD % "trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"}) END AS ls FROM documents),
+f AS (SELECT doc_id, list_reduce(ls, lambda a, x: {{'code': a.code + CASE WHEN x.l <> '' AND NOT (a.open OR starts_with(x.l, '/*') OR starts_with(x.l, '//')) THEN 1 ELSE 0 END,
+  'comment': a.comment + CASE WHEN x.l <> '' AND (a.open OR starts_with(x.l, '/*') OR starts_with(x.l, '//')) THEN 1 ELSE 0 END, 'blank': a.blank + CASE WHEN x.l = '' THEN 1 ELSE 0 END,
+  'open': CASE WHEN x.l = '' THEN a.open WHEN a.open THEN NOT contains(x.l, '*/') WHEN starts_with(x.l, '/*') THEN NOT contains(substr(x.l, 3), '*/') ELSE false END, 'l': x.l}}, {_FOLD % "''"}) AS m FROM l)
+SELECT doc_id, m.code AS code, m.comment AS comment, m.blank AS blank FROM f""")
 def line_metrics(spark, d):
     return v.table(spark, d, "documents").select("doc_id", text.line_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query()
+@query("""WITH b AS (SELECT p_partkey, list_transform(range(0, length(hex(encode(p_name))) // 2), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i::INT + 1, 2))::HUGEINT) AS bs FROM part),
+h AS (SELECT p_partkey, list_reduce(bs, lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM b)
+SELECT p_partkey, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS hash FROM h""")
 def fnv64(spark, d):
     return v.table(spark, d, "part").select("p_partkey", text.fnv1a_64(F.col("p_name")).alias("hash"))
 
@@ -265,7 +305,7 @@ def language_detect(spark, d):
 
 
 def _findings(spark, d):
-    base, head, renames = v.doc_base(spark, d), v.doc_head(spark, d), v.doc_renames(spark, d)
+    base, head, renames = stored(v.doc_base(spark, d)), stored(v.doc_head(spark, d)), v.doc_renames(spark, d)
     symbols = _symbols(spark, d)
     return findings.all_findings(
         findings.file_findings(changes.without_renames(changes.diff_files(base, head), renames)),
@@ -279,15 +319,16 @@ def _findings(spark, d):
 
 _FINDINGS = f"""{_SYMBOLS}, {v.SQL_DOCS},
 {_FILE_DIFF}, {_RENAMED}, {_DRIFT},
-cg AS (SELECT string_agg('`' || path || '`', ', ' ORDER BY path) AS tm, min(path) AS first FROM doc_head GROUP BY lexical_hash HAVING count(*) > 1),
-fi AS (SELECT CASE change WHEN 'modified' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS section, 'file.' || change AS code, path AS subject, CASE change WHEN 'modified' THEN 'Medium' ELSE 'Low' END AS severity, CASE change WHEN 'modified' THEN 0.96 ELSE 0.95 END::DOUBLE AS confidence, 0.0::DOUBLE AS risk_score,
+cg AS (SELECT lexical_hash AS fingerprint, string_agg('`' || path || '`', ', ' ORDER BY path) AS tm, min(path) AS first FROM doc_head WHERE lexical_hash IS NOT NULL GROUP BY lexical_hash HAVING count(*) > 1),
+sp AS (SELECT *, file || '|' || CASE kind WHEN 'removed' THEN '1' ELSE '0' END || '|' || symbol_kind || '|' || qualified_name AS position FROM sc),
+fi AS (SELECT CASE change WHEN 'modified' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS section, path AS position, 'file.' || change AS code, path AS subject, CASE change WHEN 'modified' THEN 'Medium' ELSE 'Low' END AS severity, CASE change WHEN 'modified' THEN 0.96 ELSE 0.95 END::DOUBLE AS confidence, 0.0::DOUBLE AS risk_score,
   upper(change[1]) || change[2:] || ' `' || path || '`' AS title, CASE change WHEN 'removed' THEN path || ' was removed from the head revision' ELSE path || ' symbols: <none>' END AS detail FROM fr
-UNION ALL SELECT 3, 'clone.exact', first, 'Medium', 0.99, 0.0, 'Exact clone group', 'Exact clone group across ' || tm FROM cg
-UNION ALL SELECT 4, 'file.renamed', to_path, CASE WHEN content_changed THEN 'Medium' ELSE 'Low' END, 0.98, 0.0, 'Renamed `' || from_path || '` -> `' || to_path || '`', 'Renamed `' || from_path || '` -> `' || to_path || '`' || CASE WHEN content_changed THEN ' with content changes' ELSE ' with content preserved' END FROM rn
-UNION ALL SELECT 5, 'symbol.' || kind, qualified_name, CASE kind WHEN 'added' THEN 'Low' ELSE 'Medium' END, 0.97, 0.0, upper(kind[1]) || kind[2:] || ' symbol `' || qualified_name || '`', file || CASE kind WHEN 'added' THEN ' now defines `' WHEN 'removed' THEN ' no longer defines `' ELSE ' changed `' END || qualified_name || '` (' || symbol_kind || ')' FROM sc
-UNION ALL SELECT 6, 'api.' || CASE kind WHEN 'modified' THEN 'changed' ELSE kind END, qualified_name, CASE kind WHEN 'added' THEN 'Low' WHEN 'removed' THEN 'High' ELSE 'Medium' END, 0.99, CASE kind WHEN 'added' THEN 0.2 WHEN 'removed' THEN 0.98 ELSE 0.82 END,
-  CASE kind WHEN 'added' THEN 'Added' WHEN 'removed' THEN 'Removed' ELSE 'Changed' END || ' API `' || qualified_name || '`', 'exported `' || qualified_name || CASE kind WHEN 'added' THEN '` is now available in ' WHEN 'removed' THEN '` is no longer available in ' ELSE '` changed in ' END || file FROM sc WHERE exported
-UNION ALL SELECT 7, 'clone.drift', first, 'Medium', 0.97, 0.0, 'Clone drift detected', 'Clone group drifted across ' || tm || '; changed members: ' || tc FROM dr)"""
+UNION ALL SELECT 3, fingerprint, 'clone.exact', first, 'Medium', 0.99, 0.0, 'Exact clone group', 'Exact clone group across ' || tm FROM cg
+UNION ALL SELECT 4, to_path, 'file.renamed', to_path, CASE WHEN content_changed THEN 'Medium' ELSE 'Low' END, 0.98, 0.0, 'Renamed `' || from_path || '` -> `' || to_path || '`', 'Renamed `' || from_path || '` -> `' || to_path || '`' || CASE WHEN content_changed THEN ' with content changes' ELSE ' with content preserved' END FROM rn
+UNION ALL SELECT 5, position, 'symbol.' || kind, qualified_name, CASE kind WHEN 'added' THEN 'Low' ELSE 'Medium' END, 0.97, 0.0, upper(kind[1]) || kind[2:] || ' symbol `' || qualified_name || '`', file || CASE kind WHEN 'added' THEN ' now defines `' WHEN 'removed' THEN ' no longer defines `' ELSE ' changed `' END || qualified_name || '` (' || symbol_kind || ')' FROM sp
+UNION ALL SELECT 6, position, 'api.' || CASE kind WHEN 'modified' THEN 'changed' ELSE kind END, qualified_name, CASE kind WHEN 'added' THEN 'Low' WHEN 'removed' THEN 'High' ELSE 'Medium' END, 0.99, CASE kind WHEN 'added' THEN 0.2 WHEN 'removed' THEN 0.98 ELSE 0.82 END,
+  CASE kind WHEN 'added' THEN 'Added' WHEN 'removed' THEN 'Removed' ELSE 'Changed' END || ' API `' || qualified_name || '`', 'exported `' || qualified_name || CASE kind WHEN 'added' THEN '` is now available in ' WHEN 'removed' THEN '` is no longer available in ' ELSE '` changed in ' END || file FROM sp WHERE exported
+UNION ALL SELECT 7, fingerprint, 'clone.drift', first, 'Medium', 0.97, 0.0, 'Clone drift detected', 'Clone group drifted across ' || tm || '; changed members: ' || tc FROM dr)"""
 
 
 @query(f"{_FINDINGS} SELECT * FROM fi")
@@ -299,7 +340,7 @@ QUERIES["findings"] = QUERIES.pop("all_findings")
 ORACLE_SQL["findings"] = ORACLE_SQL.pop("all_findings")
 
 
-@query(f"{_FINDINGS} SELECT * FROM fi WHERE risk_score > 0 ORDER BY risk_score DESC, section, detail LIMIT 5")
+@query(f"{_FINDINGS} SELECT * FROM fi WHERE risk_score > 0 ORDER BY risk_score DESC, section, position LIMIT 5")
 def risk_top5(spark, d):
     return findings.top_risks(_findings(spark, d))
 
@@ -324,7 +365,7 @@ _PARTS_SQL = ", ".join(
 
 @query(f"""{_FINDINGS}, {_COUNTS}, p AS (SELECT drifts, list_filter([{_PARTS_SQL}], lambda x: x IS NOT NULL) AS a FROM n)
 SELECT CASE len(a) WHEN 0 THEN 'No relevant changes detected.' WHEN 1 THEN 'Detected ' || a[1] || '.' WHEN 2 THEN 'Detected ' || a[1] || ' and ' || a[2] || '.' ELSE 'Detected ' || array_to_string(a[:-2], ', ') || ', and ' || a[-1] || '.' END
-  || CASE WHEN drifts > 0 THEN ' Also detected ' || drifts || ' clone drift group(s).' ELSE '' END AS summary FROM p""")
+  || CASE WHEN drifts > 0 THEN ' Also detected ' || drifts || CASE WHEN drifts = 1 THEN ' clone drift group.' ELSE ' clone drift groups.' END ELSE '' END AS summary FROM p""")
 def report_summary(spark, d):
     n = lambda when: F.sum(F.when(when, 1).otherwise(0)).cast("long")
     code, section = F.col("code"), F.col("section")
@@ -335,15 +376,20 @@ def report_summary(spark, d):
     return findings.summary(counts)
 
 
-@query()
+_CHANGE = ("kind", "entity_key", "name", "file_path", "entity_kind", "before_signature", "after_signature", "before_source", "after_source", "old_file_path", "old_name")
+_FINDING = ("section", "position", "code", "subject", "severity", "confidence", "risk_score", "title", "detail")
+_as_json = lambda names: "to_json({" + ", ".join(f"'{n}': {n}" for n in names) + "})::VARCHAR"
+
+
+@query(f"{_LINES} SELECT {_as_json(_CHANGE)} AS change FROM ec")
 def manifest_json(spark, d):
     return _line_diff(spark, d).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("change"))
 
 
-@query()
+@query(f"{_FINDINGS} SELECT {_as_json(_FINDING)} AS finding FROM fi")
 def report_json(spark, d):
     return _findings(spark, d).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("finding"))
 
 
-for _name, _f in samples.QUERIES.items():
-    QUERIES[_name] = _f
+QUERIES |= samples.QUERIES
+ORACLE_SQL |= samples.ORACLE_SQL

@@ -12,17 +12,12 @@ from pyspark.sql import functions as F
 from lodestar.functions import text
 from lodestar.operators import changes, clones, findings
 from lodestar.sources import git, parse
-
-MARKERS = {"added": "+", "removed": "-", "modified": "~", "moved": "→", "renamed": "↩"}
+from lodestar.sources.store import stored
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    """path and three hashes: of the normalised text, of its token kinds, and of these with the number of comments."""
-    source, shape = F.col("source"), text.abstract_tokens(F.col("source"))
-    return files.select(
-        "path", text.exact_hash(source).alias("lexical_hash"), F.sha2(shape, 256).alias("token_hash"),
-        F.sha2(F.concat(shape, F.lit("#"), text.comment_count(source).cast("string")), 256).alias("ast_hash"),
-    )
+    """path and three hashes: of the tokens, of their kinds, and of the tree of brackets with its comments."""
+    return parse.parse_files(files, "fingerprints")
 
 
 def entity_changes(base_files: DataFrame, head_files: DataFrame) -> DataFrame:
@@ -31,46 +26,62 @@ def entity_changes(base_files: DataFrame, head_files: DataFrame) -> DataFrame:
 
 
 def analyze(base_files: DataFrame, head_files: DataFrame, renames: DataFrame, rename_mode: str = "observed") -> dict[str, DataFrame]:
-    """The tables of a report over files (path, source) and renames (from_path, to_path)."""
-    base, head = file_hashes(base_files), file_hashes(head_files)
-    base_symbols, head_symbols = (findings.with_spans(parse.parse_files(f, "symbols")) for f in (base_files, head_files))
-    symbols = changes.diff_symbols(base_symbols, head_symbols, renames, rename_mode)
-    files = changes.without_renames(changes.diff_files(base, head), renames)
-    groups, drifts = clones.clone_groups(head, "lexical_hash"), clones.clone_drift(base, head)
+    """The tables of a report over files (path, source) and renames (from_path, to_path).
+    Sources are read once for each kind of parse, whose narrow rows are stored."""
+    base, head = (stored(file_hashes(f)) for f in (base_files, head_files))
+    base_symbols, head_symbols = (findings.with_spans(stored(parse.parse_files(f, "symbols"))) for f in (base_files, head_files))
+    symbols = stored(changes.diff_symbols(base_symbols, head_symbols, renames, rename_mode))
+    files = stored(changes.without_renames(changes.diff_files(base, head), renames))
+    groups, drifts = stored(clones.clone_groups(head, "lexical_hash")), stored(clones.clone_drift(base, head))
     found = findings.all_findings(
-        findings.file_findings(files, head_symbols), findings.clone_findings(groups, head_symbols), findings.rename_findings(changes.renamed_files(renames, base, head)),
+        findings.file_findings(files, head_symbols, head), findings.clone_findings(groups, head_symbols), findings.rename_findings(changes.renamed_files(renames, base, head), head_symbols),
         findings.symbol_findings(symbols), findings.api_findings(symbols), findings.drift_findings(drifts, head_symbols),
     )
     return {
         "change_set": files, "clone_groups": groups, "renames": renames, "symbol_changes": symbols, "api_changes": changes.api_changes(symbols), "clone_drift": drifts,
-        "findings": found, "base_components": clones.component_rollup(base_files), "head_components": clones.component_rollup(head_files),
+        "findings": found, "base_components": clones.component_rollup(base), "head_components": clones.component_rollup(head),
     }
 
 
 def analyze_repo(spark: SparkSession, repo: str, base: str, head: str, filters: list[str] | None = None, rename_mode: str = "observed") -> dict[str, DataFrame]:
-    renamed = git.changed_files(spark, repo, base, head, filters).where("kind = 'renamed'").select(F.col("from_path"), F.col("path").alias("to_path"))
-    return analyze(git.files_at(spark, repo, base, filters, True), git.files_at(spark, repo, head, filters, True), renamed, rename_mode)
-
-
-def _rows(tables: dict[str, DataFrame]) -> dict[str, list[dict]]:
-    found = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in tables.items()}
-    found["findings"].sort(key=lambda r: (r["section"], r["subject"], r["title"], r["detail"]))
+    """The tables of a report between two revisions. A change in scope has both of its
+    sides read, so a rename that leaves or enters the scope is still compared."""
+    changed = git.changed_files(spark, repo, base, head, filters)
+    also = {"base": [], "head": []}
+    for row in git.revision_paths(changed).collect():  # the driver listed them
+        also[row["side"]].append(row["path"])
+    renamed = changed.where("kind = 'renamed'").select(F.col("from_path"), F.col("path").alias("to_path"))
+    base_files, head_files = (git.files_at(spark, repo, rev, filters, True, also[side]) for side, rev in (("base", base), ("head", head)))
+    return analyze(base_files, head_files, renamed, rename_mode)
+
+
+#: Order of each table where it is shown.
+ORDER = {
+    "change_set": ["path"], "clone_groups": ["fingerprint"], "renames": ["to_path"], "symbol_changes": ["file", "symbol_kind", "qualified_name"], "api_changes": ["file", "symbol_kind", "qualified_name"],
+    "clone_drift": ["fingerprint"], "findings": ["section", "position"], "base_components": ["id"], "head_components": ["id"],
+}
+
+
+def save(tables: dict[str, DataFrame], folder: str) -> None:
+    """Every table as JSON lines in a folder of its own, written by the tasks: for results too large to show."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+
+
+def _rows(tables: dict[str, DataFrame]) -> dict:
+    """What the renderings show, in order, on the driver."""
+    shown = tables | {"findings": tables["findings"].withColumn("risk", text.format_percent(F.col("risk_score")))}
+    found: dict = {k: [r.asDict(recursive=True) for r in df.orderBy(*ORDER[k]).collect()] for k, df in shown.items()}
+    kinds = [r["change"] for r in found["change_set"]]
+    counts = {k: kinds.count(k) for k in ("added", "modified", "removed")} | {"renamed": len(found["renames"]), "clones": len(found["clone_groups"]), "symbols": len(found["symbol_changes"]), "apis": len(found["api_changes"]), "drifts": len(found["clone_drift"])}
+    spark = tables["findings"].sparkSession
+    found["summary"] = findings.summary(spark.createDataFrame([tuple(counts.values())], list(counts))).first()[0]
     return found
 
 
-def summary_of(rows: dict[str, list[dict]]) -> str:
-    count = lambda n, one, many: f"{n} {one if n == 1 else many}"
-    kinds = [r["change"] for r in rows["change_set"]]
-    numbers = [(kinds.count("added"), "added file", "added files"), (kinds.count("modified"), "modified file", "modified files"), (kinds.count("removed"), "removed file", "removed files"), (len(rows["renames"]), "renamed file", "renamed files"),
-               (len(rows["clone_groups"]), "exact clone group", "exact clone groups"), (len(rows["symbol_changes"]), "symbol change", "symbol changes"), (len(rows["api_changes"]), "api change", "api changes")]
-    parts = [count(*x) for x in numbers if x[0]]
-    said = "No relevant changes detected." if not parts else "Detected " + (" and ".join(parts) if len(parts) < 3 else ", ".join(parts[:-1]) + ", and " + parts[-1]) + "."
-    return said + (f" Also detected {len(rows['clone_drift'])} clone drift group(s)." if rows["clone_drift"] else "")
-
-
 def markdown(rows: dict[str, list[dict]]) -> str:
     line = lambda f: f"- {f['title']}: {f['detail']}"
-    out = ["# Change Report", "", summary_of(rows), "", "## Highlights"]
+    out = ["# Change Report", "", rows["summary"], "", "## Highlights"]
     for title, section in (("Symbol Changes", 5), ("API Changes", 6)):
         some = [line(f) for f in rows["findings"] if f["section"] == section]
         out += ["", f"## {title}", *some] if some else []
@@ -79,46 +90,91 @@ def markdown(rows: dict[str, list[dict]]) -> str:
 
 def pr_comment(rows: dict[str, list[dict]]) -> str:
     risky = sorted((f for f in rows["findings"] if f["risk_score"] > 0), key=lambda f: -f["risk_score"])[: findings.TOP_RISKS]
-    said = [f"- risk {f['risk_score'] * 100:.0f}%: {f['title']} — {f['detail']}" for f in risky] or ["- No high-risk API changes detected."]
+    said = [f"- risk {f['risk']}: {f['title']} — {f['detail']}" for f in risky] or ["- No high-risk API changes detected."]
     return "\n".join(["## Risk", *said]) + "\n\n" + markdown(rows)
 
 
-def as_json(rows: dict[str, list[dict]]) -> str:
-    return json.dumps(rows | {"summary": summary_of(rows)}, indent=2, ensure_ascii=False)
+def as_json(rows: dict) -> str:
+    plain = rows | {"findings": [{k: v for k, v in f.items() if k not in ("risk", "position")} for f in rows["findings"]]}
+    return json.dumps(plain, indent=2, ensure_ascii=False)
 
 
-_PAGE = """<!doctype html><meta charset="utf-8"><title>Change report</title><h1>Change report</h1><p id="s"></p><ul id="f"></ul>
-<script id="data" type="application/json">%s</script><script>
-const d = JSON.parse(document.getElementById("data").textContent); document.getElementById("s").textContent = d.summary;
-for (const f of d.findings) { const li = document.createElement("li"); li.textContent = `${f.severity} ${f.title}: ${f.detail}`; document.getElementById("f").append(li); }
-</script>
-"""
+def script_safe(data: str) -> str:
+    """JSON that can stand in a page's script element."""
+    return data.replace("</", "<\\/")
+
 
+_HEAD = """<!doctype html><meta charset="utf-8"><title>%s</title><style>
+body { font: 15px system-ui; margin: 2rem; } table { border-collapse: collapse; } td, th { padding: .2rem .8rem; text-align: left; border-bottom: 1px solid #ccc; }
+.pill { border: 1px solid #999; border-radius: 1em; padding: .1em .6em; margin-right: .4em; } code { background: #f2f2f2; }
+</style><h1>%s</h1><script id="data" type="application/json">%s</script>
+"""
 
-_TIMELINE = """<h2>Components</h2><input type="file" id="more" multiple accept=".json"><table id="t"></table><script>
-const bundles = [d];
+#: Findings shown on a report's page; the JSON has all of them.
+SHOWN = 12
+
+_REPORT = """<p id="s"></p><p id="pills"></p><h2>Compare</h2><table id="c"></table><h2>Findings</h2><ul id="f"></ul>
+<h2>Timeline</h2><input type="file" id="more" multiple accept=".json"><table id="t"></table><script>
+const d = JSON.parse(document.getElementById("data").textContent), bundles = [d], at = id => document.getElementById(id);
+const put = (parent, tag, ...texts) => { for (const x of texts) { const e = document.createElement(tag); e.textContent = x; parent.append(e); } };
+at("s").textContent = d.summary;
+for (const [name, code] of [["API removed", "api.removed"], ["API changed", "api.changed"], ["Clone drift", "clone.drift"]])
+  { put(at("pills"), "span", `${name}: ${d.findings.filter(f => f.code === code).length}`); at("pills").lastChild.className = "pill"; }
+const sizes = side => new Map(d[side + "_components"].map(c => [c.id, c])), base = sizes("base"), head = sizes("head");
+put(at("c").insertRow(), "th", "component", "base", "head", "change", "files");
+for (const id of [...new Set([...base.keys(), ...head.keys()])].sort()) {
+  const b = base.get(id), h = head.get(id), n = c => c ? c.file_count : 0, delta = n(h) - n(b);
+  put(at("c").insertRow(), "td", id, n(b), n(h), (delta > 0 ? "+" : "") + delta, (h || b).files.join(", "));
+}
+for (const f of d.findings.slice(0, SHOWN)) put(at("f"), "li", `${f.code} ${f.title}: ${f.detail}`);
+if (d.findings.length > SHOWN) put(at("f"), "li", `and ${d.findings.length - SHOWN} more`);
 function draw() {
   const cell = (b, id) => (b.head_components.find(c => c.id === id) || {file_count: "—"}).file_count;
-  const ids = [...new Set(bundles.flatMap(b => b.head_components.map(c => c.id)))].sort(), table = document.getElementById("t");
-  table.replaceChildren();
-  for (const id of ids) { const tr = table.insertRow(); for (const x of [id, ...bundles.map(b => cell(b, id))]) tr.insertCell().textContent = x; }
+  at("t").replaceChildren();
+  for (const id of [...new Set(bundles.flatMap(b => b.head_components.map(c => c.id)))].sort()) put(at("t").insertRow(), "td", id, ...bundles.map(b => cell(b, id)));
 }
-document.getElementById("more").onchange = async e => { for (const f of e.target.files) bundles.push(JSON.parse(await f.text())); draw(); };
+at("more").onchange = async e => { for (const f of e.target.files) bundles.push(JSON.parse(await f.text())); draw(); };
 draw();
 </script>
 """
 
+_EXPLORER = """<p id="s"></p><p id="counts"></p><input id="q" placeholder="filter files"><table id="files"></table><h2 id="name"></h2><ul id="changes"></ul><script>
+const d = JSON.parse(document.getElementById("data").textContent), at = id => document.getElementById(id);
+const put = (parent, tag, text) => { const e = document.createElement(tag); e.textContent = text; parent.append(e); return e; };
+at("s").textContent = d.summary_line;
+for (const [kind, n] of Object.entries(d.by_kind)) put(at("counts"), "span", `${kind}: ${n}`).className = "pill";
+function show(path) {
+  at("name").textContent = path; at("changes").replaceChildren();
+  for (const c of d.view.filter(c => c.file_path === path || c.old_file_path === path)) {
+    const li = put(at("changes"), "li", `${c.marker} ${c.icon} ${c.name}` + (c.old_file_path ? ` (from ${c.old_file_path})` : ""));
+    if (c.before_signature !== c.after_signature) for (const s of [c.before_signature, c.after_signature]) if (s) put(put(li, "div", ""), "code", s);
+  }
+}
+function list() {
+  at("files").replaceChildren();
+  for (const f of d.files.filter(f => f.path.includes(at("q").value))) {
+    const row = at("files").insertRow(); row.title = f.path;
+    for (const line of f.label) put(row, "td", line);
+    if (f.label.length < 2) put(row, "td", "");
+    put(row, "td", f.n); row.onclick = () => show(f.path);
+  }
+}
+at("q").oninput = list; list(); if (d.files.length) show(d.files[0].path);
+</script>
+"""
+
 
-def html(rows: dict[str, list[dict]]) -> str:
-    """A page with the findings and a timeline of component sizes, to which reports written as JSON can be added."""
-    return _PAGE % as_json(rows).replace("</", "<\\/") + _TIMELINE
+def html(rows: dict) -> str:
+    """A page that compares the components, shows the first findings and a timeline of
+    component sizes, to which reports written as JSON can be added."""
+    return _HEAD % ("Change report", "Change report", script_safe(as_json(rows))) + _REPORT.replace("SHOWN", str(SHOWN))
 
 
 def diff_html(m: dict) -> str:
-    """The page of an entity diff: its changes as findings, with both signatures."""
-    found = [{"severity": MARKERS[c["kind"]], "title": c["entity_key"], "detail": f"{c['before_signature'] or ''} → {c['after_signature'] or ''}"} for c in m["changes"]]
-    said = f"{m['from_ref']} → {m['to_ref']}: {len(found)} change(s), {len(m['files_affected'])} file(s)"
-    return _PAGE % json.dumps(m | {"findings": found, "summary": m["summary"] or said}, ensure_ascii=False).replace("</", "<\\/")
+    """The page of an entity diff: its files with a filter and counts, and the changes of the one chosen, old paths included."""
+    said = f"{m['from_ref']} → {m['to_ref']}: {len(m['changes'])} change(s), {len(m['files_affected'])} file(s)"
+    data = m | {"summary_line": m["summary"] or said}
+    return _HEAD % ("Entity changes", "Entity changes", script_safe(json.dumps(data, ensure_ascii=False))) + _EXPLORER
 
 
 FORMATS = {"markdown": markdown, "json": as_json, "pr-comment": pr_comment, "html": html}
@@ -128,15 +184,33 @@ def render(tables: dict[str, DataFrame], form: str = "markdown") -> str:
     return FORMATS[form](_rows(tables))
 
 
+#: Characters of a label's line in the explorer.
+LABEL = 40
+#: What a manifest has beside its fields, for the renderings alone.
+_VIEW = ("view", "files", "by_kind")
+
+
 def manifest(entity_diff: DataFrame, from_ref: str, to_ref: str) -> dict:
-    rows = sorted((r.asDict() for r in entity_diff.collect()), key=lambda r: (r["file_path"], r["entity_key"]))
-    return {"from_ref": from_ref, "to_ref": to_ref, "changes": rows, "files_affected": sorted({r["file_path"] for r in rows}), "summary": None}
+    """A diff on the driver: its fields, and what the renderings show of it."""
+    diff = stored(entity_diff)
+    shown = diff.select("*", text.marker(F.col("kind")).alias("marker"), text.kind_icon(F.col("entity_kind")).alias("icon")).orderBy("file_path", "entity_key")
+    view = [r.asDict() for r in shown.collect()]
+    files = clones.path_counts(diff).select("path", "n", text.wrap_label(F.col("path"), LABEL).alias("label")).orderBy("path")
+    return {
+        "from_ref": from_ref, "to_ref": to_ref, "changes": [{k: v for k, v in r.items() if k not in ("marker", "icon")} for r in view],
+        "files_affected": [r["file_path"] for r in changes.files_affected(diff).orderBy("file_path").collect()], "summary": None,
+        "view": view, "files": [r.asDict() for r in files.collect()], "by_kind": {r["kind"]: r["n"] for r in clones.entity_counts(diff, "kind").orderBy("kind").collect()},
+    }
+
+
+def manifest_json(m: dict) -> str:
+    return json.dumps({k: v for k, v in m.items() if k not in _VIEW}, indent=2, ensure_ascii=False)
 
 
 def listing(m: dict) -> str:
     out = [f"Structural diff: {m['from_ref']} → {m['to_ref']}", f"Files affected: {len(m['files_affected'])}", f"Total changes: {len(m['changes'])}", ""]
-    for c in m["changes"]:
-        out.append(f"  [{MARKERS[c['kind']]}] {c['entity_kind']} {c['name']} ({c['file_path']})")
+    for c in m["view"]:
+        out.append(f"  [{c['marker']}] {c['entity_kind']} {c['name']} ({c['file_path']})")
         if c["kind"] == "moved":
             out += [f"      from: {c['old_file_path']}", f"      to:   {c['file_path']}"]
         if c["before_signature"] is not None and c["after_signature"] is not None and c["before_signature"] != c["after_signature"]:
@@ -144,15 +218,21 @@ def listing(m: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def clone_rows(entities: DataFrame) -> DataFrame:
+    """kind_of_clone (exact, structural), group_key, group_size and the entities of both."""
+    hashed = stored(clones.with_fingerprints(entities))
+    each = [f(hashed).withColumn("kind_of_clone", F.lit(name)) for name, f in (("exact", clones.exact_clones), ("structural", clones.structural_clones))]
+    return each[0].unionByName(each[1])
+
+
 def duplicates(entities: DataFrame) -> dict[str, list[list[dict]]]:
     """Exact and structural clone groups of entities, each with its members in order."""
-    found = {}
-    for name, f in (("exact", clones.exact_clones), ("structural", clones.structural_clones)):
-        groups: dict = {}
-        for r in f(entities).orderBy("group_key", "file_path", "start_line").select("group_key", "name", "file_path", "start_line", "source").collect():
-            groups.setdefault(r["group_key"], []).append(r.asDict())
-        found[name] = list(groups.values())
-    return found
+    found: dict = {"exact": {}, "structural": {}}
+    snippet = text.snippet(F.col("source")).alias("source")
+    rows = clone_rows(entities).orderBy("kind_of_clone", "group_key", "file_path", "start_line")
+    for r in rows.select("kind_of_clone", "group_key", "name", "file_path", "start_line", snippet).collect():
+        found[r["kind_of_clone"]].setdefault(r["group_key"], []).append({k: r[k] for k in ("group_key", "name", "file_path", "start_line", "source")})
+    return {k: list(v.values()) for k, v in found.items()}
 
 
 def duplicates_listing(groups: dict[str, list[list[dict]]]) -> str:
@@ -163,22 +243,18 @@ def duplicates_listing(groups: dict[str, list[list[dict]]]) -> str:
     return "\n".join(out) + "\n"
 
 
-#: Characters of a source that a prompt or a narrator is shown.
-PROMPT_SNIPPET = 300
-
-
 def diff_prompt(m: dict) -> str:
     """Markdown that asks a reader or a model to judge an entity diff."""
     head = f"Below is a structural diff of a repository ({m['from_ref']} → {m['to_ref']}). Summarize it, name the signature changes, and say which callers may be affected.\n\n"
     if not m["changes"]:
         return head + "No structural changes detected.\n"
     out = [head + f"**{len(m['changes'])} change(s) across {len(m['files_affected'])} file(s)**", ""]
-    for c in m["changes"]:
-        out.append(f"- [{MARKERS[c['kind']]}] **{c['name']}** `{c['file_path']}` ({c['entity_kind']})")
+    for c in m["view"]:
+        out.append(f"- [{c['marker']}] **{c['name']}** `{c['file_path']}` ({c['entity_kind']})")
         before, after = c["before_signature"], c["after_signature"]
         if None not in (before, after) and before != after:
             out += [f"  - before: `{before}`", f"  - after:  `{after}`"]
-    whole = json.dumps(m, indent=2, ensure_ascii=False)
+    whole = manifest_json(m)
     return "\n".join([*out, "", "<details><summary>Full JSON manifest</summary>", "", "```json", whole, "```", "</details>"]) + "\n"
 
 
@@ -191,7 +267,7 @@ def duplicates_prompt(groups: dict[str, list[list[dict]]]) -> str:
         for i, group in enumerate(groups[name], 1):
             out.append(f"### Group {i}")
             for e in group:
-                out += [f"**{e['name']}** (`{e['file_path']}` line {e['start_line']})", "```", e["source"][:PROMPT_SNIPPET], "```", ""]
+                out += [f"**{e['name']}** (`{e['file_path']}` line {e['start_line']})", "```", e["source"], "```", ""]
     return "\n".join(out if any(groups.values()) else [*out, "No duplicates detected."]) + "\n"
 
 

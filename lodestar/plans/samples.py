@@ -1,4 +1,5 @@
-"""Queries over small source files of our own, for the parsers."""
+"""Queries over generated source files, one for each document, for the parsers; and
+two files of our own for unit tests. The SQL has the rows that the templates give."""
 
 from __future__ import annotations
 
@@ -30,17 +31,70 @@ CS = """namespace Demo {
 }
 """
 
+#: Declarations of a generated file: kind of entity and of symbol, name, lines, columns,
+#: source, signature, qualifiers, parent, exported; # stands for the document's id, % for its n_chars.
+_TS = [
+    ("class", "Class", "Doc#", 2, 5, 8, 2, "class Doc# extends Base {\n  size = %\n  read(at: number): Map<string, number[]> { return `<${at}>` }\n}", "Doc#", "export", None, True),
+    ("property", None, "size", 3, 3, 3, 0, "size = %", "", "", "Doc#", False),
+    ("method", None, "read", 4, 4, 3, 0, "read(at: number): Map<string, number[]> { return `<${at}>` }", "(at: number)", "", "Doc#", False),
+    ("function", "Function", "inner#", 7, 7, 3, 61, "function inner#(x): boolean { return /[\"']\\//.test(x) || %", "inner#(x): boolean", "export", None, True),
+    (None, "TypeAlias", "Id#", 9, 9, 1, 18, "type Id# = string", "", "", None, False),
+]
+_CS = [
+    ("class", "Class", "Doc#", 2, 6, 1, 2, "public class Doc# {\n  private readonly int _n = %;\n  public IEnumerable<T> Read<T>(string key) where T : class { yield break; }\n  public int Size => %;\n}", "Doc#", "public", None, True),
+    ("method", "Method", "Read", 4, 4, 3, 77, "public IEnumerable<T> Read<T>(string key) where T : class { yield break; }", "IEnumerable<T> (string key)", "public", "Doc#", True),
+    (None, "Property", "Size", 5, 5, 3, 0, "public int Size => %;", "", "", "Doc#", True),
+    (None, "Record", "P#", 7, 7, 1, 0, "record struct P#(int X);", "", "", None, False),
+]
+_FILES = {
+    "ts": "// generated\nexport " + _TS[0][7] + "\nexport const go# = () => {\n  " + _TS[3][7] + " }\n}\n" + _TS[4][7] + "\n",
+    "cs": "namespace N#;\n" + _CS[0][7] + "\n" + _CS[3][7] + "\n",
+}
+_TS[3] = (*_TS[3][:7], _TS[3][7] + " }", *_TS[3][8:])
+
 
-def _files(spark):
-    return spark.range(2).select(F.when(F.col("id") == 0, "src/shape.ts").otherwise("src/Store.cs").alias("path"), F.when(F.col("id") == 0, TS).otherwise(CS).alias("source"))
+def _files(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("n"), F.when(F.col("doc_id") % 2 == 0, "ts").otherwise("cs").alias("ending"))
+    source = F.when(F.col("ending") == "ts", _FILES["ts"]).otherwise(_FILES["cs"])
+    return docs.select(F.concat(F.lit("src/d"), "id", F.lit("."), "ending").alias("path"), F.replace(F.replace(source, F.lit("#"), F.col("id")), F.lit("%"), F.col("n")).alias("source"))
 
 
 def parse_entities(spark, d):
-    return parse.parse_files(_files(spark), "entities")
+    found = parse.parse_files(_files(spark, d), "entities")
+    return found.drop("shape_hash").withColumn("qualifiers", F.array_join("qualifiers", ","))
 
 
 def parse_symbols(spark, d):
-    return parse.parse_files(_files(spark), "symbols")
+    return parse.parse_files(_files(spark, d), "symbols")
 
 
 QUERIES: dict = {"parse_entities": parse_entities, "parse_symbols": parse_symbols}
+
+
+def _literal(text: str | None) -> str:
+    if text is None:
+        return "NULL::VARCHAR"
+    quoted = "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"replace(replace({quoted}, '#', doc_id::VARCHAR), '%', n_chars::VARCHAR)"
+
+
+def _sql(kind: int) -> str:
+    parts = []
+    for ending, digit, rows in (("ts", 0, _TS), ("cs", 1, _CS)):
+        path, ord_ = f"'src/d' || doc_id || '.{ending}'", 0
+        for row in rows:
+            if row[kind] is None:
+                continue
+            name, start, end, column, _, source, signature, qualifiers, parent, exported = row[2:]
+            if kind == 0:
+                columns = {"kind": f"'{row[0]}'", "name": _literal(name), "file_path": path, "start_line": f"{start}::INT", "end_line": f"{end}::INT", "source": _literal(source), "signature": _literal(signature), "qualifiers": _literal(qualifiers), "parent": _literal(parent)}
+            else:
+                last = source.rpartition("\n")[2]
+                at = f"length({_literal(last)}) + {column if chr(10) not in source else 1}"
+                columns = {"file": path, "kind": f"'{row[1]}'", "qualified_name": _literal(name), "name": _literal(name), "exported": str(exported).lower(), "signature": _literal(source), "start_line": f"{start}::INT", "start_column": f"{column}::INT", "end_line": f"{end}::INT", "end_column": f"({at})::INT", "ord": f"{ord_}::BIGINT"}
+                ord_ += 1
+            parts.append("SELECT " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM documents WHERE doc_id % 2 = {digit}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE_SQL = {"parse_entities": _sql(0), "parse_symbols": _sql(1)}

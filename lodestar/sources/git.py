@@ -1,7 +1,7 @@
 """Source files of git revisions and of a working tree as DataFrames.
 
 Names come NUL-separated, so names that git would quote are read as they are.
-The driver lists paths; tasks read blobs, each by one `git cat-file --batch`.
+The driver lists paths and object ids; each task reads its blobs by one `git cat-file --batch`.
 The repository must be readable on the executors.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,37 +18,59 @@ from pyspark.sql import functions as F
 from lodestar.functions import paths
 
 SKIPPED_DIRS = ("node_modules", "target")
+#: Bytes of sources that a task holds before it hands them on.
+HELD_BYTES = 32 << 20
 
 
 def _git(repo: str, *args: str) -> str:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout.decode("utf-8", "surrogateescape")
 
 
+def tracked_blobs(repo: str, rev: str) -> list[tuple[str, str]]:
+    """path and object id of each file of a revision."""
+    rows = [x.split("\t", 1) for x in _git(repo, "ls-tree", "-r", "-z", rev).split("\0") if x]
+    return [(path, head.split()[2]) for head, path in rows if head.split()[1] == "blob"]
+
+
 def tracked_files(repo: str, rev: str) -> list[str]:
-    return [p for p in _git(repo, "ls-tree", "-r", "--name-only", "-z", rev).split("\0") if p]
+    return [path for path, _ in tracked_blobs(repo, rev)]
 
 
-def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """rev, path, source of the TypeScript and C# files of a revision, filtered
-    before any blob is read. A blob that isn't UTF-8 is left out, or with strict an error."""
-    listed = spark.createDataFrame([(p,) for p in tracked_files(repo, rev)], "path string")
-    wanted = listed.where(paths.is_source(F.col("path")) & paths.matches_filters(F.col("path"), filters or []))
+def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None = None, strict: bool = False, also: Iterable[str] = ()) -> DataFrame:
+    """rev, path, source of the TypeScript and C# files of a revision that pass the
+    filters or are among ``also``, chosen before any blob is read. Blobs are read
+    by object id, one at a time, so any name will do. A blob that is missing or
+    isn't UTF-8 is left out, or with strict an error."""
+    extra, repo = set(also), os.path.abspath(repo)  # tasks have folders of their own
+    listed = spark.createDataFrame([(p, oid, p in extra) for p, oid in tracked_blobs(repo, rev)], "path string, oid string, also boolean")
+    wanted = listed.where(paths.is_source(F.col("path")) & (F.col("also") | paths.matches_filters(F.col("path"), filters or [])))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names = [p for p in batch["path"] if "\n" not in p]
-            out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="".join(f"{rev}:{p}\n" for p in names).encode(), capture_output=True, check=True).stdout
-            at, rows = 0, []
-            for p in names:
-                end = out.index(b"\n", at)
-                size = int(out[at:end].split()[-1])
-                data, at = out[end + 1 : end + 1 + size], end + size + 2
-                try:
-                    rows.append((rev, p, data.decode()))
-                except UnicodeDecodeError:
-                    if strict:
-                        raise
-            yield pd.DataFrame(rows, columns=["rev", "path", "source"])
+        columns = ["rev", "path", "source"]
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+            for batch in batches:
+                rows, size = [], 0
+                for path, oid in zip(batch["path"], batch["oid"], strict=True):
+                    git.stdin.write(f"{oid}\n".encode())
+                    git.stdin.flush()
+                    head = git.stdout.readline().split()
+                    if head[-1:] == [b"missing"] or len(head) != 3:
+                        if strict:
+                            raise FileNotFoundError(f"{rev}:{path}: {b' '.join(head).decode()}")
+                        continue
+                    data = git.stdout.read(int(head[2]))
+                    git.stdout.read(1)
+                    try:
+                        rows.append((rev, path, data.decode()))
+                    except UnicodeDecodeError:
+                        if strict:
+                            raise
+                    size += len(data)
+                    if size > HELD_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+            git.stdin.close()
 
     return wanted.mapInPandas(read, "rev string, path string, source string")
 
@@ -73,7 +95,7 @@ def changed_files(spark: SparkSession, repo: str, base: str, head: str, filters:
 
 def working_tree(spark: SparkSession, root: str, filters: list[str] | None = None) -> DataFrame:
     """path, source of a directory's TypeScript and C# files; hidden, node_modules and target are skipped."""
-    rows = []
+    rows, root = [], os.path.abspath(root)
     for top, dirs, names in os.walk(root):
         dirs[:] = [x for x in dirs if not x.startswith(".") and x not in SKIPPED_DIRS]
         rows += [(os.path.relpath(os.path.join(top, n), root),) for n in names if not n.startswith(".")]
@@ -94,6 +116,17 @@ def working_tree(spark: SparkSession, root: str, filters: list[str] | None = Non
     return wanted.mapInPandas(read, "path string, source string")
 
 
+def revision_paths(changed: DataFrame) -> DataFrame:
+    """side (base, head), path of the files that each change is about: added and copied
+    ones of head, deleted ones of base, modified ones of both, renamed ones under their
+    own name of either."""
+    kind, path = F.col("kind"), F.col("path")
+    at = lambda side, p: F.struct(F.lit(side).alias("side"), p.alias("path"))
+    base = F.when(kind == "renamed", at("base", F.col("from_path"))).when(kind.isin("modified", "deleted"), at("base", path))
+    head = F.when(kind != "deleted", at("head", path))
+    return changed.select(F.inline(F.array_compact(F.array(base, head))))
+
+
 def report_bundles(spark: SparkSession, files: list[str]) -> DataFrame:
     """Reports written as JSON, one row each, with the file that it came from."""
     return spark.read.json(files, multiLine=True).withColumn("bundle", F.input_file_name())

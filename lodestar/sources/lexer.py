@@ -1,7 +1,7 @@
-"""Tokens of TypeScript and C# source, for the declaration scanner.
+"""Tokens of TypeScript and C# source, for the declaration scanner and the hashes.
 
-Errors never raise: an open string or comment runs to the end of its line or of
-the file. A token is (kind, text, start, line); kinds: word, number, string, punct.
+Errors never raise: an open string runs to the end of its line, an open comment
+or template to the end of the file.
 """
 
 from __future__ import annotations
@@ -9,16 +9,16 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-_TOKEN = re.compile(
-    r"""
-    (?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
-  | (?P<string>@?\$?@?"{3}.*?(?:"{3}|\Z)|\$?@"(?:[^"]|"")*(?:"|\Z)|\$?"(?:\\.|[^"\\\n])*(?:"|$)|'(?:\\.|[^'\\\n])*(?:'|$)|`(?:\\.|[^`\\])*(?:`|\Z))
-  | (?P<number>\d[\w.]*)
-  | (?P<word>[^\W\d]\w*|[$@\#][^\W\d]\w*)
-  | (?P<punct>=>|[^\s\w])
-    """,
-    re.X | re.S | re.M,
+_COMMENT = r"(?P<comment>//[^\n]*|/\*(?s:.*?)(?:\*/|\Z))"
+_REST = r"(?P<number>\d[\w.]*)|(?P<word>[$@\#]?[^\W\d][\w$]*|\$)|(?P<punct>=>|[^\s\w])|(?P<space>\s+)"
+_TS = re.compile(rf"""{_COMMENT}|(?P<string>"(?:\\(?s:.)|[^"\\\n])*(?:"|(?=\n|\Z))|'(?:\\(?s:.)|[^'\\\n])*(?:'|(?=\n|\Z)))|{_REST}""")
+_CS = re.compile(
+    rf"""{_COMMENT}|(?P<string>\$*"{{3,}}(?s:.*?)(?:"{{3,}}|\Z)|(?:@\$?|\$@)"(?:[^"]|"")*(?:"|\Z)|\$?"(?:\\.|[^"\\\n])*(?:"|(?=\n|\Z))|'(?:\\.|[^'\\\n])*(?:'|(?=\n|\Z)))|{_REST}"""
 )
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+#: Words after which a slash starts a regular expression.
+_BEFORE_REGEX = ("return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield", "instanceof")
+_DEEPEST = 50
 
 
 class Token(NamedTuple):
@@ -26,15 +26,54 @@ class Token(NamedTuple):
     text: str
     start: int
     line: int
+    #: Whether a line break lies between this token and the one before.
+    breaks: bool
 
 
-def lex(source: str) -> list[Token]:
-    found, line, at = [], 1, 0
-    for m in _TOKEN.finditer(source):
-        line += source.count("\n", at, m.start())
-        at = m.start()
-        if m.lastgroup != "comment":
-            found.append(Token(m.lastgroup, m.group(), m.start(), line))
+def _template_end(source: str, i: int, depth: int = 0) -> int:
+    """Where the template that starts at i ends, with what its holes hold."""
+    i += 1
+    while i < len(source):
+        if source[i] == "\\":
+            i += 2
+        elif source[i] == "`":
+            return i + 1
+        elif source.startswith("${", i) and depth < _DEEPEST:
+            i, braces = i + 2, 1
+            while i < len(source) and braces:
+                m = _TS.match(source, i)
+                if source[i] == "`":
+                    i = _template_end(source, i, depth + 1)
+                    continue
+                braces += (source[i] == "{") - (source[i] == "}")
+                i = m.end() if m else i + 1
+        else:
+            i += 1
+    return len(source)
+
+
+def lex(source: str, typescript: bool = True, comments: bool = False) -> list[Token]:
+    """Tokens; kinds: word, number, string (templates and regular expressions too), punct and, with comments, comment."""
+    pattern, found, line, i, breaks, last = _TS if typescript else _CS, [], 1, 0, False, None
+    while i < len(source):
+        m = None
+        if typescript and source[i] == "`":
+            kind, end = "string", _template_end(source, i)
+        elif typescript and source[i] == "/" and (last is None or last.text in _BEFORE_REGEX or (last.kind == "punct" and last.text not in ")]}")) and (m := _REGEX.match(source, i)):
+            kind, end = "string", m.end()
+        else:
+            m = pattern.match(source, i)
+            kind, end = (m.lastgroup, m.end()) if m else ("space", i + 1)
+        text = source[i:end]
+        if kind not in ("space", "comment"):
+            last = Token(kind, text, i, line, breaks)
+            found.append(last)
+        elif kind == "comment" and comments:
+            found.append(Token(kind, text, i, line, breaks))
+        lines = text.count("\n")
+        breaks = (breaks or bool(lines)) if kind in ("space", "comment") else False
+        line += lines
+        i = end
     return found
 
 
