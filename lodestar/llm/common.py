@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources import store
+
 #: The white space between words, as a class body for Java's and RE2's regexes.
 SPACE = r"\x20\x09-\x0D"
 #: The same characters, one by one.
@@ -21,47 +19,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 1000
 
 
-#: Folders written in this process, by context; their files are deleted when the context or the process ends.
-_written: dict[str, list[tuple[SparkSession, str]]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or else the context's
-    checkpoint folder. Only a local master, whose tasks share the driver's disk, may do
-    without: a temporary folder then. On a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later jobs
     start from the files, and a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestar-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append((spark, path))
+    path = store.place(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete what written() left; frames that read it can't be used any more."""
-    context = spark.sparkContext
-    for _, path in _written.pop(context.applicationId, []):
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@atexit.register
-def _clean_all() -> None:
-    for held in list(_written.values()):
-        with contextlib.suppress(Exception):  # the context may have ended
-            clean(held[0][0])
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, texts: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources import store
+
 from . import common
 
 MIN_BYTES = 50
@@ -345,7 +347,7 @@ def pack(docs: DataFrame, blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     packed = common.texts(docs).select(block.alias("block"), "doc_id", "text").mapInArrow(run, PACKED)
     spark = docs.sparkSession
-    common.shared_dir(spark)
+    store.folder(spark)  # sets the context's, if there is none
     # a checkpoint of a plan that isn't adaptive keeps its partitioning, so later steps read a block without a shuffle
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
