@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits, A-Z lower-cased; shingles are K words.
 Templates are license texts and notices, cut into segments of at most SEGMENT
-words; whole_licenses() says how many of a license's segments a document has. For
-each length L of segments, a document is seen in windows of 2 L words, a new
-one every L words, so each run of L words lies whole in some window. Windows
+words (the last one of a long text overlaps the one before); whole_licenses()
+says how many of a license's segments a document has. Segments of at least 4/5
+of a length L are looked for together: a document is seen in windows of 2 L words,
+a new one every L words, so each run of L words lies whole in some window. Windows
 without any template shingle can't match and go first, exactly. The others are
 min-hashed with BANDS bands of one row: a window that holds at least 80 % of a
 segment has a similarity of at least 1/4 to it, so it is missed with a chance
@@ -96,14 +97,23 @@ def segments(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
     found = []
     for name in sorted(templates):
         words = re.findall(r"[^\W_]+", templates[name].lower())
-        parts = max(1, -(-len(words) // SEGMENT))
-        found += [(name, i, words[i * len(words) // parts : (i + 1) * len(words) // parts]) for i in range(parts)]
+        starts = [*range(0, len(words) - SEGMENT, SEGMENT), max(0, len(words) - SEGMENT)]
+        found += [(name, i, words[at : at + SEGMENT]) for i, at in enumerate(starts)]
     short = [name for name, _, words in found if len(words) < K]
     if short:
         raise ValueError(f"notices of under {K} words: {short}")
     return found
 
 
+def window_lengths(parts: list[tuple[str, int, list[str]]]) -> dict[int, int]:
+    """For each length of segments the length that its windows are made for."""
+    found, now = {}, 0
+    for n in sorted({len(w) for *_, w in parts}, reverse=True):
+        now = now if 5 * n >= 4 * now > 0 else n
+        found[n] = now
+    return found
+
+
 def read_templates(table: DataFrame) -> dict[str, str]:
     """The templates of a table (license, text), of MOST_TEMPLATES rows at most."""
     rows = table.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").limit(MOST_TEMPLATES + 1).collect()
@@ -136,9 +146,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, part long, n_windows long, first_word long, best long, size long")
     every = F.array_distinct(F.flatten(F.array(*(_template_hashes(w) for *_, w in parts))))
-    lengths = sorted({len(w) for *_, w in parts})
+    sizes = window_lengths(parts)
+    lengths = sorted(set(sizes.values()))
     rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).where(F.arrays_overlap("shingles", every))
-    rows = common.written(rows)  # only documents with some template shingle
     sized = rows.withColumn("length", F.explode(F.array(*(F.lit(n) for n in lengths))))
     starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.col("length"))
     cut = lambda s: F.struct(s.alias("at"), F.slice("shingles", s + 1, 2 * F.col("length") - K + 1).alias("window"))
@@ -146,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     windows = windows.select("doc_id", "length", "w.at", F.array_distinct("w.window").alias("window"))
     banded = windows.select("*", F.posexplode(minima(F.col("window"))).alias("band", "least"))
     table = spark.range(1).select(
-        F.inline(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(p).alias("part"), F.lit(len(w)).alias("length"), F.array_distinct(_template_hashes(w)).alias("own")) for n, p, w in parts)))
+        F.inline(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(p).alias("part"), F.lit(sizes[len(w)]).alias("length"), F.array_distinct(_template_hashes(w)).alias("own")) for n, p, w in parts)))
     )
     table = table.select("*", F.posexplode(minima(F.col("own"))).alias("band", "least"))
     found = banded.join(F.broadcast(table), ["length", "band", "least"])  # at most BANDS rows a segment
@@ -172,7 +182,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    values = ", ".join(f"('{n}', {p}, {len(w)}, {[' '.join(w[i : i + K]) for i in range(len(w) - K + 1)]!r})" for n, p, w in segments(TEMPLATES))
+    parts = segments(TEMPLATES)
+    sizes = window_lengths(parts)
+    values = ", ".join(f"('{n}', {p}, {sizes[len(w)]}, {[' '.join(w[i : i + K]) for i in range(len(w) - K + 1)]!r})" for n, p, w in parts)
     return rf"""
 WITH t(license, part, length, own) AS (VALUES {values}),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
