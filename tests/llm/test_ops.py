@@ -257,6 +257,19 @@ def test_near_tiles(odd, docs, monkeypatch, percent):
     assert got == want and 1 < len({c for _, c in want.values()}) < 70
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_recall(spark, k):
+    """Every row whose id is divisible by 20 against all rows of sf0.01: no partner is lost."""
+    df = common.table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {}
+    for r in df.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    pairs = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and sets[i] and 100 * (n := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    found = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, k).collect()}
+    assert len(pairs) > 5 and all(found[i] == found[j] for i, j in pairs)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
