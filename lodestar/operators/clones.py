@@ -96,6 +96,13 @@ def component_timeline(files: DataFrame, snapshots: list[str]) -> DataFrame:
     return counts.select("id", *(F.coalesce(F.col(s).cast("string"), F.lit("—")).alias(s) for s in snapshots))
 
 
+def bundle_timeline(bundles: DataFrame) -> DataFrame:
+    """bundle, id, file_count of the components of saved reports (see report_bundles()), one
+    after the other; missing columns of older reports are no error."""
+    part = F.explode("head_components").alias("c")
+    return bundles.select("bundle", part).select("bundle", "c.id", F.col("c.file_count").cast("long").alias("file_count"))
+
+
 def entity_counts(changes: DataFrame, *by: Column | str) -> DataFrame:
     return changes.groupBy(*by).agg(F.count("*").alias("n"))
 

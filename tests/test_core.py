@@ -215,6 +215,7 @@ def test_repository(spark, repo):
     bundle = repo.path / "bundle.json"
     bundle.write_text(report.render(tables, "json"))
     bundles = git_source.report_bundles(spark, [str(bundle)])
+    assert [tuple(r)[1:] for r in clones.bundle_timeline(bundles).collect()] == [(c["id"], c["file_count"]) for c in rows["head_components"]]
     assert bundles.select("summary").first()[0] == rows["summary"] and spark.read.json(str(repo.path / "out/findings")).count() == len(rows["findings"])
     out = repo.path / "out.txt"
     assert cli.main(["diff", "--repo", root, "-o", str(out)], spark) == 0 and "[~] function scale (src/d.ts)" in out.read_text()
