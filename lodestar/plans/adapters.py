@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
+from lodestar.sources.store import spread
 
 COMMENT = text.COMMENT
 SQL_N1 = rf"trim(regexp_replace(regexp_replace(%s, '{COMMENT}', ' ', 'g'), '[{text.SPACES}]+', ' ', 'g'))"
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hashed(files: DataFrame) -> DataFrame:
     """path and the three hashes of files (path, source), tokenised once."""
-    every = files.select("path", text.tokens(F.col("source")).alias("every"))
+    every = spread(files.select("path", "source")).select("path", text.tokens(F.col("source")).alias("every"))
     return every.select("path", *(c.alias(k) for k, c in text.token_hashes(F.col("every")).items()))
 
 

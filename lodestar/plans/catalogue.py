@@ -9,7 +9,7 @@ from lodestar.functions import paths, text
 from lodestar.operators import changes, clones, findings
 from lodestar.plans import adapters as v
 from lodestar.plans import samples
-from lodestar.sources.store import stored
+from lodestar.sources.store import spread, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,7 +175,7 @@ def api_changes(spark, d):
 
 @query(f"SELECT doc_id, group_key, n AS group_size FROM (SELECT doc_id, group_key, count(*) OVER (PARTITION BY group_key) AS n FROM (SELECT doc_id, sha256({v.SQL_N1 % 'text'}) AS group_key FROM documents)) WHERE n >= 2 AND group_key IS NOT NULL")
 def exact_clones(spark, d):
-    hashed = stored(v.doc_all(spark, d).select("doc_id", text.exact_hash(F.col("source")).alias("exact_hash")))
+    hashed = stored(spread(v.doc_all(spark, d)).select("doc_id", text.exact_hash(F.col("source")).alias("exact_hash")))
     return clones.exact_clones(hashed).drop("exact_hash")
 
 
@@ -184,7 +184,7 @@ b AS (SELECT doc_id, n1, len(every) AS nt, sha256(array_to_string(list_transform
 c AS (SELECT doc_id, nt, shape, count(*) OVER (PARTITION BY n1) AS nx FROM b), e AS (SELECT shape AS group_key, count(*) AS group_size FROM c WHERE nt >= 15 GROUP BY shape HAVING count(*) >= 2 AND NOT bool_and(nx >= 2))
 SELECT doc_id, group_key, group_size FROM c JOIN e ON shape = group_key AND nt >= 15""")
 def structural_clones(spark, d):
-    hashed = stored(clones.with_fingerprints(v.struct_docs(spark, d)).select("doc_id", "exact_hash", "shape_hash"))
+    hashed = stored(clones.with_fingerprints(spread(v.struct_docs(spark, d))).select("doc_id", "exact_hash", "shape_hash"))
     return clones.structural_clones(hashed).select("doc_id", "group_key", "group_size")
 
 

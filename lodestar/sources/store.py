@@ -44,6 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Below so many bytes of files a table may lie in fewer splits than there are cores.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is small by the planner's statistics; a larger table
+    has splits enough, and its texts aren't moved. For work that costs more than reading."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what was written; frames that read it can't be used any more."""
     context = spark.sparkContext
