@@ -138,3 +138,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = profiles(docs.where(~held_out("doc_id", 3, 1) & F.col("lang").isNotNull()))
     found = predict(docs, model)
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "distance")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, xor(list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE ascii(x) END::BIGINT),
+  lambda c, b: CASE WHEN b = 0 THEN c ELSE list_reduce(range(0, 8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)) END, 4294967295::BIGINT), 4294967295) % 3 = 1 AS held_out FROM documents),
+n AS (SELECT rid, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' ') || ' ' AS s FROM d),
+g AS (SELECT rid, unnest(flatten([list_transform(range(1, length(s) - k + 2), lambda i: substr(s, i, k)) for k in [1, 2, 3]])) AS gram FROM n WHERE length(s) > 2),
+c AS (SELECT rid, gram, count(*) AS c FROM g WHERE gram <> ' ' GROUP BY ALL),
+own AS (SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY c DESC, length(gram), gram) - 1 AS rank FROM c QUALIFY rank < 300),
+p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, length(gram), gram) - 1 AS rank FROM c JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram QUALIFY rank < 300),
+f AS (SELECT o.rid, l.lang, sum(coalesce(abs(p.rank - o.rank), 300)) AS far, count(*) AS size FROM own o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = o.gram GROUP BY o.rid, l.lang),
+b AS (SELECT rid, lang, far, size FROM f QUALIFY row_number() OVER (PARTITION BY rid ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - far::DOUBLE / (300 * size)::DOUBLE, 0.0::DOUBLE) AS score, far::BIGINT AS distance FROM d LEFT JOIN b USING (rid)
+"""

@@ -310,3 +310,21 @@ def keep_documents(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCE
 
 def op7_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Candidates by prefixes: of two sets similar enough, each has one of its rarest
+#: n - ceil(0.8 n) + 1 shingles in common with the other's.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+q AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+x AS (SELECT doc_id, g FROM e JOIN q USING (g) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, g) <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id),
+v AS (SELECT a, b, len(list_intersect(s.sh, t.sh)) AS common, len(s.sh) + len(t.sh) AS n FROM c JOIN s ON s.doc_id = a JOIN s t ON t.doc_id = b),
+l AS (SELECT a, b FROM v WHERE 100 * common >= 80 * (n - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS node FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.node = u.a),
+k AS (SELECT doc_id, min(node) AS least FROM r GROUP BY doc_id)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept FROM s LEFT JOIN k USING (doc_id)
+"""

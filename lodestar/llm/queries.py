@@ -18,9 +18,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_repeats": repeats.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op6_exact_dedup": exact.OP6_SQL,
+    "op7_minhash_near": near.OP7_SQL,
     "op8_license_scan": licenses.OP8_SQL,
+    "op9_language_id": langid.OP9_SQL,
     "op10_url_filter": urls.OP10_SQL,
 }

@@ -611,3 +611,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, unnest(list_transform(range(0, length(h) // 2 - 49), lambda i: substr(h, 2 * i + 1, 100))) AS g FROM d),
+x AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS least FROM w),
+s AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS head FROM x WHERE doc_id > least),
+r AS (SELECT doc_id, p, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+m AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+t AS (SELECT doc_id, list(struct_pack(a := a, b := b) ORDER BY a) AS spans, sum(b - a) AS n_removed, count(*) AS n_spans FROM m GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN spans IS NULL THEN h
+  ELSE array_to_string(list_transform(range(0, len(spans) + 1), lambda i: substr(h, CASE WHEN i = 0 THEN 0 ELSE 2 * spans[i].b END + 1, CASE WHEN i = len(spans) THEN length(h) ELSE 2 * spans[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE 2 * spans[i].b END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
