@@ -12,8 +12,10 @@ n * n / 2**65:
    anchor hashes, 5 bytes each, and learn which ones two documents share.
 3. For shared anchors blocks send a digest of the anchor's surroundings (a
    snippet: all windows that the anchor can serve) and the smallest doc_id.
-   Snippets with equal digests are a class; a document that isn't its class's
-   smallest loses the whole snippet.
+   Snippets with equal digests are a class. In order of digest they are
+   neighbours whose common prefix is the whole snippet, so the stack scan of
+   step 4 over these prefixes yields the classes as nodes of the interval tree,
+   without their bytes; all of a node's documents but the smallest lose the snippet.
 4. Of anchors with several classes, each class's smallest document sends the
    snippet's bytes. An enhanced suffix array is built over suffixes of at least
    MIN_BYTES bytes whose first MIN_BYTES bytes repeat after different bytes; a
@@ -22,6 +24,11 @@ n * n / 2**65:
    occurrences; an occurrence goes if the group has a smaller doc_id.
 5. Blocks unite what goes from each text.
 
+repeat_groups() returns the nodes themselves, with all occurrences: classes are
+expanded to their members, and classes that follow one another with the same
+occurrences are chained to one group of full length. Groups of several classes
+lie within a snippet; where they go on beyond it, they come as several that overlap.
+
 Hot anchors: a block sends an anchor or a class once however many copies it
 holds. Anchors with over HOT_CLASSES classes are dealt by the 15 bytes before
 and, again, after them: of any shared window one of the two sides is shared.
@@ -39,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources import store
@@ -277,6 +284,19 @@ def maximal_repeats(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int
             yield length, row[a : b + 1], at[a : b + 1]
 
 
+def later_members(same: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of snippets in order of class and then of doc_id: whether a node of the interval tree
+    has the snippet and a smaller document. same: whether a snippet is of the class
+    of the one before; what they have in common is then the whole snippet."""
+    later = np.zeros(len(ids), bool)
+    nodes = np.array(list(intervals(np.where(same, SNIPPET, 0).tolist(), MIN_BYTES)), np.int64).reshape(-1, 3)
+    if len(nodes):
+        first, size = nodes[:, 1], nodes[:, 2] - nodes[:, 1] + 1
+        member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        later[member] = ids[member] > np.repeat(ids[first], size)
+    return later
+
+
 # ---- steps
 
 
@@ -432,7 +452,7 @@ def judge_classes(sent: DataFrame) -> DataFrame:
         key, digest, ids, source = key[order], digest[order], ids[order], source[order]
         head = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]) if len(key) else np.empty(0, bool)
         first = np.flatnonzero(head)
-        later = ids > np.repeat(ids[first], np.diff(np.append(first, len(ids))))
+        later = later_members(~head, ids)
         # of the classes (first rows): anchors whose classes differ in their smallest document
         groups = _first(key[first])
         least, n = ids[first], np.diff(np.append(groups, len(first)))
@@ -560,9 +580,10 @@ def cut(packed: DataFrame, shared: DataFrame, judged: DataFrame, found: DataFram
         block.find_shared(buckets, right)
         digest, ids = block.digests(), block.ids[block.doc]
         order = np.lexsort((ids, digest))
-        first = _first(digest[order])
+        head = np.zeros(len(order), bool)
+        head[_first(digest[order])] = True
         whole = np.zeros(len(digest), bool)  # a smaller document of the block has it
-        whole[order] = ids[order] > np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
+        whole[order] = later_members(~head, ids[order])
         whole |= np.isin(digest, _all(right["later"]))
         before, after = (np.where(whole, x, -1) for x in block.sides())
         named = _all(right["digests"])
@@ -609,6 +630,63 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return cut(packed, shared, judged, found, buckets, with_text)
 
 
+def instances(packed: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """digest, doc_id, at, start, stop: the snippets around shared anchors, an anchor being at ``at``."""
+    schema = "digest long, doc_id long, at long, start long, stop long"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left)
+        block.find_shared(buckets, right)
+        before, after = block.sides()
+        return _table(schema, {"digest": block.digests().view(np.int64), "doc_id": block.ids[block.doc], "at": block.at, "start": block.at - before, "stop": block.at + K + after})
+
+    return packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, schema)
+
+
+def inner_nodes(sent: DataFrame) -> DataFrame:
+    """group_id, length, digest, offset: maximal repeats of several classes, a row for each class, with the place from its anchor."""
+    schema = "group_id long, length long, digest long, offset long"
+
+    def run(part: pa.Table) -> pa.Table:
+        read = lambda k, t: np.frombuffer(b"".join(part[k].to_pylist()), t)
+        rows, sides, key, digest = read("rows", np.uint8).reshape(-1, SNIPPET), read("sides", np.uint8).reshape(-1, 2).astype(np.int64), read("keys", np.uint64), read("digests", np.int64)
+        out: dict = {x.split(" ")[0]: [] for x in schema.split(", ")}
+        for group in np.unique(key):
+            some = np.flatnonzero(key == group)
+            for length, row, at in maximal_repeats(rows[some], EXTRA - sides[some, 0], EXTRA + K + sides[some, 1]):
+                name = int.from_bytes(hashlib.blake2b(rows[some[row[0]], at[0] : at[0] + length].tobytes(), digest_size=8).digest(), "little", signed=True)
+                for k, v in zip(out, ([name] * len(row), [length] * len(row), digest[some[row]].tolist(), (at - EXTRA).tolist()), strict=True):
+                    out[k] += v
+        return _table(schema, out)
+
+    return sent.groupBy("bucket").applyInArrow(run, schema)
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """group_id, length, doc_id, start: the occurrences of strings of MIN_BYTES bytes or
+    more that two documents share, one row each; start counts bytes."""
+    blocks = buckets = common.partitions_for(docs, BLOCK_BYTES)
+    packed = pack(docs, blocks)
+    shared = common.written(shared_anchors(send_anchors(packed, buckets)))
+    judged = common.written(judge_classes(send_classes(packed, shared, buckets)))
+    places = common.written(instances(packed, shared, buckets))
+    # classes of two documents or more, and how the others lie to the first occurrence
+    least = F.min(F.struct("doc_id", "start", "stop")).alias("least")
+    nodes = places.groupBy("digest").agg(least, F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least.doc_id < last")
+    members = common.written(places.join(nodes.select("digest", "least", "n"), "digest").withColumn("delta", F.col("start") - F.col("least.start")))
+    alike = members.groupBy("digest", "n", "least").agg(F.bit_xor(F.xxhash64("doc_id", "delta")).alias("others"))
+    line = Window.partitionBy("least.doc_id", "n", "others").orderBy("least.start", "least.stop")
+    ends = F.max("least.stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    chained = alike.withColumn("opens", F.coalesce(F.col("least.start") > ends, F.lit(True)).cast("int")).withColumn("chain", F.sum("opens").over(line))
+    chained = chained.groupBy("least.doc_id", "n", "others", "chain").agg(F.min(F.struct("least.start", "digest")).alias("head"), F.max("least.stop").alias("stop"))
+    heads = chained.select("head.digest", F.col("head.start").alias("from"), (F.col("stop") - F.col("head.start")).alias("length"))
+    whole = members.join(heads, "digest").select(F.xxhash64("digest", "length").alias("group_id"), "length", "doc_id", (F.col("from") + F.col("delta")).alias("start"))
+    inner = inner_nodes(send_snippets(packed, shared, judged, buckets)).join(places, "digest")
+    inner = inner.select("group_id", "length", "doc_id", (F.col("at") + F.col("offset")).alias("start")).distinct()
+    apart = inner.groupBy("group_id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("group_id")
+    return whole.unionByName(inner.join(apart, "group_id"))
+
+
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"), with_text=False)
 

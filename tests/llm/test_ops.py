@@ -188,6 +188,50 @@ def test_repeats(odd, docs, empty, hot, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_nothing_goes_without_the_tree(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(97, 120, (6, repeats.SNIPPET)).astype(np.uint8)
+    rows[4, 5:75], rows[5, 8:70] = rows[1, 5:75], rows[2, 8:70]
+    rows[:, repeats.EXTRA : repeats.EXTRA + repeats.K] = 97
+    sides, ids, group = np.full((6, 2), repeats.EXTRA, np.uint8), np.arange(6), np.zeros(6, np.uint64)
+    found = lambda: (repeats.repeat_parts(rows, sides, ids, group)[0] >= 0).tolist() + repeats.later_members(np.array([False, True, True, False]), np.array([3, 3, 5, 1])).tolist()
+    assert found() == [False] * 4 + [True] * 2 + [False, False, True, False]
+    monkeypatch.setattr(repeats, "intervals", lambda lcp, least: iter(()))
+    assert not any(found())
+
+
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_repeat_groups(odd, docs, empty, hot, monkeypatch):
+    """Occurrences of a group are equal strings of several documents, and they cover what goes; copies are one group."""
+    monkeypatch.setattr(repeats, "HOT_CLASSES", hot)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    copies = {i: t for i, t in texts.items() if len(t) > 200}
+    pair = docs.sparkSession.createDataFrame([(90_000 + i, t.decode()) for i, t in sorted(copies.items())[:5]], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(pair)
+    texts |= {r["doc_id"]: r["text"].encode() for r in pair.collect()}
+    groups = defaultdict(set)
+    for r in repeats.repeat_groups(df).collect():
+        groups[r["group_id"], r["length"]].add((r["doc_id"], r["start"]))
+    covered = defaultdict(lambda: np.zeros(0, bool))
+    for (_, n), members in groups.items():
+        assert n >= repeats.MIN_BYTES and len({texts[i][a : a + n] for i, a in members}) == 1 and len({i for i, _ in members}) > 1
+        least = min(i for i, _ in members)
+        for i, a in members:
+            if i > least:
+                if not len(covered[i]):
+                    covered[i] = np.zeros(len(texts[i]), bool)
+                covered[i][a : a + n] = True
+    gone = {r["doc_id"]: r["spans"] for r in repeats.remove_repeats(df).collect()}
+    for i, spans in gone.items():
+        want = np.zeros(len(texts[i]), bool)
+        for x in spans:
+            want[x["start"] : x["stop"]] = True
+        assert (want == (covered[i] if len(covered[i]) else np.zeros(len(texts[i]), bool))).all()
+    for i in sorted(copies)[:5]:
+        assert any(n >= 100 and {j for j, _ in m} >= {i, 90_000 + i} for (_, n), m in groups.items())
+    assert repeats.repeat_groups(empty).count() == 0
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(5)
     rows = rng.integers(97, 99, (40, repeats.SNIPPET)).astype(np.uint8)
