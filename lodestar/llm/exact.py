@@ -199,8 +199,9 @@ def resolved(docs: DataFrame, history: DataFrame | None = None) -> tuple[DataFra
     """doc_id, points, digest of each row, and what look_up() says of each digest."""
     rows = common.written(digests(docs))
     old = F.xxhash64("doc_id") % 2 == 0 if history is None else F.lit(False)
-    known = common.written(winners(rows.where(old))) if history is None else history
-    fresh = common.written(winners(rows.where(~old)))
+    n = rows.count()
+    known = common.written(winners(rows.where(old)), n) if history is None else history
+    fresh = common.written(winners(rows.where(~old)), n)
     shards = max(1, -(-max(known.count(), fresh.count()) // SHARD_KEYS))
     return rows, look_up(fresh, perfect_hash(known, shards), shards, history is None)
 
@@ -228,7 +229,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     rows, found = resolved(docs)
     best = found.select("digest", F.col("keep_id").alias("doc_id"), F.col("keep_points").alias("points"))
     times = rows.groupBy("doc_id").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("own"), "times")
-    best = common.written(best.join(times, F.col("doc_id").eqNullSafe(F.col("own"))).drop("own"))
+    best = common.written(best.join(times, F.col("doc_id").eqNullSafe(F.col("own"))).drop("own"), rows.count())
     out = common.having_ids(docs, best.where("times = 1").select("doc_id"))
     several = best.where("times > 1")
     if several.isEmpty():

@@ -153,8 +153,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None) -> DataFr
     doc_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chunk = F.conv(F.substring(F.md5(doc_text.cast("binary")), 1, 8), 16, 10).cast("long") % chunks
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("mix_id"), key.alias("mix_key"), chunk.alias("mix_chunk"))
-    sizes = common.written(rows.groupBy("mix_key", "mix_chunk").agg(F.count("*").alias("n")))
-    own, period = lanes(common.written(with_weights(sizes.groupBy("mix_key").agg(F.sum("n").alias("n")), weights)))
+    sizes = common.written(rows.groupBy("mix_key", "mix_chunk").agg(F.count("*").alias("n")), total)
+    own, period = lanes(common.written(with_weights(sizes.groupBy("mix_key").agg(F.sum("n").alias("n")), weights), sizes.count()))
     ends = lane_block(F.call_function("div", F.col("n") + BLOCK_DOCS - 1, F.lit(BLOCK_DOCS)), F.col("path"))
     horizon = own.agg(F.min(slot_of(ends, period))).first()[0] or 0
     before = Window.partitionBy("mix_key").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -183,7 +183,7 @@ def mixed_documents(docs: DataFrame, keep_place: bool = False) -> DataFrame:
     own, names = common.fresh(docs, "mix_id"), [common.fresh(docs, c) for c in PLACE]
     narrow = mix(docs.select("doc_id", "source")).withColumn("first", F.struct(F.col("mix_slot").isNull(), *PLACE))
     placed = narrow.groupBy(F.col("doc_id").alias(own)).agg(F.min("first").alias("first"))
-    placed = common.written(placed.select(own, *(F.col(f"first.{c}").alias(k) for c, k in zip(PLACE, names, strict=True))))
+    placed = common.written(placed.select(own, *(F.col(f"first.{c}").alias(k) for c, k in zip(PLACE, names, strict=True))), docs.count())
     last, n = placed.agg(F.max(names[0])).first()[0] or 0, common.shuffle_partitions(spark)
     found = docs.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)))
     part = F.coalesce(F.floor(F.col(names[0]) * n / (last + 1)), F.lit(n - 1)).cast("int")

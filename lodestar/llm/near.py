@@ -186,7 +186,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> Dat
     return common.written(texts.mapInArrow(make, "rep long, shingles binary, long_bits array<long>"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return common.written(both.mapInArrow(test, "a long, b long"))
+    return common.written(both.mapInArrow(test, "a long, b long"), rows)
 
 
 def star_step(edges: DataFrame) -> DataFrame:
@@ -219,14 +219,15 @@ def star_step(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of all nodes of edges (a, b), a != b."""
-    edges = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rows = edges.count()
+    edges = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     state = None
     while True:
-        edges = common.written(star_step(edges))  # so that plans stay short
+        edges = common.written(star_step(edges), rows)  # so that plans stay short
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
-        state = now
+        state, rows = now, now[0]
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
@@ -239,34 +240,34 @@ def tiled(member: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return side("t", "u", "a"), side("u", "t", "b")
 
 
-def dealt(members: DataFrame, buckets: DataFrame) -> DataFrame:
+def dealt(members: DataFrame, buckets: DataFrame, rows: int) -> DataFrame:
     """members (rep, keys, ...) as one row per key that buckets (key, m) has, with the
     number of tiles that m members need and the member's tile; written, as both sides of a join read it."""
     spread = members.select("*", F.explode("keys").alias("key")).drop("keys")
     spread = spread.join(buckets.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
-    return common.written(spread.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")))
+    return common.written(spread.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")), 4 * rows)
 
 
-def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, rows: int) -> DataFrame:
     """rep, component, keys: the members that may link to another component's member,
     with the buckets in which. Pairs with the hub were tested before."""
     named = comps.select(F.col("node").alias("rep"), "component")
     own = shared.where("rep != hub").groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most BANDS
-    own = common.written(own.join(named, "rep", "left").join(classes, "rep").withColumn("component", F.coalesce("component", "rep")))
+    own = common.written(own.join(named, "rep", "left").join(classes, "rep").withColumn("component", F.coalesce("component", "rep")), rows)
     buckets = own.select(F.explode("keys").alias("key"), "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-    a, b = tiled(dealt(own, buckets.where("lo != hi")), ["rep", "component", "n", "bits"])
+    a, b = tiled(dealt(own, buckets.where("lo != hi"), rows), ["rep", "component", "n", "bits"])
     cond = (F.col("l.component_a") != F.col("r.component_b")) & may_link(F.col("l.n_a"), F.col("r.n_b"), F.col("l.bits_a"), F.col("r.bits_b"), percent)
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "t", "u")]
     found = a.alias("l").join(b.alias("r"), [*same, cond], "left_semi").select("key", F.col("rep_a").alias("rep"), F.col("component_a").alias("component"))
-    return common.written(found.groupBy("rep", "component").agg(F.collect_set("key").alias("keys")))
+    return common.written(found.groupBy("rep", "component").agg(F.collect_set("key").alias("keys")), rows)
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
     """Pairs of open members of different components that the longer signatures
     allow, each from the first band that it shares."""
     columns = ["rep", "component", "n", "bits", "bands", "long_bits"]
     buckets = members.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
-    a, b = tiled(dealt(members.join(classes, "rep").join(sets.select("rep", "long_bits"), "rep"), buckets), columns)
+    a, b = tiled(dealt(members.join(classes, "rep").join(sets.select("rep", "long_bits"), "rep"), buckets, rows), columns)
     close = estimate(F.col("long_bits_a"), F.col("long_bits_b"), LONG_PERMS) >= percent / 100 - LONG_SLACK
     first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
     both = a.join(b, ["key", "t", "u"]).where(F.col("component_a") < F.col("component_b"))
@@ -277,25 +278,26 @@ def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept: one row per row of docs."""
     rows = common.written(sketch(docs, k))
+    n = rows.count()
     narrow = rows.select("doc_id", "n_shingles", "digest")
     reps = narrow.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = rows.join(reps.withColumnRenamed("digest", "rep_digest"), (F.col("digest") == F.col("rep_digest")) & (F.col("doc_id") == F.col("rep")))
-    classes = common.written(own.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "bits", "bands"))
+    classes = common.written(own.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "bits", "bands"), n)
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last")
-    shared = common.written(keys.join(buckets.select("key", "hub"), "key"))
+    shared = common.written(keys.join(buckets.select("key", "hub"), "key"), 4 * n)
 
     side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bits")))
     star = shared.where("rep != hub").select(F.col("hub").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()
     star = star.join(side("a"), "rep_a").join(side("b"), "rep_b")
     star = star.where(may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
-    star = common.written(star.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    links = confirmed(star, full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k), percent)
+    star = common.written(star.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), n)
+    links = confirmed(star, full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k), percent, n)
     comps = components(links)
-    members = open_members(shared, classes.drop("bands"), comps, percent)
+    members = open_members(shared, classes.drop("bands"), comps, percent, n)
     if not members.isEmpty():
         sets = full_sets(docs, members.select("rep").distinct(), k, LONG_PERMS)
-        comps = components(links.unionByName(confirmed(cross_pairs(members, classes, sets, percent), sets, percent)))
+        comps = components(links.unionByName(confirmed(cross_pairs(members, classes, sets, percent, n), sets, percent, n)))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("found"))
     out = narrow.join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found"))
@@ -305,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 def keep_documents(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
     ids = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return common.having_ids(docs, common.written(ids))
+    return common.having_ids(docs, common.written(ids, docs.count()))
 
 
 def op7_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     ok = passed.groupBy(F.col("source").alias("ok_host")).agg(F.count("*").cast("double").alias("ok"))
     hosts = n.join(ok, F.col("host").eqNullSafe(F.col("ok_host")), "left").select("host", "n", (F.col("n") - F.coalesce("ok", F.lit(0.0))).alias("k"))
     name = common.fresh(docs, "bad_host")
-    bad = common.written(rejected_hosts(hosts).select(F.col("host").alias(name)))
+    # written, so that its size is known and a few hosts are broadcast: texts aren't dealt by host
+    bad = common.written(rejected_hosts(hosts).select(F.col("host").alias(name)), docs.count())
     return passed.join(bad, F.col("source").eqNullSafe(F.col(name)), "left_anti")
 
 
