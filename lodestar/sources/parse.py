@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lodestar.functions.text import KEYWORDS, LITERAL_WORDS
+from lodestar.sources import store
 from lodestar.sources.lexer import Token, lex, matching
 
 ENTITY = "kind string, name string, file_path string, start_line int, end_line int, source string, signature string, qualifiers array<string>, parent string, shape_hash string"
@@ -383,4 +384,5 @@ def parse_files(files: DataFrame, what: str = "entities") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([r for p, s in zip(batch["path"], batch["source"], strict=True) for r in f(p, s)], columns=names)
 
+    store.bound_batches(files.sparkSession)
     return files.select("path", "source").mapInPandas(run, schema)

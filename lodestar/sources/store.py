@@ -8,6 +8,7 @@ tasks and no text is tokenised twice.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
 
 
+#: Bounds of the Arrow batches that Python operators read.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES bytes, or the
+    session's own lower bounds: texts can be long, and a batch is buffered by the JVM,
+    outside its heap, and again by the worker. One row longer than that is a batch of its own."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    """A setting's number, with a unit of bytes or without."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit.rstrip("b")[:1] or " ")
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what was written; frames that read it can't be used any more."""
     context = spark.sparkContext

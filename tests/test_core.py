@@ -5,6 +5,7 @@ import re
 import subprocess
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def test_against_sql(spark, duck, name):
     assert sorted(map(key, got.select(*names).collect())) == sorted(map(key, want.select(*(f'"{n}"' for n in names)).fetchall()))
 
 
+def test_bound_batches(spark):
+    """Python operators get batches of few bytes, and a lower bound of the session stays."""
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    held = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for own, then in (("128m", str(store.BATCH_BYTES)), ("64MB", str(store.BATCH_BYTES)), ("2m", "2m")):
+            spark.conf.set(size, own)
+            spark.conf.set(rows, "500")
+            store.bound_batches(spark)
+            assert (spark.conf.get(size), spark.conf.get(rows)) == (then, "500")
+        rows_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches)
+        sizes = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("abcdefghij"), 100_000)).mapInArrow(rows_of, "n long")
+        assert max(r["n"] for r in sizes.collect()) <= 3  # rows of 1 MB, batches of 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_text(spark):
     assert one(spark, "a /* x */ b // c\n\tdé /* open", text.normalize) == "a b dé"
     assert one(spark, "a\n// b\n/* c\n*/\n\nd", text.line_metrics).asDict() == {"code": 2, "comment": 3, "blank": 1}
