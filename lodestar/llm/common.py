@@ -16,7 +16,6 @@ from lodestar.sources import store
 SPACE = r"\x20\x09-\x0D"
 #: The same characters, one by one.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-BATCH_ROWS = 1000
 ROWS_A_FILE = 10_000
 
 
@@ -44,12 +43,9 @@ def slices(batch: pa.RecordBatch, texts: int, size: int = 2 << 20) -> Iterator[p
 
 
 def texts(docs: DataFrame, *others: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """ids, text and any others of docs, for a Python operator. Texts can be long, so the
-    session's Arrow batches are held to BATCH_ROWS rows: a batch is buffered by
-    the JVM, outside its heap, and again by the worker."""
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """ids, text and any others of docs, for a Python operator, whose Arrow batches are
+    bounded by rows and bytes (store.bound_batches())."""
+    store.bound_batches(docs.sparkSession)
     return docs.select(*ids, "text", *others)
 
 
