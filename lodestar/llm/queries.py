@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, langid, licenses, lots, mixing, near, ppm, quality, repeats, urls
+from . import bpe, exact, infill, langid, licenses, lots, mixing, near, ppm, quality, repeats, urls
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op13_return_lots": lots.op13_return_lots,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op8_license_scan": licenses.OP8_SQL,
     "op9_language_id": langid.OP9_SQL,
     "op10_url_filter": urls.OP10_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
     "op13_return_lots": lots.OP13_SQL,
 }
