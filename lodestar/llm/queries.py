@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, infill, langid, licenses, lots, mixing, near, ppm, quality, repeats, urls
+from . import articles, bpe, exact, infill, langid, licenses, lots, mixing, near, ppm, quality, repeats, urls
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_url_filter": urls.op10_url_filter,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_html_articles": articles.op12_html_articles,
     "op13_return_lots": lots.op13_return_lots,
 }
 
