@@ -29,11 +29,12 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +61,7 @@ def allot(supply: list[tuple[int, int]], demand: list[tuple[int, int]], rule: st
         return i
 
     found = []
-    first_after = np.searchsorted(days, [d for d, _ in supply], side="right").tolist()
+    first_after = [bisect_right(days, d) for d, _ in supply]
     ranked = range(len(supply)) if rule == "fifo" else reversed(range(len(supply)))
     for k in ranked:
         day, left = supply[k]
@@ -96,31 +97,37 @@ def plan_days(totals: DataFrame, keys: list[str], rule: str) -> DataFrame:
             days = batch.column(len(keys))
             ends, flat = days.offsets.to_pylist(), days.values
             kind, day, units, rows = (flat.field(i).to_pylist() for i in range(4))
-            all_allocs, all_used = [], []
+            columns: dict[str, list[list]] = {"allocs": [[] for _ in range(8)], "used": [[] for _ in range(3)]}
+            sizes: dict[str, list[int]] = {"allocs": [0], "used": [0]}
             for a, b in zip(ends, ends[1:], strict=False):
                 at = sorted(range(a, b), key=day.__getitem__)
-                sides = [[(day[i], units[i]) for i in at if kind[i] == k] for k in (0, 1)]
+                supply, demand = ([(day[i], units[i]) for i in at if kind[i] == k] for k in (0, 1))
                 cell = {(kind[i], day[i]): _cell(units[i], rows[i]) for i in at}
                 before, seen = {}, 0
                 for i in at:
                     if kind[i] == 1:
                         before[day[i]] = seen
                         seen += rows[i]
-                given = allot(*sides, rule)
-                all_allocs.append([(s, r, x, y, u, cell[0, s] if s is not None else None, cell[1, r], before[r]) for s, r, x, y, u in given])
-                part = [(1, r) for r in before] + [(0, s) for s in dict.fromkeys(s for s, *_ in given if s is not None)]
-                all_used.append([(k, d, cell[k, d]) for k, d in part])
-            columns = [_structs(v, arrow.field(n).type) for v, n in ((all_allocs, "allocs"), (all_used, "used"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], schema=arrow)
+                taking = dict.fromkeys((1, r) for r in before)
+                for s, r, x, y, u in allot(supply, demand, rule):
+                    if s is not None:
+                        taking[0, s] = None
+                    for column, value in zip(columns["allocs"], (s, r, x, y, u, cell.get((0, s)), cell[1, r], before[r]), strict=True):
+                        column.append(value)
+                for k, d in taking:
+                    for column, value in zip(columns["used"], (k, d, cell[k, d]), strict=True):
+                        column.append(value)
+                for name, found in columns.items():
+                    sizes[name].append(len(found[0]))
+            lists = [_structs(columns[n], sizes[n], arrow.field(n).type) for n in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *lists], schema=arrow)
 
     return totals.select(*keys, "days").mapInArrow(run, schema)
 
 
-def _structs(lists: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
-    """Lists of tuples as an array of lists of structs, column by column."""
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+def _structs(columns: list[list], ends: list[int], kind: pa.ListType) -> pa.ListArray:
+    """Columns of values as an array of lists of structs, whose ends are given."""
     fields = list(kind.value_type)
-    columns = list(zip(*(t for x in lists for t in x), strict=True)) or [()] * len(fields)
     inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kind)
 
@@ -202,7 +209,7 @@ def match_lots(lots: DataFrame, returns: DataFrame, keys: list[str], order: list
     names = [*keys, "day", "units", *order]
     sides = [t.select(F.lit(k).alias("kind"), *names).dropna(subset=[*keys, "day", "units"]).where("units > 0") for k, t in enumerate((lots, returns))]
     entries = sides[0].unionByName(sides[1])
-    totals = entries.groupBy(*keys, "kind", "day").agg(F.sum("units").alias("units"), F.count("*").alias("rows"))
+    totals = entries.groupBy(*keys, "kind", F.col("day").cast("int").alias("day")).agg(F.sum("units").alias("units"), F.count("*").alias("rows"))
     totals = totals.groupBy(*keys).agg(F.collect_list(F.struct("kind", "day", "units", "rows")).alias("days"), F.max("kind").alias("kind")).where("kind = 1")
     plan = common.written(plan_days(totals, keys, rule))
     used, allocs = (plan.select(*keys, F.inline(c)) for c in ("used", "allocs"))
@@ -227,8 +234,6 @@ def match_lots(lots: DataFrame, returns: DataFrame, keys: list[str], order: list
         .select(*keys, (F.col("returns_before") + F.col("return_rank") + 1).alias("return_no"), "return_day", (end - start).alias("units"), (start - F.col("return_place")).alias("return_from"), taken.alias("lot_from"),
                 (F.col("lot_units") - taken - (end - start)).alias("lot_left"), "lot_day", *(f"{side}_{c}" for side in ("return", "lot") for c in order))
     )
-    from pyspark.sql import Window
-
     one = Window.partitionBy(*keys, "return_no").orderBy("return_from")  # a return's pieces are at most its units
     return pieces.withColumn("piece_no", F.row_number().over(one).cast("long"))
 
