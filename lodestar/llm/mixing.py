@@ -1,27 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling (operator 5), in DataFrame functions only.
 
 A source's documents are numbered in a fixed order and cut into blocks. With
-whole shares p of a total Q, block b (from 0) of a source may start at slot
-floor(b * Q / p), its release, and must have run by ceil((b + 1) * Q / p), its
-deadline. In each slot the released block with the earliest deadline runs. At
-any time each source is then less than one block away from its target. The
-schedule repeats after Q slots, so one period, whose size depends on the shares
-and not on the data, is laid out on the driver and applied to all blocks by
-arithmetic. Every row is kept: once a source runs out (from there on_target is
-false), its slots stay empty and the others go on in their proportions.
-
-Whole weights of up to MOST_SLOTS in all are met exactly. Others are scaled so
-that the smallest gets PRECISION slots of a period, or to MOST_SLOTS in all
-where that would be more; a source gets one slot at least.
-
-Of more than MOST_SOURCES sources the largest are scheduled so, and the others
-are dealt to POOLS pools, each scheduled as one source with the weight of its
-members. A pool's own slots are dealt by halves: of two halves with weights p
-and q, block j of the first takes slot ceil((j + 1) (p + q) / p) - 1 and block j
-of the second takes slot floor(j (p + q) / q), and so on within each half. That
-needs no simulation and no gathering; a pooled source is less than one block per
-halving away from its target, and its release and deadline are those of the
-pool's block that it takes.
+weight w of a total W, block b (from 0) of a source may start at slot
+floor(b * W / w), its release, and must have run by ceil((b + 1) * W / w), its
+deadline. In each slot the released block with the earliest deadline runs (of equal
+ones, that of the first source by name), so that at any time each source is
+less than one block away from its target. Weights are taken as they are, as
+whole multiples of a power of two, and all arithmetic is in whole numbers: nothing is
+rounded, whatever the weights, the sources or the length. Every row is kept: once a source runs out
+(from there on_target is false), its slots stay empty and the others go on in
+their proportions.
+
+Blocks have BLOCK_DOCS documents, or as many more as it takes for MOST_SLOTS blocks of equal
+size to hold the table, so that the schedule, which is laid out on the driver,
+has at most MOST_SLOTS blocks and one for each source, whatever the data's size. It is written as a
+table of narrow rows and joined to the blocks. What grows with the data there is
+the number of sources, with a row each.
 
 Numbering does not gather a source in one task: a row's chunk is drawn from its
 doc_id's hash, rows are numbered within (source, chunk), and a running sum of
@@ -30,8 +24,8 @@ so that neither step grows faster than that.
 
 Edge cases: a null source is a source of its own; a source of weight 0, or left
 out of the weights, has no slots (its places are null and it comes last, off
-target); a negative weight is an error; null doc_ids count as the empty text in
-the hash; repeated rows each get a place; an empty table gives an empty table;
+target); a negative weight, or one that is no number, is an error; null doc_ids count as the empty text in
+the hash; repeated rows each get a place of their own; an empty table gives an empty table;
 other columns are carried along by mix(), and a new column whose name is taken
 gets a longer one.
 """
@@ -41,132 +35,93 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK_DOCS = 16
-PRECISION = 100
 MOST_SLOTS = 1 << 20
-MOST_SOURCES = 10_000
-POOLS = 1000
-#: Of a pooled source's weight in its pool, the whole number that 1 becomes.
-POOL_UNIT = 16
+#: Where releases and deadlines of very small weights are held, so that they fit a long.
+LAST = 1 << 62
 PLACE = ("mix_slot", "mix_place", "mix_on_target")
 COLUMNS = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_on_target")
 
 
-def schedule(shares: list[int]) -> list[list[int]]:
-    """The slots of each source's blocks in one period, by earliest deadline first."""
-    total = sum(shares)
-    slots: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, i) for i, p in enumerate(shares) if p]  # (release, source)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
-    for t in range(total):
+def whole_weights(weights: list[float]) -> list[int]:
+    """The same proportions in whole numbers, exactly."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(f.denominator for f in exact)) if exact else 1
+    found = [int(f * unit) for f in exact]
+    shared = math.gcd(*found) or 1
+    return [w // shared for w in found]
+
+
+def schedule(weights: list[int], blocks: list[int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(source, block, release, deadline, slot) of each source's blocks, by earliest deadline
+    first, and the slot from which on a source may be missed. Weights are positive."""
+    total = sum(weights)
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]  # (release, source, block)
+    ready: list[tuple[int, int, int, int]] = []  # (deadline, source, block, release)
+    found, t = [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
-            i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * total // shares[i]), i))
-        i = heapq.heappop(ready)[1]
-        slots[i].append(t)
-        if len(slots[i]) < shares[i]:
-            heapq.heappush(waiting, (len(slots[i]) * total // shares[i], i))
-    return slots
-
-
-def whole_shares(weights: list[float]) -> list[int]:
-    """Slots of each source in one period."""
-    if all(float(w).is_integer() for w in weights):
-        unit = math.gcd(*(int(w) for w in weights)) if weights else 1
-        if sum(weights) // unit <= MOST_SLOTS:
-            return [int(w) // unit for w in weights]
-    found = [math.floor(PRECISION * w / min(weights) + 0.5) for w in weights]
-    if sum(found) > MOST_SLOTS:
-        total = sum(weights)
-        found = [max(1, math.floor(MOST_SLOTS * w / total + 0.5)) for w in weights]
-    return found
-
-
-def with_weights(counts: DataFrame, weights: dict[str | None, int] | None) -> DataFrame:
+            release, i, b = heapq.heappop(waiting)
+            heapq.heappush(ready, (min(-(-(b + 1) * total // weights[i]), LAST), i, b, release))
+        deadline, i, b, release = heapq.heappop(ready)
+        found.append((i, b, release, deadline, t))
+        if b + 1 < blocks[i]:
+            heapq.heappush(waiting, (min((b + 1) * total // weights[i], LAST), i, b + 1))
+        t += 1
+    return found, min((min(n * total // w, LAST) for n, w in zip(blocks, weights, strict=True)), default=0)
+
+
+def with_weights(counts: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
     """counts (mix_key, n) with the column weight; None: the square root of a source's documents."""
     if weights is None:
         return counts.withColumn("weight", F.sqrt("n"))
-    if any(w < 0 for w in weights.values()):
-        raise ValueError("negative weights")
-    named = json.dumps([["" if k is None else f"={k}", w] for k, w in weights.items()])
+    if any(not 0 <= w < math.inf for w in weights.values()):
+        raise ValueError("negative weights, or no numbers")
+    named = json.dumps([["" if k is None else f"={k}", repr(float(w))] for k, w in weights.items()])
     table = F.inline(F.transform(F.from_json(F.lit(named), "array<array<string>>"), lambda x: F.struct(x[0].alias("mix_key"), x[1].cast("double").alias("weight"))))
     return counts.join(counts.sparkSession.range(1).select(table), "mix_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def pooled(sources: DataFrame) -> DataFrame:
-    """mix_key, n, lane, weight, path: path has the halvings from a source up to its pool."""
-    members = sources.withColumn("lane", F.concat(F.lit("pool "), F.pmod(F.xxhash64("mix_key"), F.lit(POOLS))))
-    members = members.withColumn("part", F.greatest(F.lit(1), F.round(POOL_UNIT * F.col("weight"))).cast("long"))
-    members = common.written(members.withColumn("r", F.row_number().over(Window.partitionBy("lane").orderBy("mix_key")) - 1))
-    most, halvings = members.agg(F.max("r")).first()[0] or 0, []
-    for h in range(int(most).bit_length()):
-        own, total = (F.sum("part").over(Window.partitionBy("lane", F.shiftright("r", k))) for k in (h, h + 1))
-        members = members.withColumn(f"h{h}", F.struct(own.alias("own"), total.alias("total"), (F.shiftright("r", h) % 2 == 0).alias("first")))
-        halvings.append(f"h{h}")
-    path = F.array(*halvings) if halvings else F.lit(None).cast("array<struct<own:bigint,total:bigint,first:boolean>>")
-    return members.select("mix_key", "n", "lane", "weight", path.alias("path"))
-
-
-def lane_block(block, path):
-    """The block of its lane that a source's block is: the block itself without a path."""
-    exact = lambda t, s: F.call_function("div", t, s)
-    up = lambda t, s: F.when(s["first"], exact((t + 1) * s["total"] + s["own"] - 1, s["own"]) - 1).otherwise(exact(t * s["total"], s["own"]))
-    return F.when(path.isNull(), block).otherwise(F.aggregate(path, block, up))
-
-
-def lanes(sources: DataFrame) -> tuple[DataFrame, int]:
-    """mix_key, n, path, share, slots (of the lane's blocks in one period) of each source with a weight, and the period."""
-    spark = sources.sparkSession
-    live = sources.where("weight > 0")
-    no_path = F.lit(None).cast("array<struct<own:bigint,total:bigint,first:boolean>>")
-    if live.count() <= MOST_SOURCES:
-        own = live.select("mix_key", "n", F.col("mix_key").alias("lane"), "weight", no_path.alias("path"))
-    else:
-        large = common.written(live.orderBy(F.desc("weight"), "mix_key").limit(MOST_SOURCES - POOLS))
-        rest = live.join(F.broadcast(large.select("mix_key")), "mix_key", "left_anti")  # at most MOST_SOURCES rows
-        own = common.written(large.select("mix_key", "n", F.col("mix_key").alias("lane"), "weight", no_path.alias("path")).unionByName(pooled(rest)))
-    plan = sorted(map(tuple, own.groupBy("lane").agg(F.sum("weight")).collect()))  # at most MOST_SOURCES rows
-    shares = whole_shares([w for _, w in plan])
-    text = json.dumps([{"lane": k, "share": p, "slots": s} for (k, _), p, s in zip(plan, shares, schedule(shares), strict=True)])
-    # at most MOST_SOURCES lanes and, in all, 2 * MOST_SLOTS slots, whatever the data's size
-    laid = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<lane:string,share:bigint,slots:array<bigint>>>")))
-    return own.join(F.broadcast(laid), "lane").drop("lane", "weight"), sum(shares)
-
-
-def slot_of(block, period: int):
-    """The slot of a lane's block, from the lane's columns share and slots."""
-    return F.call_function("div", block, F.col("share")) * period + F.element_at("slots", (block % F.col("share")).cast("int") + 1)
-
-
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None) -> DataFrame:
-    """docs with COLUMNS. weights: whole numbers by source; None: the root of a source's documents."""
+def planned(sources: DataFrame, block_docs: int) -> tuple[DataFrame, int]:
+    """mix_key, mix_block, release, deadline, slot of the blocks of sources (mix_key, n, weight), and the horizon."""
+    plan = sources.where("weight > 0").toArrow().sort_by("mix_key")  # a row for each source
+    keys = plan["mix_key"].to_pylist()
+    rows, horizon = schedule(whole_weights(plan["weight"].to_pylist()), [-(-n // block_docs) for n in plan["n"].to_pylist()])
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    table = pa.table({"mix_key": pa.array([keys[i] for i in columns[0]], pa.string()), **{c: pa.array(v, pa.int64()) for c, v in zip(("mix_block", "release", "deadline", "slot"), columns[1:], strict=True)}})
+    return common.written(sources.sparkSession.createDataFrame(table), len(table)), horizon
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """docs with COLUMNS. weights: by source, of any size; None: the root of a source's documents."""
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     total = docs.select("doc_id").count()
-    chunks = max(1, math.ceil(math.sqrt(total)))
+    chunks, block_docs = max(1, math.ceil(math.sqrt(total))), max(BLOCK_DOCS, -(-total // MOST_SLOTS))
     doc_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chunk = F.conv(F.substring(F.md5(doc_text.cast("binary")), 1, 8), 16, 10).cast("long") % chunks
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("mix_id"), key.alias("mix_key"), chunk.alias("mix_chunk"))
     sizes = common.written(rows.groupBy("mix_key", "mix_chunk").agg(F.count("*").alias("n")), total)
-    own, period = lanes(common.written(with_weights(sizes.groupBy("mix_key").agg(F.sum("n").alias("n")), weights), sizes.count()))
-    ends = lane_block(F.call_function("div", F.col("n") + BLOCK_DOCS - 1, F.lit(BLOCK_DOCS)), F.col("path"))
-    horizon = own.agg(F.min(slot_of(ends, period))).first()[0] or 0
+    plan, horizon = planned(with_weights(sizes.groupBy("mix_key").agg(F.sum("n").alias("n")), weights), block_docs)
     before = Window.partitionBy("mix_key").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("mix_key", "mix_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_offset"))
     within = Window.partitionBy("mix_key", "mix_chunk").orderBy("mix_id")
-    placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets, ["mix_key", "mix_chunk"]).join(own.drop("n"), "mix_key", "left")
-    placed = placed.withColumn("rank", F.col("mix_offset") + F.col("mix_row") - 1).withColumn("block", F.call_function("div", F.col("rank"), F.lit(BLOCK_DOCS)))
-    placed = placed.withColumn("lane_block", lane_block(F.col("block"), F.col("path"))).withColumn("slot", slot_of(F.col("lane_block"), period))
-    at, share, none = F.col("lane_block"), F.col("share"), F.col("share").isNull()
+    placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets, ["mix_key", "mix_chunk"])
+    placed = placed.withColumn("rank", F.col("mix_offset") + F.col("mix_row") - 1).withColumn("mix_block", F.call_function("div", F.col("rank"), F.lit(block_docs)))
+    placed = placed.join(plan, ["mix_key", "mix_block"], "left")
+    slotted = F.col("slot").isNotNull()
     found = {
-        "mix_block": F.col("block"), "mix_release": F.call_function("div", at * period, share), "mix_deadline": F.call_function("div", (at + 1) * period + share - 1, share),
-        "mix_slot": F.col("slot"), "mix_place": F.when(~none, F.col("rank") % BLOCK_DOCS), "mix_on_target": ~none & (F.col("slot") < horizon),
+        "mix_block": F.col("mix_block"), "mix_release": F.col("release"), "mix_deadline": F.col("deadline"), "mix_slot": F.col("slot"),
+        "mix_place": F.when(slotted, F.col("rank") % block_docs), "mix_on_target": slotted & (F.col("slot") < horizon),
     }
     return placed.select("doc.*", *(v.cast("boolean" if k == "mix_on_target" else "long").alias(common.fresh(docs, k)) for k, v in found.items()))
 
@@ -176,16 +131,24 @@ def mixed_documents(docs: DataFrame, keep_place: bool = False) -> DataFrame:
     keep_place: with the columns PLACE last, as the order of files doesn't outlast a read.
 
     Places are worked out on narrow rows; texts then move twice, streamed past a
-    hash table of their partition's places and to their part of the order. Rows
-    that repeat a doc_id take the first one's place.
+    hash table of their partition's places and to their part of the order. Of rows that
+    repeat a doc_id each takes one of that id's places.
     """
     spark = docs.sparkSession
-    own, names = common.fresh(docs, "mix_id"), [common.fresh(docs, c) for c in PLACE]
-    narrow = mix(docs.select("doc_id", "source")).withColumn("first", F.struct(F.col("mix_slot").isNull(), *PLACE))
-    placed = narrow.groupBy(F.col("doc_id").alias(own)).agg(F.min("first").alias("first"))
-    placed = common.written(placed.select(own, *(F.col(f"first.{c}").alias(k) for c, k in zip(PLACE, names, strict=True))), docs.count())
+    own, names, count, turn = common.fresh(docs, "mix_id"), [common.fresh(docs, c) for c in PLACE], common.fresh(docs, "mix_count"), common.fresh(docs, "mix_turn")
+    same = Window.partitionBy("doc_id")
+    narrow = mix(docs.select("doc_id", "source")).select(F.col("doc_id"), *(F.col(c).alias(k) for c, k in zip(PLACE, names, strict=True)), F.count("*").over(same).alias(count))
+    narrow = narrow.withColumn(turn, F.row_number().over(same.orderBy(F.col(names[0]).asc_nulls_last(), names[1])))
+    placed = common.written(narrow.withColumnRenamed("doc_id", own), docs.count())
     last, n = placed.agg(F.max(names[0])).first()[0] or 0, common.shuffle_partitions(spark)
-    found = docs.join(placed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)))
+    matches = F.col("doc_id").eqNullSafe(F.col(own))
+    found = docs.join(placed.where(F.col(count) == 1).drop(turn).hint("shuffle_hash"), matches)
+    repeated = placed.where(F.col(count) > 1)
+    if not repeated.isEmpty():
+        ids = repeated.select(F.col(own).alias("doc_id")).distinct()
+        again = common.having_ids(docs, ids).withColumn(turn, F.row_number().over(same.orderBy("source")))
+        takes = repeated.withColumnRenamed(turn, common.fresh(again, turn))
+        found = found.unionByName(again.join(takes, matches & (F.col(turn) == F.col(common.fresh(again, turn)))).select(found.columns))
     part = F.coalesce(F.floor(F.col(names[0]) * n / (last + 1)), F.lit(n - 1)).cast("int")
     order = [F.col(k).asc_nulls_last() for k in names[:2]]
     return found.repartitionById(n, part).sortWithinPartitions(*order).select(*docs.columns, *(names if keep_place else ()))
@@ -200,17 +163,14 @@ OP5_SQL = """
 WITH RECURSIVE k AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(1, ceil(sqrt((SELECT count(*) FROM documents)))::BIGINT) AS chunk FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY chunk, doc_id NULLS FIRST) - 1 AS rank FROM k),
-n AS (SELECT key, count(*) AS n FROM k GROUP BY key),
-w AS (SELECT key, n, sqrt(n) AS w, bool_and(sqrt(n) = floor(sqrt(n))) OVER () AS whole FROM n),
-s AS (SELECT key, n, CASE WHEN whole THEN w // (SELECT list_reduce(list(w::BIGINT), lambda a, b: gcd(a, b)) FROM w) ELSE floor(100 * w / (SELECT min(w) FROM w) + 0.5) END::BIGINT AS p, row_number() OVER (ORDER BY key) AS i FROM w),
-z AS (SELECT list(p ORDER BY i) AS ps, sum(p)::BIGINT AS q, count(*) AS ns FROM s),
-sim AS (SELECT 0::BIGINT AS t, 0::BIGINT AS pick, 0::BIGINT AS j, list_transform(ps, lambda x: 0::BIGINT) AS c, ps, q, ns FROM z
+b AS (SELECT greatest(16, (count(*) + 1048575) // 1048576) AS docs FROM k),
+s AS (SELECT key, (count(*) + docs - 1) // docs AS n, (sqrt(count(*)) * 4503599627370496)::HUGEINT AS w, row_number() OVER (ORDER BY key) AS i FROM k, b GROUP BY key, docs),
+z AS (SELECT list(w ORDER BY i) AS ws, list(n ORDER BY i) AS ns, sum(w)::HUGEINT AS q, sum(n) AS many, range(1, count(*) + 1) AS idx, min(n * (SELECT sum(w) FROM s)::HUGEINT // w) AS horizon FROM s),
+sim AS (SELECT -1::HUGEINT AS slot, 0::BIGINT AS pick, 0::BIGINT AS j, list_transform(ws, lambda x: 0::BIGINT) AS c, 0::BIGINT AS done FROM z
   UNION ALL
-  SELECT t + 1, pick2, c[pick2], list_transform(c, lambda x, i: CASE WHEN i = pick2 THEN x + 1 ELSE x END), ps, q, ns FROM (
-    SELECT *, list_min(list_transform(range(1, ns + 1), lambda i: CASE WHEN c[i] < ps[i] AND (c[i] * q) // ps[i] <= t THEN (((c[i] + 1) * q + ps[i] - 1) // ps[i]) * 100000 + i END)) % 100000 AS pick2 FROM sim WHERE t < q)),
-lanes AS (SELECT pick AS i, j, t - 1 AS slot FROM sim WHERE t > 0),
-hz AS (SELECT min((s.n + 15) // 16 // s.p * z.q + l.slot) AS horizon FROM s, z, lanes l WHERE l.i = s.i AND l.j = (s.n + 15) // 16 % s.p)
-SELECT doc_id, source, (rank // 16)::BIGINT AS block, (rank // 16 * q // p)::BIGINT AS release, (((rank // 16 + 1) * q + p - 1) // p)::BIGINT AS deadline,
-  (rank // 16 // p * q + l.slot)::BIGINT AS slot, (rank % 16)::BIGINT AS place, rank // 16 // p * q + l.slot < horizon AS on_target
-FROM r JOIN s ON r.key = s.key JOIN lanes l ON l.i = s.i AND l.j = rank // 16 % p, z, hz
+  SELECT t, best, c[best], list_transform(c, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), done + 1 FROM (
+    SELECT *, (list_min(list_transform(idx, lambda i: CASE WHEN c[i] < ns[i] AND c[i] * q // ws[i] <= t THEN (((c[i] + 1) * q + ws[i] - 1) // ws[i]) * 100000 + i END)) % 100000)::BIGINT AS best FROM (
+      SELECT *, greatest(slot + 1, list_min(list_transform(idx, lambda i: CASE WHEN c[i] < ns[i] THEN c[i] * q // ws[i] END))) AS t FROM sim, z WHERE done < many)))
+SELECT doc_id, source, (rank // docs)::BIGINT AS block, (j * q // w)::BIGINT AS release, (((j + 1) * q + w - 1) // w)::BIGINT AS deadline, slot::BIGINT AS slot, (rank % docs)::BIGINT AS place, slot < horizon AS on_target
+FROM r JOIN s USING (key) JOIN sim ON sim.done > 0 AND sim.pick = s.i AND sim.j = rank // (SELECT docs FROM b), z, b
 """

@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -372,16 +373,42 @@ def test_keep_documents_repeated_rows(spark, docs):
     assert near_kept.columns == [*df.columns, "KEPT_ID_"] and near_kept.count() > 0
 
 
-def test_schedule():
-    for shares in ([1, 2, 3], [5, 5, 1, 9], [1] * 7, [997, 1, 2]):
-        total = sum(shares)
-        slots = mixing.schedule(shares)
-        assert sorted(t for s in slots for t in s) == list(range(total))
-        for p, own in zip(shares, slots, strict=True):
-            for j, t in enumerate(own):
-                assert j * total // p <= t < -(-(j + 1) * total // p)
-            for t in range(total + 1):
-                assert abs(sum(x < t for x in own) - t * p / total) < 1
+def farthest(rows, weights, horizon):
+    """The farthest that a source is from its target, in blocks, at any slot before the horizon. Between
+    its own slots a source only falls behind, so each slot is looked at just before and after."""
+    total, worst, own = sum(map(Fraction, weights)), Fraction(0), defaultdict(list)
+    for i, *_, t in rows:
+        if t < horizon:
+            own[i].append(t)
+    for i, w in enumerate(weights):
+        share = Fraction(w) / total
+        ends = [abs(n - t * share) for n, t in enumerate(own[i])] + [abs(n + 1 - (t + 1) * share) for n, t in enumerate(own[i])]
+        worst = max([worst, abs(len(own[i]) - horizon * share), *ends])
+    return worst
+
+
+@pytest.mark.parametrize("weights, blocks", [
+    ([1, 2, 3], [40, 80, 120]), ([997, 1, 2], [2000, 3, 5]), ([math.sqrt(160_000), math.sqrt(161_600)], [10_000, 10_100]),
+    ([1e6, 1.5, 3.0], [3000, 2, 2]), ([0.1, 0.2, 0.7, 1e-3], [300, 600, 2100, 3]), ([1.0] * 7, [9] * 7), ([1e-300, 1.0], [2, 5]),
+])
+def test_schedule(weights, blocks):
+    rows, horizon = mixing.schedule(mixing.whole_weights(weights), blocks)
+    total = sum(map(Fraction, weights))
+    assert sorted((i, b) for i, b, *_ in rows) == [(i, b) for i, n in enumerate(blocks) for b in range(n)]
+    assert len({t for *_, t in rows}) == len(rows) and horizon > 0
+    assert {t for *_, t in rows if t < horizon} == set(range(min(horizon, len(rows))))  # no slot is empty before a source runs out
+    for i, b, release, deadline, t in rows:
+        assert release == min(mixing.LAST, math.floor(b * total / Fraction(weights[i]))) and deadline == min(mixing.LAST, math.ceil((b + 1) * total / Fraction(weights[i])))
+        assert release <= t and (t < deadline or t >= horizon)
+    assert farthest(rows, weights, min(horizon, len(rows))) < 1
+
+
+def test_many_sources_stay_on_target():
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 50) for _ in range(20_000)]
+    weights = [math.sqrt(n) for n in sizes]
+    rows, horizon = mixing.schedule(mixing.whole_weights(weights), sizes)
+    assert len(rows) == sum(sizes) and farthest(rows, weights, horizon) < 1
 
 
 def test_mix(odd, empty, spark):
@@ -401,31 +428,28 @@ def test_mix(odd, empty, spark):
     assert sorted(map(str, mixing.mixed_documents(taken).collect())) == sorted(map(str, taken.collect()))
 
 
-def test_whole_shares(monkeypatch):
-    assert mixing.whole_shares([3.0, 6.0, 9.0]) == [1, 2, 3] and mixing.whole_shares([]) == []
-    roots = [math.sqrt(3000)] + [1.0] * 3000
-    found = mixing.whole_shares(roots)
-    assert sum(found) <= mixing.MOST_SLOTS and all(abs(p / sum(found) / (w / sum(roots)) - 1) < 0.01 for p, w in zip(found, roots, strict=True))
-    monkeypatch.setattr(mixing, "MOST_SLOTS", 1000)
-    assert mixing.whole_shares([1e6, 1.5, 3.0]) == [1000, 1, 1]
-
-
-def test_many_sources(spark, monkeypatch):
-    """More sources than lanes: each row has a place of its own, and every source keeps to its weight."""
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 12)
-    monkeypatch.setattr(mixing, "POOLS", 4)
-    monkeypatch.setattr(mixing, "BLOCK_DOCS", 1)
-    sizes = {f"h{i}": 40 + 13 * i for i in range(40)}
-    docs = spark.createDataFrame([(j * 100 + i, f"h{i}") for i in range(40) for j in range(sizes[f"h{i}"])], "doc_id long, source string")
-    got = mixing.mix(docs, {k: 10 + i for i, k in enumerate(sizes)}).collect()
-    assert len(got) == sum(sizes.values()) and len({r["mix_slot"] for r in got}) == len(got)
-    on = [r for r in got if r["mix_on_target"]]
-    end, total = max(r["mix_slot"] for r in on) + 1, sum(10 + i for i in range(40))
-    assert len(on) == end  # no slot is empty before the first source runs out
-    for i, k in enumerate(sizes):
-        mine = sorted(r["mix_slot"] for r in on if r["source"] == k)
-        off = max(abs(n - t * (10 + i) / total) for n, t in enumerate(mine))
-        assert off < 5 and [r["mix_block"] for r in sorted((r for r in got if r["source"] == k), key=lambda r: r["mix_slot"])] == list(range(sizes[k]))
+def test_whole_weights():
+    assert mixing.whole_weights([3.0, 6.0, 9.0]) == [1, 2, 3] and mixing.whole_weights([]) == []
+    assert mixing.whole_weights([0.5, 0.75]) == [2, 3] and mixing.whole_weights([1e6, 1.5, 3.0]) == [2_000_000, 3, 6]
+    roots = [math.sqrt(2), math.sqrt(3)]
+    a, b = mixing.whole_weights(roots)
+    assert Fraction(a, b) == Fraction(roots[0]) / Fraction(roots[1])
+
+
+def test_more_blocks_than_slots(spark, monkeypatch):
+    """Blocks grow where their number would not fit the schedule; a place is still one row's own."""
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 20)
+    docs = spark.createDataFrame([(j * 100 + i, f"h{i}") for i in range(40) for j in range(40 + i)], "doc_id long, source string")
+    got = mixing.mix(docs, {f"h{i}": 10.5 + i for i in range(40)}).collect()
+    assert len(got) == docs.count() and len({(r["mix_slot"], r["mix_place"]) for r in got}) == len(got)
+    assert max(r["mix_place"] for r in got) > mixing.BLOCK_DOCS and len({r["mix_slot"] for r in got}) == 40
+
+
+def test_repeated_ids_have_own_places(spark):
+    docs = spark.createDataFrame([(i % 30, f"text {i}", "a" if i % 3 else None) for i in range(90)] + [(None, "x", "b"), (None, "y", "b")], "doc_id long, text string, source string")
+    got = mixing.mixed_documents(docs, keep_place=True).collect()
+    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(str(tuple(r)) for r in docs.collect())
+    assert len({(r["mix_slot"], r["mix_place"]) for r in got}) == len(got)
 
 
 def slow_language(rows, train):
