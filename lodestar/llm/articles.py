@@ -88,7 +88,7 @@ def _place(name: str, attributes: str, above: int, level: int) -> tuple[int, int
 
 
 def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, level, mostly links) of each block of text; level OUT: never an article's."""
+    """(text, level, mostly links) of each block of text; level OUT: never an article's. An empty text marks an article or main element."""
     found: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int, int]] = [("", 0, OTHER)]
     parts: list[str] = []
@@ -131,6 +131,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             if not closing:
                 if not attributes.endswith("/"):
                     stack.append((name, *_place(name, attributes, stack[-1][1], stack[-1][2])))
+                    if stack[-1][1] == 0 and stack[-1][2] in (ARTICLE, MAIN):
+                        found.append(("", stack[-1][2], False))  # an article of no text is one, too
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
@@ -160,7 +162,7 @@ def repeated_strings(tokens: np.ndarray, group: np.ndarray, page: np.ndarray, le
     while width < least:
         step = min(width, least - width)
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
+        after[: max(0, n - step)] = rank[step:] + 1
         _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
         width += step
     order = np.argsort(rank, kind="stable")
@@ -182,7 +184,7 @@ class Pages:
         for host, found, own in zip(hosts, self.read, self.identity, strict=True):
             start, spans = at, []
             for text, level, _ in found:
-                words = text.split(" ") if level not in (ARTICLE, MAIN) else ()
+                words = text.split(" ") if level not in (ARTICLE, MAIN) else ()  # those are kept, repeated or not
                 tokens += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
                 spans.append((at, at + len(words)))
                 at += len(words)
@@ -230,7 +232,7 @@ class Pages:
             level = min(open_levels, default=OUT)
             own = [(t, x) for (t, lv, links), x in zip(found, boilerplate, strict=True) if lv == level and lv < OUT and not (lv == OTHER and links)]
             kept = [t for t, x in own if not x] or [t for t, _ in own]
-            yield "\n".join(kept), sum(boilerplate)
+            yield "\n".join(filter(None, kept)), sum(boilerplate)
 
 
 def dealt(pages: DataFrame, size: int) -> DataFrame:

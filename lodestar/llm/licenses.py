@@ -12,8 +12,11 @@ segment has a similarity of at least 1/4 to it, so it is missed with a chance
 of at most 0.75 ** 48 = 1e-6. Candidates are verified by exact containment of
 the segment's shingles in the window's (as 64-bit hashes).
 
-Nothing is shuffled but the few windows that retrieve a template; templates are
-a parameter of the job, so the broadcast of their bands is bounded by it.
+Templates go through the same expressions as documents, so any text matches itself.
+Their shingles are kept as a bitmap of about 16 bits for each, in one row that is sent to all
+tasks (MOST_SHINGLES bounds it); a false positive costs time only. Their bands are
+broadcast up to BROADCAST_BANDS rows, and joined by a shuffle beyond. Nothing else is shuffled
+but the few windows that retrieve a template.
 
 Edge cases: null, empty and short texts have no shingles and no match; a
 null doc_id is grouped as one document; rows that repeat a doc_id are counted
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +39,9 @@ SEGMENT = 12
 PERCENT = 80
 BANDS = 48
 
-#: Most rows that a table of templates may have, as they are sent to all tasks.
-MOST_TEMPLATES = 10_000
+#: Most shingles of all templates (a bitmap of 16 MB), some 16 000 texts of 500 words; more are an error.
+MOST_SHINGLES = 8 << 20
+BROADCAST_BANDS = 200_000
 
 _AS_IS = (
     " IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
@@ -94,43 +99,70 @@ TEMPLATES = {
 
 def segments(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
     """license, part (from 0), words."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = []
     for name in sorted(templates):
-        words = re.findall(r"[^\W_]+", templates[name].lower())
+        words = re.findall(r"[^\W_]+", templates[name].translate(lower))
         starts = [*range(0, len(words) - SEGMENT, SEGMENT), max(0, len(words) - SEGMENT)]
         found += [(name, i, words[at : at + SEGMENT]) for i, at in enumerate(starts)]
-    short = [name for name, _, words in found if len(words) < K]
-    if short:
-        raise ValueError(f"notices of under {K} words: {short}")
     return found
 
 
-def window_lengths(parts: list[tuple[str, int, list[str]]]) -> dict[int, int]:
+def window_lengths(lengths: list[int]) -> dict[int, int]:
     """For each length of segments the length that its windows are made for."""
     found, now = {}, 0
-    for n in sorted({len(w) for *_, w in parts}, reverse=True):
+    for n in sorted(set(lengths), reverse=True):
         now = now if 5 * n >= 4 * now > 0 else n
         found[n] = now
     return found
 
 
-def read_templates(table: DataFrame) -> dict[str, str]:
-    """The templates of a table (license, text), of MOST_TEMPLATES rows at most."""
-    rows = table.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").limit(MOST_TEMPLATES + 1).collect()
-    if len(rows) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    return {r["license"]: r["text"] for r in rows}
+def _words(text):
+    return F.regexp_extract_all(common.lower_ascii(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _template_hashes(words: list[str]):
-    return F.array(*(F.xxhash64(*(F.lit(w) for w in words[i : i + K])) for i in range(len(words) - K + 1)))
+def _hashed(words):
+    return F.when(F.size(words) >= K, F.transform(F.sequence(F.lit(0), F.size(words) - K), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(K)))))
 
 
 def shingles(text):
     """The hashes of a text's shingles, in order."""
-    words = F.regexp_extract_all(common.lower_ascii(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    hashed = lambda w: F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(K)))))
-    return common.let(words, hashed)
+    return common.let(_words(text), _hashed)
+
+
+def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame) -> DataFrame:
+    """license, part, words (array), own (distinct hashes) of each segment of templates: a dict, or a table
+    (license, text; rows with a null in either are left out)."""
+    if isinstance(templates, dict):
+        templates = spark.createDataFrame(pa.table({"license": pa.array(list(templates), pa.string()), "text": pa.array(list(templates.values()), pa.string())}))
+    rows = templates.select("license", "text").dropna().select("license", _words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    inner = F.greatest(F.lit(0), F.ceil((F.col("n") - SEGMENT) / SEGMENT)).cast("int")
+    starts = F.concat(F.transform(F.slice(F.sequence(F.lit(0), inner), F.lit(1), inner), lambda k: k * SEGMENT), F.array(F.greatest(F.lit(0), F.col("n") - SEGMENT)))
+    cut = rows.select("license", "words", F.posexplode(starts).alias("part", "at")).select("license", F.col("part").cast("long").alias("part"), F.slice("words", F.col("at") + 1, SEGMENT).alias("words"))
+    table = common.written(cut.withColumn("own", F.array_distinct(_hashed(F.col("words")))), 1)
+    short = table.where(F.size("words") < K).select("license").limit(5).collect()
+    if short:
+        raise ValueError(f"notices of under {K} words: {[r[0] for r in short]}")
+    return table
+
+
+def bitmap(table: DataFrame) -> DataFrame:
+    """One row: bits, an array of longs with a bit set for each hash in own, of 16 bits a hash or more."""
+    hashes = table.select(F.explode("own").alias("h")).distinct()
+    n = hashes.count()
+    if n > MOST_SHINGLES:
+        raise ValueError(f"more than {MOST_SHINGLES} shingles of templates")
+    longs = 1 << max(0, (16 * n // 64).bit_length())
+    at = F.pmod("h", F.lit(64 * longs))
+    ones = hashes.groupBy(F.call_function("div", at, F.lit(64)).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("ones"))
+    every = table.sparkSession.range(longs).join(ones, "id", "left").select(F.struct("id", F.coalesce("ones", F.lit(0).cast("long")).alias("ones")).alias("x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ones"]).alias("bits"), F.lit(longs).alias("longs"))
+
+
+def _set(h):
+    """Whether a hash's bit is set in bits."""
+    at = F.pmod(h, 64 * F.col("longs"))
+    return F.getbit(F.get("bits", F.call_function("div", at, F.lit(64)).cast("int")), (at % 64).cast("int")) == 1
 
 
 def minima(window):
@@ -138,43 +170,39 @@ def minima(window):
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(window, lambda x: F.xxhash64(x, b))))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """doc_id, license, part, n_windows, first_word, best, size: a row for each
     document and segment with a match; best: most of the segment's size shingles in one window."""
     spark = docs.sparkSession
-    parts = segments(TEMPLATES if templates is None else templates)
-    if not parts:
+    parts = template_table(spark, TEMPLATES if templates is None else templates)
+    counted = {r["n"]: r["segments"] for r in parts.groupBy(F.size("words").alias("n")).agg(F.count("*").alias("segments")).collect()}  # at most SEGMENT lengths
+    if not counted:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, part long, n_windows long, first_word long, best long, size long")
-    every = F.array_distinct(F.flatten(F.array(*(_template_hashes(w) for *_, w in parts))))
-    sizes = window_lengths(parts)
+    sizes = window_lengths(list(counted))
     lengths = sorted(set(sizes.values()))
-    rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).where(F.arrays_overlap("shingles", every))
+    rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).join(F.broadcast(common.written(bitmap(parts), 1)))  # one row
+    rows = rows.where(F.exists("shingles", _set))
     sized = rows.withColumn("length", F.explode(F.array(*(F.lit(n) for n in lengths))))
     starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.col("length"))
     cut = lambda s: F.struct(s.alias("at"), F.slice("shingles", s + 1, 2 * F.col("length") - K + 1).alias("window"))
-    windows = sized.select("doc_id", "length", F.explode(F.filter(F.transform(starts, cut), lambda x: F.arrays_overlap(x["window"], every))).alias("w"))
+    windows = sized.select("doc_id", "length", F.explode(F.filter(F.transform(starts, cut), lambda x: F.exists(x["window"], _set))).alias("w"))
     windows = windows.select("doc_id", "length", "w.at", F.array_distinct("w.window").alias("window"))
     banded = windows.select("*", F.posexplode(minima(F.col("window"))).alias("band", "least"))
-    table = spark.range(1).select(
-        F.inline(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(p).alias("part"), F.lit(sizes[len(w)]).alias("length"), F.array_distinct(_template_hashes(w)).alias("own")) for n, p, w in parts)))
-    )
-    table = table.select("*", F.posexplode(minima(F.col("own"))).alias("band", "least"))
-    found = banded.join(F.broadcast(table), ["length", "band", "least"])  # at most BANDS rows a segment
+    length = F.element_at(F.create_map(*(F.lit(x) for n in sizes for x in (n, sizes[n]))), F.size("words"))
+    table = parts.select("license", "part", length.alias("length"), "own", F.posexplode(minima(F.col("own"))).alias("band", "least"))
+    found = banded.join(F.broadcast(table) if BANDS * sum(counted.values()) <= BROADCAST_BANDS else table, ["length", "band", "least"])
     found = found.withColumn("best", F.size(F.array_intersect("window", "own"))).withColumn("size", F.size("own"))
     found = found.where(100 * F.col("best") >= PERCENT * F.col("size"))
     found = found.groupBy("doc_id", "license", "part", "at", "size").agg(F.max("best").alias("best"))
-    return found.groupBy("doc_id", "license", F.col("part").cast("long").alias("part")).agg(
+    return found.groupBy("doc_id", "license", "part").agg(
         F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.max("best").cast("long").alias("best"), F.max("size").cast("long").alias("size")
     )
 
 
-def whole_licenses(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def whole_licenses(found: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """doc_id, license, n_parts, of_parts: how many of a license's segments scan() found in a document."""
-    of = {}
-    for name, *_ in segments(TEMPLATES if templates is None else templates):
-        of[name] = of.get(name, 0) + 1
-    table = F.create_map(*(F.lit(x) for k in of for x in (k, of[k]))) if of else F.lit(None).cast("map<string,int>")
-    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_parts")).withColumn("of_parts", table[F.col("license")].cast("long"))
+    of = template_table(found.sparkSession, TEMPLATES if templates is None else templates).groupBy("license").agg(F.count("*").alias("of_parts"))
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_parts")).join(of, "license", "left").select("doc_id", "license", "n_parts", "of_parts")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +211,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     parts = segments(TEMPLATES)
-    sizes = window_lengths(parts)
+    sizes = window_lengths([len(w) for *_, w in parts])
     values = ", ".join(f"('{n}', {p}, {sizes[len(w)]}, {[' '.join(w[i : i + K]) for i in range(len(w) - K + 1)]!r})" for n, p, w in parts)
     return rf"""
 WITH t(license, part, length, own) AS (VALUES {values}),

@@ -499,11 +499,35 @@ def test_whole_license_texts(spark):
         parts = sum(name == n for name, *_ in licenses.segments(licenses.TEMPLATES))
         assert whole[i, n] == (parts, parts)
     assert not any(i == 100 for i, _ in whole) and 0 < whole[101, "mit-text"][0] < whole[101, "mit-text"][1]
-    own = licenses.read_templates(spark.createDataFrame([("mine", "you may do with this what you like"), (None, "x")], "license string, text string"))
+    own = spark.createDataFrame([("mine", "you may do with this what you like"), (None, "x")], "license string, text string")
     assert [(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame([(1, "So you may do with this what you like!")], "doc_id long, text string"), own).collect()] == [(1, "mine")]
     assert licenses.scan(docs, {}).count() == 0 and licenses.whole_licenses(licenses.scan(docs, {}), {}).count() == 0
 
 
+def test_any_text_matches_itself(spark):
+    """Templates in any letters, and many of them: each is found in a document that is this very text."""
+    rng = random.Random(8)
+    odd = {"pt": "LICENÇA PÚBLICA GERAL DO SOFTWARE LIVRE", "tr": "İZİN VERİLİR HER KULLANIM İÇİN", "ru": "ПУБЛИЧНАЯ ЛИЦЕНЗИЯ НА СВОБОДНОЕ ПО 2", "de": "Straße GROẞ und weiter so"}
+    many = {f"t{i}": " ".join(f"w{rng.randrange(3000)}" for _ in range(500)) for i in range(300)}
+    templates = odd | many
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(templates.values())], "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r for r in licenses.whole_licenses(licenses.scan(docs, templates), templates).collect()}
+    for i, n in enumerate(templates):
+        assert found[i, n]["n_parts"] == found[i, n]["of_parts"]
+    with pytest.raises(ValueError, match="under 3 words"):
+        licenses.scan(docs, {"short": "two words"})
+
+
+def test_template_bound(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_SHINGLES", 3)
+    with pytest.raises(ValueError, match="shingles of templates"):
+        licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    monkeypatch.setattr(licenses, "MOST_SHINGLES", 1 << 20)
+    monkeypatch.setattr(licenses, "BROADCAST_BANDS", 0)  # the shuffled join finds the same
+    docs = spark.createDataFrame([(1, licenses.TEMPLATES["isc-text"]), (2, None)], "doc_id long, text string")
+    same(licenses.scan(docs), duck(docs).sql(licenses.OP8_SQL))
+
+
 def test_hosts(spark):
     """A host that fails as a whole, a small one whose rate is shrunk, a null one, and one with a few failures."""
     good, bad = " ".join(f"w{i}" for i in range(60)), "a b"
