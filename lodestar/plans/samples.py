@@ -1,5 +1,6 @@
-"""Queries over generated source files, one for each document, for the parsers; and
-two files of our own for unit tests. The SQL has the rows that the templates give."""
+"""Queries over source files generated from whole documents, one for each, for the parsers; and
+two files of our own for unit tests. A document's text stands in an element's text or in a
+comment before the declarations, whose rows, moved down by the text's lines, the SQL has."""
 
 from __future__ import annotations
 
@@ -32,7 +33,8 @@ CS = """namespace Demo {
 """
 
 #: Declarations of a generated file: kind of entity and of symbol, name, lines, columns,
-#: source, signature, qualifiers, parent, exported; # stands for the document's id, % for its n_chars.
+#: source, signature, qualifiers, parent, exported; # stands for the document's id, % for its n_chars, and in _FILES
+#: @ for its text, without the signs of TAKEN.
 _TS = [
     ("class", "Class", "Doc#", 2, 5, 8, 2, "class Doc# extends Base {\n  size = %\n  read(at: number): Map<string, number[]> { return `<${at}>` }\n}", "Doc#", "export", None, True),
     ("property", None, "size", 3, 3, 3, 0, "size = %", "", "", "Doc#", False),
@@ -46,17 +48,19 @@ _CS = [
     (None, "Property", "Size", 5, 5, 3, 0, "public int Size => %;", "", "", "Doc#", True),
     (None, "Record", "P#", 7, 7, 1, 0, "record struct P#(int X);", "", "", None, False),
 ]
+TAKEN = "<>{}*/"
 _FILES = {
-    "ts": "// generated\nexport " + _TS[0][7] + "\nexport const go# = () => {\n  " + _TS[3][7] + " }\n}\n" + _TS[4][7] + "\n",
-    "cs": "namespace N#;\n" + _CS[0][7] + "\n" + _CS[3][7] + "\n",
+    "ts": "// generated\nconst note# = () => <p title={`#`}>it's // {note#}@</p>;\nexport " + _TS[0][7] + "\nexport const go# = () => {\n  " + _TS[3][7] + " }\n}\n" + _TS[4][7] + "\n",
+    "cs": "/* it's @ */ namespace N#;\n" + _CS[0][7] + "\n" + _CS[3][7] + "\n",
 }
 _TS[3] = (*_TS[3][:7], _TS[3][7] + " }", *_TS[3][8:])
 
 
 def _files(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("n"), F.when(F.col("doc_id") % 2 == 0, "ts").otherwise("cs").alias("ending"))
-    source = F.when(F.col("ending") == "ts", _FILES["ts"]).otherwise(_FILES["cs"])
-    return docs.select(F.concat(F.lit("src/d"), "id", F.lit("."), "ending").alias("path"), F.replace(F.replace(source, F.lit("#"), F.col("id")), F.lit("%"), F.col("n")).alias("source"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("string").alias("n"), F.when(F.col("doc_id") % 2 == 0, "tsx").otherwise("cs").alias("ending"), F.translate(F.coalesce("text", F.lit("")), TAKEN, " " * len(TAKEN)).alias("text"))
+    source = F.when(F.col("ending") == "tsx", _FILES["ts"]).otherwise(_FILES["cs"])
+    filled = F.replace(F.replace(F.replace(source, F.lit("#"), F.col("id")), F.lit("%"), F.col("n")), F.lit("@"), F.col("text"))
+    return docs.select(F.concat(F.lit("src/d"), "id", F.lit("."), "ending").alias("path"), filled.alias("source"))
 
 
 def parse_entities(spark, d):
@@ -68,7 +72,28 @@ def parse_symbols(spark, d):
     return parse.parse_files(_files(spark, d), "symbols")
 
 
-QUERIES: dict = {"parse_entities": parse_entities, "parse_symbols": parse_symbols}
+def _texts(spark, d):
+    """Whole documents as files of either language, errors and all."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    ending = F.element_at(F.array(F.lit(".ts"), F.lit(".tsx"), F.lit(".cs")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return docs.select(F.concat(F.lit("text/d"), F.col("doc_id").cast("string"), ending).alias("path"), F.col("text").alias("source"))
+
+
+def _cut(spark, d):
+    """The generated files, each broken off somewhere."""
+    part = F.crc32(F.col("path").cast("binary")) % 1000
+    return _files(spark, d).withColumn("source", F.substring("source", F.lit(1), (F.length("source") * part / 1000).cast("int")))
+
+
+def parse_errors(spark, d):
+    return parse.parse_files(_cut(spark, d), "errors")
+
+
+def syntax_hashes(spark, d):
+    return parse.parse_files(_texts(spark, d), "fingerprints")
+
+
+QUERIES: dict = {"parse_entities": parse_entities, "parse_symbols": parse_symbols, "parse_errors": parse_errors, "syntax_hashes": syntax_hashes}
 
 
 def _literal(text: str | None) -> str:
@@ -81,17 +106,18 @@ def _literal(text: str | None) -> str:
 def _sql(kind: int) -> str:
     parts = []
     for ending, digit, rows in (("ts", 0, _TS), ("cs", 1, _CS)):
-        path, ord_ = f"'src/d' || doc_id || '.{ending}'", 0
+        path, ord_, more = f"'src/d' || doc_id || '.{ending}{'x' * (ending == 'ts')}'", 0, int(ending == "ts")
+        line = lambda n: f"({n + more} + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::INT"  # noqa: B023, E731
         for row in rows:
             if row[kind] is None:
                 continue
             name, start, end, column, _, source, signature, qualifiers, parent, exported = row[2:]
             if kind == 0:
-                columns = {"kind": f"'{row[0]}'", "name": _literal(name), "file_path": path, "start_line": f"{start}::INT", "end_line": f"{end}::INT", "source": _literal(source), "signature": _literal(signature), "qualifiers": _literal(qualifiers), "parent": _literal(parent)}
+                columns = {"kind": f"'{row[0]}'", "name": _literal(name), "file_path": path, "start_line": line(start), "end_line": line(end), "source": _literal(source), "signature": _literal(signature), "qualifiers": _literal(qualifiers), "parent": _literal(parent)}
             else:
                 last = source.rpartition("\n")[2]
                 at = f"length({_literal(last)}) + {column if chr(10) not in source else 1}"
-                columns = {"file": path, "kind": f"'{row[1]}'", "qualified_name": _literal(name), "name": _literal(name), "exported": str(exported).lower(), "signature": _literal(source), "start_line": f"{start}::INT", "start_column": f"{column}::INT", "end_line": f"{end}::INT", "end_column": f"({at})::INT", "ord": f"{ord_}::BIGINT"}
+                columns = {"file": path, "kind": f"'{row[1]}'", "qualified_name": _literal(name), "name": _literal(name), "exported": str(exported).lower(), "signature": _literal(source), "start_line": line(start), "start_column": f"{column}::INT", "end_line": line(end), "end_column": f"({at})::INT", "ord": f"{ord_}::BIGINT"}
                 ord_ += 1
             parts.append("SELECT " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM documents WHERE doc_id % 2 = {digit}")
     return " UNION ALL ".join(parts)

@@ -3,8 +3,8 @@
 Not a full grammar: declarations are recognised by their keywords, brackets and
 ends of statements, so any input gives a result. entities() keeps kind, parent,
 signature and qualifiers; symbols() keeps the whole text as signature and what
-is exported; fingerprints() hashes a file's tokens and shape. Files of other
-languages have no rows.
+is exported; fingerprints() hashes a file's tokens and shape; errors() says where
+brackets don't balance. Files of other languages have no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lodestar.functions.text import KEYWORDS, LITERAL_WORDS
-from lodestar.sources import store
+from lodestar.sources import store, tree
 from lodestar.sources.lexer import Token, lex, matching
 
 ENTITY = "kind string, name string, file_path string, start_line int, end_line int, source string, signature string, qualifiers array<string>, parent string, shape_hash string"
 SYMBOL = "file string, kind string, qualified_name string, name string, exported boolean, signature string, start_line int, start_column int, end_line int, end_column int, ord long"
+ERROR = "path string, bracket string, start_line int, start_column int, end_line int, end_column int"
 FINGERPRINT = "path string, lexical_hash string, token_hash string, ast_hash string"
 
 TS_MODIFIERS = ("export", "async", "abstract", "static", "override", "readonly", "public", "private", "protected", "declare", "default", "accessor")
@@ -48,11 +49,16 @@ def is_typescript(path: str) -> bool | None:
     return True if end in ("ts", "tsx") else False if end == "cs" else None
 
 
+def is_markup(path: str) -> bool:
+    return path.lower().endswith(".tsx")
+
+
 class _Scan:
     def __init__(self, path: str, source: str, typescript: bool, accessibility: bool):
         self.path, self.source, self.ts, self.accessibility = path, source, typescript, accessibility
-        self.t = lex(source, typescript)
-        self.match = matching(self.t)
+        self.t = lex(source, typescript, markup=is_markup(path))
+        self.errors: list[tuple[int, int]] = []
+        self.match = matching(self.t, source, self.errors)
         self.rows: list[dict] = []
 
     def text(self, i: int, j: int) -> str:
@@ -267,7 +273,18 @@ class _Scan:
             own = self.t[name].text
             constructs = name == i and own == owner
             if name > i or constructs:
-                return self.callable_("constructor" if constructs else "method", own, first, k, end, mods, parent, shown, "", "" if constructs else self.text(i, name - 1), symbol_only)
+                typed = name - 1
+                while typed > i + 1 and self.is_(typed, ".") and (self.t[typed - 1].kind == "word" or self.is_(typed - 1, ">")):  # the interface that it is of
+                    typed -= 1
+                    while self.is_(typed, ">"):
+                        depth = 0
+                        while typed > i:
+                            depth += self.is_(typed, ">") - self.is_(typed, "<")
+                            typed -= 1
+                            if not depth:
+                                break
+                    typed -= 1
+                return self.callable_("constructor" if constructs else "method", own, first, k, end, mods, parent, shown, "", "" if constructs else self.text(i, typed), symbol_only)
         if self.is_(k, "{", "=>") and plain and name > i and not self.is_(k - 1, "]"):
             last = self.match.get(k, k) if self.is_(k, "{") else self.find(k, end, ";")
             if self.is_(k, "{") and self.is_(last + 1, "="):  # an initial value
@@ -288,33 +305,13 @@ def _declarations(path: str, source: str | None, accessibility: bool = False) ->
     return scan.rows
 
 
-#: Opening brackets as nodes of the shape, by the name that they get.
-_NODES = {"(": "list", "[": "index", "{": "block"}
-
-
 def _kind(t: Token) -> str:
-    """What a token is, whatever a name or a value says."""
+    """What a token is, whatever a name, a value or a comment says."""
+    if t.kind == "comment":
+        return "comment"
     if t.kind == "word":
         return "LIT" if t.text in LITERAL_WORDS else t.text if t.text in KEYWORDS else "ID"
-    return "LIT" if t.kind in ("number", "string") else t.text
-
-
-def _shape(tokens: list[Token]) -> list[str]:
-    """A tree of brackets in preorder: a node's name and its number of children, comments among them."""
-    found: list[list] = [["file", 0]]
-    open_ = [0]
-    for t in tokens:
-        found[open_[-1]][1] += 1
-        if t.kind == "comment":
-            continue
-        if t.kind == "punct" and t.text in _NODES:
-            found.append([_NODES[t.text], 0])
-            open_.append(len(found) - 1)
-        elif t.kind == "punct" and t.text in ")]}" and len(open_) > 1:
-            open_.pop()
-        else:
-            found.append([_kind(t), 0])
-    return [f"{name}:{n}" for name, n in found]
+    return "LIT" if t.kind in ("number", "string", "text") else "ID" if t.kind == "name" else t.text
 
 
 def _hash(parts: list[str]) -> str:
@@ -323,19 +320,21 @@ def _hash(parts: list[str]) -> str:
 
 def fingerprints(path: str, source: str | None) -> dict | None:
     """Hashes of a file: lexical_hash of its tokens' texts, token_hash of their
-    kinds, ast_hash of the tree of brackets. White space and comments don't
-    count, but a comment is a child of the node that it lies in."""
+    kinds, ast_hash of the syntax tree, each node's kind and number of children in preorder. White
+    space and comments don't count, but a comment is a child of the node that it lies in."""
     typescript = is_typescript(path)
     if typescript is None:
         return None
-    every = lex(source or "", typescript, comments=True)
+    every = lex(source or "", typescript, comments=True, markup=is_markup(path))
     tokens = [t for t in every if t.kind != "comment"]
-    return {"path": path, "lexical_hash": _hash([t.text for t in tokens]), "token_hash": _hash([_kind(t) for t in tokens]), "ast_hash": _hash(_shape(every))}
+    return {"path": path, "lexical_hash": _hash([t.text for t in tokens]), "token_hash": _hash([_kind(t) for t in tokens]), "ast_hash": _hash([f"{kind}:{n}" for kind, n in tree.preorder(tree.parse(every, _kind))])}
 
 
 def shape_hash(path: str, source: str, least: int = MIN_TOKENS) -> str | None:
-    """Hash of a declaration's kinds of tokens, its brackets and comments among them; None with under ``least``."""
-    kinds = ["comment" if t.kind == "comment" else _kind(t) for t in lex(source, bool(is_typescript(path)), comments=True)]
+    """Hash of a declaration's syntax tree, names and values as one kind each, comments among them; None with
+    under ``least`` leaves and ends of nodes."""
+    every = lex(source, bool(is_typescript(path)), comments=True, markup=is_markup(path))
+    kinds = tree.bracketed(tree.parse(every, _kind))
     return _hash(kinds) if len(kinds) >= least else None
 
 
@@ -367,12 +366,26 @@ def symbols(path: str, source: str | None) -> list[dict]:
     ]
 
 
+def errors(path: str, source: str | None) -> list[dict]:
+    """Brackets of one file that have no partner, each with the text that it was taken to hold; lines and columns from 1."""
+    typescript = is_typescript(path)
+    if typescript is None:
+        return []
+    scan = _Scan(path, source or "", typescript, False)
+    place = lambda at: (scan.source.count("\n", 0, at) + 1, at - scan.source.rfind("\n", 0, at))
+    found = []
+    for i, j in sorted(scan.errors):
+        start, end = place(scan.t[i].start), place(scan.t[j].start + len(scan.t[j].text))
+        found.append({"path": path, "bracket": scan.t[i].text, "start_line": start[0], "start_column": start[1], "end_line": end[0], "end_column": end[1]})
+    return found
+
+
 def _one(path: str, source: str | None) -> list[dict]:
     found = fingerprints(path, source)
     return [found] if found else []
 
 
-_PARSERS = {"entities": (entities, ENTITY), "symbols": (symbols, SYMBOL), "fingerprints": (_one, FINGERPRINT)}
+_PARSERS = {"errors": (errors, ERROR), "entities": (entities, ENTITY), "symbols": (symbols, SYMBOL), "fingerprints": (_one, FINGERPRINT)}
 
 
 def parse_files(files: DataFrame, what: str = "entities") -> DataFrame:
