@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.sources.store import spread
+from lodestar.sources import content
+from lodestar.sources.store import spread, stored
 
 COMMENT = text.COMMENT
 SQL_N1 = rf"trim(regexp_replace(regexp_replace(%s, '{COMMENT}', ' ', 'g'), '[{text.SPACES}]+', ' ', 'g'))"
@@ -40,19 +41,40 @@ def doc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _doc_path().alias("path"), F.col("text").alias("source"))
 
 
-def doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3")
-    return hashed(docs.select(_doc_path().alias("path"), F.col("text").alias("source")))
+    return docs.select(_doc_path().alias("path"), F.col("text").alias("source"))
 
 
-def doc_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashed(base_files(spark, sf_dir))
+
+
+def head_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, digit = table(spark, sf_dir, "documents").where("doc_id % 10 <> 7"), F.col("doc_id") % 10
     edited = (
         F.when(digit == 1, F.concat("text", F.lit(" // note"))).when(digit == 2, F.concat("text", F.lit(" changed")))
         .when(digit == 4, F.concat(F.lit("/* hdr */ "), "text")).otherwise(F.col("text"))
     )
     path = F.when(digit == 5, F.concat(F.lit("moved/"), _doc_path())).otherwise(_doc_path())
-    return hashed(docs.select(path.alias("path"), edited.alias("source")))
+    return docs.select(path.alias("path"), edited.alias("source"))
+
+
+def doc_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashed(head_files(spark, sf_dir))
+
+
+def doc_both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """doc_base() and doc_head(), stored; a text that both hold, or several files, is tokenised once."""
+    own = [f(spark, sf_dir).select("path", "source", F.sha2("source", 256).alias(content.ID)) for f in (base_files, head_files)]
+    texts = own[0].unionByName(own[1]).select(content.ID, "source").where("source is not null")
+
+    def work(distinct: DataFrame) -> DataFrame:
+        every = distinct.select(content.ID, text.tokens(F.col("source")).alias("every"))
+        return every.select(content.ID, *(c.alias(k) for k, c in text.token_hashes(F.col("every")).items()))
+
+    hashes = content.once(texts, work)
+    return tuple(stored(f.select("path", content.ID).join(hashes, content.ID, "left").drop(content.ID)) for f in own)
 
 
 def doc_renames(spark: SparkSession, sf_dir: str) -> DataFrame:

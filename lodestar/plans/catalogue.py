@@ -37,7 +37,7 @@ _RENAMED = "rn AS (SELECT r.from_path, r.to_path, coalesce(b.path IS NOT NULL AN
 
 
 def _file_changes(spark, d):
-    return changes.diff_files(v.doc_base(spark, d), v.doc_head(spark, d))
+    return changes.diff_files(*v.doc_both(spark, d))
 
 
 @query(f"{_DOCS} SELECT * FROM fc")
@@ -52,7 +52,7 @@ def file_diff_renames(spark, d):
 
 @query(f"{_DOCS}, {_RENAMED} SELECT * FROM rn")
 def renamed_files(spark, d):
-    return changes.renamed_files(v.doc_renames(spark, d), v.doc_base(spark, d), v.doc_head(spark, d))
+    return changes.renamed_files(v.doc_renames(spark, d), *v.doc_both(spark, d))
 
 
 # ---- entities
@@ -215,7 +215,7 @@ _DRIFT = """dr AS (SELECT fp AS fingerprint, count(*) AS n_members, string_agg(p
 
 @query(f"{_DOCS}, {_DRIFT} SELECT fingerprint, n_members, members, changed_members FROM dr")
 def clone_drift(spark, d):
-    found = clones.clone_drift(stored(v.doc_base(spark, d)), v.doc_head(spark, d))
+    found = clones.clone_drift(*v.doc_both(spark, d))
     return found.select("fingerprint", "n_members", F.array_join("members", ",").alias("members"), F.array_join("changed_members", ",").alias("changed_members"))
 
 
@@ -305,8 +305,8 @@ def language_detect(spark, d):
 
 
 def _findings(spark, d):
-    base, head, renames = stored(v.doc_base(spark, d)), stored(v.doc_head(spark, d)), v.doc_renames(spark, d)
-    symbols = _symbols(spark, d)
+    (base, head), renames = v.doc_both(spark, d), v.doc_renames(spark, d)
+    symbols = stored(_symbols(spark, d))
     return findings.all_findings(
         findings.file_findings(changes.without_renames(changes.diff_files(base, head), renames)),
         findings.clone_findings(clones.clone_groups(head, "lexical_hash")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import changes, clones, findings
-from lodestar.sources import git, parse
+from lodestar.sources import content, git, parse
 from lodestar.sources.store import stored
 
 
@@ -25,11 +25,13 @@ def entity_changes(base_files: DataFrame, head_files: DataFrame) -> DataFrame:
     return changes.diff_entities(ordered(base_files), ordered(head_files))
 
 
-def analyze(base_files: DataFrame, head_files: DataFrame, renames: DataFrame, rename_mode: str = "observed") -> dict[str, DataFrame]:
+def analyze(base_files: DataFrame, head_files: DataFrame, renames: DataFrame, rename_mode: str = "observed", keep: str | None = None) -> dict[str, DataFrame]:
     """The tables of a report over files (path, source) and renames (from_path, to_path).
-    Sources are read once for each kind of parse, whose narrow rows are stored."""
-    base, head = (stored(file_hashes(f)) for f in (base_files, head_files))
-    base_symbols, head_symbols = (findings.with_spans(stored(parse.parse_files(f, "symbols"))) for f in (base_files, head_files))
+    Each content is parsed once, whichever revisions hold it; keep: a folder in which later runs find the rows."""
+    sides = {"base": base_files, "head": head_files}
+    hashes, symbols = ({k: stored(f) for k, f in content.parsed(sides, what, keep and f"{keep}/{what}").items()} for what in ("fingerprints", "symbols"))
+    base, head = hashes["base"], hashes["head"]
+    base_symbols, head_symbols = (findings.with_spans(symbols[k]) for k in sides)
     symbols = stored(changes.diff_symbols(base_symbols, head_symbols, renames, rename_mode))
     files = stored(changes.without_renames(changes.diff_files(base, head), renames))
     groups, drifts = stored(clones.clone_groups(head, "lexical_hash")), stored(clones.clone_drift(base, head))
@@ -47,11 +49,9 @@ def analyze_repo(spark: SparkSession, repo: str, base: str, head: str, filters:
     """The tables of a report between two revisions. A change in scope has both of its
     sides read, so a rename that leaves or enters the scope is still compared."""
     changed = git.changed_files(spark, repo, base, head, filters)
-    also = {"base": [], "head": []}
-    for row in git.revision_paths(changed).collect():  # the driver listed them
-        also[row["side"]].append(row["path"])
+    also = git.revision_paths(changed)
     renamed = changed.where("kind = 'renamed'").select(F.col("from_path"), F.col("path").alias("to_path"))
-    base_files, head_files = (git.files_at(spark, repo, rev, filters, True, also[side]) for side, rev in (("base", base), ("head", head)))
+    base_files, head_files = (git.files_at(spark, repo, rev, filters, True, also.where(F.col("side") == side)) for side, rev in (("base", base), ("head", head)))
     return analyze(base_files, head_files, renamed, rename_mode)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +36,17 @@ def tracked_files(repo: str, rev: str) -> list[str]:
     return [path for path, _ in tracked_blobs(repo, rev)]
 
 
-def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None = None, strict: bool = False, also: Iterable[str] = ()) -> DataFrame:
+def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None = None, strict: bool = False, also: DataFrame | None = None) -> DataFrame:
     """rev, path, source of the TypeScript and C# files of a revision that pass the
-    filters or are among ``also``, chosen before any blob is read. Blobs are read
+    filters or are in ``also`` (path), chosen before any blob is read. Blobs are read
     by object id, one at a time, so any name will do. A blob that is missing or
     isn't UTF-8 is left out, or with strict an error."""
-    extra, repo = set(also), os.path.abspath(repo)  # tasks have folders of their own
-    listed = spark.createDataFrame([(p, oid, p in extra) for p, oid in tracked_blobs(repo, rev)], "path string, oid string, also boolean")
-    wanted = listed.where(paths.is_source(F.col("path")) & (F.col("also") | paths.matches_filters(F.col("path"), filters or [])))
+    repo = os.path.abspath(repo)  # tasks have folders of their own
+    listed = spark.createDataFrame(tracked_blobs(repo, rev), "path string, oid string").where(paths.is_source(F.col("path")))
+    wanted = listed.where(paths.matches_filters(F.col("path"), filters or []))
+    if also is not None:
+        extra = also.select(F.col("path").alias("also")).distinct()
+        wanted = listed.join(extra, listed["path"] == F.col("also"), "left").where(F.col("also").isNotNull() | paths.matches_filters(F.col("path"), filters or [])).select("path", "oid")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["rev", "path", "source"]
