@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths, text
+from lodestar.sources.store import stored
 
 MIN_TOKENS = 15
 
@@ -57,35 +58,49 @@ def clone_members(files: DataFrame, fingerprint: str) -> DataFrame:
     return rows.join(rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "fingerprint")
 
 
-def clone_groups(files: DataFrame, fingerprint: str) -> DataFrame:
-    """fingerprint, members (sorted) of files (path, ...) that share a non-null fingerprint."""
-    groups = files.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fingerprint"))
-    return groups.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("members")).where("n > 1").drop("n")
+#: Members of a page of a group, about; a group of fewer is one page.
+PAGE = 1000
 
 
-def clone_drift(base: DataFrame, head: DataFrame) -> DataFrame:
-    """fingerprint, n_members, changed_members of base token groups whose members'
-    head tokens differ among themselves; a missing head file is a value of its own."""
+def page_of(member: Column, size: Column, most: int = PAGE) -> Column:
+    """The page of a member of a group of that size, by a hash: pages are about equal, and no task numbers a group."""
+    pages = F.greatest(F.lit(1), F.ceil(size / most))
+    return F.when(pages == 1, F.lit(0)).otherwise(F.conv(F.substring(F.md5(member.cast("binary")), 1, 8), 16, 10).cast("long") % pages).cast("long")
+
+
+def clone_groups(files: DataFrame, fingerprint: str, most: int = PAGE) -> DataFrame:
+    """fingerprint, n (of the group), page, members (sorted) of files (path, ...) that share a non-null
+    fingerprint: a row for each page, so that no row grows with a group."""
+    members = clone_members(files, fingerprint).withColumn("page", page_of(F.col("path"), F.col("n"), most))
+    return members.groupBy("fingerprint", "n", "page").agg(F.sort_array(F.collect_list("path")).alias("members"))
+
+
+def clone_drift(base: DataFrame, head: DataFrame, most: int = PAGE) -> DataFrame:
+    """fingerprint, n_members (of the group), page, members, changed_members of base token groups whose
+    members' head tokens differ among themselves, a row for each page; a missing head file is a value of its own."""
     member = base.where("token_hash is not null").select("path", F.col("token_hash").alias("fingerprint"))
-    member = _members(member, "fingerprint").join(head.select("path", F.col("token_hash").alias("now")), "path", "left")
+    member = stored(member.join(head.select("path", F.col("token_hash").alias("now")), "path", "left"))
     changed = ~F.col("now").eqNullSafe(F.col("fingerprint"))
     value = F.coalesce("now", F.lit("∅"))
-    groups = member.groupBy("fingerprint").agg(
-        F.count("*").alias("n_members"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.sort_array(F.collect_list("path")).alias("members"),
-        F.sort_array(F.collect_list(F.when(changed, F.col("path")))).alias("changed_members"),
-    )
-    return groups.where((F.col("lo") != F.col("hi")) & (F.size("changed_members") > 0)).drop("lo", "hi")
+    groups = member.groupBy("fingerprint").agg(F.count("*").alias("n_members"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    groups = groups.where("n_members >= 2 and lo != hi").drop("lo", "hi")  # then some member has changed
+    pages = member.join(groups, "fingerprint").withColumn("page", page_of(F.col("path"), F.col("n_members"), most))
+    return pages.groupBy("fingerprint", "n_members", "page").agg(
+        F.sort_array(F.collect_list("path")).alias("members"), F.sort_array(F.collect_list(F.when(changed, F.col("path")))).alias("changed_members")
+    )
 
 
-def component_rollup(files: DataFrame) -> DataFrame:
-    """id, label, file_count, files (sorted, with duplicates) by component."""
-    found = files.withColumn("id", paths.component_id(F.col("path"))).groupBy("id")
-    return found.agg(F.count("*").alias("file_count"), F.sort_array(F.collect_list("path")).alias("files")).withColumn("label", paths.label(F.col("id")))
+def component_rollup(files: DataFrame, most: int = PAGE) -> DataFrame:
+    """id, label, file_count (of the component), page, files (sorted, with duplicates): a row for each page."""
+    found = files.select(paths.component_id(F.col("path")).alias("id"), "path")
+    sized = found.join(found.groupBy("id").agg(F.count("*").alias("file_count")), "id")
+    pages = sized.withColumn("page", page_of(F.col("path"), F.col("file_count"), most)).groupBy("id", "file_count", "page")
+    return pages.agg(F.sort_array(F.collect_list("path")).alias("files")).withColumn("label", paths.label(F.col("id")))
 
 
 def component_compare(base: DataFrame, head: DataFrame) -> DataFrame:
     """id, base_count, head_count, delta of two rollups."""
-    b, h = base.select("id", F.col("file_count").alias("base_count")), head.select("id", F.col("file_count").alias("head_count"))
+    b, h = (side.select("id", F.col("file_count").alias(f"{k}_count")).distinct() for k, side in (("base", base), ("head", head)))
     found = b.join(h, "id", "full_outer").select("id", F.coalesce("base_count", F.lit(0)).cast("long").alias("base_count"), F.coalesce("head_count", F.lit(0)).cast("long").alias("head_count"))
     return found.withColumn("delta", F.col("head_count") - F.col("base_count"))
 

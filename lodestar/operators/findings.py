@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
+from lodestar.operators.numbering import indexed
 
 #: code: severity, confidence, risk score, section in the report. Fixed values.
 RULES = {
@@ -98,25 +99,33 @@ def rename_findings(renamed: DataFrame, symbols: DataFrame | None = None) -> Dat
 
 
 def _member_spans(groups: DataFrame, symbols: DataFrame, members: str) -> DataFrame:
-    """groups with the spans of some members' symbols, in the order of members."""
+    """groups with the spans of some members' symbols, in the order of members. A row is a page of a
+    group, so its spans are those of a bounded number of files."""
     own = symbols.select("file", "ord", "span")
-    found = groups.select("fingerprint", F.posexplode(members).alias("at", "file")).join(own, "file")
-    spans = found.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "span"))).alias("s")).select("fingerprint", F.col("s.span").alias("spans"))
-    return groups.join(spans, "fingerprint", "left")
+    found = groups.select("fingerprint", "page", F.posexplode(members).alias("at", "file")).join(own, "file")
+    spans = found.groupBy("fingerprint", "page").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "span"))).alias("s")).select("fingerprint", "page", F.col("s.span").alias("spans"))
+    return groups.join(spans, ["fingerprint", "page"], "left")
+
+
+def _page_position() -> Column:
+    """A group's fingerprint; its further pages follow the first."""
+    return F.concat(F.col("fingerprint"), F.when(F.col("page") > 0, F.format_string("|%010d", "page")).otherwise(""))
 
 
 def clone_findings(groups: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """A finding for each page of a group."""
     names = text.backtick_list(F.col("members"))
     more = () if symbols is None else (None, _say("exact clone group: ", names), F.col("spans"))
     groups = groups if symbols is None else _member_spans(groups, symbols, "members")
-    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), F.col("fingerprint"), F.lit("Exact clone group"), _say("Exact clone group across ", names), *more)
+    return _rows(groups, F.lit("clone.exact"), F.get("members", F.lit(0)), _page_position(), F.lit("Exact clone group"), _say("Exact clone group across ", names), *more)
 
 
 def drift_findings(drifts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """A finding for each page of a group."""
     said = _say(text.backtick_list(F.col("members")), "; changed members: ", text.backtick_list(F.col("changed_members")))
     more = () if symbols is None else (None, _say("clone drift: ", said), F.col("spans"))
     drifts = drifts if symbols is None else _member_spans(drifts, symbols, "changed_members")
-    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), F.col("fingerprint"), F.lit("Clone drift detected"), _say("Clone group drifted across ", said), *more)
+    return _rows(drifts, F.lit("clone.drift"), F.get("members", F.lit(0)), _page_position(), F.lit("Clone drift detected"), _say("Clone group drifted across ", said), *more)
 
 
 def _change_evidence(changes: DataFrame) -> tuple:
@@ -152,6 +161,20 @@ def all_findings(*parts: DataFrame) -> DataFrame:
     return found
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """findings with idx, their place in the whole report: by section, position and what else tells them apart."""
+    return indexed(findings, ["section", "position", "code", "subject", "title", "detail"])
+
+
+def evidence_rows(findings: DataFrame) -> DataFrame:
+    """section, position, code, subject, nth, message, file, start_line, start_column, end_line, end_column: a row
+    for each span of each finding's evidence, in order (nth, from 0); one with nulls for evidence without spans."""
+    named = findings.select("section", "position", "code", "subject", F.explode("evidence").alias("e"))
+    return named.select("section", "position", "code", "subject", F.col("e.message").alias("message"), F.posexplode_outer("e.spans").alias("nth", "span")).select(
+        "section", "position", "code", "subject", F.coalesce("nth", F.lit(0)).cast("long").alias("nth"), "message", *(F.col(f"span.{c}").alias(c) for c in SPAN)
+    )
+
+
 def top_risks(findings: DataFrame, n: int = TOP_RISKS) -> DataFrame:
     """The findings of highest risk; ties in the order of the report."""
     order = [F.desc("risk_score"), "section", "position"]

@@ -89,14 +89,12 @@ def _sql_hashed(name: str, raw: str) -> str:
   FROM (SELECT path, {SQL_TOKENS % 'source'} AS every FROM ({raw})))))"""
 
 
+SQL_HEAD = f"SELECT CASE WHEN doc_id % 10 = 5 THEN 'moved/' || {_SQL_PATH} ELSE {_SQL_PATH} END AS path, CASE doc_id % 10 WHEN 1 THEN text || ' // note' WHEN 2 THEN text || ' changed' WHEN 4 THEN '/* hdr */ ' || text ELSE text END AS source FROM documents WHERE doc_id % 10 <> 7"
 SQL_ALL = _sql_hashed("doc_all", f"SELECT {_SQL_PATH} AS path, text AS source FROM documents")
 SQL_DOCS = ",\n".join(
     [
         _sql_hashed("doc_base", f"SELECT {_SQL_PATH} AS path, text AS source FROM documents WHERE doc_id % 10 <> 3"),
-        _sql_hashed(
-            "doc_head",
-            f"SELECT CASE WHEN doc_id % 10 = 5 THEN 'moved/' || {_SQL_PATH} ELSE {_SQL_PATH} END AS path, CASE doc_id % 10 WHEN 1 THEN text || ' // note' WHEN 2 THEN text || ' changed' WHEN 4 THEN '/* hdr */ ' || text ELSE text END AS source FROM documents WHERE doc_id % 10 <> 7",
-        ),
+        _sql_hashed("doc_head", SQL_HEAD),
         f"renames AS (SELECT {_SQL_PATH} AS from_path, 'moved/' || {_SQL_PATH} AS to_path FROM documents WHERE doc_id % 10 = 5)",
     ]
 )

@@ -189,15 +189,20 @@ def structural_clones(spark, d):
 
 
 def _groups(df):
-    return df.select("fingerprint", F.array_join("members", ",").alias("members"))
+    return df.select("fingerprint", "n", "page", F.array_join("members", ",").alias("members"))
 
 
-@query(f"WITH {v.SQL_ALL} SELECT lexical_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_all WHERE lexical_hash IS NOT NULL GROUP BY lexical_hash HAVING count(*) > 1")
+#: The page of a path in a group of n, as clones.page_of() has it.
+_PAGE = "(CASE WHEN n <= 1000 THEN 0 ELSE ('0x' || substr(md5(path), 1, 8))::BIGINT % ceil(n / 1000)::BIGINT END)"
+_PAGES = f"SELECT fingerprint, n, {_PAGE} AS page, string_agg(path, ',' ORDER BY path) AS members FROM (SELECT path, %s AS fingerprint, count(*) OVER (PARTITION BY %s) AS n FROM doc_all WHERE %s IS NOT NULL) WHERE n > 1 GROUP BY ALL"
+
+
+@query(f"WITH {v.SQL_ALL} " + _PAGES.replace("%s", "lexical_hash"))
 def lexical_clone_groups(spark, d):
     return _groups(clones.clone_groups(v.hashed(v.doc_all(spark, d)), "lexical_hash"))
 
 
-@query(f"WITH {v.SQL_ALL} SELECT token_hash AS fingerprint, string_agg(path, ',' ORDER BY path) AS members FROM doc_all WHERE token_hash IS NOT NULL GROUP BY token_hash HAVING count(*) > 1")
+@query(f"WITH {v.SQL_ALL} " + _PAGES.replace("%s", "token_hash"))
 def token_clone_groups(spark, d):
     return _groups(clones.clone_groups(v.hashed(v.doc_all(spark, d)), "token_hash"))
 
@@ -207,21 +212,22 @@ def clone_members(spark, d):
     return clones.clone_members(stored(v.hashed(v.doc_all(spark, d))), "lexical_hash")
 
 
-_DRIFT = """dr AS (SELECT fp AS fingerprint, count(*) AS n_members, string_agg(path, ',' ORDER BY path) AS members, string_agg(path, ',' ORDER BY path) FILTER (now IS DISTINCT FROM fp) AS changed_members,
+_DRIFT = f"""dd AS (SELECT *, bool_or(coalesce(now, '∅') <> coalesce(first_now, '∅')) OVER (PARTITION BY fp) AS differ FROM (SELECT b.path, b.token_hash AS fp, h.token_hash AS now, count(*) OVER (PARTITION BY b.token_hash) AS n,
+  min(coalesce(h.token_hash, '∅')) OVER (PARTITION BY b.token_hash) AS first_now FROM doc_base b LEFT JOIN doc_head h ON b.path = h.path WHERE b.token_hash IS NOT NULL) WHERE n > 1),
+dr AS (SELECT fp AS fingerprint, n AS n_members, {_PAGE} AS page, fp || CASE WHEN {_PAGE} > 0 THEN format('|{{:010d}}', {_PAGE}) ELSE '' END AS position, string_agg(path, ',' ORDER BY path) AS members, string_agg(path, ',' ORDER BY path) FILTER (now IS DISTINCT FROM fp) AS changed_members,
   string_agg('`' || path || '`', ', ' ORDER BY path) AS tm, string_agg('`' || path || '`', ', ' ORDER BY path) FILTER (now IS DISTINCT FROM fp) AS tc, min(path) AS first
-  FROM (SELECT b.path, b.token_hash AS fp, h.token_hash AS now, count(*) OVER (PARTITION BY b.token_hash) AS n FROM doc_base b LEFT JOIN doc_head h ON b.path = h.path) WHERE n > 1
-  GROUP BY fp HAVING count(DISTINCT coalesce(now, '∅')) > 1)"""
+  FROM dd WHERE differ GROUP BY ALL)"""
 
 
-@query(f"{_DOCS}, {_DRIFT} SELECT fingerprint, n_members, members, changed_members FROM dr")
+@query(f"{_DOCS}, {_DRIFT} SELECT fingerprint, n_members, page, members, coalesce(changed_members, '') AS changed_members FROM dr")
 def clone_drift(spark, d):
     found = clones.clone_drift(*v.doc_both(spark, d))
-    return found.select("fingerprint", "n_members", F.array_join("members", ",").alias("members"), F.array_join("changed_members", ",").alias("changed_members"))
+    return found.select("fingerprint", "n_members", "page", F.array_join("members", ",").alias("members"), F.array_join("changed_members", ",").alias("changed_members"))
 
 
-@query(f"WITH {v.SQL_PAGES} SELECT id, regexp_extract(id, '[^/]*$') AS label, count(*) AS file_count, string_agg(path, ',' ORDER BY path) AS files FROM comp GROUP BY id")
+@query(f"WITH {v.SQL_PAGES} SELECT id, regexp_extract(id, '[^/]*$') AS label, n AS file_count, {_PAGE} AS page, string_agg(path, ',' ORDER BY path) AS files FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM comp) GROUP BY ALL")
 def component_rollup(spark, d):
-    return clones.component_rollup(v.page_paths(spark, d)).select("id", "label", "file_count", F.array_join("files", ",").alias("files"))
+    return clones.component_rollup(v.page_paths(spark, d)).select("id", "label", "file_count", "page", F.array_join("files", ",").alias("files"))
 
 
 @query(f"WITH {v.SQL_PAGES} SELECT id, count(*) FILTER (snapshot = 's0') AS base_count, count(*) FILTER (snapshot = 's1') AS head_count, count(*) FILTER (snapshot = 's1') - count(*) FILTER (snapshot = 's0') AS delta FROM comp WHERE snapshot <> 's2' GROUP BY id")
@@ -319,16 +325,17 @@ def _findings(spark, d):
 
 _FINDINGS = f"""{_SYMBOLS}, {v.SQL_DOCS},
 {_FILE_DIFF}, {_RENAMED}, {_DRIFT},
-cg AS (SELECT lexical_hash AS fingerprint, string_agg('`' || path || '`', ', ' ORDER BY path) AS tm, min(path) AS first FROM doc_head WHERE lexical_hash IS NOT NULL GROUP BY lexical_hash HAVING count(*) > 1),
+cg AS (SELECT fingerprint, {_PAGE} AS page, fingerprint || CASE WHEN {_PAGE} > 0 THEN format('|{{:010d}}', {_PAGE}) ELSE '' END AS position, string_agg('`' || path || '`', ', ' ORDER BY path) AS tm, min(path) AS first
+  FROM (SELECT path, lexical_hash AS fingerprint, count(*) OVER (PARTITION BY lexical_hash) AS n FROM doc_head WHERE lexical_hash IS NOT NULL) WHERE n > 1 GROUP BY ALL),
 sp AS (SELECT *, file || '|' || CASE kind WHEN 'removed' THEN '1' ELSE '0' END || '|' || symbol_kind || '|' || qualified_name AS position FROM sc),
 fi AS (SELECT CASE change WHEN 'modified' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS section, path AS position, 'file.' || change AS code, path AS subject, CASE change WHEN 'modified' THEN 'Medium' ELSE 'Low' END AS severity, CASE change WHEN 'modified' THEN 0.96 ELSE 0.95 END::DOUBLE AS confidence, 0.0::DOUBLE AS risk_score,
   upper(change[1]) || change[2:] || ' `' || path || '`' AS title, CASE change WHEN 'removed' THEN path || ' was removed from the head revision' ELSE path || ' symbols: <none>' END AS detail FROM fr
-UNION ALL SELECT 3, fingerprint, 'clone.exact', first, 'Medium', 0.99, 0.0, 'Exact clone group', 'Exact clone group across ' || tm FROM cg
+UNION ALL SELECT 3, position, 'clone.exact', first, 'Medium', 0.99, 0.0, 'Exact clone group', 'Exact clone group across ' || tm FROM cg
 UNION ALL SELECT 4, to_path, 'file.renamed', to_path, CASE WHEN content_changed THEN 'Medium' ELSE 'Low' END, 0.98, 0.0, 'Renamed `' || from_path || '` -> `' || to_path || '`', 'Renamed `' || from_path || '` -> `' || to_path || '`' || CASE WHEN content_changed THEN ' with content changes' ELSE ' with content preserved' END FROM rn
 UNION ALL SELECT 5, position, 'symbol.' || kind, qualified_name, CASE kind WHEN 'added' THEN 'Low' ELSE 'Medium' END, 0.97, 0.0, upper(kind[1]) || kind[2:] || ' symbol `' || qualified_name || '`', file || CASE kind WHEN 'added' THEN ' now defines `' WHEN 'removed' THEN ' no longer defines `' ELSE ' changed `' END || qualified_name || '` (' || symbol_kind || ')' FROM sp
 UNION ALL SELECT 6, position, 'api.' || CASE kind WHEN 'modified' THEN 'changed' ELSE kind END, qualified_name, CASE kind WHEN 'added' THEN 'Low' WHEN 'removed' THEN 'High' ELSE 'Medium' END, 0.99, CASE kind WHEN 'added' THEN 0.2 WHEN 'removed' THEN 0.98 ELSE 0.82 END,
   CASE kind WHEN 'added' THEN 'Added' WHEN 'removed' THEN 'Removed' ELSE 'Changed' END || ' API `' || qualified_name || '`', 'exported `' || qualified_name || CASE kind WHEN 'added' THEN '` is now available in ' WHEN 'removed' THEN '` is no longer available in ' ELSE '` changed in ' END || file FROM sp WHERE exported
-UNION ALL SELECT 7, fingerprint, 'clone.drift', first, 'Medium', 0.97, 0.0, 'Clone drift detected', 'Clone group drifted across ' || tm || '; changed members: ' || tc FROM dr)"""
+UNION ALL SELECT 7, position, 'clone.drift', first, 'Medium', 0.97, 0.0, 'Clone drift detected', 'Clone group drifted across ' || tm || '; changed members: ' || coalesce(tc, '') FROM dr)"""
 
 
 @query(f"{_FINDINGS} SELECT * FROM fi")
@@ -340,6 +347,53 @@ QUERIES["findings"] = QUERIES.pop("all_findings")
 ORACLE_SQL["findings"] = ORACLE_SQL.pop("all_findings")
 
 
+@query(f"{_FINDINGS} SELECT *, row_number() OVER (ORDER BY section, position, code, subject, title, detail) - 1 AS idx FROM fi")
+def findings_index(spark, d):
+    return findings.numbered(_findings(spark, d))
+
+
+_LINES = f"""hs AS (SELECT path AS file, ord, split_part(line, ' ', 1) AS name, ord + 1 AS start_line, length(line) + 1 AS end_column FROM (SELECT path, unnest(range(0, len(ls))) AS ord, unnest(ls) AS line FROM (SELECT path, string_split(source, chr(10)) AS ls FROM ({v.SQL_HEAD})))),
+names AS (SELECT file, string_agg(name, ', ' ORDER BY ord, name) AS names FROM hs GROUP BY file),
+gm AS (SELECT h.path, h.lexical_hash AS fingerprint, count(*) OVER (PARTITION BY h.lexical_hash) AS n FROM doc_head h WHERE h.lexical_hash IS NOT NULL),
+ev AS (SELECT 'file.' || change AS code, path AS subject, CASE change WHEN 'modified' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS section, path AS position, change || ' file: ' || path AS message, CASE WHEN change <> 'removed' THEN [path] ELSE [] END AS fs FROM fr
+UNION ALL SELECT 'file.renamed', to_path, 4, to_path, 'rename: ' || from_path || ' -> ' || to_path, [to_path] FROM rn
+UNION ALL SELECT 'clone.exact', min(path), 3, fingerprint || CASE WHEN {_PAGE} > 0 THEN format('|{{:010d}}', {_PAGE}) ELSE '' END, 'exact clone group: ' || string_agg('`' || path || '`', ', ' ORDER BY path), list(path ORDER BY path) FROM gm WHERE n > 1 GROUP BY fingerprint, {_PAGE}
+UNION ALL SELECT 'clone.drift', first, 7, position, 'clone drift: ' || tm || '; changed members: ' || coalesce(tc, ''), CASE WHEN changed_members IS NULL THEN [] ELSE string_split(changed_members, ',') END FROM dr),
+sp2 AS (SELECT code, subject, section, position, message, i, f FROM (SELECT *, unnest(range(1, greatest(1, len(fs)) + 1)) AS i FROM ev), LATERAL (SELECT fs[i] AS f)),
+er AS (SELECT code, subject, section, position, message, i, h.* FROM sp2 LEFT JOIN hs h ON h.file = sp2.f),
+en AS (SELECT *, row_number() OVER (PARTITION BY section, position ORDER BY file IS NULL, i, ord, name) - 1 AS nth, count(file) OVER (PARTITION BY section, position) AS found FROM er)"""
+
+
+def _line_symbols(spark, d):
+    """The lines of head's files as its symbols, each named by its first word."""
+    lines = v.head_files(spark, d).select("path", F.posexplode(F.split("source", "\n")).alias("ord", "line"))
+    place = {"start_line": F.col("ord") + 1, "start_column": F.lit(1), "end_line": F.col("ord") + 1, "end_column": F.length("line") + 1}
+    return findings.with_spans(lines.select(F.col("path").alias("file"), "ord", F.substring_index("line", " ", 1).alias("name"), *(c.alias(k) for k, c in place.items())))
+
+
+def _findings_with_evidence(spark, d):
+    (base, head), renames = v.doc_both(spark, d), v.doc_renames(spark, d)
+    symbols = stored(_line_symbols(spark, d))
+    return findings.all_findings(
+        findings.file_findings(changes.without_renames(changes.diff_files(base, head), renames), symbols, head),
+        findings.rename_findings(changes.renamed_files(renames, base, head), symbols),
+        findings.clone_findings(clones.clone_groups(head, "lexical_hash"), symbols),
+        findings.drift_findings(clones.clone_drift(base, head), symbols),
+    )
+
+
+@query(f"{_DOCS}, {_RENAMED}, {_DRIFT}, {_LINES} SELECT section, position, code, subject, nth::BIGINT AS nth, message, file, start_line::INT AS start_line, CASE WHEN file IS NOT NULL THEN 1 END AS start_column, start_line::INT AS end_line, end_column::INT AS end_column FROM en WHERE file IS NOT NULL OR (found = 0 AND nth = 0)")
+def finding_evidence(spark, d):
+    return findings.evidence_rows(_findings_with_evidence(spark, d))
+
+
+@query(f"{_DOCS}, {_LINES.partition('gm AS')[0].rstrip().rstrip(',')} SELECT path AS subject, 'file.' || change AS code, CASE change WHEN 'removed' THEN path || ' was removed from the head revision' ELSE path || ' symbols: ' || coalesce(names, '<none>') END AS detail FROM fr LEFT JOIN names ON file = path")
+def findings_named(spark, d):
+    base, head = v.doc_both(spark, d)
+    found = findings.file_findings(changes.without_renames(changes.diff_files(base, head), v.doc_renames(spark, d)), stored(_line_symbols(spark, d)), head)
+    return found.select("subject", "code", "detail")
+
+
 @query(f"{_FINDINGS} SELECT * FROM fi WHERE risk_score > 0 ORDER BY risk_score DESC, section, position LIMIT 5")
 def risk_top5(spark, d):
     return findings.top_risks(_findings(spark, d))

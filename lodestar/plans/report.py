@@ -57,14 +57,16 @@ def analyze_repo(spark: SparkSession, repo: str, base: str, head: str, filters:
 
 #: Order of each table where it is shown.
 ORDER = {
-    "change_set": ["path"], "clone_groups": ["fingerprint"], "renames": ["to_path"], "symbol_changes": ["file", "symbol_kind", "qualified_name"], "api_changes": ["file", "symbol_kind", "qualified_name"],
-    "clone_drift": ["fingerprint"], "findings": ["section", "position"], "base_components": ["id"], "head_components": ["id"],
+    "change_set": ["path"], "clone_groups": ["fingerprint", "page"], "renames": ["to_path"], "symbol_changes": ["file", "symbol_kind", "qualified_name"], "api_changes": ["file", "symbol_kind", "qualified_name"],
+    "clone_drift": ["fingerprint", "page"], "findings": ["section", "position"], "base_components": ["id", "page"], "head_components": ["id", "page"],
 }
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Every table as JSON lines in a folder of its own, written by the tasks: for results too large to show."""
+    """Every table as JSON lines in a folder of its own, written by the tasks: for results too large to show.
+    Findings carry their place in the report, idx."""
     for name, df in tables.items():
+        df = findings.numbered(df) if name == "findings" else df
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
 
 
