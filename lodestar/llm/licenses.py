@@ -13,8 +13,8 @@ of at most 0.75 ** 48 = 1e-6. Candidates are verified by exact containment of
 the segment's shingles in the window's (as 64-bit hashes).
 
 Templates go through the same expressions as documents, so any text matches itself.
-Their shingles are kept as a bitmap of about 16 bits for each, in one row that is sent to all
-tasks (MOST_SHINGLES bounds it); a false positive costs time only. Their bands are
+Their shingles are one array in one row that is sent to all tasks (MOST_SHINGLES bounds it), and a
+document is intersected with it once; what that costs grows with both. Their bands are
 broadcast up to BROADCAST_BANDS rows, and joined by a shuffle beyond. Nothing else is shuffled
 but the few windows that retrieve a template.
 
@@ -39,8 +39,8 @@ SEGMENT = 12
 PERCENT = 80
 BANDS = 48
 
-#: Most shingles of all templates (a bitmap of 16 MB), some 16 000 texts of 500 words; more are an error.
-MOST_SHINGLES = 8 << 20
+#: Most shingles of all templates (8 MB), some 2000 texts of 500 words; more are an error.
+MOST_SHINGLES = 1 << 20
 BROADCAST_BANDS = 200_000
 
 _AS_IS = (
@@ -146,23 +146,12 @@ def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame) -
     return table
 
 
-def bitmap(table: DataFrame) -> DataFrame:
-    """One row: bits, an array of longs with a bit set for each hash in own, of 16 bits a hash or more."""
+def every_shingle(table: DataFrame) -> DataFrame:
+    """One row: every, the array of the distinct hashes in own."""
     hashes = table.select(F.explode("own").alias("h")).distinct()
-    n = hashes.count()
-    if n > MOST_SHINGLES:
+    if hashes.count() > MOST_SHINGLES:
         raise ValueError(f"more than {MOST_SHINGLES} shingles of templates")
-    longs = 1 << max(0, (16 * n // 64).bit_length())
-    at = F.pmod("h", F.lit(64 * longs))
-    ones = hashes.groupBy(F.call_function("div", at, F.lit(64)).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("ones"))
-    every = table.sparkSession.range(longs).join(ones, "id", "left").select(F.struct("id", F.coalesce("ones", F.lit(0).cast("long")).alias("ones")).alias("x"))
-    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ones"]).alias("bits"), F.lit(longs).alias("longs"))
-
-
-def _set(h):
-    """Whether a hash's bit is set in bits."""
-    at = F.pmod(h, 64 * F.col("longs"))
-    return F.getbit(F.get("bits", F.call_function("div", at, F.lit(64)).cast("int")), (at % 64).cast("int")) == 1
+    return hashes.agg(F.array_sort(F.collect_list("h")).alias("every"))
 
 
 def minima(window):
@@ -180,12 +169,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, part long, n_windows long, first_word long, best long, size long")
     sizes = window_lengths(list(counted))
     lengths = sorted(set(sizes.values()))
-    rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).join(F.broadcast(common.written(bitmap(parts), 1)))  # one row
-    rows = rows.where(F.exists("shingles", _set))
+    rows = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).join(F.broadcast(common.written(every_shingle(parts), 1)))  # one row
+    rows = rows.select("doc_id", "shingles", F.array_intersect("shingles", "every").alias("hits")).where(F.size("hits") > 0)
     sized = rows.withColumn("length", F.explode(F.array(*(F.lit(n) for n in lengths))))
     starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.col("length"))
     cut = lambda s: F.struct(s.alias("at"), F.slice("shingles", s + 1, 2 * F.col("length") - K + 1).alias("window"))
-    windows = sized.select("doc_id", "length", F.explode(F.filter(F.transform(starts, cut), lambda x: F.exists(x["window"], _set))).alias("w"))
+    windows = sized.select("doc_id", "length", F.explode(F.filter(F.transform(starts, cut), lambda x: F.arrays_overlap(x["window"], "hits"))).alias("w"))
     windows = windows.select("doc_id", "length", "w.at", F.array_distinct("w.window").alias("window"))
     banded = windows.select("*", F.posexplode(minima(F.col("window"))).alias("band", "least"))
     length = F.element_at(F.create_map(*(F.lit(x) for n in sizes for x in (n, sizes[n]))), F.size("words"))
