@@ -210,10 +210,12 @@ def match_lots(lots: DataFrame, returns: DataFrame, keys: list[str], order: list
     sides = [t.select(F.lit(k).alias("kind"), *names).dropna(subset=[*keys, "day", "units"]).where("units > 0") for k, t in enumerate((lots, returns))]
     entries = sides[0].unionByName(sides[1])
     totals = entries.groupBy(*keys, "kind", F.col("day").cast("int").alias("day")).agg(F.sum("units").alias("units"), F.count("*").alias("rows"))
-    totals = totals.groupBy(*keys).agg(F.collect_list(F.struct("kind", "day", "units", "rows")).alias("days"), F.max("kind").alias("kind")).where("kind = 1")
+    # only keys with returns; both joins stream the larger side past a hash table of their partition's keys
+    wanted = sides[1].select(*keys).distinct().hint("shuffle_hash")
+    totals = totals.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("kind", "day", "units", "rows")).alias("days"))
     plan = common.written(plan_days(totals, keys, rule))
     used, allocs = (plan.select(*keys, F.inline(c)) for c in ("used", "allocs"))
-    entries = common.written(entries.join(used, [*keys, "kind", "day"]))
+    entries = common.written(entries.join(used.hint("shuffle_hash"), [*keys, "kind", "day"]))
     placed = common.written(running(entries, [*keys, "kind", "day"], order))
 
     lot_rows = placed.where("kind = 0").select(*keys, F.col("day").alias("lot_day"), F.col("units").alias("lot_units"), F.col("place").alias("lot_place"), *(F.col(c).alias(f"lot_{c}") for c in order), _cells(F.col("place"), F.col("units"), F.col("cell")).alias("_cell"))
@@ -245,15 +247,15 @@ def floor_div(a: Column, b: Column) -> Column:
 
 def sale_lots(lines: DataFrame, sales: DataFrame) -> DataFrame:
     """The lots of sale_lines with what each returns: client_id, item_id, day, sale_id, line_no, q, c, d
-    (null discount: none), units, return_day, return_units (null where not flagged returned)."""
+    (null discount: none), return_day, return_units (null where not flagged returned)."""
     own = sales.select("sale_id", F.col("client_id").cast("long").alias("client_id")).dropna()
     rows = lines.select("sale_id", "line_no", "item_id", "quantity", "amount", "discount", "flag", "shipped_at").dropna(subset=["sale_id", "item_id", "quantity", "amount", "shipped_at"]).where("quantity > 0")
     cents = lambda c: F.floor(100 * F.col(c) + 0.5).cast("long")
     h, q = F.crc32(F.concat(F.col("sale_id").cast("string"), F.lit(":"), F.coalesce(F.col("line_no").cast("string"), F.lit(""))).cast("binary")), F.col("quantity").cast("long")
     day, back = F.unix_date(F.to_date("shipped_at")).cast("long"), F.col("flag") == "returned"
-    return rows.join(own, "sale_id").select(
+    return rows.join(own.hint("shuffle_hash"), "sale_id").select(
         "client_id", F.col("item_id").cast("long").alias("item_id"), day.alias("day"), F.col("sale_id").cast("long").alias("sale_id"), F.col("line_no").cast("long").alias("line_no"),
-        q.alias("q"), cents("amount").alias("c"), F.coalesce(cents("discount"), F.lit(0)).alias("d"), q.alias("units"),
+        q.alias("q"), cents("amount").alias("c"), F.coalesce(cents("discount"), F.lit(0)).alias("d"),
         F.when(back, day + 1 + h % 13).alias("return_day"), F.when(back, 1 + h % (q + 10)).alias("return_units"),
     )
 
@@ -263,7 +265,7 @@ def returned_lots(lines: DataFrame, sales: DataFrame, rule: str = "lifo") -> Dat
     rows = common.written(sale_lots(lines, sales))
     order = ["sale_id", "line_no", "q", "c", "d"]
     returns = rows.where("return_units is not null").select("client_id", "item_id", F.col("return_day").alias("day"), F.col("return_units").alias("units"), *order)
-    found = match_lots(rows, returns, ["client_id", "item_id"], order, rule)
+    found = match_lots(rows.withColumn("units", F.col("q")), returns, ["client_id", "item_id"], order, rule)
     spread = lambda share, q, a: floor_div((F.col(a) + F.col("units")) * share, q) - floor_div(F.col(a) * share, q)
     refund = spread(F.col("return_c") * (100 - F.col("return_d")), 100 * F.col("return_q"), "return_from")
     return found.withColumn("refund_cents", refund).withColumn("margin_cents", F.col("refund_cents") - spread(F.col("lot_c"), F.col("lot_q"), "lot_from"))
