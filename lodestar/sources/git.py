@@ -1,14 +1,14 @@
 """Source files of git revisions and of a working tree as DataFrames.
 
 Names come NUL-separated, so names that git would quote are read as they are.
-The driver lists paths and object ids; each task reads its blobs by one `git cat-file --batch`.
+Revisions are listed by the ``git`` data source, by subtree; each task reads its blobs by one `git cat-file --batch`.
 The repository must be readable on the executors.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths
+from lodestar.sources import git_source
 
 SKIPPED_DIRS = ("node_modules", "target")
-#: Bytes of sources that a task holds before it hands them on.
-HELD_BYTES = 32 << 20
 
 
-def _git(repo: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout.decode("utf-8", "surrogateescape")
+def _revision(spark: SparkSession, repo: str, rev: str, **options: str) -> DataFrame:
+    git_source.git(repo, "rev-parse", f"{rev}^{{tree}}")  # what is wrong with a name, said by git before Spark starts
+    git_source.register(spark)
+    return spark.read.format("git").options(rev=rev, **options).load(os.path.abspath(repo))  # tasks have folders of their own
 
 
-def tracked_blobs(repo: str, rev: str) -> list[tuple[str, str]]:
-    """path and object id of each file of a revision."""
-    rows = [x.split("\t", 1) for x in _git(repo, "ls-tree", "-r", "-z", rev).split("\0") if x]
-    return [(path, head.split()[2]) for head, path in rows if head.split()[1] == "blob"]
-
-
-def tracked_files(repo: str, rev: str) -> list[str]:
-    return [path for path, _ in tracked_blobs(repo, rev)]
+def tracked_files(spark: SparkSession, repo: str, rev: str) -> DataFrame:
+    """path and oid of each file of a revision, whatever its ending."""
+    return _revision(spark, repo, rev, endings="", contents="false").select("path", "oid")
 
 
 def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None = None, strict: bool = False, also: DataFrame | None = None) -> DataFrame:
@@ -41,58 +37,33 @@ def files_at(spark: SparkSession, repo: str, rev: str, filters: list[str] | None
     filters or are in ``also`` (path), chosen before any blob is read. Blobs are read
     by object id, one at a time, so any name will do. A blob that is missing or
     isn't UTF-8 is left out, or with strict an error."""
-    repo = os.path.abspath(repo)  # tasks have folders of their own
-    listed = spark.createDataFrame(tracked_blobs(repo, rev), "path string, oid string").where(paths.is_source(F.col("path")))
-    wanted = listed.where(paths.matches_filters(F.col("path"), filters or []))
-    if also is not None:
-        extra = also.select(F.col("path").alias("also")).distinct()
-        wanted = listed.join(extra, listed["path"] == F.col("also"), "left").where(F.col("also").isNotNull() | paths.matches_filters(F.col("path"), filters or [])).select("path", "oid")
+    options = {"strict": str(strict).lower()}
+    if also is None or not filters:
+        return _revision(spark, repo, rev, scope=json.dumps(filters or []), **options).select("rev", "path", "source")
+    listed = _revision(spark, repo, rev, contents="false", **options).select("path", "oid")
+    extra = also.select(F.col("path").alias("also")).distinct()
+    wanted = listed.join(extra, listed["path"] == F.col("also"), "left").where(F.col("also").isNotNull() | paths.matches_filters(F.col("path"), filters)).select("path", "oid")
+    repo = os.path.abspath(repo)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["rev", "path", "source"]
-        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
-            for batch in batches:
+        rows, size = [], 0
+        for path, _, source in git_source.blobs(repo, rev, ((p, o) for b in batches for p, o in zip(b["path"], b["oid"], strict=True)), strict):
+            rows.append((rev, path, source))
+            size += len(source)
+            if size > git_source.HELD_BYTES or len(rows) == git_source.HELD_ROWS:
+                yield pd.DataFrame(rows, columns=["rev", "path", "source"])
                 rows, size = [], 0
-                for path, oid in zip(batch["path"], batch["oid"], strict=True):
-                    git.stdin.write(f"{oid}\n".encode())
-                    git.stdin.flush()
-                    head = git.stdout.readline().split()
-                    if head[-1:] == [b"missing"] or len(head) != 3:
-                        if strict:
-                            raise FileNotFoundError(f"{rev}:{path}: {b' '.join(head).decode()}")
-                        continue
-                    data = git.stdout.read(int(head[2]))
-                    git.stdout.read(1)
-                    try:
-                        rows.append((rev, path, data.decode()))
-                    except UnicodeDecodeError:
-                        if strict:
-                            raise
-                    size += len(data)
-                    if size > HELD_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, size = [], 0
-                yield pd.DataFrame(rows, columns=columns)
-            git.stdin.close()
+        yield pd.DataFrame(rows, columns=["rev", "path", "source"])
 
     return wanted.mapInPandas(read, "rev string, path string, source string")
 
 
 def changed_files(spark: SparkSession, repo: str, base: str, head: str, filters: list[str] | None = None) -> DataFrame:
     """path, kind (added, modified, deleted, renamed, copied), from_path; a rename or copy passes if either side does."""
-    parts, rows = _git(repo, "diff", "--name-status", "--find-renames", "-z", base, head).split("\0"), []
-    kinds = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied"}
-    i = 0
-    while i < len(parts) - 1:
-        code = parts[i][:1]
-        if code in "RC":
-            rows.append((parts[i + 2], kinds[code], parts[i + 1]))
-            i += 3
-        else:
-            if code in kinds:
-                rows.append((parts[i + 1], kinds[code], None))
-            i += 2
-    found = spark.createDataFrame(rows, "path string, kind string, from_path string")
+    for rev in (base, head):
+        git_source.git(repo, "rev-parse", f"{rev}^{{tree}}")
+    git_source.register(spark)
+    found = spark.read.format("git_changes").options(base=base, head=head).load(os.path.abspath(repo))
     return found.where(paths.matches_filters(F.col("path"), filters or []) | F.coalesce(paths.matches_filters(F.col("from_path"), filters or []), F.lit(False)))
 
 
