@@ -6,8 +6,8 @@ bit for either start. Functions of adjacent runs compose, in any grouping, so a
 at any line and its pieces counted by different tasks. ``text.line_metrics`` is the same
 automaton as a fold over one row's text.
 
-Edge cases: a null line isn't counted; an empty file has zeros; a final line feed adds no line; a
-file without lines in the table of lines has no row; lines of one run that repeat are counted each time.
+Edge cases: a null line counts as no line, but its text has a row; an empty text has zeros and a null one nulls; a
+final line feed adds no line; texts and lines that repeat are counted each time; a key may be null.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ RUN = "blank long, code0 long, comment0 long, open0 boolean, code1 long, comment
 #: Runs that are composed in one row at a time.
 FAN_IN = 512
 #: Kinds of a line: blank; those that leave a block closed or open whatever was before; one that turns the bit over.
-BLANK, SHUT, OPENS, TURNS, KEEPS = range(5)
+BLANK, SHUT, OPENS, TURNS, KEEPS, NO_LINE = range(6)
 
 
 def line_kind(raw: Column) -> Column:
@@ -36,7 +36,7 @@ def line_kind(raw: Column) -> Column:
     opens = starts & ~F.substring(line, 3, 1 << 30).contains("*/")
     ends = line.contains("*/")
     kind = F.when(opens & ends, TURNS).when(opens, OPENS).when(ends, SHUT).otherwise(KEEPS)
-    return F.when(line == "", BLANK).otherwise(kind + F.when(starts | line.startswith("//"), 8).otherwise(0)).cast("int")
+    return F.when(raw.isNull(), NO_LINE).when(line == "", BLANK).otherwise(kind + F.when(starts | line.startswith("//"), 8).otherwise(0)).cast("int")
 
 
 def _open_before(kind: np.ndarray, start: bool) -> tuple[np.ndarray, bool]:
@@ -55,12 +55,12 @@ def _open_before(kind: np.ndarray, start: bool) -> tuple[np.ndarray, bool]:
 
 def _run(codes: np.ndarray) -> tuple:
     kind, own = codes & 7, codes >= 8
-    blank = kind == BLANK
+    blank, none = kind == BLANK, kind == NO_LINE
     found = [int(blank.sum())]
     for start in (False, True):
         before, end = _open_before(kind, start)
-        comment = ~blank & (own | before)
-        found += [int((~blank & ~comment).sum()), int(comment.sum()), end]
+        comment = ~blank & ~none & (own | before)
+        found += [int((~blank & ~none & ~comment).sum()), int(comment.sum()), end]
     return tuple(found)
 
 
@@ -69,7 +69,7 @@ def runs(lines: DataFrame, key: list[str], value: str) -> DataFrame:
     in its partition. lines: in order within a key, as a text reader or an explode leaves them; a key's rows must
     lie in one partition, next to each other. Nothing is shuffled and no line is held beyond its batch."""
     bound_batches(lines.sparkSession)
-    narrow = lines.where(F.col(value).isNotNull()).select(*key, line_kind(F.col(value)).alias("_kind"))
+    narrow = lines.select(*key, line_kind(F.col(value)).alias("_kind"))
     kept = narrow.select(*key).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -103,42 +103,38 @@ def _then(a: Column, b: Column) -> Column:
     return F.struct(*parts)
 
 
-def compose(found: DataFrame, file: str, order: list[str], fan_in: int = FAN_IN) -> DataFrame:
-    """file, code, comment, blank of runs (file, order, RUN): runs are numbered within their file and
-    composed fan_in at a time, in rounds, until each file has one; no row or task takes more of a file than that."""
+def compose(found: DataFrame, text: list[str], order: list[str], fan_in: int = FAN_IN) -> DataFrame:
+    """text, code, comment, blank of runs (text, order, RUN), stored. While a text has more than fan_in runs, those
+    that are neighbours in the last column of order are composed, fan_in at a time, so no row takes more of a text than that."""
     names = [x.split()[0] for x in RUN.split(", ")]
-    nothing = F.struct(F.lit(0).cast("long").alias("blank"), *(F.lit(v).cast(t).alias(f"{c}{s}") for s in "01" for c, v, t in (("code", 0, "long"), ("comment", 0, "long"), ("open", s == "1", "boolean"))))
-    # runs arrive in at most as many levels as ``order`` has columns; each is composed away from the last on
-    level = found.select(file, *order, F.struct(*names).alias("run"))
-    for depth in range(len(order), 0, -1):
-        above, own = [file, *order[: depth - 1]], order[depth - 1]
-        divided = level
-        while True:
-            span = divided.agg(F.min(own), F.max(own)).first()
-            one_each = span[0] is None or span[0] == span[1] == 0
-            if one_each:
-                break
-            part = F.col(own).cast("long") - F.lit(0)
-            grouped = divided.groupBy(*above, F.floor(part / fan_in).alias("_part")).agg(F.sort_array(F.collect_list(F.struct(F.col(own).alias("at"), "run"))).alias("runs"))
-            folded = F.aggregate("runs", nothing, lambda a, x: _then(a, x["run"]))
-            divided = stored(grouped.select(*above, F.col("_part").cast("long").alias(own), folded.alias("run")))
-        level = divided.select(*above, "run")
-    return level.select(file, F.col("run.code0").alias("code"), F.col("run.comment0").alias("comment"), F.col("run.blank").alias("blank"))
+    counts, end = lambda s: [F.lit(0).cast("long").alias(f"{c}{s}") for c in ("code", "comment")], lambda s: F.lit(s == "1").alias(f"open{s}")
+    nothing = F.struct(F.lit(0).cast("long").alias("blank"), *counts("0"), end("0"), *counts("1"), end("1"))
+    composed = lambda at: F.aggregate(F.sort_array(F.collect_list(F.struct(*at, F.col("run")))), nothing, lambda a, x: _then(a, x["run"])).alias("run")
+    level, order = found.select(*text, *order, F.struct(*names).alias("run")), list(order)
+    while (level.groupBy(*text).count().agg(F.max("count")).first()[0] or 0) > fan_in:
+        *above, own = order
+        if level.where(F.col(own) != 0).isEmpty():
+            order = above  # one run for each value of the columns above
+            continue
+        part = F.floor(F.col(own) / fan_in).cast("long")
+        level = stored(level.groupBy(*text, *above, part.alias("_part")).agg(composed([F.col(own)])).withColumnRenamed("_part", own))
+    return level.groupBy(*text).agg(composed([F.col(c) for c in order])).select(*text, *(F.col(f"run.{a}").alias(b) for a, b in (("code0", "code"), ("comment0", "comment"), ("blank", "blank"))))
 
 
 def text_metrics(texts: DataFrame, key: str, source: str, lines_a_run: int = 1000) -> DataFrame:
-    """key, code, comment, blank of texts (key, source), of rows with a key of their own, cut into runs of lines; null where the text is null."""
+    """key, code, comment, blank for each row of texts (key, source), whose lines are cut into runs."""
     cut = F.when(F.col(source) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(source, r"\n\z", ""), "\n"))
-    lines = texts.select(key, F.posexplode(cut).alias("_at", "_line")).withColumn("_cut", F.floor(F.col("_at") / lines_a_run).cast("long"))
-    found = compose(runs(lines.select(key, "_cut", "_line"), [key, "_cut"], "_line"), key, ["_cut", "n"])
-    known = lambda c: F.when(F.col(source).isNotNull(), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
-    return texts.select(key, source).join(found, key, "left").select(key, *(known(c) for c in ("code", "comment", "blank")))
+    numbered = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(source).isNull().alias("_null"), cut.alias("_lines"))
+    rows = numbered.select("_row", "_key", "_null", F.posexplode_outer("_lines").alias("_at", "_line"))  # a row's number is given before it becomes lines
+    rows = rows.withColumn("_cut", F.coalesce(F.floor(F.col("_at") / lines_a_run), F.lit(0)).cast("long"))
+    whole = ["_row", "_key", "_null"]
+    found = compose(stored(runs(rows, [*whole, "_cut"], "_line")), whole, ["_cut", "n"])
+    return found.select(F.col("_key").alias(key), *(F.when(~F.col("_null"), F.col(c)).alias(c) for c in ("code", "comment", "blank")))
 
 
 def file_metrics(spark: SparkSession, *where: str) -> DataFrame:
     """file, code, comment, blank of text files at a path or glob, however long: a file is read in the splits that
-    Spark gives it, and each split's lines are a run. An empty file has zeros."""
+    Spark gives it, and each split's lines are a run. An empty file has no row,
+    as Spark's readers skip it."""
     lines = spark.read.option("lineSep", "\n").text(list(where)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
-    found = compose(runs(lines, ["file", "_block"], "value"), "file", ["_block", "n"])
-    names = spark.read.format("binaryFile").load(list(where)).select(F.col("_metadata.file_path").alias("file"))  # contents aren't read
-    return names.join(found, "file", "left").select("file", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("code", "comment", "blank")))
+    return compose(stored(runs(lines, ["file", "_block"], "value")), ["file"], ["_block", "n"])
