@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame
 from lodestar.functions.paths import component_id, in_scope, is_ignored, language, matches_filters
 from lodestar.operators.changes import api_changes, by_file, diff_entities, diff_files, diff_symbols, of_file, renamed_files
 from lodestar.operators.clones import bundle_timeline, clone_drift, clone_groups, clone_members, component_compare, component_rollup, component_timeline, exact_clones, structural_clones
+from lodestar.operators.linescan import file_metrics, text_metrics
 from lodestar.plans.report import analyze, analyze_repo, clone_rows, entity_changes, render, save
 from lodestar.sources.git import changed_files, files_at, report_bundles, tracked_files, working_tree
+from lodestar.sources.git_source import register
 from lodestar.sources.parse import entities, fingerprints, parse_files, symbols
+from lodestar.streaming.timeline import follow, saved_components, timeline
 
 __all__ = [
     "analyze", "analyze_repo", "api_changes", "build_report", "bundle_timeline", "build_report_with_context", "build_report_with_renames", "by_file", "changed_files", "clone_drift", "clone_groups", "clone_members", "clone_rows", "component_compare", "component_id",
     "component_rollup", "component_timeline", "detect_clone_drifts", "detect_exact_clone_groups", "detect_symbol_changes", "detect_symbol_changes_with_renames", "diff_entities", "diff_files", "diff_symbols", "entities", "entity_changes", "exact_clones",
-    "files_at", "fingerprints", "in_scope", "is_ignored", "language", "matches_filters", "of_file", "parse_files", "render", "renamed_files", "report_bundles", "save", "structural_clones", "symbols", "tracked_files", "working_tree",
+    "file_metrics", "files_at", "fingerprints", "follow", "in_scope", "is_ignored", "language", "matches_filters", "of_file", "parse_files", "register", "render", "renamed_files", "report_bundles", "save", "saved_components", "structural_clones", "symbols", "text_metrics", "timeline", "tracked_files", "working_tree",
 ]
 
 

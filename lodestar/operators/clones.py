@@ -115,7 +115,7 @@ def bundle_timeline(bundles: DataFrame) -> DataFrame:
     """bundle, id, file_count of the components of saved reports (see report_bundles()), one
     after the other; missing columns of older reports are no error."""
     part = F.explode("head_components").alias("c")
-    return bundles.select("bundle", part).select("bundle", "c.id", F.col("c.file_count").cast("long").alias("file_count"))
+    return bundles.select("bundle", part).select("bundle", "c.id", F.col("c.file_count").cast("long").alias("file_count")).distinct()  # a component has a row for each page
 
 
 def entity_counts(changes: DataFrame, *by: Column | str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths, text
-from lodestar.operators import changes, clones, findings
+from lodestar.operators import changes, clones, findings, linescan
 from lodestar.plans import adapters as v
-from lodestar.plans import samples
-from lodestar.sources.store import spread, stored
+from lodestar.plans import report, samples
+from lodestar.sources.store import place, spread, stored
+from lodestar.streaming import timeline
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -241,6 +242,16 @@ def component_timeline(spark, d):
     return clones.component_timeline(v.page_paths(spark, d), ["s0", "s1", "s2"])
 
 
+@query(ORACLE_SQL["component_timeline"])
+def timeline_stream(spark, d):
+    """Three reports' components saved, followed by a stream one file at a time, and pivoted."""
+    root, pages = place(spark), stored(v.page_paths(spark, d))
+    for name in ("s0", "s1", "s2"):
+        report.save({"head_components": clones.component_rollup(pages.where(F.col("snapshot") == name))}, f"{root}/reports/{name}")
+    timeline.follow(timeline.saved_components(spark, f"{root}/reports", 1), f"{root}/table", f"{root}/offsets").awaitTermination()
+    return timeline.timeline(spark, f"{root}/table", ["s0", "s1", "s2"])
+
+
 # ---- paths and text
 
 
@@ -293,6 +304,11 @@ def line_metrics(spark, d):
     return v.table(spark, d, "documents").select("doc_id", text.line_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
+@query(ORACLE_SQL["line_metrics"])
+def line_metrics_scan(spark, d):
+    return linescan.text_metrics(v.table(spark, d, "documents"), "doc_id", "text")
+
+
 @query("""WITH b AS (SELECT p_partkey, list_transform(range(0, length(hex(encode(p_name))) // 2), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i::INT + 1, 2))::HUGEINT) AS bs FROM part),
 h AS (SELECT p_partkey, list_reduce(bs, lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM b)
 SELECT p_partkey, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS hash FROM h""")
