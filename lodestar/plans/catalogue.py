@@ -244,11 +244,11 @@ def component_timeline(spark, d):
 
 @query(ORACLE_SQL["component_timeline"])
 def timeline_stream(spark, d):
-    """Three reports' components saved, followed by a stream one file at a time, and pivoted."""
+    """Three reports' components saved, followed by a stream of all that is there, and pivoted."""
     root, pages = place(spark), stored(v.page_paths(spark, d))
     for name in ("s0", "s1", "s2"):
         report.save({"head_components": clones.component_rollup(pages.where(F.col("snapshot") == name))}, f"{root}/reports/{name}")
-    timeline.follow(timeline.saved_components(spark, f"{root}/reports", 1), f"{root}/table", f"{root}/offsets").awaitTermination()
+    timeline.follow(timeline.saved_components(spark, f"{root}/reports"), f"{root}/table", f"{root}/offsets").awaitTermination()
     return timeline.timeline(spark, f"{root}/table", ["s0", "s1", "s2"])
 
 
