@@ -187,15 +187,25 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> Dat
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    """Of pairs (a, b) those whose full sets are similar enough. Pairs are dealt by a, at most about TILE of them
+    together, and each such group has the set of a once, in front of the sets of its b."""
+    many = common.written(pairs.groupBy("a").count().where(F.col("count") > TILE).select("a", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), 0)
+    tile = F.coalesce(F.pmod(F.xxhash64("b"), "tiles"), F.lit(0)).alias("tile")
+    dealt = pairs.join(many, "a", "left").select("a", tile, "b")
+    heads = sets.join(dealt.select(F.col("a").alias("rep"), "tile").distinct(), "rep").select(F.col("rep").alias("a"), "tile", F.lit(None).cast("long").alias("b"), "shingles")
+    both = heads.unionByName(dealt.join(sets.select(F.col("rep").alias("b"), "shingles"), "b"))
+    both = both.repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("b").asc_nulls_first()).select("a", "b", "shingles")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.empty(0, np.uint64)  # the set of a, which may come in an earlier batch
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for head, value in zip(batch.column(1).is_null().to_pylist(), batch.column(2), strict=True):
+                y = np.frombuffer(value.as_buffer(), np.uint64)
+                if head:
+                    x = y.copy()
+                    linked.append(False)
+                    continue
                 short, long = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(long, short), len(long) - 1)
                 shared = int((long[at] == short).sum())
