@@ -13,9 +13,10 @@ tasks. One pass counts each task's n-grams and words; sums over the tasks are
 one row per distinct n-gram or word. The n-grams are dealt by the last SHARD
 bytes of their context: the longer contexts that end so, with all their symbols,
 then lie in one task, and the shorter ones (at most 256 ** SHARD nodes a level)
-are sent to all. Wide shards (at most 1 / WIDE_SHARD) are dealt by one byte more, and
-the contexts of SHARD bytes that they split (at most 256 nodes each) are sent as
-well. So each n-gram's chance is worked out once.
+are sent to all. A shard of more than SHARD_ROWS n-grams, or of WIDE_SHARD of them all, is dealt by one byte more, its
+parts again, and so on down to whole contexts; the contexts that are split so (at most 256 nodes each, and
+at most as many contexts of a length as those bounds allow) are sent as well. So each n-gram's chance is worked out
+once, and no task's shards grow with the corpus.
 
 Texts never move. n-grams with at least HOT_GRAM of all bytes, and words with at
 least HOT_SHARE of all tokens (at most 1 / HOT_GRAM and 1 / HOT_SHARE of them),
@@ -51,7 +52,8 @@ SHARD = 2
 HOT_SHARE = 2.0**-20
 #: So at most 8 million n-grams of 16 bytes are broadcast.
 HOT_GRAM = 2.0**-23
-#: A shard with at least this share of the distinct n-grams is dealt by one more byte of context.
+#: A shard with more distinct n-grams than this, or at least this share of them all, is dealt by one more byte of context.
+SHARD_ROWS = 1 << 20
 WIDE_SHARD = 2.0**-10
 END = 255
 SYMBOLS = 256
@@ -263,22 +265,25 @@ def chances(grams: DataFrame, order: int) -> DataFrame:
     """code, m, chance (log10) of each row (code, n, m) of grams, all the (order + 1)-grams."""
     spark, near = grams.sparkSession, min(SHARD, order + 1)
     some = lambda keep: F.col("code").bitwiseAND(F.lit((1 << (8 * keep)) - 1)).alias("code")
-    shard = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD)) - 1))
+    ending = lambda size: F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * size)) - 1))  # noqa: E731 - the context's last bytes
     arrays = lambda t: [t[c].to_numpy().astype(np.int64) for c in t.column_names]
     short = levels_of(*arrays(grams.where("n > 0").groupBy(some(near)).agg(F.sum("n").alias("n")).toArrow()), range(near))  # at most 256 ** SHARD rows
-    wide, split = np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
-    if order > SHARD:
-        shards, rows = arrays(grams.groupBy(shard.alias("shard")).agg(F.count("*").alias("rows")).toArrow())  # at most 256 ** SHARD rows
-        wide = np.sort(shards[rows >= WIDE_SHARD * rows.sum()]) if len(rows) else shards
-        split = sums(*arrays(grams.where("n > 0").where(shard.isin(wide.tolist())).groupBy(some(SHARD + 1)).agg(F.sum("n").alias("n")).toArrow()))  # at most 256 rows a wide shard
-    shared = spark.sparkContext.broadcast((short, wide, split))
+    splits: list[tuple[np.ndarray, ...]] = []  # for contexts of SHARD bytes and more: those that are too wide for one task, and their nodes
+    inside, most = grams, min(SHARD_ROWS, WIDE_SHARD * grams.count()) if order > SHARD else 0
+    for size in range(SHARD, order):
+        (wide,) = arrays(inside.groupBy(ending(size).alias("shard")).agg(F.count("*").alias("rows")).where(F.col("rows") >= most).select("shard").toArrow())  # at most rows / most
+        if not len(wide):
+            break
+        inside = inside.where(ending(size).isin(wide.tolist()))
+        splits.append((wide, *sums(*arrays(inside.where("n > 0").groupBy(some(size + 1)).agg(F.sum("n").alias("n")).toArrow()))))  # at most 256 rows for each
+    shared = spark.sparkContext.broadcast((short, splits))
 
     def trie(c: np.ndarray, n: np.ndarray) -> Model:
-        short, wide, split = shared.value
+        short, splits = shared.value
         own = levels_of(c, n, range(near, order + 1))
-        if len(wide):
-            whole = ~np.isin(own[0][0] >> 8, wide)
-            own[0] = sums(*(np.concatenate([x[whole], y]) for x, y in zip(own[0], split, strict=True)))
+        for j, (wide, *split) in enumerate(splits):
+            whole = ~np.isin(own[j][0] >> 8, wide)
+            own[j] = sums(*(np.concatenate([x[whole], y]) for x, y in zip(own[j], split, strict=True)))
         return Model(short + own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +311,10 @@ def chances(grams: DataFrame, order: int) -> DataFrame:
         if size:
             yield from valued([np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    wider = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * SHARD + 8)) - 1)) + (1 << (8 * SHARD + 8))
-    dealt = grams.select(F.when(shard.isin(wide.tolist()), wider).otherwise(shard).alias("shard"), "code", "n", "m")
+    shard = ending(SHARD)
+    for size, (wide, *_) in enumerate(splits, SHARD):
+        shard = F.when(ending(size).isin(wide.tolist()), ending(size + 1) + (1 << (8 * size + 8))).otherwise(shard)
+    dealt = grams.select(shard.alias("shard"), "code", "n", "m")
     dealt = dealt.repartition(common.shuffle_partitions(spark), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "code long, m long, chance double")
 

@@ -138,6 +138,20 @@ def test_ppm(odd, empty, order, hot, monkeypatch):
     assert ppm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 40, 400])
+def test_ppm_splits_shards(odd, rows, monkeypatch):
+    """Shards in parts of any depth, down to whole contexts, give the chances of undivided ones."""
+    grams = common.written(ppm.counts(odd).where(F.col("word") == ppm.GRAM).select("code", "n", "m"))
+    found = []
+    for most, share in ((1 << 60, 2.0), (rows, 2.0)):
+        monkeypatch.setattr(ppm, "SHARD_ROWS", most)
+        monkeypatch.setattr(ppm, "WIDE_SHARD", share)
+        found.append({r["code"]: (r["m"], r["chance"]) for r in ppm.chances(grams, ppm.ORDER).collect()})
+    whole, parted = found
+    assert whole.keys() == parted.keys() and len(whole) == grams.count() > 1000
+    assert all(m == parted[c][0] and x == pytest.approx(parted[c][1], rel=1e-12) for c, (m, x) in whole.items())
+
+
 def test_ppm_keeps_rare_ngrams(spark):
     """Over 2^24 training bytes, n-grams that were seen once still count, by way of the shuffle."""
     rare = "zq xk jv! Qué raro"
