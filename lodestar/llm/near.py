@@ -9,8 +9,8 @@
    rows, a pair of similarity 0.8 is missed with a chance of
    (1 - 0.8 ** 5) ** 40 = 1e-7; a more similar one less often.
 4. Round one tests each bucket's members against its smallest one. Round two
-   tests the pairs of a bucket whose ends round one left in different
-   components. So no link is lost, and a large group of near copies costs about
+   tests the members whose bucket holds one that round one left in another
+   component. So no link is lost, and a large group of near copies costs about
    one test per member, not one per pair. Signatures are joined to documents, one
    row each, and dealt to the buckets after that. Buckets that are large even
    then are tiled, so a task gets at most about 2 * TILE members.
@@ -19,8 +19,10 @@
    SLACK of the threshold (over 4.5 standard errors) are confirmed on the full
    sets of 64-bit shingle hashes. Round two, where groups of documents that
    only just miss the threshold are to be told apart, first asks which members
-   have any such partner (a semi-join, so no pairs come out), and estimates
-   pairs of these from signatures of LONG_PERMS minima.
+   have any such partner (a semi-join, so no pairs come out). Those that buckets
+   connect are one cloud; its members meet in blocks, and a task counts what
+   the sets of two blocks have in common at once. Only links come out, and no
+   pair is looked at twice, however many buckets it shares.
 6. Components come from alternating large-star and small-star steps, each
    written to the shared folder; links never come to the driver.
 
@@ -48,12 +50,16 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 PERMS = BANDS * ROWS
-#: Minima of the longer signature, made of the few documents that round two compares.
+#: Most minima of a signature.
 LONG_PERMS = 1024
 BITS = 4
-#: How far below the threshold an estimate may lie, over 4.5 standard errors each.
-SLACK, LONG_SLACK = 0.15, 0.06
+#: How far below the threshold an estimate may lie, over 4.5 standard errors.
+SLACK = 0.15
 TILE = 5000
+#: A block of round two has at most about TILE / 5 members, and so many bytes of sets.
+BLOCK_BYTES = 8 << 20
+#: Columns of a part of a block's matrix.
+COLUMNS = 2048
 #: Bits of the bitmap of wanted documents, 16 MB.
 SLOTS = 1 << 27
 
@@ -159,8 +165,8 @@ def may_link(n_a, n_b, bits_a, bits_b, percent: int):
     return sizes & (estimate(bits_a, bits_b, PERMS) >= percent / 100 - SLACK)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> DataFrame:
-    """rep, shingles, long_bits (if perms) of the documents wanted (rep)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep, shingles of the documents wanted (rep)."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     words = wanted.groupBy(F.shiftright(slot("rep"), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(rep), 64) AS int))")).alias("bits")).toArrow()
     held = np.zeros(SLOTS // 64, np.int64)
@@ -179,11 +185,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, perms: int = 0) -> Dat
         hashes = WordHashes()
         for batch in (part for whole in batches for part in common.slices(whole, 1)):
             sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column(1)]
-            longs = [packed(signature(s, perms)) if perms else None for s in sets]
-            columns = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(longs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingles", "long_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
 
-    return common.written(texts.mapInArrow(make, "rep long, shingles binary, long_bits array<long>"))
+    return common.written(texts.mapInArrow(make, "rep long, shingles binary"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
@@ -272,17 +276,75 @@ def open_members(shared: DataFrame, classes: DataFrame, comps: DataFrame, percen
     return common.written(found.groupBy("rep", "component").agg(F.collect_set("key").alias("keys")), rows)
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
-    """Pairs of open members of different components that the longer signatures
-    allow, each from the first band that it shares."""
-    columns = ["rep", "component", "n", "bits", "bands", "long_bits"]
-    buckets = members.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
-    a, b = tiled(dealt(members.join(classes, "rep").join(sets.select("rep", "long_bits"), "rep"), buckets, rows), columns)
-    close = estimate(F.col("long_bits_a"), F.col("long_bits_b"), LONG_PERMS) >= percent / 100 - LONG_SLACK
-    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
-    both = a.join(b, ["key", "t", "u"]).where(F.col("component_a") < F.col("component_b"))
-    both = both.where(may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)).where(close).where(first)
-    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+def in_common(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
+    """The size of the intersection of each set of left with each of right, two parts of sets: either the
+    same or one after the other; of the same part, only pairs (a, b) with a < b count."""
+    lengths = [len(x) for x in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, a, b = np.repeat(np.arange(len(sets)), lengths), range(len(sets))[left], range(len(sets))[right]
+    found = np.zeros((len(a), len(b)), np.float32)  # exact for counts below 2 ** 24
+    # what many sets have goes by a product of matrices, what few have pair by pair
+    many = times > max(1, int(np.sqrt(len(a) * len(b)) / 10))
+    number, total = np.cumsum(many) - 1, int(many.sum())
+    own = many[column]
+    dense_row, dense_column = row[own], number[column[own]]
+    order = np.argsort(dense_column, kind="stable")
+    dense_row, dense_column = dense_row[order], dense_column[order]
+    for start in range(0, total, COLUMNS):
+        i, j = np.searchsorted(dense_column, [start, start + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, total - start)), np.float32)
+        part[dense_row[i:j], dense_column[i:j] - start] = 1
+        found += part[left] @ part[right].T
+    own = ~own & (times[column] > 1)
+    row, column = row[own], column[own]
+    order = np.argsort(column, kind="stable")  # rows stay in order within a column
+    row, column = row[order], column[order]
+    at, step = np.arange(len(row)), 1
+    while len(at := at[at < len(row) - step]) and len(at := at[column[at] == column[at + step]]):
+        x, y = row[at], row[at + step]
+        mine = (x < a.stop) & (y >= b.start)
+        np.add.at(found, (x[mine] - a.start, y[mine] - b.start), 1)
+        step += 1
+    return found
+
+
+def block_links(block: pa.Table, percent: int) -> pa.Table:
+    """The links (a, b) between different components of a block's members (t, u, rep, component, tile,
+    shingles): those within the tile, if t = u, else those from tile t to tile u."""
+    tile = block["tile"].to_numpy()
+    order = np.argsort(tile, kind="stable")
+    rep, component = block["rep"].to_numpy()[order], block["component"].to_numpy()[order]
+    none = np.empty(0, np.int64)
+    a, b = none, none
+    if len(rep) and component.min() != component.max():
+        same = block["t"][0].as_py() == block["u"][0].as_py()
+        first = len(rep) if same else int((tile == block["t"][0].as_py()).sum())
+        left, right = (slice(0, first), slice(0, first)) if same else (slice(0, first), slice(first, len(rep)))
+        values = block["shingles"].combine_chunks().take(pa.array(order))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in values]
+        if first and right.start < right.stop:
+            sizes = np.array([len(x) for x in sets], np.float64)
+            shared = in_common(sets, left, right).astype(np.float64)
+            linked = (100 + percent) * shared >= percent * (sizes[left, None] + sizes[None, right])
+            linked &= component[left, None] != component[None, right]
+            i, j = np.nonzero(np.triu(linked, 1) if same else linked)
+            a, b = rep[left][i], rep[right][j]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cloud_links(members: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links (a, b) between open members (rep, component, keys) of different components, found on their full
+    sets. A cloud is what buckets connect; its members are dealt to tiles, and each two tiles are a block."""
+    keys = members.select("rep", F.explode("keys").alias("key"))
+    hubs = keys.join(keys.groupBy("key").agg(F.min("rep").alias("hub")), "key").where("rep != hub")
+    cloud = components(hubs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cloud"))
+    own = common.written(members.select("rep", "component").join(cloud, "rep").join(sets, "rep"))
+    tiles = F.greatest(F.ceil(F.count("*") / max(1, TILE // 5)), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
+    spread = own.join(own.groupBy("cloud").agg(tiles.alias("tiles")), "cloud").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
+    blocks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    blocks = blocks.select("cloud", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "rep", "component", "tile", "shingles")
+    found = blocks.groupBy("cloud", "t", "u").applyInArrow(lambda block: block_links(block, percent), "a long, b long")
+    return common.written(found, rows)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -306,8 +368,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     comps = components(links)
     members = open_members(shared, classes.drop("bands"), comps, percent, n)
     if not members.isEmpty():
-        sets = full_sets(docs, members.select("rep").distinct(), k, LONG_PERMS)
-        comps = components(links.unionByName(confirmed(cross_pairs(members, classes, sets, percent, n), sets, percent, n)))
+        sets = full_sets(docs, members.select("rep").distinct(), k)
+        more = cloud_links(members, sets, percent, n)
+        if not more.isEmpty():
+            comps = components(links.unionByName(more))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("found"))
     out = narrow.join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found"))

@@ -329,6 +329,43 @@ def test_near_recall(spark, k):
     assert len(pairs) > 5 and all(found[i] == found[j] for i, j in pairs)
 
 
+def test_near_misses_make_no_pairs(spark, monkeypatch):
+    """A large group of texts that only just miss the threshold: pairs to confirm grow with its
+    members, not with their square, and the components are right, a link across two of them too."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [list(base) for _ in range(400)]
+    for i, words in enumerate(texts):
+        for at in rng.sample(range(120), 5):
+            words[at] = f"x{i}_{at}"
+    texts += [[*texts[399][:119], "last"], [*texts[7][:118], "two", "more"]]
+    df = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    tested, confirmed = [], near.confirmed
+
+    def counting(pairs, *args):
+        tested.append(pairs.count())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(near, "confirmed", counting)
+    monkeypatch.setattr(near, "TILE", 500)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, 2).collect()}
+    assert got == slow_near(df.collect(), 2) and len({c for _, c in got.values()}) > 200
+    assert sum(tested) < 20 * len(texts)
+
+
+def test_in_common():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 70)).astype(np.uint64)) for _ in range(40)]
+    for columns in (near.COLUMNS, 3):
+        for left, right in ((slice(0, 40), slice(0, 40)), (slice(0, 9), slice(9, 40))):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(near, "COLUMNS", columns)
+                got = near.in_common(sets, left, right)
+            for i in range(left.stop):
+                for j in range(max(i + 1, right.start), 40):
+                    assert got[i, j - right.start] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
