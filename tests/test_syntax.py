@@ -140,3 +140,19 @@ def test_queries_over_whole_texts(spark):
             elif t.kind == "punct" and t.text in ")]}":
                 balanced = bool(open_) and {"(": ")", "[": "]", "{": "}"}[open_.pop()] == t.text and balanced
         assert (r["path"] in found) == (not balanced or bool(open_))
+
+
+def test_words_of_prose_need_no_operator_search(monkeypatch):
+    """Most of a large file is plain words: a few steps for each, and the tree is what the general path makes."""
+    calls, operator = [], tree._Parser.operator
+
+    def counting(self, end):
+        calls.append(end)
+        return operator(self, end)
+
+    monkeypatch.setattr(tree._Parser, "operator", counting)
+    source = "some plain words " * 400
+    found = parse.fingerprints("a.ts", source)
+    assert len(calls) < 50
+    monkeypatch.setattr(tree, "_SIGNS", tree._SIGNS | {"plain"})  # takes the general path around that word
+    assert parse.fingerprints("a.ts", source) == found and len(calls) > 400
