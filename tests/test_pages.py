@@ -42,3 +42,12 @@ def test_index(spark):
     assert [r["idx"] for r in got] == list(range(5000))
     assert [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in rows.collect()) and sorted(r["id"] for r in got) == list(range(5000))
     assert indexed(rows.limit(0), ["a"]).count() == 0
+
+
+def test_clone_groups_tokenise_once(spark):
+    """Sizes and members of the groups read stored hashes: no text is tokenised in what is left of the plan."""
+    from lodestar.plans import catalogue
+
+    for name in ("token_clone_groups", "lexical_clone_groups"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
